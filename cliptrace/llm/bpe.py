@@ -26,7 +26,7 @@ from .common import broadcast_bytes
 #: Bound on the rank file that is broadcast, in bytes.
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Distinct space-led chunks that a worker remembers between batches.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 200_000
 _NONE = np.iinfo(np.int32).max
 _LOOSE_SPACE = regex.compile(r" (?=\s|$)")
 _SPACE_BEFORE_WORD = regex.compile(r"(?= \S)", regex.V1)
@@ -186,6 +186,8 @@ class Encoder:
     def chunks(text: str) -> list[str]:
         """Pieces of a text between which no pre-token of the pattern reaches:
         cut before each space that a non-space follows."""
+        if not text:
+            return []
         if _LOOSE_SPACE.search(text):
             return [c for c in _SPACE_BEFORE_WORD.split(text) if c]
         first, *rest = text.split(" ")
@@ -210,13 +212,17 @@ class Encoder:
         """Ids of all texts, flat, and the number of ids of each."""
         if len(self.known) > self.cache:
             self._forget()
-        parts = [self.chunks(t) if t else [] for t in texts]
-        new = list({c: None for p in parts for c in p if c not in self.known})
+        known, get, new = self.known, self.known.get, {}
+        for t in texts:  # cut twice rather than hold the pieces of all texts
+            for c in self.chunks(t):
+                if c not in known:
+                    new[c] = None
         if new:
-            self._learn(new)
-        counts = np.fromiter(map(len, parts), np.int64, len(parts))
-        get = self.known.__getitem__
-        which = np.fromiter((i for p in parts for i in map(get, p)), np.int64, int(counts.sum()))
+            self._learn(list(new))
+            new = {}
+        each = [np.fromiter(map(get, self.chunks(t)), np.int32) for t in texts]
+        counts = np.fromiter(map(len, each), np.int64, len(each))
+        which = np.concatenate(each) if each else np.empty(0, np.int32)
         self.ids, self.lens = [np.concatenate(self.ids)], [np.concatenate(self.lens)]
         n = self.lens[0]
         at = np.cumsum(n) - n
@@ -238,7 +244,7 @@ def _once(key: object, make):
 
 
 #: Bytes of text that are encoded at a time.
-SLICE_BYTES = 24 << 20
+SLICE_BYTES = 8 << 20
 
 
 def _slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
