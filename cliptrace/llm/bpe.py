@@ -26,9 +26,8 @@ from .common import broadcast_bytes
 #: Bound on the rank file that is broadcast, in bytes.
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Distinct space-led chunks that a worker remembers between batches.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 400_000
 _NONE = np.iinfo(np.int32).max
-_LOOSE_SPACE = regex.compile(r" (?=\s|$)")
 _SPACE_BEFORE_WORD = regex.compile(r"(?= \S)", regex.V1)
 
 
@@ -169,8 +168,26 @@ def _ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lens), lens) + np.arange(total)
 
 
+class _Places(dict):
+    """Piece -> its place among the learned chunks; a new piece gets the next
+    place and is noted.  -1: a piece that is empty or begins with white space,
+    so that a pre-token may reach over the space before it."""
+
+    def __init__(self, lead: str, new: list[str]):
+        super().__init__()
+        self.lead, self.new = lead, new
+
+    def __missing__(self, piece: str) -> int:
+        if self.lead and (not piece or piece[0].isspace()):
+            self[piece] = -1
+            return -1
+        self.new.append(self.lead + piece)
+        self[piece] = n = self.size()
+        return n
+
+
 class Encoder:
-    """Encodes batches of texts and remembers frequent chunks between them."""
+    """Encodes batches of texts and remembers chunks between them."""
 
     def __init__(self, table: MergeTable, pattern: str, cache: int = CACHE_ENTRIES):
         self.table, self.cache = table, cache
@@ -178,23 +195,31 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.new: list[str] = []
+        self.learned = 0
+        # A text is cut before each space that a non-space follows; no
+        # pre-token reaches over such a cut.
+        self.led, self.first = _Places(" ", self.new), _Places("", self.new)
+        self.led.size = self.first.size = lambda: self.learned + len(self.new) - 1
         self.ids = [np.empty(0, np.int32)]
         self.lens = [np.empty(0, np.int64)]
 
-    @staticmethod
-    def chunks(text: str) -> list[str]:
-        """Pieces of a text between which no pre-token of the pattern reaches:
-        cut before each space that a non-space follows."""
+    def _places(self, text: str) -> np.ndarray:
+        """The places of the chunks of a text."""
         if not text:
-            return []
-        if _LOOSE_SPACE.search(text):
-            return [c for c in _SPACE_BEFORE_WORD.split(text) if c]
-        first, *rest = text.split(" ")
-        return [first, *(" " + c for c in rest)]
+            return np.empty(0, np.int32)
+        parts = text.split(" ")
+        head = self.first[parts[0]]
+        found = np.fromiter(map(self.led.__getitem__, parts), np.int32, len(parts))
+        found[0] = head
+        if found.min() >= 0:
+            return found
+        parts = [c for c in _SPACE_BEFORE_WORD.split(text) if c]
+        return np.fromiter((self.led[c[1:]] if c[0] == " " and c[1:2].strip() else self.first[c] for c in parts), np.int32, len(parts))
 
     def _learn(self, new: list[str]) -> None:
-        pieces = [self.find(c) for c in new]
+        find = self.find
+        pieces = [[c] if c[1:].isalpha() and (c[0] == " " or c[0].isalpha()) else find(c) for c in new]
         words = list({w: None for p in pieces for w in p})
         place = {w: i for i, w in enumerate(words)}
         flat, n = self.table.replay([w.encode() for w in words])
@@ -205,22 +230,16 @@ class Encoder:
         total = np.concatenate(([0], np.cumsum(n[order])))
         edge = np.concatenate(([0], np.cumsum(counts)))
         self.lens.append(total[edge[1:]] - total[edge[:-1]])
-        for c in new:
-            self.known[c] = len(self.known)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, flat, and the number of ids of each."""
-        if len(self.known) > self.cache:
+        if self.learned > self.cache:
             self._forget()
-        known, get, new = self.known, self.known.get, {}
-        for t in texts:  # cut twice rather than hold the pieces of all texts
-            for c in self.chunks(t):
-                if c not in known:
-                    new[c] = None
-        if new:
-            self._learn(list(new))
-            new = {}
-        each = [np.fromiter(map(get, self.chunks(t)), np.int32) for t in texts]
+        each = [self._places(t) for t in texts]
+        if self.new:
+            self._learn(self.new)
+            self.learned += len(self.new)
+            self.new.clear()
         counts = np.fromiter(map(len, each), np.int64, len(each))
         which = np.concatenate(each) if each else np.empty(0, np.int32)
         self.ids, self.lens = [np.concatenate(self.ids)], [np.concatenate(self.lens)]
@@ -244,7 +263,7 @@ def _once(key: object, make):
 
 
 #: Bytes of text that are encoded at a time.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 6 << 20
 
 
 def _slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
