@@ -15,7 +15,8 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ from .common import broadcast_bytes
 #: Bound on the rank file that is broadcast, in bytes.
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Distinct space-led chunks that a worker remembers between batches.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 _NONE = np.iinfo(np.int32).max
 _SPACE_BEFORE_WORD = regex.compile(r"(?= \S)", regex.V1)
 
@@ -262,14 +263,14 @@ def _once(key: object, make):
     return _models[key]
 
 
-#: Bytes of text that are encoded at a time.
-SLICE_BYTES = 6 << 20
+#: Characters of text that are encoded at a time, and rows that are returned.
+SLICE_CHARS, SLICE_ROWS = 3 << 20, 2_048
 
 
-def _slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+def _slices(sizes: list[int], most: int, rows: int = SLICE_ROWS) -> Iterator[tuple[int, int]]:
     lo, held = 0, 0
     for i, n in enumerate(sizes):
-        if held and held + n > most:
+        if i > lo and (held + n > most or i - lo >= rows):
             yield lo, i
             lo, held = i, 0
         held += n
@@ -277,6 +278,50 @@ def _slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield lo, len(sizes)
 
 
+def _offsets(lens: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(lens))).astype(np.int32)
+
+
+def _apply(rows: DataFrame, vocabulary: str, pattern: str | None, source: str, ids: str | None, decoded: str | None) -> DataFrame:
+    """Encode column ``source`` (or take it as ids, without a pattern), decode
+    if asked, and append the results; columns of these names are replaced."""
+    with open(vocabulary, "rb") as f:
+        raw = f.read()
+    ranks = broadcast_bytes(rows.sparkSession, raw, len(raw), MAX_VOCABULARY_BYTES, "BPE ranks")
+    added = {n.lower() for n in (ids, decoded) if n}
+    keep = [c for c in rows.columns if c.lower() not in added]
+    fields = [rows.schema[c] for c in keep]
+    if ids:
+        fields.append(T.StructField(ids, T.ArrayType(T.IntegerType(), False), False))
+    if decoded:
+        fields.append(T.StructField(decoded, T.BinaryType(), False))
+    lead, n_keep = rows.select(F.col(source).alias("_source"), *[F.col(c) for c in keep]), len(keep)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _once((hash(ranks.value), pattern), lambda: Encoder(MergeTable.from_tiktoken(ranks.value), pattern or ""))
+        for batch in batches:
+            given = batch.column(0)
+            sizes = (pc.binary_length(given) if pattern else pc.list_value_length(given)).fill_null(0).to_pylist()
+            for lo, hi in _slices(sizes, SLICE_CHARS):
+                part = given.slice(lo, hi - lo)
+                if pattern:
+                    flat, n = encoder.encode([t or "" for t in part.to_pylist()])
+                else:
+                    n = pc.list_value_length(part).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                    flat = part.flatten().to_numpy(zero_copy_only=False)
+                columns = [batch.column(1 + k).slice(lo, hi - lo) for k in range(n_keep)]
+                if ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(_offsets(n)), pa.array(flat, pa.int32())))
+                if decoded:
+                    lens = encoder.table.token_len[flat]
+                    total = np.concatenate(([0], np.cumsum(lens)))
+                    edge = total[_offsets(n)].astype(np.int32)
+                    columns.append(pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(edge), pa.py_buffer(encoder.table.decode(flat))]))
+                yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
+
+    return lead.mapInArrow(of, T.StructType(fields))
+
+
 def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Add the column ``ids array<int>``: the token ids of each whole text.
 
@@ -284,22 +329,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", i
     broadcast (its size is checked).  A null text gives an empty array; rows,
     repeated ones too, stay as they are; an empty table stays empty.
     """
-    with open(vocabulary, "rb") as f:
-        raw = f.read()
-    ranks = broadcast_bytes(docs.sparkSession, raw, len(raw), MAX_VOCABULARY_BYTES, "BPE ranks")
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType(), False))
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = _once(("encoder", hash(ranks.value), pattern), lambda: Encoder(MergeTable.from_tiktoken(ranks.value), pattern))
-        for batch in batches:
-            texts = ["" if t is None else t for t in batch.tolist()]
-            out: list[np.ndarray] = []
-            for lo, hi in _slices([len(t) for t in texts], SLICE_BYTES):
-                flat, n = encoder.encode(texts[lo:hi])
-                out += np.split(flat, np.cumsum(n)[:-1])
-            yield pd.Series(out, dtype=object)
-
-    return docs.withColumn(ids, of(F.col(text)))
+    return _apply(docs, vocabulary, pattern, text, ids, None)
 
 
 def decode(encoded: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -307,14 +337,9 @@ def decode(encoded: DataFrame, vocabulary: str, ids: str = "ids", out: str = "de
 
     A null array decodes to no bytes.
     """
-    with open(vocabulary, "rb") as f:
-        raw = f.read()
-    ranks = broadcast_bytes(encoded.sparkSession, raw, len(raw), MAX_VOCABULARY_BYTES, "BPE ranks")
+    return _apply(encoded, vocabulary, None, ids, None, out)
 
-    @F.pandas_udf(T.BinaryType())
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table = _once(("decoder", hash(ranks.value)), lambda: MergeTable.from_tiktoken(ranks.value))
-        for batch in batches:
-            yield pd.Series([b"" if a is None or not len(a) else table.decode(a).tobytes() for a in batch], dtype=object)
 
-    return encoded.withColumn(out, of(F.col(ids)))
+def round_trip(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """``encode`` and ``decode`` of its ids, in one pass over the rows."""
+    return _apply(docs, vocabulary, pattern, text, ids, out)

@@ -16,8 +16,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every text, decode the ids again, and digest both."""
     docs = documents(spark, sf_dir, "documents").select("doc_id", "text")
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
-    return digests(bpe.decode(coded, ranks)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return digests(bpe.round_trip(docs, ranks, public_tokenizers.PATTERN)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def digests(decoded: DataFrame) -> DataFrame:
