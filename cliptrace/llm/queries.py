@@ -2,14 +2,39 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, tokencount
-from .common import documents
+from . import bpe, embdedup, extract, simhash, tokencount, urlfilter, warc
+from .common import documents, shared_dir
+
+
+#: The listed rules of op2 (host, path, verdict).
+URL_RULES = [
+    ("com", "/en/", "block"),
+    ("example.com", "/en/7", "allow"),
+    ("net", "/de/", "allow"),
+    ("example.net", "/de/8", "block"),
+    ("org", "/es/", "block"),
+]
+#: Words of hosts that mark a url as unwanted where no judged urls are at hand.
+URL_SEEDS = ["adult", "ads", "bets", "casino", "pills", "spam"]
+
+
+def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judge every url by the listed rules, else by mined ones."""
+    pages = documents(spark, sf_dir, "pages").select("page_id", "url")
+    mined = urlfilter.mine(urlfilter.seed_labels(pages, URL_SEEDS))
+    return urlfilter.judge(pages, URL_RULES, mined).select("page_id", "host", "path", "rule", "verdict", "mined_rules")
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every text."""
+    return simhash.near_duplicates(documents(spark, sf_dir, "documents"))
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +53,12 @@ def digests(decoded: DataFrame) -> DataFrame:
     })
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Article text of every page."""
+    pages = documents(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract.extract(pages).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every text."""
     docs = documents(spark, sf_dir, "documents").select("doc_id", "text")
@@ -40,14 +71,63 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write every page to WARC archives, read them back, assemble captures."""
+    pages = documents(spark, sf_dir, "pages").select("page_id", "url", "html")
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(pages, path)
+    found = warc.resolve(warc.captures(spark, path, payloads=False))
+    return found.select(F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to_key").cast("long").alias("refers_to"))
+
+
+OP8_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, sha256(coalesce(html, '')) AS digest, octet_length(encode(coalesce(html, ''))) AS n FROM pages
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY digest) AS first_id FROM p
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN n >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM f
+"""
+
+
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    return embdedup.near_duplicates(documents(spark, sf_dir, "embeddings"))
+
+
+OP10_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+), ok AS (
+  SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_inner_product(e, e) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id
+  WHERE list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e)) / sqrt(list_inner_product(b.e, b.e)) >= 0.9
+), reach(a, b) AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), comp AS (
+  SELECT vec_id, least(vec_id, coalesce((SELECT min(b) FROM reach WHERE a = vec_id), vec_id)) AS component_id FROM v
+)
+SELECT c.vec_id, (SELECT count(*) FROM links WHERE a = c.vec_id) AS n_links, component_id, c.vec_id = component_id AS kept FROM comp c
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> query over the tables of a folder."""
     return {
+        "op2_url_rules": op2_url_rules,
+        "op4_simhash": op4_simhash,
         "op5_byte_bpe": op5_byte_bpe,
+        "op6_main_text": op6_main_text,
         "op7_token_counts": op7_token_counts,
+        "op8_warc": op8_warc,
+        "op10_embedding_dedup": op10_embedding_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """Name -> DuckDB SQL with the same rows."""
-    return {}
+    return {"op8_warc": OP8_SQL, "op10_embedding_dedup": OP10_SQL}

@@ -53,10 +53,9 @@ def _urn(*parts: Column) -> Column:
 
 
 def _record(headers: list[tuple[str, Column | str]], block: Column) -> Column:
-    """A record without the last of its two closing line ends; a null header
-    is left out."""
+    """A record without its very last line feed; a null header is left out."""
     lines = [F.when(v.isNotNull(), F.concat(F.lit(f"{k}: "), v, F.lit(_CRLF))) if isinstance(v, Column) else F.lit(f"{k}: {v}{_CRLF}") for k, v in headers]
-    return F.concat(F.lit("WARC/1.1" + _CRLF), *[F.coalesce(x, F.lit("")) for x in lines], F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit(_CRLF * 2)), block, F.lit(_CRLF))
+    return F.concat(F.lit("WARC/1.1" + _CRLF), *[F.coalesce(x, F.lit("")) for x in lines], F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit(_CRLF * 2)), block, F.lit(_CRLF + "\r"))
 
 
 def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html") -> None:
@@ -128,7 +127,7 @@ def _row(fields: dict[str, str], block: bytes, with_payload: bool) -> tuple:
     elif kind == "metadata":
         extra = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in block.decode("utf-8", "replace").split(_CRLF) if x)}
     return (fields.get("warc-record-id"), kind, fields.get("warc-concurrent-to"), fields.get("warc-refers-to"), fields.get("warc-target-uri"), fields.get("warc-date"),
-            list(extra.items()), size, digest, payload if with_payload and kind == "response" else None)
+            extra, size, digest, payload if with_payload and kind == "response" else None)
 
 
 def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
