@@ -9,8 +9,38 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embdedup, extract, simhash, tokencount, urlfilter, warc
-from .common import documents, shared_dir
+from . import bpe, decontam, embdedup, extract, langid, quality, simhash, tokencount, urlfilter, warc
+from .common import documents, fold, shared_dir
+
+
+#: Texts with a quality score of at least this are taken for good ones.
+GOOD = 0.3
+
+
+def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Model:
+    """Fit on labels outside the held-out fold; another fold calibrates."""
+    return quality.fit(docs, labels.filter(fold(F.col("doc_id"), 5) != 0), calibrate=fold(F.col("doc_id"), 5) == 4)
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every text for quality."""
+    docs = documents(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_model(docs, documents(spark, sf_dir, "labels").select("doc_id", "quality"))
+    held_out = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out")
+    return quality.score(docs, model).select("doc_id", held_out, "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
+def language_model(docs: DataFrame) -> langid.Model:
+    """Fit on the languages of texts outside the held-out fold."""
+    return langid.fit(docs.filter(fold(F.col("doc_id"), 4) != 2))
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predict the language of every text."""
+    docs = documents(spark, sf_dir, "documents")
+    model = language_model(docs.select("doc_id", "text", "lang"))
+    held_out = F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out")
+    return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out, "lang_pred", "score")
 
 
 #: The listed rules of op2 (host, path, verdict).
@@ -93,6 +123,12 @@ FROM f
 """
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item in every text that holds it or a close version."""
+    docs = documents(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.matches(docs, documents(spark, sf_dir, "benchmark"))
+
+
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every vector."""
     return embdedup.near_duplicates(documents(spark, sf_dir, "embeddings"))
@@ -118,12 +154,15 @@ SELECT c.vec_id, (SELECT count(*) FROM links WHERE a = c.vec_id) AS n_links, com
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> query over the tables of a folder."""
     return {
+        "op1_quality": op1_quality,
         "op2_url_rules": op2_url_rules,
+        "op3_language": op3_language,
         "op4_simhash": op4_simhash,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_main_text": op6_main_text,
         "op7_token_counts": op7_token_counts,
         "op8_warc": op8_warc,
+        "op9_decontamination": op9_decontamination,
         "op10_embedding_dedup": op10_embedding_dedup,
     }
 
