@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_bytes
+from .common import broadcast_bytes, only
 
 #: Bound on the rank file that is broadcast, in bytes.
 MAX_VOCABULARY_BYTES = 64 << 20
@@ -252,17 +252,6 @@ class Encoder:
         return flat, total[edge[1:]] - total[edge[:-1]]
 
 
-_models: dict[object, object] = {}
-
-
-def _once(key: object, make):
-    """A model that this worker keeps between tasks; one of a kind at a time."""
-    if key not in _models:
-        _models.clear()
-        _models[key] = make()
-    return _models[key]
-
-
 #: Characters of text that are encoded at a time, and rows that are returned.
 SLICE_CHARS, SLICE_ROWS = 3 << 20, 2_048
 
@@ -298,7 +287,7 @@ def _apply(rows: DataFrame, vocabulary: str, pattern: str | None, source: str, i
     lead, n_keep = rows.select(F.col(source).alias("_source"), *[F.col(c) for c in keep]), len(keep)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _once((hash(ranks.value), pattern), lambda: Encoder(MergeTable.from_tiktoken(ranks.value), pattern or ""))
+        encoder = only(("bpe", hash(ranks.value), pattern), lambda: Encoder(MergeTable.from_tiktoken(ranks.value), pattern or ""))
         for batch in batches:
             given = batch.column(0)
             sizes = (pc.binary_length(given) if pattern else pc.list_value_length(given)).fill_null(0).to_pylist()

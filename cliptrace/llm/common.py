@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
 import tempfile
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,3 +64,24 @@ def fresh(df: DataFrame, stem: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+_kept: dict[Any, Any] = {}
+
+
+def only(key: Any, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, kept in this Python worker between tasks.
+
+    A worker serves one stage after another and keeps one such value at a time:
+    asking for another one gives the memory of the last back to the system.
+    """
+    if key not in _kept:
+        if _kept:
+            _kept.clear()
+            gc.collect()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):
+                pass  # another C library
+        _kept[key] = make()
+    return _kept[key]

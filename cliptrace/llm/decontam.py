@@ -19,6 +19,7 @@ Null and empty texts match nothing; repeated items are all reported.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -29,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import only
+
 #: Bytes of item text that one pass over the documents searches for; a larger
 #: benchmark is searched for in several passes.
 MAX_ITEM_BYTES = 32 << 20
@@ -251,9 +254,6 @@ class _Words(dict):
         return seq[seq >= 0] if len(seq) and seq.min() < 0 else seq
 
 
-_searchers: dict[int, tuple[object, Searcher]] = {}
-
-
 def _slices(benchmark: DataFrame, key: str, text: str, limit: int) -> list[list[tuple[int, str]]]:
     """The items, in slices of at most ``limit`` bytes of text."""
     items = benchmark.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).filter("k IS NOT NULL AND t IS NOT NULL").distinct()
@@ -271,15 +271,14 @@ def _slices(benchmark: DataFrame, key: str, text: str, limit: int) -> list[list[
 
 def _searching(sent):
     """A UDF that searches for the items of a broadcast slice."""
+    tag = uuid.uuid4().hex
 
     @F.pandas_udf(MATCH)
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         value = sent.value
-        if (have := _searchers.get(id(value))) is None or have[0] is not value:
-            _searchers.clear()
-            have = _searchers[id(value)] = (value, Searcher(*value))
+        searcher = only(("decontam", tag), lambda: Searcher(*value))
         for batch in batches:
-            yield pd.Series(have[1].search(batch.tolist()), dtype=object)
+            yield pd.Series(searcher.search(batch.tolist()), dtype=object)
 
     return of
 

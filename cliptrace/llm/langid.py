@@ -10,8 +10,10 @@ language, chosen by a hash of their key (`fit`).
 
 from __future__ import annotations
 
+import math
 import re
-from collections import Counter, defaultdict
+import uuid
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,10 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import only
+
 #: Bound on the number of languages.
 MAX_LANGUAGES = 256
 #: Chunks that a worker remembers between batches.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 300_000
 UNDETERMINED = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -45,16 +49,16 @@ class Model:
     grams: list[dict[str, int]]  # longest first
     rows: np.ndarray
 
-    def word(self, word: str) -> np.ndarray:
-        """Log frequencies of a word, by backoff if it is unseen."""
+    def parts(self, word: str) -> list[int]:
+        """The rows whose mean scores a word: its own, or by backoff those of
+        its longest known n-grams; none if nothing is known."""
         if (row := self.words.get(word)) is not None:
-            return self.rows[row]
+            return [row]
         longest = len(self.grams)
         for k, table in enumerate(self.grams):
-            found = [r for g in grams(word, longest - k) if (r := table.get(g)) is not None]
-            if found:
-                return self.rows[found].mean(axis=0)
-        return np.zeros(len(self.languages))
+            if found := [r for g in grams(word, longest - k) if (r := table.get(g)) is not None]:
+                return found
+        return []
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 4_000, most_words: int = 120_000, most_grams: int = 60_000, longest: int = 5) -> Model:
@@ -83,17 +87,22 @@ def _model(names: list[str], sizes: dict[str, int], counted: list[tuple[str, str
     for name, w, n in counted:
         by_word[w][at[name]] += n
     tables: list[dict[str, np.ndarray]] = [dict(by_word)]
+    # Frequent words do not drown the rest: n-grams are weighed by a root.
+    weighed = [(w, [(i, math.sqrt(c)) for i, c in enumerate(counts.tolist()) if c]) for w, counts in by_word.items()]
     for n in range(longest, 0, -1):
-        by_gram: list[Counter] = [Counter() for _ in names]
-        for w, counts in by_word.items():
-            for g in grams(w, n):
-                for i in np.flatnonzero(counts):
-                    by_gram[i][g] += float(np.sqrt(counts[i]))  # frequent words do not drown the rest
-        total: Counter = Counter()
-        for c in by_gram:
-            total.update(c)
+        by_gram: list[dict[str, float]] = [defaultdict(float) for _ in names]
+        for w, at_least in weighed:
+            found = grams(w, n)
+            for i, c in at_least:
+                table = by_gram[i]
+                for g in found:
+                    table[g] += c
+        total: dict[str, float] = defaultdict(float)
+        for table in by_gram:
+            for g, c in table.items():
+                total[g] += c
         keep = [g for g, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[: most_grams // longest]]
-        tables.append({g: np.array([c[g] for c in by_gram]) for g in keep})
+        tables.append({g: np.array([table.get(g, 0.0) for table in by_gram]) for g in keep})
     rows, index = [], []
     for table in tables:
         place = {}
@@ -110,28 +119,46 @@ def _model(names: list[str], sizes: dict[str, int], counted: list[tuple[str, str
 
 
 class _Chunks(dict):
-    """White-space separated chunk -> row; new chunks are scored at once."""
+    """White-space separated chunk -> place; new chunks are noted with the
+    rows that score them, and scored together by ``settle``."""
 
     def __init__(self, model: Model):
         super().__init__()
         self.model = model
-        self.rows: list[np.ndarray] = [np.zeros(len(model.languages))]
-        self.words: list[int] = [0]
+        self.rows = np.zeros((1, len(model.languages)))  # place 0: no letters
+        self.words = np.zeros(1, np.int64)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.new_rows, self.new_weights, self.new_counts, self.new_words = [], [], [], []
 
     def __missing__(self, chunk: str) -> int:
         found = [w for w in _LETTERS.findall(chunk.lower()) if any(map(str.isalpha, w))]
         if not found:
             self[chunk] = 0
             return 0
-        self[chunk] = n = len(self.rows)
-        model = self.model
-        row = model.word(found[0])
-        for w in found[1:]:
-            row = row + model.word(w)
-        self.rows.append(row)
-        self.words.append(len(found))
+        self[chunk] = n = len(self.rows) + len(self.new_counts)
+        count = 0
+        for w in found:
+            if rows := self.model.parts(w):
+                self.new_rows += rows
+                self.new_weights += [1 / len(rows)] * len(rows)
+                count += len(rows)
+        self.new_counts.append(count)
+        self.new_words.append(len(found))
         return n
 
+    def settle(self) -> None:
+        """Score what is new."""
+        if not self.new_counts:
+            return
+        owner = np.repeat(np.arange(len(self.new_counts)), self.new_counts)
+        each = self.model.rows[np.array(self.new_rows, np.int64)] * np.array(self.new_weights)[:, None]
+        new = np.stack([np.bincount(owner, each[:, k], len(self.new_counts)) for k in range(self.rows.shape[1])], axis=1)
+        self.rows = np.concatenate((self.rows, new))
+        self.words = np.concatenate((self.words, np.array(self.new_words, np.int64)))
+        self._clear()
+
 
 class Scorer:
     """Scores batches of texts."""
@@ -145,7 +172,8 @@ class Scorer:
             self.chunks = _Chunks(self.model)
         get = self.chunks.__getitem__
         each = [np.fromiter(map(get, t.split()), np.int32) if t else np.empty(0, np.int32) for t in texts]
-        rows, words = np.array(self.chunks.rows), np.array(self.chunks.words)
+        self.chunks.settle()
+        rows, words = self.chunks.rows, self.chunks.words
         names, out, scores = self.model.languages, [], np.zeros(len(texts))
         for i, at in enumerate(each):
             n = int(words[at].sum())
@@ -161,9 +189,6 @@ class Scorer:
         return out, scores
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def identify(docs: DataFrame, model: Model, text: str = "text", name: str = "lang_pred", score: str = "score") -> DataFrame:
     """Add the predicted language and its posterior (0 to 1).
 
@@ -171,19 +196,17 @@ def identify(docs: DataFrame, model: Model, text: str = "text", name: str = "lan
     languages.  Columns of these names are replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the limits of fit()
+    tag = uuid.uuid4().hex
     kind = T.StructType([T.StructField("name", T.StringType()), T.StructField("score", T.DoubleType())])
 
     @F.pandas_udf(kind)
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        value = sent.value
-        if (scorer := _scorers.get(id(value))) is None or scorer.model is not value:
-            _scorers.clear()
-            scorer = _scorers[id(value)] = Scorer(value)
+        scorer = only(("langid", tag), lambda: Scorer(sent.value))
         for batch in batches:
             texts = batch.tolist()
             names, scores = [], []
-            for lo in range(0, len(texts), 1_000):
-                a, b = scorer.score(texts[lo : lo + 1_000])
+            for lo in range(0, len(texts), 2_000):
+                a, b = scorer.score(texts[lo : lo + 2_000])
                 names += a
                 scores.append(b)
             yield pd.DataFrame({"name": pd.Series(names, dtype=object), "score": np.concatenate(scores) if scores else np.zeros(0)})

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, only
 
 #: Labelled texts that the classifier is fitted on, at most (smallest hashes).
 MAX_LABELLED = 16_000
@@ -223,6 +223,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
 
     @F.pandas_udf(T.DoubleType())
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        only("quality", lambda: None)
         for batch in batches:
             yield pd.Series(sent.value.score(statistics(batch.tolist())))
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_bytes
+from .common import broadcast_bytes, only
 
 #: Bound on the model file that is broadcast, in bytes.
 MAX_MODEL_BYTES = 64 << 20
@@ -204,16 +204,6 @@ class Counter:
         return np.fromiter((sum(map(get, p)) for p in parts), np.int64, len(parts))
 
 
-_models: dict[object, Counter] = {}
-
-
-def _counter(raw: bytes) -> Counter:
-    if (key := hash(raw)) not in _models:
-        _models.clear()
-        _models[key] = Counter(PieceModel(raw))
-    return _models[key]
-
-
 def count_tokens(docs: DataFrame, model: str, text: str = "text", out: str = "n_tokens") -> DataFrame:
     """Add the column ``n_tokens long``.
 
@@ -226,7 +216,7 @@ def count_tokens(docs: DataFrame, model: str, text: str = "text", out: str = "n_
 
     @F.pandas_udf(T.LongType())
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        counter = _counter(sent.value)
+        counter = only(("tokens", hash(sent.value)), lambda: Counter(PieceModel(sent.value)))
         for batch in batches:
             yield pd.Series(counter.count(["" if t is None else t for t in batch.tolist()]))
 
