@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bits import bit_sim
@@ -55,16 +55,25 @@ def pair_sim(s: dict[str, Column], m: dict[str, Column]) -> Column:
     return F.greatest(F.coalesce(normal, F.lit(0.0)), F.coalesce(flipped, F.lit(0.0))) * 100
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once: lambdas compute what they
+    capture again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def color_znorm(grid: Column) -> Column:
     """Each channel of a 4x4x3 grid as z-scores, with deviations of 8 at least."""
-    def moments(c: int) -> tuple[Column, Column]:
-        ch = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.get(grid, i * 3 + c).cast("double"))
-        mean = total(ch) / 16
-        return mean, F.greatest(F.sqrt(total(F.transform(ch, lambda x: (x - mean) * (x - mean))) / 16), F.lit(8.0))
+    cells = F.sequence(F.lit(0), F.lit(15))
+
+    def mean(g: Column, c: int) -> Column:
+        return total(F.transform(cells, lambda i: F.get(g, i * 3 + c).cast("double"))) / 16
 
-    out = [moments(c) for c in range(3)]
-    pick = lambda c, k: F.when(c == 0, out[0][k]).when(c == 1, out[1][k]).otherwise(out[2][k])
-    return F.transform(grid, lambda x, i: (x.cast("double") - pick(i % 3, 0)) / pick(i % 3, 1))
+    def sd(g: Column, m: Column, c: int) -> Column:
+        square = lambda i: (F.get(g, i * 3 + c).cast("double") - F.get(m, F.lit(c))) * (F.get(g, i * 3 + c).cast("double") - F.get(m, F.lit(c)))
+        return F.greatest(F.sqrt(total(F.transform(cells, square)) / 16), F.lit(8.0))
+
+    scaled = lambda g, m, s: F.transform(g, lambda x, i: (x.cast("double") - F.get(m, i % 3)) / F.get(s, i % 3))
+    return let(grid, lambda g: let(F.array(*[mean(g, c) for c in range(3)]), lambda m: let(F.array(*[sd(g, m, c) for c in range(3)]), lambda s: scaled(g, m, s))))
 
 
 def _abs_diff(a: Column, b: Column) -> Column:
@@ -81,28 +90,39 @@ def mirror_grid(grid: Column, channels: int) -> Column:
     return F.transform(grid, lambda _, i: F.get(grid, source(i)))
 
 
-def grid_sims(s: dict[str, Column], m: dict[str, Column]) -> tuple[Column, Column, Column]:
-    """Color, skin and detail similarity (about 0 to 1; null: not available)."""
-    both = lambda x, y, n=None: x.isNotNull() & y.isNotNull() & (F.size(x) > 0) & (F.size(x) == F.size(y)) & (F.lit(True) if n is None else F.size(x) == n)
-    color = F.when(both(s["color"], m["color"], 48), 1 - _abs_diff(color_znorm(s["color"]), color_znorm(m["color"])) / 48 / 2)
-    plain = F.when(both(s["color"], m["color"]), 1 - _abs_diff(s["color"], m["color"]) / (F.size(s["color"]) * 255))
-    color = F.when(color.isNotNull(), F.greatest(color, F.lit(0.0))).otherwise(plain)
-    skin = F.when(both(s["skin"], m["skin"]), 1 - _abs_diff(s["skin"], m["skin"]) / F.size(s["skin"]))
-    top = F.greatest(F.lit(1.0), F.array_max(s["detail"]).cast("double"), F.array_max(m["detail"]).cast("double"))
-    detail = F.when(both(s["detail"], m["detail"]), 1 - _abs_diff(s["detail"], m["detail"]) / top / F.size(s["detail"]))
+def with_signature(frames: DataFrame) -> DataFrame:
+    """Add what comparisons of signatures need: z-scores of the color grid
+    (``z``, null unless it has 48 values) and all grids mirrored (``t_...``)."""
+    z = frames.withColumn("z", F.when(F.size("color") == 48, color_znorm(F.col("color"))))
+    return z.withColumns({"t_z": mirror_grid(F.col("z"), 3), "t_skin": mirror_grid(F.col("skin"), 1), "t_detail": mirror_grid(F.col("detail"), 1)})
+
+
+def grid_sims(s: dict[str, Column], m: dict[str, Column], turned: bool = False) -> tuple[Column, Column, Column]:
+    """Color, skin and detail similarity (about 0 to 1; null: not available)
+    of rows of ``with_signature``; ``turned``: to the mirrored movie."""
+    both = lambda x, y: x.isNotNull() & y.isNotNull() & (F.size(x) > 0) & (F.size(x) == F.size(y))
+    lead = "t_" if turned else ""
+    z, skins, details = m[f"{lead}z"], m[f"{lead}skin"], m[f"{lead}detail"]
+    color = F.when(both(s["z"], z), F.greatest(F.lit(0.0), 1 - _abs_diff(s["z"], z) / 48 / 2)).when(
+        both(s["color"], m["color"]), 1 - _abs_diff(s["color"], m["color"]) / (F.size(s["color"]) * 255)
+    )
+    skin = F.when(both(s["skin"], skins), 1 - _abs_diff(s["skin"], skins) / F.size(s["skin"]))
+    top = F.greatest(F.lit(1.0), F.array_max(s["detail"]).cast("double"), F.array_max(details).cast("double"))
+    detail = F.when(both(s["detail"], details), 1 - _abs_diff(s["detail"], details) / top / F.size(s["detail"]))
     return color, skin, detail
 
 
 def signature_sim(s: dict[str, Column], m: dict[str, Column]) -> Column:
     """Mean of the available grid similarities (0 to 100), the better of the
     movie's grids as they are and mirrored; 50 without any."""
-    def raw(m: dict[str, Column]) -> Column:
-        parts = grid_sims(s, m)
-        n = sum((x.isNotNull().cast("int") for x in parts), F.lit(0))
-        return F.when(n > 0, sum((F.coalesce(x, F.lit(0.0)) for x in parts), F.lit(0.0)) / n * 100).otherwise(F.lit(50.0))
+    def mean(turned: bool) -> Column:
+        def of(parts: Column) -> Column:
+            have = F.filter(parts, lambda x: x.isNotNull())
+            return F.when(F.size(have) > 0, total(have) / F.size(have) * 100).otherwise(F.lit(50.0))
+
+        return let(F.array(*grid_sims(s, m, turned)), of)
 
-    turned = {"color": mirror_grid(m["color"], 3), "skin": mirror_grid(m["skin"], 1), "detail": mirror_grid(m["detail"], 1)}
-    return F.when(F.size(m["color"]) == 48, F.greatest(raw(m), raw(turned))).otherwise(raw(m))
+    return F.when(m["z"].isNotNull(), F.greatest(mean(False), mean(True))).otherwise(mean(False))
 
 
 def temporal_sim(s_delta: Column, s_mag: Column, m_delta: Column, m_mag: Column) -> Column:

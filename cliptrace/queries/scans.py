@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import image
 from ..functions.bits import bit_sim, js_round
-from ..functions.similarity import color_znorm, frame_sim, grid_sims, pair_sim, signature_sim, temporal_sim
+from ..functions.similarity import color_znorm, frame_sim, grid_sims, pair_sim, signature_sim, temporal_sim, with_signature
 from ..operators import frames as fr
 from ..operators import scan as sc
 from ..plans.align import CANDIDATE, MAIN
@@ -23,6 +23,7 @@ def _round(df: DataFrame, *cols: str) -> DataFrame:
 def _crossed(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
     """Query frames with all frames: si, mi, and s_ / m_ columns."""
     f = fr.motion(frames(spark, sf_dir)) if "t_mag" in cols else frames(spark, sf_dir)
+    f = with_signature(f) if "z" in cols else f
     pick = lambda lead, i: [F.col("fid").alias(i), *[F.col(c).alias(f"{lead}_{c}") for c in cols]]
     q = query_frames(f).select(*pick("s", "si"))  # a hundredth of the frames, in slices if it were large
     return f.select(*pick("m", "mi")).join(F.broadcast(q))
@@ -104,7 +105,7 @@ gg AS (SELECT *, {_MIRROR3.format(g="z")} AS tz FROM g),
 sig AS (SELECT s.fid AS si, m.fid AS mi, greatest(({" + ".join(_RAW)}) / 3, ({" + ".join(_TURNED)}) / 3) * 100 AS sig,
   {_RAW[0]} * 100 AS color_sim, {_RAW[1]} * 100 AS skin_sim, {_RAW[2]} * 100 AS detail_sim FROM gg s, gg m WHERE s.fid % 100 = 0)"""
 )
-_SIGNED = ("color", "skin", "detail")
+_SIGNED = ("color", "skin", "detail", "z", "t_z", "t_skin", "t_detail")
 
 
 def _sig(df: DataFrame):
