@@ -23,6 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` with its times as instants, taken for UTC where the table
+    names no zone."""
+    df = table(spark, sf_dir, "events")
+    if dict(df.dtypes)["ts"] == "timestamp_ntz":
+        df = df.withColumn("ts", F.concat(F.col("ts").cast("string"), F.lit("+00:00")).cast("timestamp"))
+    return df
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(fid, video_id, si, ts, variants, color, skin, detail)."""
     x = lambda k: F.get("x", k.cast("int"))

@@ -1,0 +1,60 @@
+"""Queries over embeddings: search, group maxima, ranking, gates."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.similarity import cosine, l2_normalize
+from ..operators import ranking as rk
+from . import query
+from .base import table
+
+_V = "v AS (SELECT vec_id, label, list_transform(embedding, lambda e: CAST(e AS DOUBLE)) AS e FROM embeddings)"
+_COS = "list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e)) / sqrt(list_inner_product(b.e, b.e))"
+_SIMS = f"{_V}, c AS (SELECT a.vec_id AS q_id, b.vec_id AS id, b.label, round({_COS}, 6) AS score FROM v a, v b WHERE a.vec_id % 100 = 0)"
+
+
+def _sims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosines of the query vectors with all vectors."""
+    e = table(spark, sf_dir, "embeddings")
+    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("qe"))
+    return e.join(F.broadcast(q)).select("q_id", F.col("vec_id").alias("id"), "label", F.round(cosine(F.col("qe"), F.col("embedding")), 6).alias("score"))
+
+
+@query("cosine_topk", f"WITH {_SIMS} SELECT q_id, id, score, CAST(row_number() OVER w AS INT) AS rank FROM c QUALIFY row_number() OVER w <= 10 WINDOW w AS (PARTITION BY q_id ORDER BY score DESC, id)".replace("QUALIFY row_number() OVER w <= 10 WINDOW w AS (PARTITION BY q_id ORDER BY score DESC, id)", "WINDOW w AS (PARTITION BY q_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 10"))
+def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    q = e.filter("id % 100 = 0").select(F.col("id").alias("q_id"), "embedding")
+    return rk.cosine_topk(q, e, 10).withColumn("score", F.round("score", 6))
+
+
+@query("l2_normalize", f"WITH {_V} SELECT vec_id, CAST(unnest(range(0, 64)) AS INT) AS k, round(unnest(list_transform(e, lambda x: x / sqrt(list_inner_product(e, e)))), 6) AS x FROM v")
+def l2_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(l2_normalize(F.col("embedding"))).alias("k", "x")).withColumn("x", F.round("x", 6))
+
+
+@query("group_max_cosine", f"WITH {_SIMS} SELECT q_id, label, max(score) AS max_sim, min(CASE WHEN score = m THEN id END) AS best_index FROM (SELECT *, max(score) OVER (PARTITION BY q_id, label) AS m FROM c) GROUP BY q_id, label")
+def group_max_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rk.group_max(_sims(spark, sf_dir).withColumnRenamed("id", "idx"), ["q_id", "label"])
+
+
+@query("embedding_gate", f"WITH {_SIMS}, g AS (SELECT q_id, label, round(median(score), 6) AS median_sim, max(score) AS max_sim FROM c GROUP BY ALL) SELECT *, CASE WHEN median_sim >= 0.93 THEN 'accept' WHEN max_sim < 0.55 THEN 'reject' ELSE 'ambiguous' END AS decision FROM g")
+def embedding_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rk.gate(_sims(spark, sf_dir), ["q_id", "label"], "score").withColumn("median_sim", F.round("median_sim", 6))
+
+
+#: Pools of candidates: lines of an order; every seventh pool is saturated.
+_POOLS = """SELECT user_id AS pool, event_id AS cand_idx, CASE WHEN event_id % 13 = 0 THEN NULL WHEN user_id % 7 = 0 THEN 0.9995e0 ELSE floor(value / 10) / 50e0 END AS score,
+  CAST(event_id % 101 AS DOUBLE) / 101e0 AS dino FROM {events}"""
+
+
+@query("rank_candidates", f"""
+WITH c AS ({_POOLS.format(events="events")}), r AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY score DESC NULLS LAST, cand_idx) AS r, count(score) OVER (PARTITION BY pool) AS n, max(score) OVER (PARTITION BY pool) AS hi, min(score) OVER (PARTITION BY pool) AS lo FROM c),
+t AS (SELECT *, max(CASE WHEN r = 1 THEN score END) OVER p AS s1, max(CASE WHEN r = 2 THEN score END) OVER p AS s2, max(CASE WHEN r = 1 THEN dino END) OVER p AS d1, max(CASE WHEN r = 2 THEN dino END) OVER p AS d2, row_number() OVER (PARTITION BY pool ORDER BY dino DESC NULLS LAST, r) AS rd,
+  coalesce(n >= 2 AND hi >= 0.999 AND hi - lo < 1e-4, false) AS degenerate FROM r WINDOW p AS (PARTITION BY pool)),
+u AS (SELECT *, coalesce(n >= 2 AND s1 - s2 < 0.05e0 AND d2 > d1, false) AS swap FROM t)
+SELECT pool, cand_idx, n, degenerate, CAST(CASE WHEN degenerate THEN rd WHEN swap AND r = 1 THEN 2 WHEN swap AND r = 2 THEN 1 ELSE r END AS INT) AS rank FROM u""")
+def rank_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = spark.sql(_POOLS.format(events="{e}"), e=table(spark, sf_dir, "events"))
+    return rk.rank_candidates(c, ["pool"]).select("pool", "cand_idx", "n", "degenerate", "rank")

@@ -13,7 +13,7 @@ from ..operators import scan as sc
 from ..plans.align import CANDIDATE, MAIN
 from ..plans.match import match
 from . import query
-from .base import FRAMES_SQL, POINTS_SQL, SCANS_SQL, frames, ham_sql, pair_sql, points, query_frames, table
+from .base import FRAMES_SQL, POINTS_SQL, SCANS_SQL, events, frames, ham_sql, pair_sql, points, query_frames, table
 
 
 def _round(df: DataFrame, *cols: str) -> DataFrame:
@@ -325,20 +325,24 @@ WITH e AS (SELECT user_id, epoch_us(ts) / 1e6 AS t FROM events), s AS (SELECT us
 n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t) AS n FROM s WHERE step > 0), l AS (SELECT user_id, list_sort(list(step)) AS x FROM n WHERE n <= 200 GROUP BY user_id)
 SELECT user_id, round(x[len(x) // 2 + 1], 5) AS duration FROM l""")
 def frame_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("user_id", (F.unix_micros("ts") / 1e6).alias("ts"))
+    e = events(spark, sf_dir).select("user_id", (F.unix_micros("ts") / 1e6).alias("ts"))
     return fr.frame_duration(e, "user_id").withColumn("duration", F.round("duration", 5))
 
 
-@query("rolling_mean_50", "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 6) AS rolling FROM events")
+@query("rolling_mean_50", "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 9) AS rolling FROM events")
 def rolling_mean_50(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(fr.rolling_mean(table(spark, sf_dir, "events"), "value", "user_id", ["ts", "event_id"]).select("event_id", "rolling"), "rolling")
+    got = fr.rolling_mean(table(spark, sf_dir, "events"), "value", "user_id", ["ts", "event_id"])
+    return got.select("event_id", F.round("rolling", 9).alias("rolling"))
 
 
 def _pipeline(spark: SparkSession, sf_dir: str, profile) -> DataFrame:
-    f = frames(spark, sf_dir)
-    movie = f.withColumn("si", F.col("fid")).withColumn("ts", F.col("fid") / F.lit(25.0))  # all frames, as one long video
-    found = match(f, movie, profile, min_similarity=60, min_consecutive=9, drift=3).segments
-    return found.select("match_id", "seg_id", "short_start", "short_end", "movie_start", "movie_end", F.round("confidence", 6).alias("confidence"), "frame_count", "is_approximate")
+    """Blocks of a hundred frames are shorts; all frames are the movie."""
+    f = frames(spark, sf_dir).withColumns({c: F.lit(None).cast("array<double>") for c in ("color", "skin", "detail")})  # unrelated colors would cut at each frame
+    movie = f.withColumn("si", F.col("fid")).withColumn("ts", F.col("fid") / F.lit(25.0))
+    short = f.withColumn("video_id", F.floor(F.col("fid") / 100).cast("long")).withColumn("si", F.col("fid") % 100).withColumn("ts", F.col("si") / F.lit(25.0))
+    found = match(short, movie, profile).segments
+    times = [F.round(c, 6).alias(c) for c in ("short_start", "short_end", "movie_start", "movie_end", "confidence", "speed_ratio")]
+    return found.select("match_id", "seg_id", *times, "frame_count", "gap_count", "is_approximate")
 
 
 @query("match_pipeline_main")

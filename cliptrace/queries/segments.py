@@ -1,0 +1,171 @@
+"""Queries over segments: interval algebra."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..operators import intervals as iv
+from . import query
+from .base import POINTS_SQL, SEGMENTS_SQL, fold_sql, points, segments
+
+_TIMES = ("short_start", "short_end", "movie_start", "movie_end")
+
+
+def _round(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in cols})
+
+
+@query("merge_adjacent", f"""
+WITH {SEGMENTS_SQL}, g AS (SELECT *, short_start - lag(short_end) OVER w AS sg, movie_start - lag(movie_end) OVER w AS mg FROM s WINDOW w AS (PARTITION BY match_id ORDER BY short_start, seg_id)),
+j AS (SELECT *, coalesce(sg BETWEEN -0.04e0 AND 0.52e0 AND mg >= -0.08e0 AND mg <= sg * 5 + 2.5e0, false) AS joins FROM g),
+i AS (SELECT *, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY match_id ORDER BY short_start, seg_id) AS island, row_number() OVER (PARTITION BY match_id ORDER BY short_start, seg_id) AS n FROM j)
+SELECT match_id, round(min(short_start), 6) AS short_start, round(arg_max(short_end, n), 6) AS short_end, round(arg_min(movie_start, n), 6) AS movie_start, round(arg_max(movie_end, n), 6) AS movie_end,
+  round(sum(confidence * frame_count) / sum(frame_count), 9) AS confidence, round(sum(speed_ratio * frame_count) / sum(frame_count), 9) AS speed_ratio, CAST(sum(frame_count) AS BIGINT) AS frame_count,
+  CAST(sum(gap_count) + coalesce(sum(CASE WHEN joins THEN floor(sg * 25 + 0.5e0) END), 0) AS BIGINT) AS gap_count, bool_or(is_approximate) AS is_approximate, count(*) AS merged
+FROM i GROUP BY match_id, island""")
+def merge_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = _round(iv.merge_adjacent(segments(spark, sf_dir)).drop("detail_seg_id"), *_TIMES)
+    return got.withColumns({c: F.round(c, 9) for c in ("confidence", "speed_ratio")})
+
+
+_CLASH = "least(k.short_end, o.short_end) - greatest(k.short_start, o.short_start) > 0.15e0"
+
+
+@query("overlap_dedup", fold_sql("s", "match_id", "confidence DESC, seg_id", ["seg_id", "short_start", "short_end", "confidence"], _CLASH, ctes=SEGMENTS_SQL))
+def overlap_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iv.overlap_dedup(segments(spark, sf_dir))
+
+
+@query("candidate_list", fold_sql("s", "match_id", "confidence DESC, seg_id", ["seg_id", "movie_start"], "abs(k.movie_start - o.movie_start) <= 0.5e0", 10, SEGMENTS_SQL))
+def candidate_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iv.near_dedup(segments(spark, sf_dir), ["match_id"], [-F.col("confidence"), F.col("seg_id")], ["seg_id", "movie_start"], limit=10)
+
+
+@query("broader_dedup", fold_sql("s", "match_id", "seg_id", ["seg_id", "movie_start"], "abs(k.movie_start - o.movie_start) <= 0.5e0", None, SEGMENTS_SQL))
+def broader_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iv.near_dedup(segments(spark, sf_dir), ["match_id"], [F.col("seg_id")], ["seg_id", "movie_start"])
+
+
+@query("alt_offset_dedup", fold_sql("(SELECT seq_id, mi - si AS \"offset\", max(sim) AS sim FROM p GROUP BY ALL)", "seq_id", 'sim DESC, "offset"', ["offset", "sim"], "abs(k.\"offset\" - o.\"offset\") < 50", 10, POINTS_SQL, ["x.\"offset\" AS \"offset\"", "x.sim AS sim"]).replace("o.offset", 'o."offset"'))
+def alt_offset_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = points(spark, sf_dir).groupBy("seq_id", (F.col("mi") - F.col("si")).alias("offset")).agg(F.max("sim").alias("sim"))
+    return iv.offset_dedup(rows, ["seq_id"])
+
+
+_PAIRS = "(SELECT seq_id, si AS ord, si / 25e0 AS short_time, mi / 25e0 AS movie_time, sim, CASE WHEN row_number() OVER (PARTITION BY seq_id ORDER BY si) - 1 = count(*) OVER (PARTITION BY seq_id) // 2 THEN 0 ELSE 1 END AS first FROM p)"
+
+
+@query("spaced_pairs", fold_sql(_PAIRS, "seq_id", "first, sim DESC, ord", ["ord", "short_time", "movie_time", "sim"], "abs(k.short_time - o.short_time) < 0.75e0", 3, POINTS_SQL))
+def spaced_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = points(spark, sf_dir).select("seq_id", F.col("si").alias("ord"), (F.col("si") / 25.0).alias("short_time"), (F.col("mi") / 25.0).alias("movie_time"), "sim")
+    return iv.spaced_pairs(p, ["seq_id"])
+
+
+@query("context_validate", f"""
+WITH RECURSIVE {SEGMENTS_SQL},
+o AS (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY match_id) AS n, lead(confidence) OVER w AS nc, lead(movie_start) OVER w AS nm FROM s WINDOW w AS (PARTITION BY match_id ORDER BY short_start, seg_id)),
+k AS (SELECT *, NOT is_approximate OR confidence >= 80 OR frame_count >= 20 OR n = 1 OR coalesce(nc >= 85 AND nm - movie_end BETWEEN -1 AND 10, false) AS ok FROM o),
+r AS (
+  SELECT match_id, rn, ok AS keep, CASE WHEN ok THEN confidence END AS pc, CASE WHEN ok THEN movie_end END AS pe FROM k WHERE rn = 1
+  UNION ALL
+  SELECT k.match_id, k.rn, k.ok OR coalesce(r.pc >= 85 AND k.movie_start - r.pe BETWEEN -1 AND 10, false),
+    CASE WHEN k.ok OR coalesce(r.pc >= 85 AND k.movie_start - r.pe BETWEEN -1 AND 10, false) THEN k.confidence ELSE r.pc END,
+    CASE WHEN k.ok OR coalesce(r.pc >= 85 AND k.movie_start - r.pe BETWEEN -1 AND 10, false) THEN k.movie_end ELSE r.pe END
+  FROM r JOIN k ON k.match_id = r.match_id AND k.rn = r.rn + 1)
+SELECT k.match_id, k.seg_id, k.short_start, k.movie_start, k.movie_end, k.confidence, k.frame_count, k.is_approximate FROM k JOIN r ON k.match_id = r.match_id AND k.rn = r.rn WHERE r.keep""")
+def context_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iv.context_validate(segments(spark, sf_dir))
+
+
+@query("unmatched_ranges", f"""
+WITH {SEGMENTS_SQL}, a AS (SELECT match_id AS video_id, CAST(floor(short_start / 0.48e0 + 0.5e0) AS BIGINT) AS si, kind FROM s),
+fr AS (SELECT DISTINCT video_id, si, si / 25e0 AS ts FROM a), u AS (SELECT DISTINCT video_id, si FROM a WHERE kind < 4),
+fx AS (SELECT * FROM fr ANTI JOIN u USING (video_id, si)), r AS (SELECT *, si - row_number() OVER (PARTITION BY video_id ORDER BY si) AS run FROM fx)
+SELECT video_id, min(ts) AS short_start, max(ts) AS short_end, count(*) AS frames FROM r GROUP BY video_id, run""")
+def unmatched_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = segments(spark, sf_dir).select(F.col("match_id").alias("video_id"), F.floor(F.col("short_start") / 0.48 + 0.5).alias("si"), "kind")
+    fr = a.select("video_id", "si", (F.col("si") / 25.0).alias("ts")).distinct()
+    return iv.unmatched_ranges(fr, a.filter("kind < 4").select("video_id", "si"))
+
+
+@query("used_frames", f"""
+WITH {SEGMENTS_SQL}, fr AS (SELECT match_id AS video_id, seg_id AS si, short_start AS ts FROM s), l AS (SELECT video_id, round(ts, 4) AS t, max(si) AS si FROM fr GROUP BY ALL)
+SELECT video_id, si FROM l SEMI JOIN (SELECT DISTINCT match_id AS video_id, round(short_start, 4) AS t FROM s WHERE kind < 3) x USING (video_id, t)""")
+def used_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = segments(spark, sf_dir).withColumnRenamed("match_id", "video_id").withColumn("ts", F.col("short_start"))
+    return iv.used_frames(s.select("video_id", F.col("seg_id").alias("si"), "ts"), s.filter("kind < 3").select("video_id", "ts"))
+
+
+@query("end_correction", f"WITH {SEGMENTS_SQL} SELECT match_id, seg_id, round(short_end + 0.04e0, 6) AS short_end, round(movie_end + 0.04e0, 6) AS movie_end FROM s")
+def end_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(iv.end_correction(segments(spark, sf_dir), 0.04, 0.04).select("match_id", "seg_id", "short_end", "movie_end"), "short_end", "movie_end")
+
+
+#: Ranges: the segments of one kind; excluded places: the starts of another.
+_RANGES = "rg AS (SELECT match_id, seg_id AS range_id, short_start AS r_start, short_end AS r_end, movie_start AS x_start FROM s WHERE kind = 0)"
+_POOL = "po AS (SELECT * FROM s WHERE kind > 0)"
+
+
+def _ranges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    s = segments(spark, sf_dir)
+    ranges = s.filter("kind = 0").select("match_id", F.col("seg_id").alias("range_id"), F.col("short_start").alias("r_start"), F.col("short_end").alias("r_end"), F.col("movie_start").alias("x_start"))
+    return ranges, s.filter("kind > 0")
+
+
+_ALTERNATES = f"""WITH {SEGMENTS_SQL}, {_RANGES}, {_POOL}
+SELECT po.match_id, range_id, seg_id, CAST(row_number() OVER (PARTITION BY po.match_id, range_id ORDER BY confidence DESC, seg_id) AS INT) AS rank FROM rg JOIN po USING (match_id)
+WHERE least(short_end, r_end) - greatest(short_start, r_start) > 0.15e0 AND NOT abs(movie_start - x_start) <= 0.5e0"""
+
+
+@query("alternates_for_range", _ALTERNATES)
+def alternates_for_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranges, pool = _ranges(spark, sf_dir)
+    return iv.alternates(pool, ranges.drop("x_start"), ranges).select("match_id", "range_id", "seg_id", "rank")
+
+
+@query("background_candidates", _ALTERNATES + " QUALIFY row_number() OVER (PARTITION BY po.match_id, range_id ORDER BY confidence DESC, seg_id) <= 10")
+def background_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranges, pool = _ranges(spark, sf_dir)
+    return iv.alternates(pool, ranges.drop("x_start"), ranges, most=10).select("match_id", "range_id", "seg_id", "rank")
+
+
+@query("range_lookup", f"""
+WITH {SEGMENTS_SQL}, {_RANGES}, {_POOL},
+c AS (SELECT po.match_id, range_id, seg_id, abs(short_start - r_start) <= 0.05e0 AND abs(short_end - r_end) <= 0.05e0 AS exact, least(short_end, r_end) - greatest(short_start, r_start) AS overlap FROM rg JOIN po USING (match_id))
+SELECT match_id, range_id, seg_id, exact, round(overlap, 6) AS overlap FROM c WHERE exact OR overlap > 0
+QUALIFY row_number() OVER (PARTITION BY match_id, range_id ORDER BY exact DESC, CASE WHEN exact THEN 0 ELSE -overlap END, seg_id) = 1""")
+def range_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranges, pool = _ranges(spark, sf_dir)
+    return _round(iv.range_lookup(ranges.drop("x_start"), pool), "overlap")
+
+
+@query("keep_best_dropped", f"""
+WITH {SEGMENTS_SQL}, st AS (SELECT match_id, match_id * 6 + kind AS set_id, min(short_start) AS r_start, min(short_start) + 0.6e0 AS r_end, max(seg_id) % 2 = 0 AS dropped FROM s GROUP BY match_id, kind),
+ca AS (SELECT match_id * 6 + kind AS set_id, seg_id AS cand_idx, CASE WHEN seg_id % 50 = 0 THEN 'accepted' ELSE 'rejected' END AS verdict, CASE WHEN seg_id % 5 > 0 THEN confidence END AS confidence_pct FROM s),
+fi AS (SELECT match_id, short_start, short_end FROM s WHERE seg_id % 11 = 0),
+lo AS (SELECT * FROM st WHERE dropped AND NOT EXISTS (SELECT 1 FROM fi WHERE fi.match_id = st.match_id AND least(short_end, r_end) - greatest(short_start, r_start) > 0.05e0) AND set_id NOT IN (SELECT set_id FROM ca WHERE verdict = 'accepted'))
+SELECT match_id, set_id, arg_max(cand_idx, coalesce(confidence_pct, -1) * 1e7 - cand_idx) AS cand_idx FROM ca JOIN lo USING (set_id) GROUP BY ALL""")
+def keep_best_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = segments(spark, sf_dir).withColumn("set_id", F.col("match_id") * 6 + F.col("kind"))
+    sets = s.groupBy("match_id", "set_id").agg(F.min("short_start").alias("r_start"), (F.min("short_start") + 0.6).alias("r_end"), (F.max("seg_id") % 2 == 0).alias("dropped"))
+    verdict = F.when(F.col("seg_id") % 50 == 0, "accepted").otherwise("rejected").alias("verdict")
+    candidates = s.select("set_id", F.col("seg_id").alias("cand_idx"), verdict, F.when(F.col("seg_id") % 5 > 0, F.col("confidence")).alias("confidence_pct"))
+    return iv.keep_best_dropped(candidates, sets, s.filter("seg_id % 11 = 0"))
+
+
+@query("candidate_adjust", f"""
+WITH {SEGMENTS_SQL}, a AS (SELECT match_id, seg_id, movie_start, movie_end, CASE WHEN seg_id % 2 = 0 THEN 'start' ELSE 'end' END AS edge, (seg_id % 9 - 4) * 0.3e0 AS delta FROM s),
+b AS (SELECT *, CASE WHEN edge = 'start' THEN greatest(0, movie_start + delta) ELSE movie_start END AS ns, CASE WHEN edge = 'end' THEN movie_end + delta ELSE movie_end END AS ne FROM a),
+c AS (SELECT *, abs(delta) <= 1 AND ne - ns >= 0.5e0 AS valid FROM b)
+SELECT match_id, seg_id, valid, round(CASE WHEN valid THEN ns ELSE movie_start END, 6) AS new_start, round(CASE WHEN valid THEN ne ELSE movie_end END, 6) AS new_end FROM c""")
+def candidate_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = segments(spark, sf_dir).withColumn("edge", F.when(F.col("seg_id") % 2 == 0, "start").otherwise("end")).withColumn("delta", (F.col("seg_id") % 9 - 4) * 0.3)
+    return _round(iv.adjust(s).select("match_id", "seg_id", "valid", "new_start", "new_end"), "new_start", "new_end")
+
+
+@query("segment_gaps", f"""
+WITH {SEGMENTS_SQL} SELECT match_id, seg_id, round(short_start - max(short_end) OVER (PARTITION BY match_id ORDER BY short_start, seg_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 6) AS gap FROM s""")
+def segment_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("match_id").orderBy("short_start", "seg_id").rowsBetween(Window.unboundedPreceding, -1)
+    return segments(spark, sf_dir).select("match_id", "seg_id", F.round(F.col("short_start") - F.max("short_end").over(w), 6).alias("gap"))

@@ -1,0 +1,173 @@
+"""Queries over verdicts, candidate sets, requests and scalar rules."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..operators import verification as ve
+from ..streaming.ingest import windowed_counts
+from . import query
+from .base import SEGMENTS_SQL, events, segments, table
+
+#: Candidates of sets: segments of a match and kind, with made-up verdicts.
+_CANDIDATES = """c AS (SELECT match_id * 6 + kind AS set_id, match_id, seg_id AS ord, movie_start, seg_id % 3 > 0 AS checked,
+  CASE WHEN seg_id % 10 = 0 THEN NULL ELSE seg_id % 4 = 0 END AS same, confidence AS confidence_pct,
+  CASE seg_id % 5 WHEN 0 THEN 'accepted' WHEN 1 THEN 'unverifiable' ELSE 'rejected' END AS verdict, CASE WHEN seg_id % 4 = 1 THEN confidence / 2 END AS match_likelihood FROM s)"""
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("seg_id")
+    return segments(spark, sf_dir).select(
+        (F.col("match_id") * 6 + F.col("kind")).alias("set_id"), "match_id", n.alias("ord"), "movie_start", (n % 3 > 0).alias("checked"),
+        F.when(n % 10 != 0, n % 4 == 0).alias("same"), F.col("confidence").alias("confidence_pct"),
+        F.when(n % 5 == 0, "accepted").when(n % 5 == 1, "unverifiable").otherwise("rejected").alias("verdict"),
+        F.when(n % 4 == 1, F.col("confidence") / 2).alias("match_likelihood"),
+    )
+
+
+@query("verify_loop", f"""
+WITH {SEGMENTS_SQL}, {_CANDIDATES}, t AS (SELECT set_id, row_number() OVER (PARTITION BY set_id ORDER BY ord) AS rank, same, confidence_pct FROM c),
+u AS (SELECT *, sum(CAST(same IS NOT NULL AS INT)) OVER (PARTITION BY set_id ORDER BY rank) AS n FROM t), k AS (SELECT * FROM u WHERE n <= 10),
+g AS (SELECT set_id, min(CASE WHEN same AND confidence_pct >= 80 THEN rank END) AS accepted_rank, max(n) AS most, min(CASE WHEN same AND confidence_pct >= 80 THEN n END) AS till FROM k GROUP BY set_id)
+SELECT set_id, CAST(coalesce(till, most) AS BIGINT) AS attempts, CAST(accepted_rank AS INT) AS accepted_rank, CASE WHEN accepted_rank IS NOT NULL THEN 'accepted' WHEN most = 0 THEN 'inconclusive' ELSE 'rejected' END AS outcome FROM g""")
+def verify_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    ranked = _candidates(spark, sf_dir).withColumn("rank", F.row_number().over(Window.partitionBy("set_id").orderBy("ord")))
+    return ve.verify(ranked, ["set_id"])
+
+
+@query("candidate_history", f"""
+WITH {SEGMENTS_SQL}, {_CANDIDATES}, e AS (SELECT * FROM c WHERE NOT checked QUALIFY row_number() OVER (PARTITION BY set_id ORDER BY ord) <= 10), b AS (SELECT * FROM c WHERE checked UNION ALL SELECT * FROM e),
+d AS (SELECT set_id, max(ord) % 4 = 0 AS dropped FROM c GROUP BY set_id)
+SELECT set_id, ord, checked, CAST(row_number() OVER (PARTITION BY set_id ORDER BY checked DESC, ord) - 1 AS INT) AS cand_idx,
+  CAST(CASE WHEN NOT dropped AND sum(CAST(checked AS INT)) OVER (PARTITION BY set_id) > 0 THEN sum(CAST(checked AS INT)) OVER (PARTITION BY set_id) - 1 END AS BIGINT) AS accepted_idx FROM b JOIN d USING (set_id)""")
+def candidate_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _candidates(spark, sf_dir)
+    sets = c.groupBy("set_id").agg((F.max("ord") % 4 == 0).alias("dropped"))
+    got = ve.candidate_history(c.filter("checked").drop("checked"), c.filter("NOT checked").drop("checked"), sets)
+    return got.select("set_id", "ord", "checked", "cand_idx", "accepted_idx")
+
+
+@query("deferred_worklist", f"""
+WITH {SEGMENTS_SQL}, {_CANDIDATES}, d AS (SELECT set_id, CASE WHEN max(ord) % 4 = 0 THEN NULL ELSE max(ord) % 4 = 1 END AS dropped FROM c GROUP BY set_id)
+SELECT set_id, ord, verdict FROM c WHERE (NOT checked OR verdict = 'unverifiable') AND set_id IN (SELECT set_id FROM d WHERE coalesce(dropped, true))""")
+def deferred_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _candidates(spark, sf_dir)
+    sets = c.groupBy("set_id").agg(F.when(F.max("ord") % 4 != 0, F.max("ord") % 4 == 1).alias("dropped"))
+    return ve.deferred_worklist(c, sets).select("set_id", "ord", "verdict")
+
+
+_SCORE = "coalesce(match_likelihood, CASE WHEN verdict = 'accepted' THEN confidence_pct ELSE 100 - confidence_pct END)"
+
+
+@query("best_effort_pick", f"WITH {SEGMENTS_SQL}, {_CANDIDATES}, x AS (SELECT set_id, ord, {_SCORE} AS sc FROM c) SELECT set_id, ord AS cand_idx, round(sc, 6) AS score FROM x QUALIFY row_number() OVER (PARTITION BY set_id ORDER BY sc DESC, ord) = 1")
+def best_effort_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ve.best_effort(_candidates(spark, sf_dir).withColumnRenamed("ord", "cand_idx")).withColumn("score", F.round("score", 6))
+
+
+@query("fresh_candidates", f"""
+WITH {SEGMENTS_SQL}, {_CANDIDATES}, n AS (SELECT * FROM c WHERE NOT checked AND NOT EXISTS (SELECT 1 FROM c h WHERE h.checked AND h.set_id = c.set_id AND abs(h.movie_start - c.movie_start) <= 0.5e0))
+SELECT set_id, ord, CAST(row_number() OVER (PARTITION BY set_id ORDER BY ord) AS INT) AS rank FROM n QUALIFY row_number() OVER (PARTITION BY set_id ORDER BY ord) <= 10""")
+def fresh_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _candidates(spark, sf_dir)
+    return ve.fresh(c.filter("NOT checked"), c.filter("checked")).select("set_id", "ord", "rank")
+
+
+@query("outcome_tallies", f"""
+WITH {SEGMENTS_SQL}, {_CANDIDATES}, o AS (SELECT match_id, verdict AS outcome, CASE WHEN ord % 2 = 0 THEN 'network' WHEN ord % 7 = 1 THEN NULL ELSE 'other' END AS reason, ord % 9 = 0 AS recovered FROM c)
+SELECT match_id, count_if(outcome = 'accepted') AS accepted, count_if(outcome = 'rejected') AS rejected, count_if(outcome = 'unverifiable' AND reason = 'network') AS inconclusive_network,
+  count_if(outcome = 'unverifiable' AND coalesce(reason <> 'network', true)) AS other_unverifiable, count_if(recovered) AS recovered_by_deferred, count_if(outcome <> 'accepted' AND NOT recovered) AS still_unmatched FROM o GROUP BY match_id""")
+def outcome_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("ord")
+    o = _candidates(spark, sf_dir).select("match_id", F.col("verdict").alias("outcome"), F.when(n % 2 == 0, "network").when(n % 7 == 1, None).otherwise("other").alias("reason"), (n % 9 == 0).alias("recovered"))
+    return ve.outcome_tallies(o, ["match_id"])
+
+
+@query("quota_window_60s", "SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW) AS in_window, count(*) OVER (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW) > 15 AS over_limit FROM events")
+def quota_window_60s(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ve.request_window(events(spark, sf_dir), "event_type").select("event_id", "in_window", "over_limit")
+
+
+# Pacific standard time holds over all of the table's January.
+@query("pacific_day_usage", "WITH g AS (SELECT event_type, CAST(ts - INTERVAL 8 HOUR AS DATE) AS day, count(*) AS used FROM events GROUP BY ALL) SELECT event_type, strftime(day, '%Y-%m-%d') AS day, used, greatest(0, 500 - used) AS remaining, used >= 500 AS exhausted FROM g")
+def pacific_day_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ve.daily_usage(events(spark, sf_dir), "event_type").withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
+@query("quota_status", """
+SELECT event_type, count_if(ts <= TIMESTAMP '2024-01-15 12:00:00' AND ts > TIMESTAMP '2024-01-15 11:59:00') AS minute_used, count_if(ts <= TIMESTAMP '2024-01-15 12:00:00' AND ts >= TIMESTAMP '2024-01-15 08:00:00') AS day_used,
+  greatest(0, 15 - count_if(ts <= TIMESTAMP '2024-01-15 12:00:00' AND ts > TIMESTAMP '2024-01-15 11:59:00')) AS minute_left, greatest(0, 500 - count_if(ts <= TIMESTAMP '2024-01-15 12:00:00' AND ts >= TIMESTAMP '2024-01-15 08:00:00')) AS day_left FROM events GROUP BY event_type""")
+def quota_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ve.quota_status(events(spark, sf_dir), "2024-01-15 12:00:00+00:00", "event_type")
+
+
+@query("windowed_counts", "SELECT strftime(time_bucket(INTERVAL 10 MINUTE, ts), '%Y-%m-%d %H:%M') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = windowed_counts(events(spark, sf_dir))
+    start = F.date_format(F.to_utc_timestamp("window_start", F.current_timezone()), "yyyy-MM-dd HH:mm")
+    return got.select(start.alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("match_likelihood", f"WITH {SEGMENTS_SQL}, {_CANDIDATES} SELECT set_id, ord, round(CASE WHEN same THEN confidence_pct ELSE 100 - confidence_pct END, 6) AS likelihood, round({_SCORE}, 6) AS score FROM c")
+def match_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    like = tx.match_likelihood(F.col("same"), F.col("confidence_pct"))
+    score = tx.fallback_score(F.col("match_likelihood"), F.col("verdict"), F.col("confidence_pct"))
+    return _candidates(spark, sf_dir).select("set_id", "ord", F.round(like, 6).alias("likelihood"), F.round(score, 6).alias("score"))
+
+
+@query("fps_tiers", f"""
+WITH {SEGMENTS_SQL}, d AS (SELECT seg_id, short_end - short_start AS a, (movie_end - movie_start) * 3 AS b FROM s)
+SELECT seg_id, CASE WHEN a < 0.5e0 THEN 7 WHEN a <= 2 THEN 3 ELSE 1 END AS fps, CASE WHEN least(a, b) < 0.5e0 THEN 7 WHEN least(a, b) <= 2 THEN 3 ELSE 1 END AS pair_fps FROM d""")
+def fps_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.col("short_end") - F.col("short_start"), (F.col("movie_end") - F.col("movie_start")) * 3
+    return segments(spark, sf_dir).select("seg_id", tx.sample_fps(a).alias("fps"), tx.sample_fps(F.least(a, b)).alias("pair_fps"))
+
+
+@query("retry_params", "SELECT p_partkey, greatest(20, 40 - 5 * (p_size % 7)) AS min_similarity, greatest(2, CASE WHEN p_size % 7 > 0 THEN 2 ELSE 3 END) AS min_frames, least(24, 8 + 4 * (p_size % 7)) AS frame_drift, least(6e0, 1.5e0 + 0.75e0 * (p_size % 7)) AS pad_seconds FROM part")
+def retry_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = tx.retry_params(F.col("p_size") % 7)
+    return table(spark, sf_dir, "part").select("p_partkey", *[c.alias(n) for n, c in got.items()])
+
+
+@query("cut_window", f"""
+WITH {SEGMENTS_SQL}, w AS (SELECT seg_id, short_start - 1e0 AS a, short_start - 1e0 + (short_end - short_start) * 80 - 20 AS b FROM s),
+v AS (SELECT seg_id, greatest(a, 0) AS f, greatest(b - greatest(a, 0), 0.04e0) AS n FROM w)
+SELECT seg_id, round(CASE WHEN n > 60 THEN f + (n - 60) / 2 ELSE f END, 6) AS cut_start, round(least(n, 60), 6) AS cut_seconds FROM v""")
+def cut_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = F.col("short_start") - 1.0
+    start, seconds = tx.cut_window(a, a + (F.col("short_end") - F.col("short_start")) * 80 - 20)
+    return segments(spark, sf_dir).select("seg_id", F.round(start, 6).alias("cut_start"), F.round(seconds, 6).alias("cut_seconds"))
+
+
+@query("backoff", "SELECT p_partkey, CASE least(p_size % 5, 2) WHEN 0 THEN 2000 WHEN 1 THEN 8000 ELSE 30000 END AS wait_ms FROM part")
+def backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", tx.backoff_ms(F.col("p_size") % 5).alias("wait_ms"))
+
+
+@query("daily_limit", "SELECT event_id, event_id % 3 = 0 OR event_id % 3 = 1 AS daily FROM events")
+def daily_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("event_id") % 3
+    message = F.when(n == 0, "GenerateRequestsPerDayPerProject").when(n == 1, "quota per Day exceeded").otherwise("too many requests per minute")
+    return events(spark, sf_dir).select("event_id", tx.is_daily_limit(message).alias("daily"))
+
+
+@query("clock", f"WITH {SEGMENTS_SQL} SELECT seg_id, printf('%02d:%02d.%02d', CAST(floor(short_end) AS INT) // 60, CAST(floor(short_end) AS INT) % 60, CAST(floor((short_end - floor(short_end)) * 100) AS INT)) AS clock FROM s")
+def clock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments(spark, sf_dir).select("seg_id", tx.clock(F.col("short_end")).alias("clock"))
+
+
+@query("confidence_tiers", f"WITH {SEGMENTS_SQL} SELECT seg_id, CASE WHEN confidence >= 80 THEN 'high' WHEN confidence >= 60 THEN 'medium' ELSE 'low' END AS tier, is_approximate FROM s")
+def confidence_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments(spark, sf_dir).select("seg_id", tx.confidence_tier(F.col("confidence")).alias("tier"), "is_approximate")
+
+
+@query("verdict_parse", """
+SELECT event_id, CASE WHEN event_id % 5 > 0 THEN event_id % 2 = 0 END AS same, CASE WHEN event_id % 5 > 0 THEN least(100e0, value) END AS confidence, CAST(CASE WHEN event_id % 5 > 0 THEN 1 END AS INT) AS lines FROM events""")
+def verdict_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, said = F.col("event_id"), F.to_json(F.struct((F.col("event_id") % 2 == 0).alias("same"), F.col("value").alias("confidence"), F.array(F.col("event_type"), F.lit(" ")).alias("evidence")))
+    answer = F.when(n % 5 == 0, F.concat(F.lit("no verdict: "), F.col("props"))).otherwise(F.concat(F.lit('first {"same": true, "confidence": 1} then ```json\n'), said, F.lit("\n``` done }")))
+    got = events(spark, sf_dir).withColumn("v", tx.parse_verdict(answer))
+    return got.select("event_id", "v.same", "v.confidence", F.when(F.col("v.same").isNotNull(), F.size("v.evidence")).alias("lines"))
