@@ -154,7 +154,9 @@ class _Chunks(dict):
             return
         owner = np.repeat(np.arange(len(self.new_counts)), self.new_counts)
         each = self.model.rows[np.array(self.new_rows, np.int64)] * np.array(self.new_weights)[:, None]
-        new = np.stack([np.bincount(owner, each[:, k], len(self.new_counts)) for k in range(self.rows.shape[1])], axis=1)
+        new = np.zeros((len(self.new_counts), self.rows.shape[1]))
+        for k in range(new.shape[1]):
+            new[:, k] = np.bincount(owner, each[:, k], len(new))
         self.rows = np.concatenate((self.rows, new))
         self.words = np.concatenate((self.words, np.array(self.new_words, np.int64)))
         self._clear()
