@@ -86,8 +86,8 @@ def align(short: DataFrame, movie: DataFrame, profile: Profile = MAIN, min_simil
         packed = Frames.from_rows([r.asDict(recursive=True) for r in features.orderBy("si").toLocalIterator()])
         sent = short.sparkSession.sparkContext.broadcast(packed)
         return joined.select(*columns).groupBy("video_id", "chunk_id").applyInPandas(lambda g: one(g, sent.value), _OUT)
-    salted = joined.select(*columns, F.pmod(F.xxhash64("video_id", "chunk_id"), F.lit(SALTS)).alias("salt"))
-    spread = features.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    salted = joined.select(*columns, F.pmod(F.xxhash64("video_id", "chunk_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    spread = features.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
     def many(chunks_of: pd.DataFrame, movie_rows: pd.DataFrame) -> pd.DataFrame:
         if not len(chunks_of) or not len(movie_rows):

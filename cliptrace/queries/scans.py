@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import image
-from ..functions.bits import bit_sim, js_round
+from ..functions.bits import bit_sim, hamming, js_round
 from ..functions.similarity import color_znorm, frame_sim, grid_sims, pair_sim, signature_sim, temporal_sim, with_signature
 from ..operators import frames as fr
 from ..operators import scan as sc
 from ..plans.align import CANDIDATE, MAIN
-from ..plans.match import match
+from ..plans.match import Match, match
+from ..sources.fingerprints import FRAME_JSON, pack
 from . import query
 from .base import FRAMES_SQL, POINTS_SQL, SCANS_SQL, events, frames, ham_sql, pair_sql, points, query_frames, table
 
@@ -335,24 +336,72 @@ def rolling_mean_50(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("event_id", F.round("rolling", 9).alias("rolling"))
 
 
-def _pipeline(spark: SparkSession, sf_dir: str, profile) -> DataFrame:
+def _pipeline(spark: SparkSession, sf_dir: str, profile) -> Match:
     """Blocks of a hundred frames are shorts; all frames are the movie."""
     f = frames(spark, sf_dir).withColumns({c: F.lit(None).cast("array<double>") for c in ("color", "skin", "detail")})  # unrelated colors would cut at each frame
     movie = f.withColumn("si", F.col("fid")).withColumn("ts", F.col("fid") / F.lit(25.0))
     short = f.withColumn("video_id", F.floor(F.col("fid") / 100).cast("long")).withColumn("si", F.col("fid") % 100).withColumn("ts", F.col("si") / F.lit(25.0))
-    found = match(short, movie, profile).segments
+    return match(short, movie, profile)
+
+
+def _found(found: DataFrame) -> DataFrame:
     times = [F.round(c, 6).alias(c) for c in ("short_start", "short_end", "movie_start", "movie_end", "confidence", "speed_ratio")]
     return found.select("match_id", "seg_id", *times, "frame_count", "gap_count", "is_approximate")
 
 
 @query("match_pipeline_main")
 def match_pipeline_main(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pipeline(spark, sf_dir, MAIN)
+    return _found(_pipeline(spark, sf_dir, MAIN).segments)
 
 
 @query("match_pipeline_candidate")
 def match_pipeline_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pipeline(spark, sf_dir, CANDIDATE)
+    return _found(_pipeline(spark, sf_dir, CANDIDATE).segments)
+
+
+@query("match_alternates")
+def match_alternates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(_pipeline(spark, sf_dir, MAIN).alternates)
+
+
+@query("match_unmatched")
+def match_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = frames(spark, sf_dir)  # with their colors, which no other frame shares
+    movie = f.filter("video_id < 5").withColumn("si", F.row_number().over(Window.orderBy("fid")).cast("long") - 1).withColumn("ts", F.col("si") / F.lit(25.0))
+    return match(f.filter("video_id >= 5"), movie, MAIN).unmatched
+
+
+@query("walk_full_coverage")
+def walk_full_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pool = _pipeline(spark, sf_dir, MAIN).alternates
+    return pool.select("match_id", "seg_id", F.explode("sequence").alias("x")).select("match_id", "seg_id", "x.si", "x.mi", F.round("x.similarity", 6).alias("sim"))
+
+
+@query("walk_bidirectional")
+def walk_bidirectional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _pipeline(spark, sf_dir, MAIN).segments.select("match_id", "short_start", "short_end", "movie_start", "movie_end")
+    return found.withColumn("covered", F.round(F.col("short_end") - F.col("short_start"), 6))
+
+
+@query("consensus_votes", f"""
+WITH {SCANS_SQL}, v AS (SELECT CAST(floor((mi - si) / 8e0 + 0.5e0) AS BIGINT) AS bucket, si, mi, round(sim, 6) AS sim FROM best QUALIFY row_number() OVER (PARTITION BY si ORDER BY round(sim, 6) DESC, mi) <= 10),
+g AS (SELECT bucket, count(*) AS votes, sum(sim) AS s FROM v GROUP BY bucket)
+SELECT bucket, votes, round(s, 4) AS sim_sum, CAST(row_number() OVER (ORDER BY votes DESC, round(s, 6) DESC, bucket) AS INT) AS rank FROM g QUALIFY row_number() OVER (ORDER BY votes DESC, round(s, 6) DESC, bucket) <= 20""")
+def consensus_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = sc.top_k(_scan(spark, sf_dir, sc.best_cross), 10)
+    votes = sc.offset_votes(top.withColumn("probe_set", F.lit(0)), ["probe_set"])
+    return votes.select("bucket", "votes", F.round("sim_sum", 4).alias("sim_sum"), "rank")
+
+
+@query("ndjson_frames", f"WITH {FRAMES_SQL} SELECT fid, CAST(len(variants) AS INT) AS variants, {ham_sql('variants[1].a', 'variants[1].fa')} AS distance FROM f")
+def ndjson_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames written as JSON lines, parsed and packed again."""
+    text = lambda words: F.array_join(F.transform(words, lambda w: F.reverse(F.lpad(F.bin(w), 32, "0"))), "")
+    one = lambda v: F.struct(v["name"].alias("key"), F.struct(text(v["a"]).alias("hash"), text(v["d"]).alias("dhash"), text(v["fa"]).alias("fhash"), text(v["fd"]).alias("fdhash"), text(v["p"]).alias("phash")).alias("value"))
+    rows = frames(spark, sf_dir).select("fid", F.to_json(F.struct((F.col("fid") + 1).cast("int").alias("frameIndex"), F.col("ts").alias("timestamp"), F.map_from_entries(F.transform("variants", one)).alias("variants"))).alias("line"))
+    parsed = rows.select(F.lit("v").alias("video_id"), F.from_json("line", FRAME_JSON).alias("j")).select("video_id", "j.*")
+    full = _full(F.col("variants"))
+    return pack(parsed).select(F.col("si").alias("fid"), F.size("variants").alias("variants"), hamming(full["a"], full["fa"]).alias("distance"))
 
 
 @query("crop_labels", """
