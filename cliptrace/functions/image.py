@@ -208,3 +208,9 @@ def test_pixels(frames: DataFrame, width: int, height: int, frame: str = "frame"
         "g": low((y * (f + 1) * 67 + x * 41).bitwiseXOR(f * 29)),
         "b": low((x * y * 7 + f * 113).bitwiseXOR(F.lit(128))),
     })
+
+
+def assemble(hashed: DataFrame, key: list[str], name: str = "name") -> DataFrame:
+    """One row a frame: a map from variant to its hashes."""
+    hashes = F.struct("hash", "dhash", "fhash", "fdhash", "phash")
+    return hashed.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(name).alias("key"), hashes.alias("value"))))).alias("variants"))

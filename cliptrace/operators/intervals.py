@@ -188,3 +188,13 @@ def adjust(candidates: DataFrame, edge: str = "edge", delta: str = "delta") -> D
     ok = step.isNotNull() & (end - start >= 0.5)
     ok = F.coalesce(ok, F.lit(False))
     return candidates.withColumns({"valid": ok, "new_start": F.when(ok, start).otherwise(F.col("movie_start")), "new_end": F.when(ok, end).otherwise(F.col("movie_end"))})
+
+
+def select_candidate(segments: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Segments with the chosen candidate (match_id, seg_id, and new times and
+    confidence) put in the place of the active one; ``swapped`` says where."""
+    fields = ["short_start", "short_end", "movie_start", "movie_end", "confidence"]
+    new = chosen.select("match_id", "seg_id", *[F.col(c).alias(f"_{c}") for c in fields], F.lit(True).alias("_new"))
+    got = segments.join(new, ["match_id", "seg_id"], "left")
+    got = got.withColumns({c: F.coalesce(f"_{c}", c) for c in fields}).withColumn("swapped", F.coalesce("_new", F.lit(False)))
+    return got.drop("_new", *[f"_{c}" for c in fields])

@@ -39,24 +39,28 @@ def best_cross(short: Column, movie: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(short, one)), F.lit(0.0))
 
 
-def scan(short: DataFrame, movie: DataFrame, score: Callable[[Column, Column], Column] = fast_cross, bytes_per_row: int = 4096) -> DataFrame:
-    """(si, mi, sim) of every short frame with every movie frame.
+def against(small: DataFrame, large: DataFrame, row_bytes: int = 4096) -> DataFrame:
+    """Every row of ``large`` with every row of ``small``: a stated set of
+    queries against all rows.
 
-    The short side is broadcast if its measured rows fit ``BROADCAST_BYTES``;
-    beyond that it is searched for in as many slices, so that no join without
-    a key ever deals out the movie.
+    The queries are broadcast in slices whose measured size fits
+    ``BROADCAST_BYTES``; the large side is never shuffled.
     """
-    short = short.select(F.col("fid").alias("si"), F.col("variants").alias("_s"))
-    movie = movie.select(F.col("fid").alias("mi"), F.col("variants").alias("_m"))
-    slices = max(1, -(-short.count() * bytes_per_row // BROADCAST_BYTES))
+    slices = max(1, -(-small.count() * row_bytes // BROADCAST_BYTES))
     out = None
     for k in range(slices):
-        part = short if slices == 1 else short.filter(F.pmod(F.xxhash64("si"), F.lit(slices)) == k)
-        got = movie.join(F.broadcast(part)).select("si", "mi", score(F.col("_s"), F.col("_m")).alias("sim"))
+        part = small if slices == 1 else small.filter(F.pmod(F.xxhash64(small.columns[0]), F.lit(slices)) == k)
+        got = large.join(F.broadcast(part))
         out = got if out is None else out.unionByName(got)
     return out
 
 
+def scan(short: DataFrame, movie: DataFrame, score: Callable[[Column, Column], Column] = fast_cross) -> DataFrame:
+    """(si, mi, sim) of every short frame with every movie frame."""
+    both = against(short.select(F.col("fid").alias("si"), F.col("variants").alias("_s")), movie.select(F.col("fid").alias("mi"), F.col("variants").alias("_m")))
+    return both.select("si", "mi", score(F.col("_s"), F.col("_m")).alias("sim"))
+
+
 def top_k(scored: DataFrame, k: int, key: str = "si", item: str = "mi", sim: str = "sim") -> DataFrame:
     """The ``k`` most similar items of each key with their rank; the first
     item wins a tie."""
@@ -112,7 +116,7 @@ def speed_sweep(probes: DataFrame, scored: DataFrame, movie_len: int, mid: int,
     slopes = F.explode(F.array(*[F.lit(s) for s in SLOPES])).alias("slope")
     anchors = probes.sparkSession.range(0, movie_len, anchor_step).withColumnRenamed("id", "anchor").select("anchor", slopes)
     n_probes = probes.count()
-    grid = anchors.join(F.broadcast(probes.select("si"))).withColumn("mi", js_round(F.col("anchor") + F.col("slope") * (F.col("si") - mid)))
+    grid = against(probes.select("si"), anchors, 16).withColumn("mi", js_round(F.col("anchor") + F.col("slope") * (F.col("si") - mid)))
     got = grid.filter((F.col("mi") >= 0) & (F.col("mi") < movie_len)).join(scored, ["si", "mi"]).groupBy("slope", "anchor").agg(F.count("*").alias("n"), F.avg("sim").alias("score"))
     return got.filter(F.col("n") >= max(2, n_probes // 2))
 
@@ -128,7 +132,7 @@ def nearest(rows: DataFrame, targets: DataFrame, at: str = "ts", target: str = "
     """The row of each key whose ``at`` is closest to a target; the earlier
     row wins a tie."""
     key = key or []
-    joined = rows.join(F.broadcast(targets), key) if key else rows.join(F.broadcast(targets))
+    joined = rows.join(targets, key) if key else against(targets, rows, 64)
     others = [c for c in rows.columns if c not in key]
     pick = F.min_by(F.struct(*others), F.struct(F.abs(F.col(at) - F.col(target)), F.col(at))).alias("p")
     return joined.groupBy(*key, target).agg(pick).select(*key, target, *[F.col(f"p.{c}").alias(c) for c in others])

@@ -87,10 +87,18 @@ def outcome_tallies(outcomes: DataFrame, key: list[str]) -> DataFrame:
 
 def request_window(requests: DataFrame, key: str = "model", at: str = "ts", seconds: int = 60, limit: int = RPM) -> DataFrame:
     """Add ``in_window``: requests of the same key less than ``seconds`` ago,
-    this one included, and ``over_limit``."""
+    this one included, and ``over_limit``.
+
+    Requests are dealt out by key and time slot, each to its own slot and the
+    next, so that one busy key is spread over all tasks.
+    """
+    width = seconds * 1_000_000
     micros = F.unix_micros(at)
-    w = Window.partitionBy(key).orderBy(micros).rangeBetween(-(seconds * 1_000_000 - 1), 0)
-    return requests.withColumn("in_window", F.count("*").over(w)).withColumn("over_limit", F.col("in_window") > limit)
+    slot = F.floor(micros / F.lit(width)).cast("long")
+    dealt = requests.select("*", slot.alias("_own"), F.explode(F.array(slot, slot + 1)).alias("_slot"))
+    w = Window.partitionBy(key, "_slot").orderBy(micros).rangeBetween(1 - width, 0)
+    counted = dealt.withColumn("in_window", F.count("*").over(w)).filter("_own = _slot").drop("_own", "_slot")
+    return counted.withColumn("over_limit", F.col("in_window") > limit)
 
 
 def daily_usage(requests: DataFrame, key: str = "model", at: str = "ts", zone: str = "America/Los_Angeles", limit: int = RPD) -> DataFrame:
@@ -108,3 +116,9 @@ def quota_status(requests: DataFrame, now: str, key: str = "model", at: str = "t
     got = requests.groupBy(key).agg(F.count_if((age >= 0) & (age < 60_000_000)).alias("minute_used"), F.count_if(today & (age >= 0)).alias("day_used"))
     left = lambda c, n: F.greatest(F.lit(0).cast("long"), n - F.col(c))
     return got.withColumns({"minute_left": left("minute_used", rpm), "day_left": left("day_used", rpd)})
+
+
+def deferred_pass(candidates: DataFrame, sets: DataFrame, attempts: int = MAX_ATTEMPTS) -> DataFrame:
+    """The verification loop over what was put off, per set in stored order."""
+    w = Window.partitionBy("set_id").orderBy("ord")
+    return verify(deferred_worklist(candidates, sets).withColumn("rank", F.row_number().over(w)), ["set_id"], attempts)

@@ -23,7 +23,7 @@ from ..operators import intervals as iv
 from .align import MAIN, Aligner, Frames, Profile
 
 #: Bytes of packed movie features that may be broadcast.
-BROADCAST_BYTES = 512 << 20
+BROADCAST_BYTES = 256 << 20
 #: Groups that the chunks of a short are dealt out over if a movie is larger.
 SALTS = 64
 _FEATURES = ["si", "ts", "variants", "color", "skin", "detail"]

@@ -149,3 +149,10 @@ def subtitle_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = rows.groupBy("frame").agg(F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "px"))), lambda p: p["px"]), "")).alias("rgb"))
     sized = whole.withColumns({"w": F.lit(16), "h": F.lit(16)})
     return image.remove_subtitles(sized).select("frame", "has_subtitles")
+
+
+@query("fingerprint_assembly", f"WITH {_HASHED} SELECT grid_id // 2 AS frame, CAST(count(*) AS INT) AS variants, max({_bits(256, 'x[i + 1] >= mean')}) AS top FROM bm GROUP BY grid_id // 2")
+def fingerprint_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = image.hash_features(_grids(spark, sf_dir)).withColumn("frame", F.floor(F.col("grid_id") / 2)).withColumn("name", F.when(F.col("grid_id") % 2 == 0, "full").otherwise("zoom_2_0_center"))
+    got = image.assemble(named, ["frame"])
+    return got.select("frame", F.size("variants").alias("variants"), F.array_max(F.transform(F.map_values("variants"), lambda v: v["hash"])).alias("top"))

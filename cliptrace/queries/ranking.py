@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import cosine, l2_normalize
 from ..operators import ranking as rk
+from ..operators.scan import against
 from . import query
 from .base import table
 
@@ -19,7 +20,7 @@ def _sims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cosines of the query vectors with all vectors."""
     e = table(spark, sf_dir, "embeddings")
     q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("qe"))
-    return e.join(F.broadcast(q)).select("q_id", F.col("vec_id").alias("id"), "label", F.round(cosine(F.col("qe"), F.col("embedding")), 6).alias("score"))
+    return against(q, e, 1024).select("q_id", F.col("vec_id").alias("id"), "label", F.round(cosine(F.col("qe"), F.col("embedding")), 6).alias("score"))
 
 
 @query("cosine_topk", f"WITH {_SIMS} SELECT q_id, id, score, CAST(row_number() OVER w AS INT) AS rank FROM c QUALIFY row_number() OVER w <= 10 WINDOW w AS (PARTITION BY q_id ORDER BY score DESC, id)".replace("QUALIFY row_number() OVER w <= 10 WINDOW w AS (PARTITION BY q_id ORDER BY score DESC, id)", "WINDOW w AS (PARTITION BY q_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 10"))

@@ -26,8 +26,7 @@ def _crossed(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
     f = fr.motion(frames(spark, sf_dir)) if "t_mag" in cols else frames(spark, sf_dir)
     f = with_signature(f) if "z" in cols else f
     pick = lambda lead, i: [F.col("fid").alias(i), *[F.col(c).alias(f"{lead}_{c}") for c in cols]]
-    q = query_frames(f).select(*pick("s", "si"))  # a hundredth of the frames, in slices if it were large
-    return f.select(*pick("m", "mi")).join(F.broadcast(q))
+    return sc.against(query_frames(f).select(*pick("s", "si")), f.select(*pick("m", "mi")))
 
 
 _full = lambda c: F.get(c, F.lit(0))

@@ -169,3 +169,12 @@ WITH {SEGMENTS_SQL} SELECT match_id, seg_id, round(short_start - max(short_end)
 def segment_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("match_id").orderBy("short_start", "seg_id").rowsBetween(Window.unboundedPreceding, -1)
     return segments(spark, sf_dir).select("match_id", "seg_id", F.round(F.col("short_start") - F.max("short_end").over(w), 6).alias("gap"))
+
+
+@query("candidate_select", f"""
+WITH {SEGMENTS_SQL}, ch AS (SELECT match_id, seg_id - 1 AS seg_id, movie_start AS ms, confidence AS c FROM s WHERE kind = 1)
+SELECT match_id, seg_id, coalesce(ms, movie_start) AS movie_start, coalesce(c, confidence) AS confidence, ch.c IS NOT NULL AS swapped FROM s LEFT JOIN ch USING (match_id, seg_id)""")
+def candidate_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = segments(spark, sf_dir)
+    got = iv.select_candidate(s, s.filter("kind = 1").withColumn("seg_id", F.col("seg_id") - 1))
+    return got.select("match_id", "seg_id", "movie_start", "confidence", "swapped")

@@ -171,3 +171,15 @@ def verdict_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     answer = F.when(n % 5 == 0, F.concat(F.lit("no verdict: "), F.col("props"))).otherwise(F.concat(F.lit('first {"same": true, "confidence": 1} then ```json\n'), said, F.lit("\n``` done }")))
     got = events(spark, sf_dir).withColumn("v", tx.parse_verdict(answer))
     return got.select("event_id", "v.same", "v.confidence", F.when(F.col("v.same").isNotNull(), F.size("v.evidence")).alias("lines"))
+
+
+@query("deferred_pass", f"""
+WITH {SEGMENTS_SQL}, {_CANDIDATES}, d AS (SELECT set_id, max(ord) % 3 > 0 AS dropped FROM c GROUP BY set_id),
+wl AS (SELECT * FROM c WHERE (NOT checked OR verdict = 'unverifiable') AND set_id IN (SELECT set_id FROM d WHERE dropped)),
+t AS (SELECT set_id, row_number() OVER (PARTITION BY set_id ORDER BY ord) AS rank, same, confidence_pct FROM wl),
+u AS (SELECT *, sum(CAST(same IS NOT NULL AS INT)) OVER (PARTITION BY set_id ORDER BY rank) AS n FROM t), k AS (SELECT * FROM u WHERE n <= 10)
+SELECT set_id, CAST(coalesce(min(CASE WHEN same AND confidence_pct >= 80 THEN n END), max(n)) AS BIGINT) AS attempts, CAST(min(CASE WHEN same AND confidence_pct >= 80 THEN rank END) AS INT) AS accepted_rank,
+  CASE WHEN count_if(same AND confidence_pct >= 80) > 0 THEN 'accepted' WHEN max(n) = 0 THEN 'inconclusive' ELSE 'rejected' END AS outcome FROM k GROUP BY set_id""")
+def deferred_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _candidates(spark, sf_dir)
+    return ve.deferred_pass(c, c.groupBy("set_id").agg((F.max("ord") % 3 > 0).alias("dropped")))

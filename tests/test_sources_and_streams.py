@@ -139,3 +139,18 @@ def test_subtitles_against_brute_force(spark):
 )
 def test_verdicts(answer, want):
     assert _verdict(answer) == want
+
+
+def test_pacer_limits_a_minute_and_a_day(spark, tmp_path):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        rows = [("m", k, f"2024-01-15 12:00:{k:02d}") for k in range(6)] + [("m", 6, "2024-01-15 12:01:02"), ("n", 7, "2024-01-15 12:00:00")]
+        df = spark.createDataFrame(rows, "model string, request_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+        df.coalesce(1).write.parquet(str(tmp_path / "r"))
+        q = si.pace(spark.readStream.schema(df.schema).parquet(str(tmp_path / "r")), rpm=3, rpd=4).writeStream.format("memory").queryName("pace").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        got = {r["request_id"]: r["granted"] for r in spark.table("pace").collect()}
+    finally:
+        spark.conf.unset(key)
+    assert got == {0: True, 1: True, 2: True, 3: False, 4: False, 5: False, 6: True, 7: True}
