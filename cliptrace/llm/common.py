@@ -6,6 +6,7 @@ import ctypes
 import gc
 import math
 import tempfile
+import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -38,11 +39,26 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` as a table in the shared folder, and its path.
+
+    The rows are computed once, a lost executor costs no recomputation of what
+    lies before, and the table's size is known to the planner.
+    """
+    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it from there: a
-    lost executor then costs no recomputation of what lies before."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` cut off from its lineage by a table in the shared folder."""
+    return written(df)[0]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table of ``written`` that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def broadcast_bytes(spark: SparkSession, value: object, size: int, limit: int, what: str):

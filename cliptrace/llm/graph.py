@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, remove, written
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -18,21 +18,25 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     before they are shuffled, and a hub's neighbours are spread by adaptive
     skew joins; every round is cut off from its lineage.
     """
-    now = cut(edges.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    spark = edges.sparkSession
+    clean = edges.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    now, at = written(clean.distinct())
     before = None
     for _ in range(most_rounds):
         # Large star: with both directions of all edges, larger neighbours of a
         # node are tied to the least of the node and its neighbours.
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(cut(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = cut(large.filter("a <> b"))
+        least, least_at = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large, large_at = written(large.filter("a <> b").distinct())
         # Small star: neighbours no larger than a node are tied to its least.
-        least = cut(large.groupBy("a").agg(F.min("b").alias("m")))
-        tied = large.join(least, "a")
-        small = tied.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = cut(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        low, low_at = written(large.groupBy("a").agg(F.min("b").alias("m")))
+        small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        old = at
+        now, at = written(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        for path in (old, least_at, large_at, low_at):
+            remove(spark, path)
         if state == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         before = state

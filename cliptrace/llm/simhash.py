@@ -83,10 +83,14 @@ def pivots(n: int = PIVOTS, seed: int = 7) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 2**64, n, np.uint64)
 
 
+#: Unrelated fingerprints that share a group, at most, before groups get finer.
+GROUP_ROWS = 512
+
+
 def block_choices(rows: int, bits: int = 4) -> list[int]:
     """Masks of the blocks that a group shares, for so many fingerprints."""
     free = 1
-    while free < 3 and 64 * free / (bits + free) < np.log2(max(rows, 2)) - 5:
+    while free < 3 and 64 * free / (bits + free) < np.log2(max(rows, 2) / GROUP_ROWS):
         free += 1
     edges = np.linspace(0, 64, bits + free + 1).round().astype(int)
     blocks = [((1 << int(b - a)) - 1) << int(a) for a, b in zip(edges[:-1], edges[1:], strict=True)]
@@ -171,10 +175,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bi
     ``component_id`` is the smallest key that links of up to ``bits`` differing
     bits reach, the row's own included.
     """
-    printed = cut(with_fingerprint(docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text")), "_text", "fp", width, seed).select("_key", "fp"))
+    printed = with_fingerprint(docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text")), "_text", "fp", width, seed)
+    return classes(cut(printed.select("_key", "fp")), bits).select(F.col("_key").alias(key), as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def classes(printed: DataFrame, bits: int = 4) -> DataFrame:
+    """Add ``component_id`` to rows (_key, fp) of a written table."""
     prints = cut(printed.groupBy("fp").agg(F.min("_key").alias("rep")).filter("rep IS NOT NULL"))
     found = components(links(prints, bits))
-    classes = cut(prints.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id")))
-    return printed.join(classes, "fp", "left").select(
-        F.col("_key").alias(key), as_hex(F.col("fp")).alias("fingerprint"), F.when(F.col("_key").isNotNull(), F.col("component_id")).alias("component_id")
-    )
+    ids = cut(prints.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("_component")))
+    joined = printed.join(ids, "fp", "left")
+    return joined.withColumn("component_id", F.when(F.col("_key").isNotNull(), F.col("_component"))).drop("_component")
