@@ -293,6 +293,8 @@ def offset_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
         return words.select(key, F.posexplode(F.transform(places, lambda i: F.array_join(F.slice("t", i, 5), " "))).alias(at, "g"))
 
     docs, items = shingles(table(spark, sf_dir, "documents"), "doc_id", "mi"), shingles(table(spark, sf_dir, "benchmark"), "item_id", "si")
+    if items.count() * 128 <= sc.BROADCAST_BYTES:  # else both sides are shuffled by shingle
+        items = F.broadcast(items)
     pairs = docs.join(items, "g").select("doc_id", "item_id", F.col("si").cast("long").alias("si"), F.col("mi").cast("long").alias("mi"), F.lit(1.0).alias("sim"))
     return sc.offset_votes(pairs, ["doc_id", "item_id"]).select("doc_id", "item_id", "bucket", "votes", "offset", "rank")
 
