@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cliptrace.llm import bpe, decontam, langid, quality, simhash
-from cliptrace.llm.common import documents, fresh, shared_dir
+from cliptrace.llm.common import cut, documents, fresh, remove, shared_dir
 from cliptrace.llm.queries import GOOD, digests, language_model, quality_model
 
 #: Documents whose language has at least this posterior stay.
@@ -41,13 +41,13 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the
     smallest id, and of several such rows the first."""
-    row = fresh(docs, "_row")
-    # The rows come from files, whose scan numbers them alike each time.
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    groups = simhash.near_duplicates(numbered, key=row).join(numbered.select(row, F.col("doc_id").alias("_id")), row)
-    first = F.min(F.struct(F.col("_id").isNull(), "_id", F.col(row).alias("at")))
+    row, fp = fresh(docs, "_row"), fresh(docs, "_fp")
+    # Rows are numbered in a written table: the numbers never change.
+    numbered = cut(simhash.with_fingerprint(docs, out=fp).withColumn(row, F.monotonically_increasing_id()))
+    groups = simhash.classes(numbered.select(F.col(row).alias("_key"), F.col(fp).alias("fp"), F.col("doc_id").alias("_id")))
+    first = F.min(F.struct(F.col("_id").isNull(), "_id", F.col("_key").alias("at")))
     kept = groups.groupBy("component_id").agg(first.alias("first")).select(F.col("first.at").alias(row))
-    return numbered.join(kept, row, "left_semi").drop(row)
+    return numbered.join(kept, row, "left_semi").drop(row, fp)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -84,6 +84,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
         docs = spark.read.parquet(f"{base}/{k}")
         if k:
-            done = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{k - 1}")
-            done.getFileSystem(spark._jsc.hadoopConfiguration()).delete(done, True)
+            remove(spark, f"{base}/{k - 1}")
     return docs
