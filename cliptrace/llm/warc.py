@@ -13,7 +13,6 @@ characters of a url are percent-encoded in headers.
 from __future__ import annotations
 
 import hashlib
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -22,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, shared_dir
+from .common import cut
 
 #: Pages a file holds at most; bounds what a reading task has in memory.
 PAGES_PER_FILE = 4_000
@@ -58,6 +57,35 @@ def _record(headers: list[tuple[str, Column | str]], block: Column) -> Column:
     return F.concat(F.lit("WARC/1.1" + _CRLF), *[F.coalesce(x, F.lit("")) for x in lines], F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit(_CRLF * 2)), block, F.lit(_CRLF + "\r"))
 
 
+def _copies(pages: DataFrame, key: str, url: str, payload: str) -> tuple[DataFrame, DataFrame]:
+    """The rows to write (key, url, body, bytes, digest, copy), and the first
+    page (digest, first_key, first_url, shared) of each payload that is shared.
+
+    Nothing depends on how rows are dealt out, so that a task that is run again
+    decides alike.  Rows that are the same in all columns are told apart by
+    ``copy``; only copy 0 of a long payload keeps its body.
+    """
+    body = F.coalesce(F.col(payload), F.lit(""))
+    rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), body.alias("body"))
+    rows = rows.withColumns({"bytes": F.octet_length("body"), "digest": F.unhex(F.sha2("body", 256))})
+    groups = cut(rows.groupBy("digest", "key", "url", "bytes").agg(F.count("*").alias("n")))
+    first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", F.col("url").isNull().alias("bare"), "url")).alias("first")
+    shared = groups.filter(F.col("bytes") >= REVISIT_BYTES).groupBy("digest").agg(first, F.sum("n").alias("shared")).filter("shared > 1")
+    shared = cut(shared.select("digest", F.col("first.key").alias("first_key"), F.col("first.url").alias("first_url"), "shared"))
+    repeated = groups.filter("n > 1")
+    if repeated.isEmpty():
+        return rows.withColumn("copy", F.lit(0)), shared
+    repeated = cut(repeated)
+    r = repeated.select(F.col("digest").alias("_d"), F.col("key").alias("_k"), F.col("url").alias("_u"))
+    alike = (F.col("digest") == F.col("_d")) & F.col("key").eqNullSafe(F.col("_k")) & F.col("url").eqNullSafe(F.col("_u"))
+    once = rows.join(r, alike, "left_anti").withColumn("copy", F.lit(0))
+    bodies = rows.join(r, alike, "left_semi").groupBy("digest", "key", "url", "bytes").agg(F.first("body").alias("body"), F.count("*").alias("n"))
+    long = F.col("bytes") >= REVISIT_BYTES
+    firsts = bodies.select("key", "url", "body", "bytes", "digest", F.explode(F.when(long, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), (F.col("n") - 1).cast("int")))).alias("copy"))
+    others = repeated.filter(long).select("key", "url", F.lit("").alias("body"), "bytes", "digest", F.explode(F.sequence(F.lit(1), (F.col("n") - 1).cast("int"))).alias("copy"))
+    return once.unionByName(firsts).unionByName(others), shared
+
+
 def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html") -> None:
     """Write ``pages`` as gzipped WARC files below ``path``.
 
@@ -65,31 +93,25 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", p
     with the smallest key is a response; the others are revisits that refer to
     it and repeat no payload.
     """
-    spark = pages.sparkSession
-    body = F.coalesce(F.col(payload), F.lit(""))
-    # Numbered by the scan, so that repeated keys stay apart and a task that
-    # is run again gives the same numbers.
-    rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), body.alias("body"), F.monotonically_increasing_id().alias("row"))
-    rows = rows.withColumns({"bytes": F.octet_length("body"), "digest": F.unhex(F.sha2("body", 256))})
-    firsts = f"{shared_dir(spark)}/warc-firsts-{uuid.uuid4().hex}"
-    first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "row")).alias("first")
-    (rows.filter(F.col("bytes") >= REVISIT_BYTES).groupBy("digest").agg(first, F.count("*").alias("n")).filter("n > 1")
-        .select("digest", F.col("first.key").alias("first_key"), F.col("first.row").alias("first_row")).write.parquet(firsts))
-    rows = rows.join(spark.read.parquet(firsts), "digest", "left")
-    again = F.col("first_row").isNotNull() & (F.col("first_row") != F.col("row"))
-    me, hexed = _urn(F.lit("response"), F.col("key"), F.col("row")), F.lower(F.hex("digest"))
+    rows, first_of = _copies(pages, key, url, payload)
+    rows = rows.join(first_of, "digest", "left")
+    is_first = F.col("key").eqNullSafe(F.col("first_key")) & F.col("url").eqNullSafe(F.col("first_url")) & (F.col("copy") == 0)
+    again = F.col("shared").isNotNull() & ~is_first
+    mine = lambda kind: _urn(F.lit(kind), F.col("key"), F.col("url"), hexed, F.col("copy"))
+    hexed = F.lower(F.hex("digest"))
+    me = mine("response")
     target = F.regexp_replace(F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A"), r"\p{Cntrl}", "%00")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{_CRLF}Content-Type: text/html; charset=utf-8{_CRLF}Content-Length: "), F.col("bytes").cast("string"), F.lit(_CRLF * 2))
     common = lambda kind, rid: [("WARC-Type", kind), ("WARC-Record-ID", rid), ("WARC-Date", _DATE), ("WARC-Target-URI", target)]
     digest = ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), hexed))
     with_me = ("WARC-Concurrent-To", me)
-    request = _record([*common("request", _urn(F.lit("request"), F.col("key"), F.col("row"))), with_me, ("Content-Type", "application/http; msgtype=request")],
+    request = _record([*common("request", mine("request")), with_me, ("Content-Type", "application/http; msgtype=request")],
                       F.concat(F.lit("GET "), F.coalesce(target, F.lit("/")), F.lit(f" HTTP/1.1{_CRLF * 2}")))
     http_type = ("Content-Type", "application/http; msgtype=response")
     response = _record([*common("response", me), digest, http_type], F.concat(http, F.col("body")))
     revisit = _record([*common("revisit", me), digest, http_type, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
-                       ("WARC-Refers-To", _urn(F.lit("response"), F.col("first_key"), F.col("first_row")))], http)
-    metadata = _record([*common("metadata", _urn(F.lit("metadata"), F.col("key"), F.col("row"))), with_me, ("Content-Type", "application/warc-fields")],
+                       ("WARC-Refers-To", _urn(F.lit("response"), F.col("first_key"), F.col("first_url"), hexed, F.lit(0)))], http)
+    metadata = _record([*common("metadata", mine("metadata")), with_me, ("Content-Type", "application/warc-fields")],
                        F.concat(F.lit("key: "), F.coalesce(F.col("key").cast("string"), F.lit("")), F.lit(_CRLF)))
     line = F.concat(request, F.lit("\n"), F.when(again, revisit).otherwise(response), F.lit("\n"), metadata)
     # Each row closes with the writer's own line end, the last byte of its last record.
