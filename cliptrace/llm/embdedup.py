@@ -46,21 +46,21 @@ def tables_for(vectors: int, threshold: float, recall: float = RECALL) -> tuple[
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - same)))
 
 
-def _blob(vectors: DataFrame, column: str) -> DataFrame:
-    """Add ``vec``: the doubles of a valid vector, else null."""
+def _blob(vectors: DataFrame, column: str, kind: type) -> DataFrame:
+    """Add ``vec``: the numbers of a valid vector as they are stored, else null."""
 
     @F.pandas_udf(T.BinaryType())
     def of(col: pd.Series) -> pd.Series:
         out: list[bytes | None] = []
         for x in col:
             v = None if x is None else np.asarray(x, np.float64)  # null components become nan
-            out.append(v.tobytes() if v is not None and v.ndim == 1 and len(v) and np.isfinite(v).all() and v.any() else None)
+            out.append(v.astype(kind).tobytes() if v is not None and v.ndim == 1 and len(v) and np.isfinite(v).all() and v.any() else None)
         return pd.Series(out, dtype=object)
 
     return vectors.withColumn("vec", of(F.col(column)))
 
 
-def _compare(part: pa.Table, threshold: float, tables: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _compare(part: pa.Table, threshold: float, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Linked rows (i, j) of each unit, each pair in its first table only, and
     all pairs' weights are left to the caller."""
     ids = group_ids(part, ["t", "k", "dim", "p", "q"])
@@ -73,7 +73,7 @@ def _compare(part: pa.Table, threshold: float, tables: int) -> tuple[np.ndarray,
     for a, n in zip(first, size, strict=True):
         if n < 2:
             continue
-        v = fixed(pa.table({"vec": raw.slice(a, n)}), "vec", np.float64)
+        v = fixed(pa.table({"vec": raw.slice(a, n)}), "vec", kind).astype(np.float64)
         v = v / np.abs(v).max(axis=1, keepdims=True)  # no overflow of squares
         v = v / np.linalg.norm(v, axis=1, keepdims=True)
         for lo in range(0, n, 512):
@@ -101,7 +101,10 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", column: str = "embe
     ``component_id`` is the smallest key that links reach, the row's own
     included, and ``kept`` marks the row that stands for its component.
     """
-    rows = cut(_blob(vectors.select(F.col(key).cast("long").alias("_key"), F.col(column).alias("_v")), "_v").select("_key", "vec", F.unhex(F.sha2("vec", 256)).alias("same")))
+    # Floats are moved as floats and compared as doubles.
+    kind = np.float32 if isinstance(vectors.schema[column].dataType.elementType, T.FloatType) else np.float64
+    width = np.dtype(kind).itemsize
+    rows = cut(_blob(vectors.select(F.col(key).cast("long").alias("_key"), F.col(column).alias("_v")), "_v", kind).select("_key", "vec", F.unhex(F.sha2("vec", 256)).alias("same")))
     distinct = rows.filter("vec IS NOT NULL AND _key IS NOT NULL").groupBy("same").agg(F.min("_key").alias("rep"), F.count("*").alias("w"), F.first("vec").alias("vec"))
     distinct = cut(distinct)
     bits, tables = tables_for(distinct.count(), threshold, recall)
@@ -110,7 +113,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", column: str = "embe
     def sign(vec: pd.Series) -> pd.Series:
         planes: dict[int, np.ndarray] = {}
         out = np.empty(len(vec), object)
-        dims = vec.map(len).to_numpy() // 8
+        dims = vec.map(len).to_numpy() // width
         weight = (1 << np.arange(bits)).astype(np.int64)
         for d in np.unique(dims):
             if d not in planes:
@@ -118,7 +121,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", column: str = "embe
             at = np.flatnonzero(dims == d)
             for lo in range(0, len(at), 2048):
                 some = at[lo : lo + 2048]
-                v = np.frombuffer(b"".join(vec.iloc[some]), np.float64).reshape(len(some), -1)
+                v = np.frombuffer(b"".join(vec.iloc[some]), kind).reshape(len(some), -1).astype(np.float64)
                 v = v / np.abs(v).max(axis=1, keepdims=True)
                 keys = ((v @ planes[d] >= 0).reshape(len(some), tables, bits) @ weight).astype(np.int32)
                 out[some] = [r.tobytes() for r in keys]
@@ -129,13 +132,13 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", column: str = "embe
         return sig.map(lambda b: np.frombuffer(b, np.int32))
 
     signed = cut(distinct.select("rep", "w", "vec", sign("vec").alias("sig")))
-    dealt = signed.select("rep", "w", "vec", "sig", (F.octet_length("vec") / 8).cast("int").alias("dim"), F.posexplode(keys_of("sig")).alias("t", "k"))
+    dealt = signed.select("rep", "w", "vec", "sig", (F.octet_length("vec") / width).cast("int").alias("dim"), F.posexplode(keys_of("sig")).alias("t", "k"))
     units = split_groups(dealt, ["t", "k", "dim"], UNIT_ROWS, "rep")
     unit = ["t", "k", "dim", "p", "q"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in whole_groups(batches, unit, 8_000):
-            i, j, _ = _compare(part, threshold, tables)
+            i, j, _ = _compare(part, threshold, kind)
             if not len(i):
                 continue
             rep, at = np.unique(part["rep"].to_numpy(), return_inverse=True)
