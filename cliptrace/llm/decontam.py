@@ -10,6 +10,12 @@ A window is left out before embedding only if too few of its word pairs occur in
 any item: ``k`` edits destroy at most ``2 k`` of an item's pairs, so that this
 loses nothing.
 
+Embeddings drift apart with the number of edits, so that sampling finds less the
+longer an item is.  Items of each length are therefore tried out with as many
+substitutions, insertions or deletions as are allowed; where sampling misses the
+target ``recall`` with any of them, every window that shares enough word pairs
+with one item is verified instead, which loses nothing.
+
 An item is found where an edit distance of at most ``(1 - similarity)`` of its
 words remains.  Items of fewer than ``min_words`` words (2 at
 least) are not searched for.
@@ -39,6 +45,10 @@ MAX_ITEM_BYTES = 32 << 20
 CACHE_ENTRIES = 400_000
 #: Words of text whose windows are made at a time.
 SLICE_WORDS = 1 << 19
+#: Edited items of each kind of edit that sampling is tried on, for each length.
+TRIALS = 500
+#: Pairs of a word pair in a text and an item with it that are looked at together.
+SHARED_PAIRS = 1 << 20
 _NOT_WORD = re.compile(r"[\W_]+")
 
 MATCH = T.ArrayType(T.StructType([
@@ -66,12 +76,13 @@ class Group:
     ids: list[list[int]]  # the item ids of each distinct item
     places: np.ndarray | None = None  # walk x table x sampled place
     tables: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # sorted keys, items
+    holders: tuple[np.ndarray, np.ndarray] | None = None  # where the items of each pair begin, items; only without sampling
 
 
 class Searcher:
     """Finds passages close to items in batches of texts."""
 
-    def __init__(self, items: list[tuple[int, str]], similarity: float, min_words: int, walks: int, tables: int, bits: int, seed: int):
+    def __init__(self, items: list[tuple[int, str]], similarity: float, min_words: int, walks: int, tables: int, bits: int, seed: int, recall: float = 0.99):
         self.similarity, self.tables, self.bits = similarity, tables, bits
         self.vocabulary: dict[str, int] = {}
         by_text: dict[tuple[int, ...], list[int]] = defaultdict(list)
@@ -98,12 +109,49 @@ class Searcher:
         for size, found in sorted(by_size.items()):
             g = Group(size, int((1 - similarity) * size + 1e-9), np.array(found, np.int64), [by_text[w] for w in found])
             g.places = np.stack([[rng.integers(0, 2 * size, bits) for _ in range(tables)] for _ in range(walks)])
-            for keys in self.keys(g, g.words):
-                order = np.argsort(keys, kind="stable")
-                g.tables.append((keys[order], order))
+            own = list(self.keys(g, g.words))
+            if self.reaches(g, own, recall, seed):
+                for keys in own:
+                    order = np.argsort(keys, kind="stable")
+                    g.tables.append((keys[order], order))
+            else:
+                at = np.searchsorted(self.pairs, g.words[:, :-1] * n + g.words[:, 1:])
+                held = np.unique(at * len(g.words) + np.arange(len(g.words))[:, None])
+                pair, item = np.divmod(held, len(g.words))
+                g.holders = np.searchsorted(pair, np.arange(len(self.pairs) + 1)), item
             self.groups.append(g)
         self.known = _Words(self.vocabulary)
 
+    def reaches(self, group: Group, own: list[np.ndarray], recall: float, seed: int) -> bool:
+        """Whether sampling finds items with as many edits as are allowed.
+
+        Only the window where the edited item begins is looked at, and half of
+        the misses that ``recall`` allows are taken for chance.
+        """
+        if recall >= 1:
+            return False
+        size, k, n = group.size, group.edits, TRIALS
+        rng = np.random.default_rng((seed, size))
+        for kind in ("delete", "insert", "substitute"):
+            item = rng.integers(0, len(group.words), n)
+            place = np.argsort(rng.random((n, size)), axis=1)[:, :k]
+            w, other = group.words[item], rng.integers(0, self.width, (n, k))
+            if kind == "substitute":
+                np.put_along_axis(w, place, other, axis=1)
+            elif kind == "delete":  # the text goes on with other words
+                gone = np.zeros((n, size), bool)
+                np.put_along_axis(gone, place, True, axis=1)
+                w = np.hstack((np.take_along_axis(w, np.argsort(gone, axis=1, kind="stable"), axis=1)[:, : size - k], other))
+            else:
+                order = np.hstack((np.tile(np.arange(size), (n, 1)), place - 0.5))
+                w = np.take_along_axis(np.hstack((w, other)), np.argsort(order, axis=1, kind="stable"), axis=1)[:, :size]
+            met = np.zeros(n, bool)
+            for mine, keys in zip(own, self.keys(group, w), strict=True):
+                met |= mine[item] == keys
+            if (~met).sum() > (1 - recall) * n / 2:
+                return False
+        return True
+
     def walk(self, group: Group, windows: np.ndarray, w: int) -> np.ndarray:
         """CGK embedding: window x step; 0 after the window's end.  A step reads
         on with probability 1/2, so that 2 x size steps read a window through."""
@@ -127,11 +175,12 @@ class Searcher:
                     k ^= k >> np.uint64(29)
                 yield k
 
-    def candidates(self, seq: np.ndarray, pairs_at: np.ndarray, begins: np.ndarray, ends: np.ndarray, group: Group) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of windows, and items, that share a key of some table.
+    def candidates(self, seq: np.ndarray, pairs_at: np.ndarray, kinds: np.ndarray, begins: np.ndarray, ends: np.ndarray, group: Group) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of windows, and items, that share a key of some table, or
+        enough pairs where no tables are.
 
-        ``pairs_at``: where word pairs of the group's items stand.  ``begins``
-        and ``ends``: where the text of a word begins and ends.
+        ``pairs_at``: where word pairs of the group's items stand, ``kinds``:
+        which.  ``begins`` and ``ends``: where the text of a word begins and ends.
         """
         size, k = group.size, group.edits
         least = max(size - 1 - 2 * k, 1)  # pairs that k edits leave
@@ -139,7 +188,10 @@ class Searcher:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         first = pairs_at[: len(pairs_at) - least + 1]
         last = pairs_at[least - 1 :]
-        dense = first[(last - first <= size + k - 2) & (begins[first] == begins[last])]
+        near = (last - first <= size + k - 2) & (begins[first] == begins[last])
+        if group.holders is not None:
+            return self.sharing(pairs_at, kinds, np.flatnonzero(near), begins, group, least)
+        dense = first[near]
         # The first pair that is left stands at most 2 k words after the start.
         some = np.unique((dense[:, None] - np.arange(2 * k + 1)).ravel())
         some = some[some >= 0]
@@ -164,6 +216,41 @@ class Searcher:
         _, one = np.unique(np.stack((begins[start], item, start // (k + 1))), axis=1, return_index=True)
         return start[one], item[one]
 
+    def sharing(self, pairs_at: np.ndarray, kinds: np.ndarray, dense: np.ndarray, begins: np.ndarray, group: Group, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where at least ``least`` pairs of one item begin to stand close
+        enough together, and the item.
+
+        ``dense``: numbers of the pairs with which that many of any items do.
+        """
+        k, reach = group.edits, group.size + group.edits - 2
+        change = np.zeros(len(pairs_at) + 1, np.int64)
+        change[dense] += 1
+        np.subtract.at(change, np.searchsorted(pairs_at, pairs_at[dense] + reach, side="right"), 1)
+        inside = np.cumsum(change[:-1]) > 0
+        pairs_at, kinds = pairs_at[inside], kinds[inside]
+        begin, holders = group.holders
+        often = begin[kinds + 1] - begin[kinds]
+        total = np.cumsum(often)
+        rows, which = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        lo = 0
+        while lo < len(pairs_at):
+            upto = max(lo + 1, int(np.searchsorted(total, total[lo] - often[lo] + SHARED_PAIRS, side="right")))
+            hi = int(np.searchsorted(pairs_at, pairs_at[upto - 1] + reach, side="right"))
+            n = often[lo:hi]
+            item = holders[np.repeat(begin[kinds[lo:hi]] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            order = np.argsort(item, kind="stable")
+            item, at = item[order], np.repeat(pairs_at[lo:hi], n)[order]
+            m = max(len(at) - least + 1, 0)
+            a, b = at[:m], at[least - 1 :]
+            ok = (item[:m] == item[least - 1 :]) & (b - a <= reach) & (b >= a) & (begins[a] == begins[b]) & (a <= pairs_at[upto - 1])
+            rows.append(a[ok])
+            which.append(item[:m][ok])
+            lo = upto
+        start, item = np.concatenate(rows), np.concatenate(which)
+        # Of pairs close together the first stands for all: its window holds theirs.
+        _, one = np.unique(np.stack((begins[start], item, start // (k + 1))), axis=1, return_index=True)
+        return start[one], item[one]
+
     def verify(self, seq: np.ndarray, begins: np.ndarray, ends: np.ndarray, group: Group, start: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Least edit distance of each item to any span near its windows, and
         the span (first word, word after the last).
@@ -216,7 +303,8 @@ class Searcher:
         hit = self.pairs[at] == key if len(self.pairs) else np.zeros(len(key), bool)
         pairs_at, kind = both[hit], at[hit]
         for n, group in enumerate(self.groups):
-            start, item = self.candidates(seq, pairs_at[self.member[n, kind]], begins, ends, group)
+            own = self.member[n, kind]
+            start, item = self.candidates(seq, pairs_at[own], kind[own], begins, ends, group)
             best: dict[tuple[int, int], tuple[int, int, int]] = {}
             for a in range(0, len(start), 2_048):
                 s, i = start[a : a + 2_048], item[a : a + 2_048]
@@ -284,16 +372,17 @@ def _searching(sent):
 
 
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", out: str = "matches",
-         similarity: float = 0.8, min_words: int = 5, walks: int = 4, tables: int = 8, bits: int = 3, seed: int = 3) -> DataFrame:
+         similarity: float = 0.8, min_words: int = 5, walks: int = 4, tables: int = 8, bits: int = 3, seed: int = 3, recall: float = 0.99) -> DataFrame:
     """Add ``out``: an array of the items found in each text, each with the
     edit distance in words and the closest passage (word numbers).
 
-    A column of that name is replaced.
+    ``recall`` is the share of passages with as many edits as are allowed that
+    are to be found; 1 samples nothing and finds all of them.  A column of that name is replaced.
     """
     found = docs
     parts = []
     for n, items in enumerate(_slices(benchmark, item_key, item_text, MAX_ITEM_BYTES)):
-        sent = docs.sparkSession.sparkContext.broadcast((items, similarity, min_words, walks, tables, bits, seed))  # bounded by MAX_ITEM_BYTES
+        sent = docs.sparkSession.sparkContext.broadcast((items, similarity, min_words, walks, tables, bits, seed, recall))  # bounded by MAX_ITEM_BYTES
 
         parts.append(f"_matches{n}")
         found = found.withColumn(parts[-1], _searching(sent)(F.col(text)))

@@ -159,6 +159,53 @@ def test_decontamination_recall_and_exactness():
     assert searcher.search([" ".join(f"z{k}" for k in range(500)), None, "", " , ; "]) == [[], [], [], []]
 
 
+def edited(rng, words, k, kind, other):
+    """``words`` with exactly ``k`` edits of one kind."""
+    w = list(words)
+    if kind == "insert":
+        for p in sorted((rng.randrange(1, len(w)) for _ in range(k)), reverse=True):
+            w.insert(p, other())
+        return w
+    for p in sorted(rng.sample(range(len(w)), k), reverse=True):
+        w[p : p + 1] = [other()] if kind == "substitute" else []
+    return w
+
+
+@pytest.mark.parametrize("size", [15, 25, 40, 59, 120])
+def test_decontamination_recall_at_all_allowed_edits(size):
+    rng = random.Random(size)
+    bench = [(k, " ".join(f"w{x}" for x in rng.sample(range(5_000), size))) for k in range(12)]
+    for recall in (0.99, 1.0):
+        searcher = decontam.Searcher(bench, 0.8, 5, 4, 8, 3, 3, recall)
+        for kind in ("substitute", "insert", "delete"):
+            texts = []
+            for i in range(240):
+                pad = [f"w{rng.randrange(5_000)}" for _ in range(60)]
+                w = edited(rng, bench[i % 12][1].split(), size // 5, kind, lambda: f"w{rng.randrange(5_000)}")
+                texts.append(" ".join(pad[:30] + w + pad[30:]))
+            found = sum(i % 12 in {m[0] for m in f} for i, f in enumerate(searcher.search(texts)))
+            assert found >= recall * len(texts), (kind, found)
+
+
+def test_decontamination_without_sampling_finds_what_brute_force_does(monkeypatch):
+    monkeypatch.setattr(decontam, "SHARED_PAIRS", 50)  # many small parts
+    vocab, _ = items()
+    rng = random.Random(2)
+    bench = [(k, " ".join(rng.choice(vocab[:9]) for _ in range(rng.choice([6, 10, 11])))) for k in range(12)]
+    texts = [" ".join(rng.choice(vocab[:9]) for _ in range(30)) for _ in range(60)]
+    texts += [" ".join(edited(rng, bench[i % 12][1].split(), 1, "delete", None)) for i in range(24)]
+    found = decontam.Searcher(bench, 0.8, 5, 4, 8, 3, 3, 1.0).search(texts)
+    want = set()
+    for i, t in enumerate(texts):
+        w = t.split()
+        for k, b in bench:
+            b, most = b.split(), int(0.2 * len(b.split()))
+            spans = (w[a : a + n] for n in range(len(b) - most, len(b) + most + 1) for a in range(max(len(w) - n + 1, 0)))
+            if any(edit(b, x) <= most for x in spans):
+                want.add((i, k))
+    assert want and {(i, m[0]) for i, f in enumerate(found) for m in f} == want
+
+
 def test_decontamination_odd_rows(spark, monkeypatch):
     vocab, bench = items()
     df = spark.createDataFrame([(1, None, 1), (2, "", 1), (3, bench[0][1], 1), (3, bench[0][1], 1), (4, "x " * 20_000 + bench[1][1], 1)], "doc_id long, text string, matches int")
