@@ -1,0 +1,162 @@
+"""Near-duplicates by the Jaccard similarity of their word shingles.
+
+Texts with the same set of shingles are one.  Sets that agree on a band of
+minimum hashes become candidates; each candidate pair is verified on the whole
+sets of 64-bit shingle hashes.  Links become components.
+
+A pair at the least similarity ``s`` agrees on one band of ``r`` minima with
+probability ``s ** r``; the number of bands follows from the share of such pairs
+that is to be found.  More similar pairs are missed less.
+
+Null and empty texts have the empty set and are duplicates of each other only.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+from itertools import repeat
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import cut, only
+from .graph import components, split_groups
+from .pairs import group_ids, whole_groups
+
+#: Minimum hashes that a band joins.
+BAND_ROWS = 4
+#: Rows of a group that are compared in one unit.
+UNIT_ROWS = 1_024
+#: Pairs of a unit that are handed on at a time.
+PAIRS_AT_ONCE = 1 << 20
+
+
+def shingles(text: str | None, width: int = 5, seed: int = 42) -> np.ndarray:
+    """The distinct hashes of a text's shingles, in order.
+
+    A-Z are lower-cased; words are runs of other bytes than white space of
+    ASCII; shingles are ``width`` words, all of them if there are fewer.
+    """
+    words = text.encode().lower().split() if text else []
+    if not words:
+        return np.empty(0, np.uint64)
+    n = max(len(words) - width + 1, 1)
+    runs = map(b" ".join, zip(*(words[i : i + n] for i in range(width)), strict=True)) if len(words) >= width else iter([b" ".join(words)])
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(seed)), np.uint64, n))
+
+
+def bands_for(similarity: float, recall: float) -> int:
+    """Bands so that ``recall`` of the pairs at ``similarity`` share one."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - similarity**BAND_ROWS)) if similarity < 1 else 1
+
+
+def _multipliers(bands: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(seed)
+    return tuple(rng.integers(0, 2**64, (bands, BAND_ROWS), np.uint64) | np.uint64(1) for _ in range(2))
+
+
+def band_keys(found: np.ndarray, by: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The key of each band of a set that is not empty."""
+    each, mix = by
+    least = np.full(each.size, 2**64 - 1, np.uint64)
+    with np.errstate(over="ignore"):
+        for lo in range(0, len(found), 4_096):
+            np.minimum(least, (found[lo : lo + 4_096, None] * each.ravel()).min(axis=0), out=least)
+        key = (least.reshape(each.shape) * mix).sum(axis=1, dtype=np.uint64)
+        return key ^ (key >> np.uint64(29))
+
+
+def with_signature(docs: DataFrame, text: str = "text", out: str = "sig", width: int = 5, similarity: float = 0.8, recall: float = 0.99999) -> DataFrame:
+    """Add (same, size, bands): what tells sets apart, the number of distinct
+    shingles, the keys of the bands."""
+    by = _multipliers(bands_for(similarity, recall))
+    kind = T.StructType([T.StructField("same", T.BinaryType()), T.StructField("size", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+
+    @F.pandas_udf(kind)
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        only("shingles", lambda: None)  # what other stages left here goes
+        for batch in batches:
+            rows = []
+            for t in batch.tolist():
+                found = shingles(t, width)
+                rows.append((xxhash.xxh3_128_digest(found.tobytes()), len(found), band_keys(found, by).view(np.int64) if len(found) else []))
+            yield pd.DataFrame(rows, columns=["same", "size", "bands"]).astype({"size": "int32"})
+
+    return docs.withColumn(out, of(F.col(text)))
+
+
+def _pairs(table: pa.Table, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of rows of one group whose sizes allow the similarity; rows of a
+    group are in order of size."""
+    ids = group_ids(table, ["k", "p", "q"])
+    rep, size, mine = (table[c].to_numpy() for c in ("rep", "size", "mine"))
+    cross = table["p"].to_numpy() != table["q"].to_numpy()
+    step = np.int64(1) << 32
+    upto = np.searchsorted(ids * step + size, ids * step + np.floor(size / similarity + 1e-9).astype(np.int64), side="right")
+    count = upto - np.arange(1, len(ids) + 1)
+    total = np.cumsum(count)
+    lo = 0
+    while lo < len(ids):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] - count[lo] + PAIRS_AT_ONCE, side="right")))
+        n = count[lo:hi]
+        i = np.repeat(np.arange(lo, hi), n)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + i + 1
+        ok = ~cross[i] | (mine[i] != mine[j])
+        i, j = rep[i[ok]], rep[j[ok]]
+        if len(i):
+            both = np.unique(np.stack((np.minimum(i, j), np.maximum(i, j))), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+        lo = hi
+
+
+def links(texts: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Pairs (a, b) of texts that are at least so similar.
+
+    ``texts`` is a written table (rep, text, size, bands) with one row for each
+    set of shingles.
+    """
+    rows = texts.select("rep", "size", F.explode("bands").alias("k"))
+    shared = rows.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k")
+    units = split_groups(cut(rows.join(shared, "k", "left_semi")), ["k"], UNIT_ROWS, "rep")
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in whole_groups(batches, ["k", "p", "q"]):
+            yield from _pairs(part, similarity)
+
+    dealt = units.repartition("k", "p", "q").sortWithinPartitions("k", "p", "q", "size")
+    pairs = cut(dealt.select("k", "p", "q", "mine", "rep", "size").mapInArrow(pair, "a long, b long").distinct())
+
+    @F.pandas_udf(T.BinaryType())
+    def hashes(text: pd.Series) -> pd.Series:
+        return pd.Series([shingles(t, width).tobytes() for t in text.tolist()], dtype=object)
+
+    @F.pandas_udf(T.BooleanType())
+    def similar(x: pd.Series, y: pd.Series) -> pd.Series:
+        out = []
+        for a, b in zip(x.tolist(), y.tolist(), strict=True):
+            a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            out.append(both >= similarity * (len(a) + len(b) - both) - 1e-9)
+        return pd.Series(out, dtype=bool)
+
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    sets = cut(texts.select("rep", "text").join(needed, "rep", "left_semi").select("rep", hashes("text").alias("set")))
+    x, y = sets.select(F.col("rep").alias("a"), F.col("set").alias("_x")), sets.select(F.col("rep").alias("b"), F.col("set").alias("_y"))
+    return pairs.join(x, "a").join(y, "b").filter(similar("_x", "_y")).select("a", "b")
+
+
+def classes(signed: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Add ``component_id`` to rows (_key, text, sig) of a written table whose
+    keys are distinct: the smallest key that links reach."""
+    slim = signed.select("_key", F.col("sig.same").alias("same"))
+    one = cut(slim.groupBy("same").agg(F.min("_key").alias("rep")))
+    texts = signed.select(F.col("_key").alias("rep"), "text", F.col("sig.size").alias("size"), F.col("sig.bands").alias("bands"))
+    found = components(links(texts.join(one.select("rep"), "rep", "left_semi"), width, similarity))
+    ids = cut(one.join(found, F.col("rep") == F.col("node"), "left").select("same", F.coalesce("component", "rep").alias("component_id")))
+    return signed.withColumn("_same", F.col("sig.same")).join(ids, F.col("_same") == F.col("same")).drop("_same", "same")

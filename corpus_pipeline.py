@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cliptrace.llm import bpe, decontam, langid, quality, simhash
+from cliptrace.llm import bpe, decontam, langid, quality, shingles
 from cliptrace.llm.common import cut, documents, fresh, remove, shared_dir
 from cliptrace.llm.queries import GOOD, digests, language_model, quality_model
 
@@ -39,15 +39,16 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the
-    smallest id, and of several such rows the first."""
-    row, fp = fresh(docs, "_row"), fresh(docs, "_fp")
+    """One document of each group of near-duplicates (at least 0.8 of their
+    five-word shingles are the same): the one with the smallest id, and of
+    several such rows the first."""
+    row, sig = fresh(docs, "_row"), fresh(docs, "_sig")
     # Rows are numbered in a written table: the numbers never change.
-    numbered = cut(simhash.with_fingerprint(docs, out=fp).withColumn(row, F.monotonically_increasing_id()))
-    groups = simhash.classes(numbered.select(F.col(row).alias("_key"), F.col(fp).alias("fp"), F.col("doc_id").alias("_id")))
+    numbered = cut(shingles.with_signature(docs, out=sig).withColumn(row, F.monotonically_increasing_id()))
+    groups = shingles.classes(numbered.select(F.col(row).alias("_key"), "text", F.col(sig).alias("sig"), F.col("doc_id").alias("_id")))
     first = F.min(F.struct(F.col("_id").isNull(), "_id", F.col("_key").alias("at")))
     kept = groups.groupBy("component_id").agg(first.alias("first")).select(F.col("first.at").alias(row))
-    return numbered.join(kept, row, "left_semi").drop(row, fp)
+    return numbered.join(kept, row, "left_semi").drop(row, sig)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from cliptrace.llm import decontam, embdedup, graph, queries, simhash, warc
+from cliptrace.llm import decontam, embdedup, graph, queries, shingles, simhash, warc
 
 
 def union(n, pairs):
@@ -246,6 +246,38 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.captures(spark, str(tmp_path / "e")).count() == 0
 
 
+def brute_shingles(text):
+    words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_near_duplicate_stage_against_brute_force_jaccard(spark, monkeypatch):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    monkeypatch.setattr(shingles, "UNIT_ROWS", 8)  # groups in several units
+    monkeypatch.setattr(shingles, "PAIRS_AT_ONCE", 16)
+    rng = random.Random(8)
+    vocab = [f"v{k}" for k in range(3_000)]
+    texts = [None, "", " \n", "a b", "A  B", "one two three", "one two three four"]
+    for n in (12, 60, 200, 600):
+        for _ in range(6):
+            base = [rng.choice(vocab) for _ in range(n)]
+            texts.append(" ".join(base))
+            for edits in (0.01, 0.02, 0.03, 0.05):
+                w = list(base)
+                for p in rng.sample(range(n), max(1, round(edits * n))):
+                    w[p] = rng.choice(vocab)
+                texts.append(" ".join(w))
+    texts += [texts[-1].upper()] * 20 + [texts[40] + f" end{k}" for k in range(30)]
+    sets = [brute_shingles(t) for t in texts]
+    near = lambda x, y: x == y or len(x & y) >= 0.8 * len(x | y)
+    comp = union(len(texts), [(a, b) for a in range(len(texts)) for b in range(a) if near(sets[a], sets[b])])
+    df = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(r["doc_id"] for r in pipeline.drop_near_duplicates(spark, df, "").collect())
+    assert got == sorted(set(comp))
+    links = [(simhash.fingerprint(texts[a]) ^ simhash.fingerprint(texts[b])).bit_count() <= 4 for a in range(len(texts)) for b in range(a) if near(sets[a], sets[b])]
+    assert not all(links)  # pairs that four bits do not link are among them
+
+
 def test_pipeline_stage_by_stage(spark, sf_dir):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("_row", F.lit("clash")).withColumn("_score", F.lit(1))
