@@ -118,18 +118,34 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", p
     rows.select(line.alias("value")).write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", PAGES_PER_FILE).text(path)
 
 
+def unpack(content: bytes) -> bytes:
+    """The bytes of all gzip members, or ``content`` if it is not gzipped."""
+    if content[:2] != b"\x1f\x8b":
+        return content
+    out = []
+    while content:
+        member = zlib.decompressobj(31)
+        out.append(member.decompress(content))
+        if not member.eof:
+            raise ValueError("truncated gzip member")
+        content = member.unused_data.lstrip(b"\0")  # members may be padded
+    return b"".join(out)
+
+
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers (names in lower case) and block of each record."""
     at = 0
     while at < len(data):
         end = data.find(b"\r\n\r\n", at)
         if end < 0:
-            return
+            raise ValueError(f"truncated header of the WARC record at byte {at}")
         head = data[at:end].decode("utf-8", "replace").split(_CRLF)
         if not head[0].startswith("WARC/"):
             raise ValueError(f"no WARC record at byte {at}")
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head[1:])}
         n = int(fields["content-length"])
+        if end + 4 + n > len(data):
+            raise ValueError(f"truncated block of the WARC record at byte {at}")
         yield fields, data[end + 4 : end + 4 + n]
         at = end + 4 + n + 4
 
@@ -163,7 +179,7 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch["content"]:
-                data = zlib.decompressobj(47).decompress(content) if content[:2] == b"\x1f\x8b" else content
+                data = unpack(content)
                 held, out = 0, []
                 for fields, block in parse(data):
                     out.append(_row(fields, block, payloads))

@@ -3,6 +3,7 @@ against brute force, and on awkward rows."""
 
 from __future__ import annotations
 
+import gzip
 import random
 import re
 
@@ -227,6 +228,20 @@ def test_verbatim_passages_of_the_tables(spark, sf_dir):
     assert want and want <= got
 
 
+def test_warc_of_one_gzip_member_per_record(spark, tmp_path):
+    record = lambda k: f"WARC/1.1\r\nWARC-Type: metadata\r\nWARC-Record-ID: <{k}>\r\nContent-Length: 4\r\n\r\na: {k}\r\n\r\n".encode()
+    packed = b"".join(gzip.compress(record(k)) for k in range(5))
+    (tmp_path / "a.warc.gz").write_bytes(packed)
+    assert sorted(r["record_id"] for r in warc.read(spark, str(tmp_path)).collect()) == [f"<{k}>" for k in range(5)]
+    whole = record(1) + record(2)
+    assert len(list(warc.parse(whole))) == 2
+    for short in (whole[:-6], whole[: len(record(1)) + 20]):
+        with pytest.raises(ValueError, match="truncated"):
+            list(warc.parse(short))
+    with pytest.raises(ValueError, match="truncated"):
+        warc.unpack(packed[:-12])
+
+
 def test_warc_round_trip(spark, tmp_path):
     long = "<p>" + "é\r\n\r\nWARC/1.1\r\n" * 40
     rows = [(4, "http://a/\r\nX: y", long), (2, "http://b", long), (9, None, long), (2, "http://b", long), (1, "http://c", None), (3, "http://d", ""), (8, "http://e", "short"), (7, "http://e", "short"), (None, "http://n", "z" * 300), (5, "u", "z" * 300)]
