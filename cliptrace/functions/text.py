@@ -25,8 +25,9 @@ def match_likelihood(same: Column, confidence: Column) -> Column:
 
 
 def fallback_score(likelihood: Column, verdict: Column, confidence: Column) -> Column:
-    """The stored likelihood, else one from verdict and confidence."""
-    return F.coalesce(likelihood, F.when(verdict == "accepted", confidence).otherwise(100 - confidence))
+    """The stored likelihood, else one from verdict and confidence; null for a
+    candidate that has no verdict."""
+    return F.coalesce(likelihood, F.when(verdict == "accepted", confidence).when(verdict.isNotNull(), 100 - confidence))
 
 
 def sample_fps(seconds: Column) -> Column:

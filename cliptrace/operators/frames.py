@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..functions.bits import bit_sim, js_round
 from ..functions.similarity import dot, total
@@ -11,6 +12,13 @@ from ..functions.similarity import dot, total
 # Similarities (0 to 100) below which, and color motion above
 # which, a frame begins a scene.
 CUT_AHASH, CUT_DHASH, CUT_MOTION = 25.0, 28.0, 100.0
+# Fixed value: movie frames that forced matches of one group may stray.
+FORCED_REACH = 50
+
+
+def in_order(key: str, order: str) -> WindowSpec:
+    """The rows of a key up to the present one."""
+    return Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
 
 
 def motion(frames: DataFrame, color: str = "color", key: str = "video_id", order: str = "si") -> DataFrame:
@@ -35,7 +43,7 @@ def scene_cuts(frames: DataFrame, key: str = "video_id", order: str = "si") -> D
 
 def scene_chunks(frames: DataFrame, key: str = "video_id", order: str = "si", cut: str = "is_cut") -> DataFrame:
     """(key, chunk_id, start, end): runs of frames between cuts."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    w = in_order(key, order)
     numbered = frames.withColumn("chunk_id", F.sum(F.col(cut).cast("int")).over(w))
     return numbered.groupBy(key, "chunk_id").agg(F.min(order).alias("start"), F.max(order).alias("end"))
 
@@ -76,15 +84,26 @@ def regression_slope(points: DataFrame, key: str, x: str = "si", y: str = "mi")
     return points.groupBy(key).agg(F.least(F.lit(8.0), F.greatest(F.lit(0.1), F.coalesce(raw, F.lit(1.0)))).alias("slope"))
 
 
-def frame_duration(frames: DataFrame, key: str = "video_id", ts: str = "ts", first: int = 200) -> DataFrame:
-    """(key, duration): upper median of the first positive steps of time."""
-    w = Window.partitionBy(key).orderBy(ts)
-    steps = frames.select(key, ts, (F.col(ts) - F.lag(ts).over(w)).alias("step")).filter("step > 0")
-    some = steps.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= first)
-    got = some.groupBy(key).agg(F.array_sort(F.collect_list("step")).alias("_s"))
+def frame_duration(frames: DataFrame, key: str = "video_id", ts: str = "ts", order: str = "si", first: int = 200) -> DataFrame:
+    """(key, duration): upper median of the positive ones of the ``first``
+    steps of time, frames taken in ``order``; keys without any have no row."""
+    w = Window.partitionBy(key).orderBy(order)
+    # Spark keeps the first rows of each window while it ranks them.
+    some = frames.select(key, order, ts).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= first + 1)
+    steps = some.select(key, (F.col(ts) - F.lag(ts).over(w)).alias("step")).filter("step > 0")
+    got = steps.groupBy(key).agg(F.array_sort(F.collect_list("step")).alias("_s"))
     return got.select(key, F.get("_s", F.floor(F.size("_s") / 2).cast("int")).alias("duration"))
 
 
+def forced_groups(points: DataFrame, key: str = "seq_id", reach: int = FORCED_REACH) -> DataFrame:
+    """Add ``grp``: frames in order go on in one group while the movie frame
+    stays within ``reach`` of where the frame before leads."""
+    w = Window.partitionBy(key).orderBy("si")
+    expected = F.lag("mi").over(w) + F.col("si") - F.lag("si").over(w)
+    near = F.coalesce(F.abs(F.col("mi") - expected) <= reach, F.lit(False))
+    return points.withColumn("_f", F.when(near, 0).otherwise(1)).withColumn("grp", F.sum("_f").over(w)).drop("_f")
+
+
 def rolling_mean(rows: DataFrame, value: str, key: str, order: list[str], last: int = 50) -> DataFrame:
     """Add ``rolling``: the mean of the last ``last`` values, this one included."""
     return rows.withColumn("rolling", F.avg(value).over(Window.partitionBy(key).orderBy(*order).rowsBetween(1 - last, 0)))

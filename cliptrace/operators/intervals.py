@@ -35,7 +35,10 @@ def merge_adjacent(segments: DataFrame) -> DataFrame:
     """Join segments that go on where the one before ended, in both videos.
 
     A segment's running ends are those of the row before it, so that runs are
-    found by a lag and a running sum.
+    found by a lag and a running sum.  ``members`` are the joined segments in
+    order.  ``detail_seg_id`` names the one whose best frame stands for all: at
+    each step the running, frame-weighted confidence against the next one's, so
+    that it is the last one more confident than the mean of all before it.
     """
     w = Window.partitionBy("match_id").orderBy("short_start", "seg_id")
     short_gap = F.col("short_start") - F.lag("short_end").over(w)
@@ -43,6 +46,9 @@ def merge_adjacent(segments: DataFrame) -> DataFrame:
     joins = short_gap.between(*MERGE_SHORT) & (movie_gap >= MERGE_MOVIE_BACK) & (movie_gap <= short_gap * 5 + 2.5)
     rows = segments.withColumn("_gap", F.when(joins, js_round(short_gap * FPS))).withColumn("_island", F.sum(F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).over(w))
     last, frames = F.struct("short_start", "seg_id"), F.col("frame_count")
+    before = Window.partitionBy("match_id", "_island").orderBy("short_start", "seg_id").rowsBetween(Window.unboundedPreceding, -1)
+    running = F.sum(F.col("confidence") * frames).over(before) / F.sum(frames).over(before)
+    rows = rows.withColumn("_leads", F.coalesce(F.col("confidence") > running, F.lit(True)))
     return rows.groupBy("match_id", "_island").agg(
         F.min("short_start").alias("short_start"), F.max_by("short_end", last).alias("short_end"),
         F.min_by("movie_start", last).alias("movie_start"), F.max_by("movie_end", last).alias("movie_end"),
@@ -50,7 +56,8 @@ def merge_adjacent(segments: DataFrame) -> DataFrame:
         (F.sum(F.col("speed_ratio") * frames) / F.sum(frames)).alias("speed_ratio"),
         F.sum(frames).alias("frame_count"), (F.sum("gap_count") + F.coalesce(F.sum("_gap"), F.lit(0))).alias("gap_count"),
         F.bool_or("is_approximate").alias("is_approximate"), F.count("*").alias("merged"),
-        F.max_by("seg_id", F.struct("confidence", -F.col("seg_id"))).alias("detail_seg_id"),
+        F.max_by(F.when(F.col("_leads"), F.col("seg_id")), F.when(F.col("_leads"), last)).alias("detail_seg_id"),
+        F.transform(F.array_sort(F.collect_list(last)), lambda x: x["seg_id"]).alias("members"),
     ).drop("_island")
 
 
@@ -156,6 +163,16 @@ def alternates(pool: DataFrame, ranges: DataFrame, excluded: DataFrame | None =
     return ranked if most is None else ranked.filter(F.col("rank") <= most)
 
 
+def candidate_list(originals: DataFrame, others: DataFrame, most: int = 10) -> DataFrame:
+    """Places to verify for each range (match_id, range_id): the original
+    (seg_id, movie_start) first, then alternates (with ``rank``) that start
+    nowhere near one that is listed, up to ``most``; with ``kept_idx``."""
+    key = ["match_id", "range_id"]
+    first = originals.select(*key, F.lit(0).alias("_n"), F.col("seg_id"), F.col("movie_start"))
+    rows = first.unionByName(others.select(*key, F.col("rank").alias("_n"), "seg_id", "movie_start"))
+    return near_dedup(rows, key, [F.col("_n")], ["seg_id", "movie_start"], limit=most)
+
+
 def range_lookup(ranges: DataFrame, segments: DataFrame, within: float = 0.05) -> DataFrame:
     """The segment of each range (match_id, range_id, r_start, r_end): one with
     its bounds within ``within`` seconds, else the one that overlaps it most."""
@@ -168,14 +185,15 @@ def range_lookup(ranges: DataFrame, segments: DataFrame, within: float = 0.05) -
 
 def keep_best_dropped(candidates: DataFrame, sets: DataFrame, segments: DataFrame) -> DataFrame:
     """For dropped sets (set_id, match_id, r_start, r_end, dropped) without an
-    accepted candidate, and clear of all final segments: the candidate with the
-    highest confidence, the first of equals."""
+    accepted candidate, and clear of all final segments: the checked candidate
+    with the highest confidence, the first of equals.  A set of which nothing
+    was checked has none."""
     hit = overlap(F.col("short_start"), F.col("short_end"), F.col("r_start"), F.col("r_end")) > KEEP_OVERLAP
     final = segments.select(F.col("match_id").alias("_m"), "short_start", "short_end")
     lost = sets.filter("dropped").join(final, (F.col("match_id") == F.col("_m")) & hit, "left_anti")
     lost = lost.join(candidates.filter("verdict = 'accepted'").select("set_id").distinct(), "set_id", "left_anti")
     best = F.max_by("cand_idx", F.struct(F.coalesce("confidence_pct", F.lit(-1.0)), -F.col("cand_idx"))).alias("cand_idx")
-    return candidates.join(lost.select("set_id", "match_id"), "set_id").groupBy("match_id", "set_id").agg(best)
+    return candidates.filter("checked").join(lost.select("set_id", "match_id"), "set_id").groupBy("match_id", "set_id").agg(best)
 
 
 def adjust(candidates: DataFrame, edge: str = "edge", delta: str = "delta") -> DataFrame:

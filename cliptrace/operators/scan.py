@@ -6,13 +6,17 @@ fa, fd, p) of packed hashes, the first variant being the whole frame.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.bits import js_round
+from ..functions.blocks import BLOCK, Frames, frame_sims, hash_sims
 from ..functions.similarity import pair_sim
 
 #: Bytes of a scan's smaller side that may be broadcast.
@@ -39,26 +43,86 @@ def best_cross(short: Column, movie: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(short, one)), F.lit(0.0))
 
 
-def against(small: DataFrame, large: DataFrame, row_bytes: int = 4096) -> DataFrame:
+def _bytes_of(c: Column, kind: T.DataType) -> Column:
+    """Bytes that a value takes in a row, about: lengths are measured."""
+    none = F.lit(8).cast("long")
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return none + F.coalesce(F.octet_length(c), F.lit(0))
+    if isinstance(kind, T.ArrayType):
+        plain = not isinstance(kind.elementType, T.StringType | T.BinaryType | T.ArrayType | T.StructType)
+        inside = F.size(c).cast("long") * 8 if plain else F.aggregate(c, F.lit(0).cast("long"), lambda acc, x: acc + _bytes_of(x, kind.elementType))
+        return 2 * none + F.when(c.isNotNull(), inside).otherwise(0)
+    if isinstance(kind, T.StructType):
+        return sum((_bytes_of(c[f.name], f.dataType) for f in kind.fields), none)
+    return none
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes of all rows, by the lengths of their texts and arrays."""
+    return df.agg(F.sum(sum((_bytes_of(F.col(f.name), f.dataType) for f in df.schema.fields), F.lit(0)))).first()[0] or 0
+
+
+def _slices(small: DataFrame) -> list[DataFrame]:
+    n = max(1, -(-measured_bytes(small) // BROADCAST_BYTES))
+    return [small] if n == 1 else [small.filter(F.pmod(F.xxhash64(small.columns[0]), F.lit(n)) == k) for k in range(n)]
+
+
+def against(small: DataFrame, large: DataFrame) -> DataFrame:
     """Every row of ``large`` with every row of ``small``: a stated set of
     queries against all rows.
 
     The queries are broadcast in slices whose measured size fits
     ``BROADCAST_BYTES``; the large side is never shuffled.
     """
-    slices = max(1, -(-small.count() * row_bytes // BROADCAST_BYTES))
     out = None
-    for k in range(slices):
-        part = small if slices == 1 else small.filter(F.pmod(F.xxhash64(small.columns[0]), F.lit(slices)) == k)
+    for part in _slices(small):
         got = large.join(F.broadcast(part))
         out = got if out is None else out.unionByName(got)
     return out
 
 
-def scan(short: DataFrame, movie: DataFrame, score: Callable[[Column, Column], Column] = fast_cross) -> DataFrame:
-    """(si, mi, sim) of every short frame with every movie frame."""
-    both = against(short.select(F.col("fid").alias("si"), F.col("variants").alias("_s")), movie.select(F.col("fid").alias("mi"), F.col("variants").alias("_m")))
-    return both.select("si", "mi", score(F.col("_s"), F.col("_m")).alias("sim"))
+_SCORES = {"fast": lambda s, i, m: hash_sims(s, i, m, 0, m.n, True), "best": lambda s, i, m: hash_sims(s, i, m, 0, m.n, False), "frame": lambda s, i, m: frame_sims(s, i, m, 0, m.n)}
+
+
+def scan(short: DataFrame, movie: DataFrame, score: str = "fast", keep: int | None = None, digits: int | None = None) -> DataFrame:
+    """(si, mi, sim) of every short frame with every movie frame (by ``fid``).
+
+    ``score``: ``fast`` (a short's whole frame), ``best`` (all pairs of
+    variants) or ``frame`` (with signature and motion: columns color, skin,
+    detail, and those of ``frames.motion``).  ``keep`` returns no more than so
+    many best rows of each short frame and batch, the first of equals, for a
+    caller who ranks them; ``digits`` rounds before that.
+
+    Movie frames stay where they are and are compared a batch at a time with
+    the queries, which are broadcast in slices of measured size.
+    """
+    extra = ["color", "skin", "detail", "t_delta", "t_mag"] if score == "frame" else []
+    fill = [] if extra else [F.lit(None).cast("array<double>").alias(c) for c in ("color", "skin", "detail")]
+    slim = lambda df: df.select(F.col("fid").alias("si"), F.lit(0.0).alias("ts"), "variants", *extra, *fill)
+    out = None
+    for part in _slices(slim(short)):
+        sent = movie.sparkSession.sparkContext.broadcast([f.__getstate__() for f in Frames.of_any(part.toArrow())])
+        got = slim(movie).mapInArrow(_scanner(sent, _SCORES[score], keep, digits), "si long, mi long, sim double")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def _scanner(sent, score, keep: int | None, digits: int | None):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries = [Frames.__new__(Frames) for _ in sent.value]
+        for q, state in zip(queries, sent.value, strict=True):
+            q.__setstate__(state)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, BLOCK):
+                for m in Frames.of_any(pa.Table.from_batches([batch.slice(lo, BLOCK)])):
+                    for q in queries:
+                        for i in range(q.n):
+                            sims = score(q, i, m)
+                            sims = sims if digits is None else np.round(sims, digits)
+                            at = np.arange(m.n) if keep is None else np.argsort(-sims, kind="stable")[:keep]
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), q.si[i])), pa.array(m.si[at]), pa.array(sims[at])], names=["si", "mi", "sim"])
+
+    return rows
 
 
 def top_k(scored: DataFrame, k: int, key: str = "si", item: str = "mi", sim: str = "sim") -> DataFrame:
@@ -77,22 +141,32 @@ def best(scored: DataFrame, key: str = "si", item: str = "mi", sim: str = "sim")
 
 def local_maxima(scored: DataFrame, separation: int = SEPARATION, floor: float | None = None, key: str = "si", item: str = "mi", sim: str = "sim") -> DataFrame:
     """Per key, one item for each neighbourhood: a leader moves on to a better
-    item fewer than ``separation`` places on, else a new one begins."""
-    kind = scored.schema
-    rows = scored.select(key, item, sim) if floor is None else scored.filter(F.col(sim) >= floor).select(key, item, sim)
+    item fewer than ``separation`` places on, else a new one begins.
 
-    def lead(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(item, kind="stable")
-        kept: list[list] = []
-        for m, s in zip(group[item].tolist(), group[sim].tolist(), strict=True):
-            if kept and m - kept[-1][0] < separation:
-                if s > kept[-1][1]:
-                    kept[-1] = [m, s]
-            else:
-                kept.append([m, s])
-        return pd.DataFrame({key: group[key].iloc[0], item: [m for m, _ in kept], sim: [s for _, s in kept]})
-
-    return rows.groupBy(key).applyInPandas(lead, ", ".join(f"{c} {kind[c].dataType.simpleString()}" for c in (key, item, sim)))
+    Items below ``floor`` go before rows are shuffled.  The rows of a key reach
+    the fold in order, a batch at a time, and only its leader is held.
+    """
+    kind = scored.schema
+    rows = (scored if floor is None else scored.filter(F.col(sim) >= floor)).select(key, item, sim).filter(F.col(item).isNotNull() & F.col(sim).isNotNull())
+    schema = ", ".join(f"{c} {kind[c].dataType.simpleString()}" for c in (key, item, sim))
+
+    def lead(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now = None  # key, item, similarity of the leader
+        for batch in batches:
+            done = []
+            for k, m, s in zip(batch[key].tolist(), batch[item].tolist(), batch[sim].tolist(), strict=True):
+                if now is not None and k == now[0] and m - now[1] < separation:
+                    if s > now[2]:
+                        now = (k, m, s)
+                else:
+                    if now is not None:
+                        done.append(now)
+                    now = (k, m, s)
+            yield pd.DataFrame(done, columns=[key, item, sim])
+        if now is not None:
+            yield pd.DataFrame([now], columns=[key, item, sim])
+
+    return rows.repartition(key).sortWithinPartitions(key, item).mapInPandas(lead, schema)
 
 
 def offset_votes(pairs: DataFrame, group: list[str], bucket: int = 8, top: int = 20) -> DataFrame:
@@ -116,11 +190,22 @@ def speed_sweep(probes: DataFrame, scored: DataFrame, movie_len: int, mid: int,
     slopes = F.explode(F.array(*[F.lit(s) for s in SLOPES])).alias("slope")
     anchors = probes.sparkSession.range(0, movie_len, anchor_step).withColumnRenamed("id", "anchor").select("anchor", slopes)
     n_probes = probes.count()
-    grid = against(probes.select("si"), anchors, 16).withColumn("mi", js_round(F.col("anchor") + F.col("slope") * (F.col("si") - mid)))
+    grid = against(probes.select("si"), anchors).withColumn("mi", js_round(F.col("anchor") + F.col("slope") * (F.col("si") - mid)))
     got = grid.filter((F.col("mi") >= 0) & (F.col("mi") < movie_len)).join(scored, ["si", "mi"]).groupBy("slope", "anchor").agg(F.count("*").alias("n"), F.avg("sim").alias("score"))
     return got.filter(F.col("n") >= max(2, n_probes // 2))
 
 
+def sweep_seeds(swept: DataFrame, mid_sims: DataFrame, per_slope: int = 4, top: int = 12) -> DataFrame:
+    """(slope, anchor, score, rank): of each speed the best anchors that stand
+    apart, scored again half by the frame in the middle (``mid_sims``: mi, sim
+    of its comparison), and of all speeds the best."""
+    apart = local_maxima(swept.select("slope", "anchor", "score"), key="slope", item="anchor", sim="score")
+    some = top_k(apart, per_slope, "slope", "anchor", "score").drop("rank")
+    blended = some.join(mid_sims.select(F.col("mi").alias("anchor"), F.col("sim").alias("_m")), "anchor").withColumn("score", 0.5 * F.col("score") + 0.5 * F.col("_m"))
+    w = Window.orderBy(F.desc("score"), "slope", "anchor")  # four rows a speed at most
+    return blended.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select("slope", "anchor", "score", "rank")
+
+
 def coarse_fine(scored: DataFrame, step: int = 10, reach: int = 30) -> DataFrame:
     """Best of every ``step``-th movie frame, then best within ``reach`` of it."""
     coarse = best(scored.filter(F.col("mi") % step == 0)).select("si", F.col("mi").alias("coarse_mi"))
@@ -132,7 +217,7 @@ def nearest(rows: DataFrame, targets: DataFrame, at: str = "ts", target: str = "
     """The row of each key whose ``at`` is closest to a target; the earlier
     row wins a tie."""
     key = key or []
-    joined = rows.join(targets, key) if key else against(targets, rows, 64)
+    joined = rows.join(targets, key) if key else against(targets, rows)
     others = [c for c in rows.columns if c not in key]
     pick = F.min_by(F.struct(*others), F.struct(F.abs(F.col(at) - F.col(target)), F.col(at))).alias("p")
     return joined.groupBy(*key, target).agg(pick).select(*key, target, *[F.col(f"p.{c}").alias(c) for c in others])

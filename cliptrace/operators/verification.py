@@ -20,20 +20,24 @@ HISTORY_EXTRAS = 10
 RPM, RPD = 15, 500
 
 
-def verify(ranked: DataFrame, key: list[str], attempts: int = MAX_ATTEMPTS) -> DataFrame:
+def verify(ranked: DataFrame, key: list[str], attempts: int | None = MAX_ATTEMPTS) -> DataFrame:
     """(key..., attempts, accepted_rank, outcome) of trying candidates by rank
     until one is accepted: same, with enough confidence.
 
-    ``ranked`` has ``rank``, ``same``, ``confidence_pct``; a null ``same`` is a
-    failure of infrastructure and uses up no attempt.
+    ``ranked`` has ``rank``, ``same``, ``confidence_pct``.  Every candidate that
+    is tried uses up one attempt, also one whose verdict failed for good (a null
+    ``same``); only repeats of a failed request are free, and those are no rows.
+    ``attempts`` of None tries all.  ``outcome`` is ``inconclusive`` where no
+    tried candidate got a verdict.
     """
-    w = Window.partitionBy(*key).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    counted = ranked.withColumn("_try", F.sum(F.col("same").isNotNull().cast("int")).over(w))
-    tried = counted.filter(F.col("_try") <= attempts)
+    w = Window.partitionBy(*key).orderBy("rank")
+    tried = ranked.withColumn("_try", F.row_number().over(w))
+    if attempts is not None:
+        tried = tried.filter(F.col("_try") <= attempts)
     yes = F.col("same") & (F.col("confidence_pct") >= ACCEPT_CONFIDENCE)
-    got = tried.groupBy(*key).agg(F.min(F.when(yes, F.col("rank"))).alias("accepted_rank"), F.max("_try").alias("_all"), F.min(F.when(yes, F.col("_try"))).alias("_till"))
-    outcome = F.when(F.col("accepted_rank").isNotNull(), "accepted").when(F.col("_all") == 0, "inconclusive").otherwise("rejected")
-    return got.select(*key, F.coalesce("_till", "_all").alias("attempts"), "accepted_rank", outcome.alias("outcome"))
+    got = tried.groupBy(*key).agg(F.min(F.when(yes, F.col("rank"))).alias("accepted_rank"), F.max("_try").alias("_all"), F.min(F.when(yes, F.col("_try"))).alias("_till"), F.count("same").alias("_said"))
+    outcome = F.when(F.col("accepted_rank").isNotNull(), "accepted").when(F.col("_said") == 0, "inconclusive").otherwise("rejected")
+    return got.select(*key, F.coalesce("_till", "_all").cast("long").alias("attempts"), "accepted_rank", outcome.alias("outcome"))
 
 
 def candidate_history(tried: DataFrame, extras: DataFrame, sets: DataFrame, most: int = HISTORY_EXTRAS) -> DataFrame:
@@ -118,7 +122,8 @@ def quota_status(requests: DataFrame, now: str, key: str = "model", at: str = "t
     return got.withColumns({"minute_left": left("minute_used", rpm), "day_left": left("day_used", rpd)})
 
 
-def deferred_pass(candidates: DataFrame, sets: DataFrame, attempts: int = MAX_ATTEMPTS) -> DataFrame:
-    """The verification loop over what was put off, per set in stored order."""
+def deferred_pass(candidates: DataFrame, sets: DataFrame) -> DataFrame:
+    """The verification loop over what was put off, per set in stored order:
+    until one is accepted, however many there are."""
     w = Window.partitionBy("set_id").orderBy("ord")
-    return verify(deferred_worklist(candidates, sets).withColumn("rank", F.row_number().over(w)), ["set_id"], attempts)
+    return verify(deferred_worklist(candidates, sets).withColumn("rank", F.row_number().over(w)), ["set_id"], None)

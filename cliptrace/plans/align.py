@@ -7,11 +7,11 @@ so that the plan runs one aligner for each of them.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 
-from ..functions.similarity import BOTH_STILL, ONE_STILL, STILL, W_AD, W_ADP, W_AP, W_FRAME, W_FRAME_STILL
+from ..functions.blocks import Frames, frame_detail, frame_sims, hash_sims
 from ..operators.scan import SEPARATION, SLOPES
 
 
@@ -52,113 +52,19 @@ def js_round(x: float) -> int:
     return int(np.floor(x + 0.5))
 
 
-@dataclass
-class Frames:
-    """Packed features of consecutive frames."""
-
-    ts: np.ndarray
-    hashes: dict[str, np.ndarray]  # a, d, p, fa, fd: frame x variant x word
-    color: np.ndarray | None = None  # frame x 48
-    skin: np.ndarray | None = None
-    detail: np.ndarray | None = None
-    names: list[str] = field(default_factory=lambda: ["full"])
-
-    def __post_init__(self) -> None:
-        self.n = len(self.ts)
-        if self.color is not None:
-            c = self.color.reshape(self.n, 16, 3)
-            self.z = ((c - c.mean(axis=1, keepdims=True)) / np.maximum(c.std(axis=1, keepdims=True), 8.0)).reshape(self.n, 48)
-            self.delta = np.zeros_like(self.color)
-            self.delta[1:] = self.color[1:] - self.color[:-1]
-            self.mag = np.sqrt((self.delta**2).sum(axis=1))
-        self.moves = self.color is not None and self.n > 1
-
-    @classmethod
-    def from_rows(cls, rows: list[dict]) -> Frames:
-        """From frame rows in order; a channel that the first frame lacks is
-        lacking everywhere."""
-        first = rows[0]["variants"]
-        names = [v["name"] for v in first]
-        hashes = {}
-        for ch in ("a", "d", "p", "fa", "fd"):
-            if first[0][ch] is not None and len(first[0][ch]):
-                hashes[ch] = np.array([[v[ch] for v in r["variants"]] for r in rows], np.uint64).astype(np.uint32)
-        grids = {}
-        for g in ("color", "skin", "detail"):
-            grids[g] = np.array([r[g] for r in rows], float) if all(r.get(g) is not None for r in rows) else None
-        return cls(np.array([r["ts"] for r in rows], float), hashes, names=names, **grids)
-
-
-def _share(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return 1 - np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64) / (a.shape[-1] * 32)
-
-
 class Aligner:
     """Aligns chunks of ``short`` with ``movie``."""
 
     def __init__(self, short: Frames, movie: Frames, cuts: np.ndarray, profile: Profile, drift: int):
         self.s, self.m, self.cuts, self.p, self.drift = short, movie, cuts, profile, drift
-        self.shared = {c for c in short.hashes if c in movie.hashes and short.hashes[c].shape[-1] == movie.hashes[c].shape[-1]}
 
     # Similarities of one short frame with a range of movie frames.
 
     def hash_sim(self, si: int, lo: int, hi: int, full_only: bool) -> np.ndarray:
-        variants = [0] if full_only else range(len(self.s.names))
-        best = np.zeros(hi - lo)
-        for v in variants:
-            pick = lambda c, v=v: _share(self.s.hashes[c][si, v][None, None, :], self.m.hashes[c][lo:hi])
-            a = pick("a")
-            if {"d", "p"} <= self.shared:
-                sim = W_ADP[0] * a + W_ADP[1] * pick("d") + W_ADP[2] * pick("p")
-            elif "d" in self.shared:
-                sim = W_AD[0] * a + W_AD[1] * pick("d")
-            elif "p" in self.shared:
-                sim = W_AP[0] * a + W_AP[1] * pick("p")
-            else:
-                sim = a
-            if "fa" in self.m.hashes:
-                fa = _share(self.s.hashes["a"][si, v][None, None, :], self.m.hashes["fa"][lo:hi])
-                if "fd" in self.m.hashes and "d" in self.s.hashes:
-                    fa = W_AD[0] * fa + W_AD[1] * _share(self.s.hashes["d"][si, v][None, None, :], self.m.hashes["fd"][lo:hi])
-                sim = np.maximum(sim, fa)
-            best = np.maximum(best, sim.max(axis=1))
-        return best * 100
-
-    def _signature(self, si: int, lo: int, hi: int) -> np.ndarray | None:
-        s, m = self.s, self.m
-        if s.color is None or m.color is None:
-            return None
-        best = np.full(hi - lo, -np.inf)
-        for turned in (False, True):
-            turn = (lambda x, k: x.reshape(-1, 4, 4, k)[:, :, ::-1].reshape(len(x), -1)) if turned else (lambda x, k: x)
-            parts = [np.maximum(0, 1 - np.abs(turn(m.z[lo:hi], 3) - s.z[si]).sum(axis=1) / 48 / 2)]
-            if s.skin is not None and m.skin is not None:
-                parts.append(1 - np.abs(turn(m.skin[lo:hi], 1) - s.skin[si]).mean(axis=1))
-            if s.detail is not None and m.detail is not None:
-                d = turn(m.detail[lo:hi], 1)
-                top = np.maximum(1.0, np.maximum(d.max(axis=1), s.detail[si].max()))
-                parts.append(1 - (np.abs(d - s.detail[si]) / top[:, None]).mean(axis=1))
-            best = np.maximum(best, sum(parts) / len(parts) * 100)
-        return best
-
-    def _motion(self, si: int, lo: int, hi: int) -> np.ndarray:
-        s, m = self.s, self.m
-        if not (s.moves and m.moves) or si == 0:
-            return np.full(hi - lo, -1.0)
-        a, b = s.mag[si], m.mag[lo:hi]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            moving = (m.delta[lo:hi] @ s.delta[si] / (a * b) + 1) / 2 * 100
-        out = np.where((a < STILL) & (b < STILL), BOTH_STILL, np.where((a < STILL) | (b < STILL), ONE_STILL, moving))
-        if lo == 0 and hi > 0:
-            out[0] = -1.0
-        return out
+        return hash_sims(self.s, si, self.m, lo, hi, full_only)
 
     def frame_sim(self, si: int, lo: int, hi: int) -> np.ndarray:
-        h, g = self.hash_sim(si, lo, hi, False), self._signature(si, lo, hi)
-        if g is None:
-            return h
-        t = self._motion(si, lo, hi)
-        return np.where(t >= 0, W_FRAME[0] * h + W_FRAME[1] * g + W_FRAME[2] * t, W_FRAME_STILL[0] * h + W_FRAME_STILL[1] * g)
+        return frame_sims(self.s, si, self.m, lo, hi)
 
     # Walks.
 
@@ -384,7 +290,7 @@ class Aligner:
         return segments, pool
 
     def summary(self, seq: list[tuple[int, int, float]]) -> dict:
-        """Times, speed and best frame of a sequence."""
+        """Times, speed, and the best frame of a sequence with its detail."""
         si, mi, sim = (np.array(x) for x in zip(*seq, strict=True))
         slope = 1.0
         if len(seq) >= 2 and si.max() > si.min():
@@ -394,10 +300,11 @@ class Aligner:
         by_line = int(mi[0]) + js_round(slope * int(si[-1] - si[0]))
         end = min(self.m.n - 1, max(0, by_line)) if abs(by_line - int(mi[-1])) > 1 else int(mi[-1])
         top = int(sim.argmax())
+        detail = frame_detail(self.s, int(si[top]), self.m, int(mi[top]))
         return {
             "short_start": float(self.s.ts[si[0]]), "short_end": float(self.s.ts[si[-1]]),
             "movie_start": float(self.m.ts[mi[0]]), "movie_end": float(self.m.ts[end]),
             "confidence": float(sim.mean()), "frame_count": len(seq),
             "gap_count": int(si[-1] - si[0] + 1 - len(set(si.tolist()))) if len(seq) > 1 else 0,
-            "speed_ratio": slope, "best_si": int(si[top]), "best_mi": int(mi[top]), "first_si": int(si[0]), "last_si": int(si[-1]),
+            "speed_ratio": slope, "best_si": int(si[top]), "best_mi": int(mi[top]), "detail": detail,
         }

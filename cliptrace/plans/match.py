@@ -4,117 +4,181 @@ Frames are rows (video_id, si, ts, variants, color, skin, detail).  Cuts and
 chunks are window functions; each chunk of a short is aligned on its own by an
 Arrow function; what follows is relational.
 
-A movie whose measured features fit ``BROADCAST_BYTES`` is sent to all tasks.
-A larger one travels with its chunks instead: chunks are dealt out over salted
-groups, and each group reads the movie once.
+There is one plan whatever the sizes.  Movie frames are packed into blocks once,
+chunks of shorts are dealt out over groups of about ``SHORT_FRAMES`` frames, and
+each group meets the blocks of its movie.  Comparing a group's frames with a
+movie costs hundreds of times what moving the blocks costs, so that copies of
+the blocks are cheap, and nothing passes through the driver.  A task holds one
+movie, packed (2 to 4 KB a frame).
 """
 
 from __future__ import annotations
 
+import math
+import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..functions.blocks import CHANNELS, Frames, Layout
 from ..operators import frames as fr
 from ..operators import intervals as iv
-from .align import MAIN, Aligner, Frames, Profile
+from .align import MAIN, Aligner, Profile
 
-#: Bytes of packed movie features that may be broadcast.
-BROADCAST_BYTES = 256 << 20
-#: Groups that the chunks of a short are dealt out over if a movie is larger.
-SALTS = 64
+#: Frames of shorts that are aligned with a movie in one group, about.
+SHORT_FRAMES = 100
 _FEATURES = ["si", "ts", "variants", "color", "skin", "detail"]
+_DETAIL = "struct<crop: string, structure_sim: double, color_sim: double, skin_sim: double, detail_sim: double, short_hash: array<bigint>, movie_hash: array<bigint>>"
 _OUT = (
-    "match_id string, seg_id long, kind string, stage string, short_start double, short_end double, movie_start double, movie_end double, confidence double, frame_count int, gap_count int, "
-    "speed_ratio double, is_approximate boolean, best_si long, best_mi long, sequence array<struct<short_time: double, movie_time: double, similarity: double, si: long, mi: long>>"
+    "match_id string, short_id string, movie_id string, chunk_id long, seg_id long, kind string, stage string, short_start double, short_end double, movie_start double, movie_end double, confidence double, "
+    f"frame_count int, gap_count int, speed_ratio double, is_approximate boolean, best_si long, best_mi long, detail {_DETAIL}, "
+    "sequence array<struct<short_time: double, movie_time: double, similarity: double, si: long, mi: long>>"
 )
+#: Segments of a chunk, at most, in numbers of segments.
+_PER_CHUNK = 1_000_000
 
 
 @dataclass
 class Match:
-    """What a match gives."""
+    """What a match gives.  ``segments``: the final ones.  ``unmatched``: runs of
+    frames that none of them covers.  ``alternates``: other places of each
+    chunk.  ``pool``: all segments before those that overlap better ones were
+    dropped, and the alternates."""
 
     segments: DataFrame
     unmatched: DataFrame
     alternates: DataFrame
+    pool: DataFrame
+
+
+def _whole(variants: str | Column) -> Column:
+    return F.coalesce(F.get(F.filter(variants, lambda v: v["name"] == "full"), F.lit(0)), F.get(variants, F.lit(0)))
 
 
 def with_cuts(short: DataFrame) -> DataFrame:
-    """Add ``is_cut`` and ``chunk_id`` to frames."""
-    whole = F.coalesce(F.get(F.filter("variants", lambda v: v["name"] == "full"), F.lit(0)), F.get("variants", F.lit(0)))
-    cut = fr.scene_cuts(fr.motion(short).withColumns({"a": whole["a"], "d": whole["d"]})).drop("a", "d", "t_delta", "t_mag")
-    return cut
+    """Add ``is_cut``, and the color motion ``t_delta`` and ``t_mag``."""
+    whole = _whole("variants")
+    return fr.scene_cuts(fr.motion(short).withColumns({"a": whole["a"], "d": whole["d"]})).drop("a", "d")
+
+
+def _layouts(frames: DataFrame) -> DataFrame:
+    """(video_id, layout) of the first frame of each video."""
+    lead = F.get("variants", F.lit(0))
+    words = F.struct(*[F.greatest(F.coalesce(F.size(lead[c]), F.lit(0)), F.lit(0)).alias(c) for c in CHANNELS])
+    layout = F.struct(F.transform("variants", lambda v: v["name"]).alias("names"), words.alias("words"))
+    return frames.groupBy("video_id").agg(F.min_by(layout, "si").alias("layout"))
+
+
+def _packed(movie: DataFrame) -> DataFrame:
+    """(movie_id, block): frames of a movie, a batch of them in each block."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            for movie_id in table["movie_id"].unique().to_pylist():
+                mine = table.filter(pa.compute.equal(table["movie_id"], movie_id)) if movie_id is not None else table.slice(0, 0)
+                if mine.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([movie_id]), pa.array([pickle.dumps(Frames.from_arrow(mine), 5)])], names=["movie_id", "block"])
+
+    return movie.select("movie_id", *_FEATURES).mapInArrow(pack, "movie_id string, block binary")
 
 
-def _align(short: Frames, movie: Frames, cuts: np.ndarray, first_si: int, match_id: str, chunk_id: int, profile: Profile, drift: int, min_similarity: float, min_consecutive: int) -> pd.DataFrame:
+def _align(short: Frames, movie: Frames, cuts: np.ndarray, ids: tuple[str, str, int], single: bool, profile: Profile, drift: int, min_similarity: float, min_consecutive: int) -> list[dict]:
+    short_id, movie_id, chunk_id = ids
     aligner = Aligner(short, movie, np.append(cuts, True), profile, drift)
     segments, pool = aligner.chunk((0, short.n - 1), min_similarity, min_consecutive)
     rows = []
     for kind, found in (("segment", segments), ("alternate", pool)):
         for k, x in enumerate(found):
             s = aligner.summary(x["seq"])
-            seq = [{"short_time": float(short.ts[a]), "movie_time": float(movie.ts[b]), "similarity": float(c), "si": a + first_si, "mi": b} for a, b, c in x["seq"]]
-            rows.append((match_id, chunk_id * 1_000 + k, kind, x["stage"], s["short_start"], s["short_end"], s["movie_start"], s["movie_end"], s["confidence"], s["frame_count"], s["gap_count"],
-                         s["speed_ratio"], x["approximate"], s["best_si"] + first_si, s["best_mi"], seq))
-    names = [c.strip().split(" ")[0] for c in _OUT.split(", ", 15)]
-    return pd.DataFrame(rows, columns=names)
-
-
-def align(short: DataFrame, movie: DataFrame, profile: Profile = MAIN, min_similarity: float = 82, min_consecutive: int = 9, drift: int = 3) -> DataFrame:
-    """Segments and alternates of all chunks of the shorts against one movie."""
-    cut = with_cuts(short)
-    chunks = fr.scene_chunks(cut)
-    joined = cut.join(chunks, "video_id").filter(F.col("si").between(F.col("start"), F.col("end")))
-    features = movie.select(*_FEATURES)
-    n = movie.count()
-    first = movie.select("variants").limit(1).collect()
-    if not n or not first:
-        return short.sparkSession.createDataFrame([], _OUT)
-    per_frame = sum(len(v[c] or []) * 4 for v in first[0]["variants"] for c in ("a", "d", "p", "fa", "fd")) + 80 * 8
-    args = (profile, drift, min_similarity, min_consecutive)
-
-    def one(group: pd.DataFrame, movie_frames: Frames) -> pd.DataFrame:
-        group = group.sort_values("si")
-        frames = Frames.from_rows(group[_FEATURES].to_dict("records"))
-        return _align(frames, movie_frames, group["is_cut"].to_numpy(bool), int(group["si"].iloc[0]), str(group["video_id"].iloc[0]), int(group["chunk_id"].iloc[0]), *args)
-
-    columns = ["video_id", "chunk_id", "is_cut", *_FEATURES]
-    if n * per_frame <= BROADCAST_BYTES:
-        packed = Frames.from_rows([r.asDict(recursive=True) for r in features.orderBy("si").toLocalIterator()])
-        sent = short.sparkSession.sparkContext.broadcast(packed)
-        return joined.select(*columns).groupBy("video_id", "chunk_id").applyInPandas(lambda g: one(g, sent.value), _OUT)
-    salted = joined.select(*columns, F.pmod(F.xxhash64("video_id", "chunk_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    spread = features.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-
-    def many(chunks_of: pd.DataFrame, movie_rows: pd.DataFrame) -> pd.DataFrame:
-        if not len(chunks_of) or not len(movie_rows):
-            return pd.DataFrame(columns=[c.strip().split(" ")[0] for c in _OUT.split(", ", 15)])
-        movie_frames = Frames.from_rows(movie_rows.sort_values("si")[_FEATURES].to_dict("records"))
-        return pd.concat([one(g, movie_frames) for _, g in chunks_of.groupby(["video_id", "chunk_id"])], ignore_index=True)
-
-    return salted.groupBy("salt").cogroup(spread.groupBy("salt")).applyInPandas(many, _OUT)
-
-
-def match(short: DataFrame, movie: DataFrame, profile: Profile = MAIN, min_similarity: float = 82, min_consecutive: int = 9, drift: int = 3) -> Match:
+            seq = [{"short_time": float(short.ts[a]), "movie_time": float(movie.ts[b]), "similarity": float(c), "si": int(short.si[a]), "mi": int(b)} for a, b, c in x["seq"]]
+            rows.append(s | {
+                "match_id": short_id if single else f"{short_id}/{movie_id}", "short_id": short_id, "movie_id": movie_id, "chunk_id": chunk_id,
+                "seg_id": chunk_id * _PER_CHUNK + k, "kind": kind, "stage": x["stage"], "is_approximate": bool(x["approximate"]), "best_si": int(short.si[s["best_si"]]), "sequence": seq,
+            })
+    return rows
+
+
+def align(short: DataFrame, movie: DataFrame, profile: Profile = MAIN, min_similarity: float = 82, min_consecutive: int = 9, drift: int = 3, single: bool = True) -> DataFrame:
+    """Segments and alternates of all chunks of the shorts against a movie or,
+    if not ``single``, against every movie (by its ``video_id``)."""
+    short = short.withColumn("video_id", F.col("video_id").cast("string"))
+    movie = movie.withColumn("movie_id", F.lit("movie") if single else F.col("video_id").cast("string"))
+    w = fr.in_order("video_id", "si")
+    cut = with_cuts(short).withColumn("chunk_id", F.sum(F.col("is_cut").cast("int")).over(w))
+    groups = max(1, math.ceil(short.count() / SHORT_FRAMES))
+    salt = F.pmod(F.xxhash64("video_id", "chunk_id"), F.lit(groups)).cast("int").alias("salt")
+    movies = movie.select("movie_id").distinct()
+    chunks = cut.join(_layouts(short), "video_id").select("video_id", "chunk_id", "is_cut", "t_delta", "t_mag", "layout", *_FEATURES, salt)
+    # A chunk meets each movie: its key is the movie and the group of chunks.
+    cells = movies.select("movie_id", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("salt"))
+    left = chunks.join(cells, "salt")
+    right = _packed(movie).join(cells, "movie_id")
+    schema = to_arrow_schema(short.sparkSession.createDataFrame([], _OUT).schema)
+    args = (single, profile, drift, min_similarity, min_consecutive)
+
+    def many(key: tuple, mine: pa.Table, blocks: pa.Table) -> pa.Table:
+        rows: list[dict] = []
+        if mine.num_rows and blocks.num_rows:
+            frames = Frames.joined([pickle.loads(b.as_buffer()) for c in blocks["block"].chunks for b in c])
+            mine = mine.sort_by([("video_id", "ascending"), ("chunk_id", "ascending"), ("si", "ascending")])
+            names, ids = mine["video_id"].to_pylist(), mine["chunk_id"].to_numpy()
+            begin = [k for k in range(mine.num_rows) if not k or names[k] != names[k - 1] or ids[k] != ids[k - 1]]
+            for a, b in zip(begin, [*begin[1:], mine.num_rows], strict=True):
+                part = mine.slice(a, b - a)
+                found = part["layout"][0].as_py()
+                layout = Layout(found["names"], {c: n for c, n in found["words"].items() if n})
+                one = Frames.from_arrow(part, layout)
+                rows += _align(one, frames, part["is_cut"].to_numpy(), (names[a], key[0].as_py(), int(ids[a])), *args)
+        return pa.Table.from_pylist(rows, schema=schema)
+
+    return left.groupBy("movie_id", "salt").cogroup(right.groupBy("movie_id", "salt")).applyInArrow(many, _OUT)
+
+
+def match(short: DataFrame, movie: DataFrame, profile: Profile = MAIN, min_similarity: float = 82, min_consecutive: int = 9, drift: int = 3, single: bool = True) -> Match:
     """Segments, unmatched ranges and alternates of shorts against a movie.
 
-    Parameters out of range fall back to 82, 9 and 3.
+    All rows of ``movie`` are one video, whatever their ``video_id``; with
+    ``single`` false each ``video_id`` is a movie of its own, every short is
+    matched with each, and ``match_id`` names both.  Parameters out of range
+    fall back to 82, 9 and 3.  The aligned rows stay cached until the caller
+    clears them: all outputs read them.
     """
     min_similarity = min_similarity if 0 < min_similarity <= 100 else 82
     min_consecutive = min_consecutive if min_consecutive >= 1 else 9
     drift = drift if drift >= 0 else 3
-    found = align(short, movie, profile, min_similarity, min_consecutive, drift).cache()
+    short = short.withColumn("video_id", F.col("video_id").cast("string"))
+    found = align(short, movie, profile, min_similarity, min_consecutive, drift, single).cache()
     raw = found.filter("kind = 'segment'")
-    merged = iv.merge_adjacent(raw).withColumn("seg_id", F.col("detail_seg_id"))
+    about = raw.select("match_id", F.col("seg_id").alias("detail_seg_id"), "short_id", "movie_id", "best_si", "best_mi", "detail")
+    merged = iv.merge_adjacent(raw).join(about, ["match_id", "detail_seg_id"]).withColumnRenamed("detail_seg_id", "seg_id")
     kept = iv.context_validate(merged.join(iv.overlap_dedup(merged).select("match_id", "seg_id"), ["match_id", "seg_id"], "left_semi"))
     final = merged.join(kept.select("match_id", "seg_id"), ["match_id", "seg_id"], "left_semi")
-    points = raw.select("match_id", F.explode("sequence").alias("x")).select(F.col("match_id").alias("video_id"), "x.si", "x.short_time")
-    spans = final.select(F.col("match_id").alias("video_id"), "short_start", "short_end")
-    used = points.join(spans, "video_id").filter(F.col("short_time").between(F.col("short_start"), F.col("short_end"))).select("video_id", "si")
-    free = iv.unmatched_ranges(short.select(F.col("video_id").cast("string").alias("video_id"), "si", "ts"), used)
-    short_step, movie_step = (fr.frame_duration(x.select(F.lit(0).alias("video_id"), "ts")).agg(F.coalesce(F.max("duration"), F.lit(0.0)).alias(name)) for x, name in ((short, "_ss"), (movie, "_ms")))
-    corrected = lambda df: iv.end_correction(df.join(F.broadcast(short_step)).join(F.broadcast(movie_step)), F.col("_ss"), F.col("_ms")).drop("_ss", "_ms")  # noqa: E731  one row each
-    return Match(corrected(final), free, corrected(found.filter("kind = 'alternate'")))
+    # Frames are used if a sequence of a final segment has their time.
+    members = final.select("match_id", F.explode("members").alias("seg_id"))
+    times = raw.join(members, ["match_id", "seg_id"], "left_semi").select("match_id", F.explode("sequence.short_time").alias("ts"))
+    frames = short.select("video_id", "si", "ts")
+    if single:
+        frames = frames.withColumnRenamed("video_id", "match_id")
+    else:
+        pairs = short.select(F.col("video_id").alias("_s"), F.lit(1).alias("_k")).distinct().join(movie.select(F.col("video_id").cast("string").alias("_m"), F.lit(1).alias("_k")).distinct(), "_k")
+        frames = frames.join(pairs, F.col("video_id") == F.col("_s")).select(F.concat_ws("/", "_s", "_m").alias("match_id"), "si", "ts")
+    used = iv.used_frames(frames, times, "match_id").distinct()
+    free = iv.unmatched_ranges(frames, used, "match_id").withColumnRenamed("match_id", "video_id" if single else "match_id")
+    movies = movie.select(F.lit("movie").alias("video_id") if single else F.col("video_id").cast("string"), "si", "ts")
+    steps = fr.frame_duration(short.select("video_id", "si", "ts")).select(F.col("video_id").alias("short_id"), F.col("duration").alias("_ss"))
+    others = fr.frame_duration(movies).select(F.col("video_id").alias("movie_id"), F.col("duration").alias("_ms"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+
+    def corrected(df: DataFrame) -> DataFrame:
+        return iv.end_correction(df.join(steps, "short_id", "left").join(others, "movie_id", "left"), zero("_ss"), zero("_ms")).drop("_ss", "_ms")
+
+    alternates = corrected(found.filter("kind = 'alternate'"))
+    everything = corrected(merged).drop("members", "merged")
+    pool = everything.unionByName(alternates.select(*everything.columns))
+    return Match(corrected(final), free, alternates, pool)

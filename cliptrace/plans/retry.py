@@ -24,6 +24,8 @@ from .match import align
 Judge = Callable[[DataFrame], DataFrame]
 #: Rounds without a new candidate after which a search ends.
 EMPTY_ROUNDS = 2
+#: New candidates of a search that are tried.
+NEW_A_ROUND = 10
 _KEPT = ["match_id", "seg_id", "short_start", "short_end", "movie_start", "movie_end", "confidence"]
 
 
@@ -54,40 +56,37 @@ def broader(short: DataFrame, movie: DataFrame, start: float, end: float, attemp
     return kept.select(*_KEPT)
 
 
-def retry(short: DataFrame, movie: DataFrame, pool: DataFrame, start: float, end: float, judge: Judge, budget: int = ve.MAX_ATTEMPTS, most_rounds: int = 6) -> Retry:
+def retry(short: DataFrame, movie: DataFrame, pool: DataFrame, start: float, end: float, judge: Judge, budget: int = ve.MAX_ATTEMPTS, most_rounds: int | None = None) -> Retry:
     """Try the pool, then wider searches, until a candidate is accepted, the
-    budget of attempts is spent, or two rounds bring nothing new.
+    budget of attempts is spent, or two searches in a row bring nothing new.
 
-    Each round is one query; a handful of candidates comes back to the driver.
+    Every candidate that is tried uses up an attempt, also one that gets no
+    verdict.  Each round is one query; no more candidates than the budget come
+    back to the driver.  ``most_rounds`` bounds the searches of this call.
     """
     spark = short.sparkSession
     seen: list[dict] = []
-    tried, empty = 0, 0
+    empty, rounds = 0, 0
     schema = T.StructType([T.StructField(c, pool.schema[c].dataType) for c in _KEPT])
-    todo, rounds = pool.select(*_KEPT), 0
+    todo, most = pool.select(*_KEPT), budget
     while True:
         have = spark.createDataFrame([[r[c] for c in _KEPT] for r in seen], schema)
         new = todo.join(have.select(F.col("movie_start").alias("_m")), F.abs(F.col("movie_start") - F.col("_m")) <= iv.SAME_PLACE, "left_anti")
-        batch = [r.asDict() for r in new.orderBy(F.desc("confidence"), "seg_id").limit(10).collect()]
-        empty = 0 if batch else empty + 1
+        batch = [r.asDict() for r in new.orderBy(F.desc("confidence"), "seg_id").limit(min(most, budget - len(seen))).collect()]
         if batch:
             ranked = spark.createDataFrame([[*(r[c] for c in _KEPT), k + 1] for k, r in enumerate(batch)], T.StructType([*schema.fields, T.StructField("rank", T.IntegerType())]))
-            judged = sorted((r.asDict() for r in judge(ranked).collect()), key=lambda r: r["rank"])
-            for r in judged:
-                if tried >= budget:
-                    break
+            for r in sorted((r.asDict() for r in judge(ranked).collect()), key=lambda r: r["rank"]):
                 seen.append(r)
-                if r["same"] is None:
-                    continue
-                tried += 1
                 if r["same"] and r["confidence_pct"] >= ve.ACCEPT_CONFIDENCE:
-                    return Retry("accepted", tried, rounds, r, seen)
-        if tried >= budget or empty >= EMPTY_ROUNDS or rounds >= most_rounds:
+                    return Retry("accepted", len(seen), rounds, r, seen)
+        if rounds:
+            empty = 0 if batch else empty + 1
+        if len(seen) >= budget or empty >= EMPTY_ROUNDS or most_rounds is not None and rounds >= most_rounds:
             break
-        todo = broader(short, movie, start, end, rounds)
+        todo, most = broader(short, movie, start, end, rounds), NEW_A_ROUND
         rounds += 1
     guess = [(r["confidence_pct"] if r["same"] else 100 - r["confidence_pct"], -k, r) for k, r in enumerate(seen) if r["same"] is not None]
-    return Retry("best_effort" if guess else "none", tried, rounds, max(guess, key=lambda x: x[:2])[2] if guess else None, seen)
+    return Retry("best_effort" if guess else "none", len(seen), rounds, max(guess, key=lambda x: x[:2])[2] if guess else None, seen)
 
 
 __all__ = ["Retry", "broader", "params", "retry", "retry_params"]

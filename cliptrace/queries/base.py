@@ -51,7 +51,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("vec_id").alias("fid"), F.col("label").cast("long").alias("video_id"),
         (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).cast("long").alias("si"),
         F.transform("embedding", lambda e: e.cast("double")).alias("x"),
-    )
+    ).repartition(spark.sparkContext.defaultParallelism)  # fmt: skip  by cost: what follows computes much on few bytes
     return rows.select(
         "fid", "video_id", "si", (F.col("si") / F.lit(25.0)).alias("ts"), F.array(*made).alias("variants"),
         F.transform(F.sequence(F.lit(0), F.lit(47)), lambda k: F.floor((x(k) + 1) * 127.5).cast("double")).alias("color"),

@@ -20,7 +20,7 @@ def _sims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cosines of the query vectors with all vectors."""
     e = table(spark, sf_dir, "embeddings")
     q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("qe"))
-    return against(q, e, 1024).select("q_id", F.col("vec_id").alias("id"), "label", F.round(cosine(F.col("qe"), F.col("embedding")), 6).alias("score"))
+    return against(q, e).select("q_id", F.col("vec_id").alias("id"), "label", F.round(cosine(F.col("qe"), F.col("embedding")), 6).alias("score"))
 
 
 @query("cosine_topk", f"WITH {_SIMS} SELECT q_id, id, score, CAST(row_number() OVER w AS INT) AS rank FROM c QUALIFY row_number() OVER w <= 10 WINDOW w AS (PARTITION BY q_id ORDER BY score DESC, id)".replace("QUALIFY row_number() OVER w <= 10 WINDOW w AS (PARTITION BY q_id ORDER BY score DESC, id)", "WINDOW w AS (PARTITION BY q_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 10"))
@@ -59,3 +59,22 @@ SELECT pool, cand_idx, n, degenerate, CAST(CASE WHEN degenerate THEN rd WHEN swa
 def rank_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = spark.sql(_POOLS.format(events="{e}"), e=table(spark, sf_dir, "events"))
     return rk.rank_candidates(c, ["pool"]).select("pool", "cand_idx", "n", "degenerate", "rank")
+
+
+#: Candidates of a pool: vectors are the variants, four a candidate; a third of
+#: the candidates share a short frame.
+_PARTS = """ca AS (SELECT DISTINCT vec_id // 4 AS cand_id, (vec_id // 4) % 17 * 3 AS short_key FROM e), sh AS (SELECT vec_id AS short_key, v FROM e WHERE vec_id < 60),
+va AS (SELECT vec_id // 4 AS cand_id, CAST(vec_id % 4 AS INT) AS variant_idx, v FROM e WHERE vec_id % 40 >= 4)"""
+
+
+@query("pool_scores", f"""
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), {_PARTS},
+p AS (SELECT cand_id, variant_idx, round(list_cosine_similarity(sh.v, va.v), 6) AS s FROM ca JOIN sh USING (short_key) JOIN va USING (cand_id)),
+b AS (SELECT cand_id, s AS score, variant_idx AS best_variant FROM p QUALIFY row_number() OVER (PARTITION BY cand_id ORDER BY s DESC, variant_idx) = 1)
+SELECT cand_id, coalesce(score, -1) AS score, coalesce(best_variant, 0) AS best_variant FROM ca LEFT JOIN b USING (cand_id)""")
+def pool_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 4).alias("cand_id"), "embedding")
+    candidates = e.select("cand_id", (F.col("cand_id") % 17 * 3).alias("short_key")).distinct()
+    shorts = e.filter("vec_id < 60").select(F.col("vec_id").alias("short_key"), "embedding")
+    variants = e.filter("vec_id % 40 >= 4").select("cand_id", (F.col("vec_id") % 4).cast("int").alias("variant_idx"), "embedding")
+    return rk.pool_scores(candidates, shorts.unionByName(shorts), variants).withColumn("score", F.round("score", 6))

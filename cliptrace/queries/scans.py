@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import image
 from ..functions.bits import bit_sim, hamming, js_round
-from ..functions.similarity import color_znorm, frame_sim, grid_sims, pair_sim, signature_sim, temporal_sim, with_signature
+from ..functions.similarity import color_znorm, grid_sims, pair_sim, signature_sim, temporal_sim, with_signature
 from ..operators import frames as fr
 from ..operators import scan as sc
 from ..plans.align import CANDIDATE, MAIN
-from ..plans.match import Match, match
+from ..plans.match import Match, align, match
 from ..sources.fingerprints import FRAME_JSON, pack
 from . import query
 from .base import FRAMES_SQL, POINTS_SQL, SCANS_SQL, events, frames, ham_sql, pair_sql, points, query_frames, table
@@ -53,26 +53,27 @@ def pair_sim_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FIRST = "QUALIFY row_number() OVER (PARTITION BY si ORDER BY round(sim, 6) DESC, mi) = 1"
 
 
-def _scan(spark: SparkSession, sf_dir: str, score=sc.fast_cross) -> DataFrame:
+def _scan(spark: SparkSession, sf_dir: str, score: str = "fast", keep: int | None = None) -> DataFrame:
     f = frames(spark, sf_dir)
-    return _round(sc.scan(query_frames(f), f, score), "sim")
+    f = fr.motion(f) if score == "frame" else f
+    return sc.scan(query_frames(f), f, score, keep, 6)
 
 
 @query("fast_cross_best", f"WITH {SCANS_SQL} SELECT si, mi, round(sim, 6) AS sim FROM fast {_FIRST}")
 def fast_cross_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sc.best(_scan(spark, sf_dir))
+    return sc.best(_scan(spark, sf_dir, keep=1))
 
 
 @query("best_cross_best", f"WITH {SCANS_SQL} SELECT si, mi, round(sim, 6) AS sim FROM best {_FIRST}")
 def best_cross_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sc.best(_scan(spark, sf_dir, sc.best_cross))
+    return sc.best(_scan(spark, sf_dir, "best", 1))
 
 
 @query("seed_scan_topk", f"""
 WITH {SCANS_SQL} SELECT si, mi, round(sim, 6) AS sim, CAST(row_number() OVER (PARTITION BY si ORDER BY round(sim, 6) DESC, mi) AS INT) AS rank FROM fast
 QUALIFY row_number() OVER (PARTITION BY si ORDER BY round(sim, 6) DESC, mi) <= 8""")
 def seed_scan_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sc.top_k(_scan(spark, sf_dir), 8)
+    return sc.top_k(_scan(spark, sf_dir, keep=8), 8)
 
 
 _Z = """list_transform(range(0, 48), lambda k: ({g}[k + 1] - list_avg(list_transform(range(0, 16), lambda i: {g}[i * 3 + k % 3 + 1])))
@@ -143,21 +144,14 @@ tt AS (SELECT s.fid AS si, m.fid AS mi, {_TEMPORAL} AS t FROM mt s, mt m WHERE s
 fs AS (SELECT si, mi, CASE WHEN t >= 0 THEN 0.7e0 * sim + 0.14e0 * sig + 0.16e0 * t ELSE 0.84e0 * sim + 0.16e0 * sig END AS sim FROM best JOIN sig USING (si, mi) JOIN tt USING (si, mi))"""
 
 
-def _frame_sims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _crossed(spark, sf_dir, "variants", *_SIGNED, "t_delta", "t_mag")
-    t = temporal_sim(*map(F.col, ("s_t_delta", "s_t_mag", "m_t_delta", "m_t_mag")))
-    parts = df.select("si", "mi", sc.best_cross(F.col("s_variants"), F.col("m_variants")).alias("h"), _sig(df).alias("g"), t.alias("t"))
-    return parts.select("si", "mi", F.round(frame_sim(F.col("h"), F.col("g"), F.col("t")), 6).alias("sim"))
-
-
 @query("frame_sim", f"WITH {_FRAME_SIM_SQL} SELECT si, mi, round(sim, 6) AS sim FROM fs")
 def frame_sims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _frame_sims(spark, sf_dir)
+    return _scan(spark, sf_dir, "frame")
 
 
 @query("forced_best_match", f"WITH {_FRAME_SIM_SQL} SELECT si, mi, round(sim, 6) AS sim FROM fs {_FIRST}")
 def forced_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sc.best(_frame_sims(spark, sf_dir))
+    return sc.best(_scan(spark, sf_dir, "frame", 1))
 
 
 @query("frame_detail", f"""
@@ -267,13 +261,11 @@ def regression_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("forced_groups", f"""
-WITH {POINTS_SQL}, a AS (SELECT *, CASE WHEN abs(mi - (lag(mi) OVER w + si - lag(si) OVER w)) <= 4 THEN 0 ELSE 1 END AS fresh FROM p WINDOW w AS (PARTITION BY seq_id ORDER BY si)),
+WITH {POINTS_SQL}, p2 AS (SELECT seq_id, si, sim, mi * CASE WHEN si % 60 < 30 THEN 1 ELSE 2 END AS mi FROM p), a AS (SELECT *, CASE WHEN abs(mi - (lag(mi) OVER w + si - lag(si) OVER w)) <= 50 THEN 0 ELSE 1 END AS fresh FROM p2 WINDOW w AS (PARTITION BY seq_id ORDER BY si)),
 b AS (SELECT *, sum(fresh) OVER (PARTITION BY seq_id ORDER BY si) AS g FROM a)
 SELECT seq_id, CAST(g AS BIGINT) AS grp, min(si) AS first_si, max(si) AS last_si, count(*) AS frames, round(avg(sim), 6) AS sim FROM b GROUP BY ALL""")
 def forced_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("seq_id").orderBy("si")
-    expected = F.lag("mi").over(w) + F.col("si") - F.lag("si").over(w)
-    rows = points(spark, sf_dir).withColumn("_f", F.when(F.abs(F.col("mi") - expected) <= 4, 0).otherwise(1)).withColumn("grp", F.sum("_f").over(w))
+    rows = fr.forced_groups(points(spark, sf_dir).withColumn("mi", F.col("mi") * F.when(F.col("si") % 60 < 30, 1).otherwise(2)))
     return rows.groupBy("seq_id", "grp").agg(F.min("si").alias("first_si"), F.max("si").alias("last_si"), F.count("*").alias("frames"), F.round(F.avg("sim"), 6).alias("sim"))
 
 
@@ -287,13 +279,16 @@ a AS (SELECT doc_id, item_id, bucket, count(*) AS votes, min(si * 1000000 + mi)
 SELECT doc_id, item_id, bucket, votes, CAST(f % 1000000 - f // 1000000 AS BIGINT) AS "offset", CAST(row_number() OVER (PARTITION BY doc_id, item_id ORDER BY votes DESC, bucket) AS INT) AS rank FROM a
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY votes DESC, bucket) <= 20""")
 def offset_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles meet by their 64-bit hashes; frequent ones of a document that
+    no item has never leave the scan where the items are broadcast."""
+
     def shingles(df: DataFrame, key: str, at: str) -> DataFrame:
         words = df.select(key, F.split("text", " ").alias("t")).filter(F.size("t") >= 5)
         places = F.sequence(F.lit(1), F.size("t") - 4)
-        return words.select(key, F.posexplode(F.transform(places, lambda i: F.array_join(F.slice("t", i, 5), " "))).alias(at, "g"))
+        return words.select(key, F.posexplode(F.transform(places, lambda i: F.xxhash64(F.array_join(F.slice("t", i, 5), " ")))).alias(at, "g"))
 
     docs, items = shingles(table(spark, sf_dir, "documents"), "doc_id", "mi"), shingles(table(spark, sf_dir, "benchmark"), "item_id", "si")
-    if items.count() * 128 <= sc.BROADCAST_BYTES:  # else both sides are shuffled by shingle
+    if sc.measured_bytes(items) <= sc.BROADCAST_BYTES:  # else both sides are shuffled by shingle
         items = F.broadcast(items)
     pairs = docs.join(items, "g").select("doc_id", "item_id", F.col("si").cast("long").alias("si"), F.col("mi").cast("long").alias("mi"), F.lit(1.0).alias("sim"))
     return sc.offset_votes(pairs, ["doc_id", "item_id"]).select("doc_id", "item_id", "bucket", "votes", "offset", "rank")
@@ -311,6 +306,32 @@ def speed_sweep_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(got, "score")
 
 
+_SWEPT = """sg AS (SELECT slope, anchor, si, CAST(floor(anchor + slope * (si - mid) + 0.5e0) AS BIGINT) AS mi FROM (SELECT unnest([0.5e0, 0.6e0, 0.7e0, 0.8e0, 1.25e0, 1.5e0, 1.75e0, 2e0]) AS slope), (SELECT unnest(range(0, (SELECT len FROM l), 4)) AS anchor), q, mid),
+sw AS (SELECT slope, anchor, round(avg(sim), 6) AS score FROM sg JOIN fast USING (si, mi) WHERE mi >= 0 AND mi < (SELECT len FROM l) GROUP BY slope, anchor HAVING count(*) >= greatest(2, (SELECT n // 2 FROM n))),
+swo AS (SELECT *, row_number() OVER (PARTITION BY slope ORDER BY anchor) AS rn FROM sw)"""
+
+
+@query("speed_sweep_seeds", f"""
+WITH RECURSIVE {SCANS_SQL}, {_FRAME_SIM_SQL.replace(SCANS_SQL + ",", "", 1)}, n AS (SELECT count(*) AS n FROM q), l AS (SELECT count(*) AS len FROM f), mid AS (SELECT CAST(floor((min(si) + max(si)) / 2e0 + 0.5e0) AS BIGINT) AS mid FROM q), {_SWEPT},
+r AS (
+  SELECT slope, rn, anchor AS a, score AS s, 1 AS grp FROM swo WHERE rn = 1
+  UNION ALL
+  SELECT o.slope, o.rn, CASE WHEN o.anchor - r.a >= 50 OR o.score > r.s THEN o.anchor ELSE r.a END, CASE WHEN o.anchor - r.a >= 50 OR o.score > r.s THEN o.score ELSE r.s END, CASE WHEN o.anchor - r.a >= 50 THEN r.grp + 1 ELSE r.grp END
+  FROM r JOIN swo o ON o.slope = r.slope AND o.rn = r.rn + 1),
+ap AS (SELECT slope, arg_max(a, rn) AS anchor, arg_max(s, rn) AS score FROM r GROUP BY slope, grp),
+t4 AS (SELECT * FROM ap QUALIFY row_number() OVER (PARTITION BY slope ORDER BY score DESC, anchor) <= 4),
+bl AS (SELECT slope, anchor, round(0.5e0 * score + 0.5e0 * round(fs.sim, 6), 6) AS score FROM t4 JOIN fs ON fs.mi = anchor WHERE fs.si = (SELECT min(si) FROM q))
+SELECT slope, anchor, score, CAST(row_number() OVER (ORDER BY score DESC, slope, anchor) AS INT) AS rank FROM bl QUALIFY row_number() OVER (ORDER BY score DESC, slope, anchor) <= 12""")
+def speed_sweep_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first query frame stands for the one in the middle."""
+    f = fr.motion(frames(spark, sf_dir))
+    q = query_frames(f)
+    ends = q.agg(F.min("fid").alias("a"), F.max("fid").alias("b")).first()
+    swept = _round(sc.speed_sweep(q.select(F.col("fid").alias("si")), sc.scan(q, f), f.count(), int((ends["a"] + ends["b"]) / 2 + 0.5)), "score")
+    got = sc.sweep_seeds(swept, sc.scan(q.filter(F.col("fid") == ends["a"]), f, "frame", digits=6))
+    return _round(got, "score")
+
+
 @query("nearest_timestamp", f"""
 WITH {FRAMES_SQL}, r AS (SELECT video_id, min(ts) AS a, max(ts) AS b FROM f GROUP BY video_id),
 t AS (SELECT video_id, a + (b - a) * p / 100e0 AS target FROM r, (SELECT unnest([0, 10, 25, 50, 75, 90]) AS p))
@@ -323,11 +344,12 @@ def nearest_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("frame_duration", """
-WITH e AS (SELECT user_id, epoch_us(ts) / 1e6 AS t FROM events), s AS (SELECT user_id, t, t - lag(t) OVER (PARTITION BY user_id ORDER BY t) AS step FROM e),
-n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t) AS n FROM s WHERE step > 0), l AS (SELECT user_id, list_sort(list(step)) AS x FROM n WHERE n <= 200 GROUP BY user_id)
+WITH e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t FROM events), s AS (SELECT user_id, t - lag(t) OVER w AS step, row_number() OVER w AS n FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id // 5, event_id % 5 DESC)),
+l AS (SELECT user_id, list_sort(list(step)) AS x FROM s WHERE n BETWEEN 2 AND 201 AND step > 0 GROUP BY user_id)
 SELECT user_id, round(x[len(x) // 2 + 1], 5) AS duration FROM l""")
 def frame_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir).select("user_id", (F.unix_micros("ts") / 1e6).alias("ts"))
+    # Neighbours out of order: some steps of time are negative.
+    e = events(spark, sf_dir).select("user_id", (F.unix_micros("ts") / 1e6).alias("ts"), (F.floor(F.col("event_id") / 5) * 5 + 4 - F.col("event_id") % 5).alias("si"))
     return fr.frame_duration(e, "user_id").withColumn("duration", F.round("duration", 5))
 
 
@@ -337,12 +359,20 @@ def rolling_mean_50(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("event_id", F.round("rolling", 9).alias("rolling"))
 
 
-def _pipeline(spark: SparkSession, sf_dir: str, profile) -> Match:
+def _shorts_and_movie(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Blocks of a hundred frames are shorts; all frames are the movie."""
     f = frames(spark, sf_dir).withColumns({c: F.lit(None).cast("array<double>") for c in ("color", "skin", "detail")})  # unrelated colors would cut at each frame
     movie = f.withColumn("si", F.col("fid")).withColumn("ts", F.col("fid") / F.lit(25.0))
     short = f.withColumn("video_id", F.floor(F.col("fid") / 100).cast("long")).withColumn("si", F.col("fid") % 100).withColumn("ts", F.col("si") / F.lit(25.0))
-    return match(short, movie, profile)
+    return short, movie
+
+
+def _pipeline(spark: SparkSession, sf_dir: str, profile) -> Match:
+    return match(*_shorts_and_movie(spark, sf_dir), profile)
+
+
+def _aligned(spark: SparkSession, sf_dir: str, profile) -> DataFrame:
+    return align(*_shorts_and_movie(spark, sf_dir), profile)
 
 
 def _found(found: DataFrame) -> DataFrame:
@@ -365,31 +395,60 @@ def match_alternates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(_pipeline(spark, sf_dir, MAIN).alternates)
 
 
+@query("match_pool")
+def match_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(_pipeline(spark, sf_dir, MAIN).pool)
+
+
+@query("match_details")
+def match_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _pipeline(spark, sf_dir, MAIN).segments
+    sims = [F.round(f"detail.{c}", 6).alias(c) for c in ("structure_sim", "color_sim", "skin_sim", "detail_sim")]
+    return found.select("match_id", "seg_id", "best_si", "best_mi", "detail.crop", *sims, "detail.short_hash", "detail.movie_hash")
+
+
 @query("match_unmatched")
 def match_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = frames(spark, sf_dir)  # with their colors, which no other frame shares
-    movie = f.filter("video_id < 5").withColumn("si", F.row_number().over(Window.orderBy("fid")).cast("long") - 1).withColumn("ts", F.col("si") / F.lit(25.0))
+    movie = f.filter("video_id < 5").withColumn("si", F.col("fid")).withColumn("ts", F.col("fid") / F.lit(25.0))
     return match(f.filter("video_id >= 5"), movie, MAIN).unmatched
 
 
+@query("match_library")
+def match_library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each half of the videos against each video of the other."""
+    f = frames(spark, sf_dir)
+    return _found(match(f.filter("video_id >= 5"), f.filter("video_id < 5"), MAIN, single=False).segments)
+
+
+def _walked(found: DataFrame) -> DataFrame:
+    return found.select("match_id", "seg_id", F.explode("sequence").alias("x")).select("match_id", "seg_id", "x.si", "x.mi", F.round("x.similarity", 6).alias("sim"))
+
+
 @query("walk_full_coverage")
 def walk_full_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pool = _pipeline(spark, sf_dir, MAIN).alternates
-    return pool.select("match_id", "seg_id", F.explode("sequence").alias("x")).select("match_id", "seg_id", "x.si", "x.mi", F.round("x.similarity", 6).alias("sim"))
+    return _walked(_aligned(spark, sf_dir, MAIN).filter("kind = 'alternate'"))
 
 
 @query("walk_bidirectional")
 def walk_bidirectional(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _pipeline(spark, sf_dir, MAIN).segments.select("match_id", "short_start", "short_end", "movie_start", "movie_end")
-    return found.withColumn("covered", F.round(F.col("short_end") - F.col("short_start"), 6))
+    """The steps of the walks from seeds, both ways, gaps filled."""
+    return _walked(_aligned(spark, sf_dir, MAIN).filter("kind = 'segment' AND stage LIKE 'pass%'"))
 
 
 @query("consensus_votes", f"""
-WITH {SCANS_SQL}, v AS (SELECT CAST(floor((mi - si) / 8e0 + 0.5e0) AS BIGINT) AS bucket, si, mi, round(sim, 6) AS sim FROM best QUALIFY row_number() OVER (PARTITION BY si ORDER BY round(sim, 6) DESC, mi) <= 10),
+WITH RECURSIVE {SCANS_SQL}, o AS (SELECT si, mi, round(sim, 6) AS sim, row_number() OVER (PARTITION BY si ORDER BY mi) AS rn FROM best),
+r AS (
+  SELECT si, rn, mi AS m, sim AS s, 1 AS grp FROM o WHERE rn = 1
+  UNION ALL
+  SELECT o.si, o.rn, CASE WHEN o.mi - r.m >= 50 OR o.sim > r.s THEN o.mi ELSE r.m END, CASE WHEN o.mi - r.m >= 50 OR o.sim > r.s THEN o.sim ELSE r.s END, CASE WHEN o.mi - r.m >= 50 THEN r.grp + 1 ELSE r.grp END
+  FROM r JOIN o ON o.si = r.si AND o.rn = r.rn + 1),
+lm AS (SELECT si, arg_max(m, rn) AS mi, arg_max(s, rn) AS sim FROM r GROUP BY si, grp),
+v AS (SELECT CAST(floor((mi - si) / 8e0 + 0.5e0) AS BIGINT) AS bucket, si, mi, sim FROM lm QUALIFY row_number() OVER (PARTITION BY si ORDER BY sim DESC, mi) <= 10),
 g AS (SELECT bucket, count(*) AS votes, sum(sim) AS s FROM v GROUP BY bucket)
 SELECT bucket, votes, round(s, 4) AS sim_sum, CAST(row_number() OVER (ORDER BY votes DESC, round(s, 6) DESC, bucket) AS INT) AS rank FROM g QUALIFY row_number() OVER (ORDER BY votes DESC, round(s, 6) DESC, bucket) <= 20""")
 def consensus_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = sc.top_k(_scan(spark, sf_dir, sc.best_cross), 10)
+    top = sc.top_k(sc.local_maxima(_scan(spark, sf_dir, "best")), 10)
     votes = sc.offset_votes(top.withColumn("probe_set", F.lit(0)), ["probe_set"])
     return votes.select("bucket", "votes", F.round("sim_sum", 4).alias("sim_sum"), "rank")
 

@@ -17,15 +17,22 @@ def _round(df: DataFrame, *cols: str) -> DataFrame:
 
 
 @query("merge_adjacent", f"""
-WITH {SEGMENTS_SQL}, g AS (SELECT *, short_start - lag(short_end) OVER w AS sg, movie_start - lag(movie_end) OVER w AS mg FROM s WINDOW w AS (PARTITION BY match_id ORDER BY short_start, seg_id)),
+WITH RECURSIVE {SEGMENTS_SQL}, g AS (SELECT *, short_start - lag(short_end) OVER w AS sg, movie_start - lag(movie_end) OVER w AS mg FROM s WINDOW w AS (PARTITION BY match_id ORDER BY short_start, seg_id)),
 j AS (SELECT *, coalesce(sg BETWEEN -0.04e0 AND 0.52e0 AND mg >= -0.08e0 AND mg <= sg * 5 + 2.5e0, false) AS joins FROM g),
-i AS (SELECT *, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY match_id ORDER BY short_start, seg_id) AS island, row_number() OVER (PARTITION BY match_id ORDER BY short_start, seg_id) AS n FROM j)
+i AS (SELECT *, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY match_id ORDER BY short_start, seg_id) AS island, row_number() OVER (PARTITION BY match_id ORDER BY short_start, seg_id) AS n FROM j),
+r AS (
+  SELECT match_id, seg_id, n, confidence AS c, frame_count AS f, seg_id AS detail FROM i WHERE n = 1
+  UNION ALL
+  SELECT i.match_id, i.seg_id, i.n, CASE WHEN i.joins THEN (r.c * r.f + i.confidence * i.frame_count) / (r.f + i.frame_count) ELSE i.confidence END,
+    CASE WHEN i.joins THEN r.f + i.frame_count ELSE i.frame_count END, CASE WHEN i.joins AND r.c >= i.confidence THEN r.detail ELSE i.seg_id END
+  FROM r JOIN i ON i.match_id = r.match_id AND i.n = r.n + 1),
+d AS (SELECT match_id, seg_id, detail FROM r)
 SELECT match_id, round(min(short_start), 6) AS short_start, round(arg_max(short_end, n), 6) AS short_end, round(arg_min(movie_start, n), 6) AS movie_start, round(arg_max(movie_end, n), 6) AS movie_end,
   round(sum(confidence * frame_count) / sum(frame_count), 9) AS confidence, round(sum(speed_ratio * frame_count) / sum(frame_count), 9) AS speed_ratio, CAST(sum(frame_count) AS BIGINT) AS frame_count,
-  CAST(sum(gap_count) + coalesce(sum(CASE WHEN joins THEN floor(sg * 25 + 0.5e0) END), 0) AS BIGINT) AS gap_count, bool_or(is_approximate) AS is_approximate, count(*) AS merged
-FROM i GROUP BY match_id, island""")
+  CAST(sum(gap_count) + coalesce(sum(CASE WHEN joins THEN floor(sg * 25 + 0.5e0) END), 0) AS BIGINT) AS gap_count, bool_or(is_approximate) AS is_approximate, count(*) AS merged, arg_max(detail, n) AS detail_seg_id
+FROM i JOIN d USING (match_id, seg_id) GROUP BY match_id, island""")
 def merge_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = _round(iv.merge_adjacent(segments(spark, sf_dir)).drop("detail_seg_id"), *_TIMES)
+    got = _round(iv.merge_adjacent(segments(spark, sf_dir)).drop("members"), *_TIMES)
     return got.withColumns({c: F.round(c, 9) for c in ("confidence", "speed_ratio")})
 
 
@@ -37,11 +44,6 @@ def overlap_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iv.overlap_dedup(segments(spark, sf_dir))
 
 
-@query("candidate_list", fold_sql("s", "match_id", "confidence DESC, seg_id", ["seg_id", "movie_start"], "abs(k.movie_start - o.movie_start) <= 0.5e0", 10, SEGMENTS_SQL))
-def candidate_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return iv.near_dedup(segments(spark, sf_dir), ["match_id"], [-F.col("confidence"), F.col("seg_id")], ["seg_id", "movie_start"], limit=10)
-
-
 @query("broader_dedup", fold_sql("s", "match_id", "seg_id", ["seg_id", "movie_start"], "abs(k.movie_start - o.movie_start) <= 0.5e0", None, SEGMENTS_SQL))
 def broader_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iv.near_dedup(segments(spark, sf_dir), ["match_id"], [F.col("seg_id")], ["seg_id", "movie_start"])
@@ -130,6 +132,20 @@ def background_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iv.alternates(pool, ranges.drop("x_start"), ranges, most=10).select("match_id", "range_id", "seg_id", "rank")
 
 
+_LISTED = (
+    "(SELECT range_id, 0 AS n, range_id AS seg_id, x_start AS movie_start FROM rg UNION ALL "
+    "SELECT range_id, row_number() OVER (PARTITION BY range_id ORDER BY confidence DESC, seg_id), seg_id, movie_start FROM rg JOIN po USING (match_id) "
+    "WHERE least(short_end, r_end) - greatest(short_start, r_start) > 0.15e0 AND NOT abs(movie_start - x_start) <= 0.5e0)"
+)
+
+
+@query("candidate_list", fold_sql(_LISTED, "range_id", "n", ["seg_id", "movie_start"], "abs(k.movie_start - o.movie_start) <= 0.5e0", 10, f"{SEGMENTS_SQL}, {_RANGES}, {_POOL}"))
+def candidate_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranges, pool = _ranges(spark, sf_dir)
+    originals = ranges.select("match_id", "range_id", F.col("range_id").alias("seg_id"), F.col("x_start").alias("movie_start"))
+    return iv.candidate_list(originals, iv.alternates(pool, ranges.drop("x_start"), ranges)).drop("match_id")
+
+
 @query("range_lookup", f"""
 WITH {SEGMENTS_SQL}, {_RANGES}, {_POOL},
 c AS (SELECT po.match_id, range_id, seg_id, abs(short_start - r_start) <= 0.05e0 AND abs(short_end - r_end) <= 0.05e0 AS exact, least(short_end, r_end) - greatest(short_start, r_start) AS overlap FROM rg JOIN po USING (match_id))
@@ -142,15 +158,15 @@ def range_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("keep_best_dropped", f"""
 WITH {SEGMENTS_SQL}, st AS (SELECT match_id, match_id * 6 + kind AS set_id, min(short_start) AS r_start, min(short_start) + 0.6e0 AS r_end, max(seg_id) % 2 = 0 AS dropped FROM s GROUP BY match_id, kind),
-ca AS (SELECT match_id * 6 + kind AS set_id, seg_id AS cand_idx, CASE WHEN seg_id % 50 = 0 THEN 'accepted' ELSE 'rejected' END AS verdict, CASE WHEN seg_id % 5 > 0 THEN confidence END AS confidence_pct FROM s),
+ca AS (SELECT match_id * 6 + kind AS set_id, seg_id AS cand_idx, CASE WHEN seg_id % 50 = 0 THEN 'accepted' ELSE 'rejected' END AS verdict, CASE WHEN seg_id % 5 > 0 THEN confidence END AS confidence_pct, seg_id % 4 > 1 AS checked FROM s),
 fi AS (SELECT match_id, short_start, short_end FROM s WHERE seg_id % 11 = 0),
 lo AS (SELECT * FROM st WHERE dropped AND NOT EXISTS (SELECT 1 FROM fi WHERE fi.match_id = st.match_id AND least(short_end, r_end) - greatest(short_start, r_start) > 0.05e0) AND set_id NOT IN (SELECT set_id FROM ca WHERE verdict = 'accepted'))
-SELECT match_id, set_id, arg_max(cand_idx, coalesce(confidence_pct, -1) * 1e7 - cand_idx) AS cand_idx FROM ca JOIN lo USING (set_id) GROUP BY ALL""")
+SELECT match_id, set_id, arg_max(cand_idx, coalesce(confidence_pct, -1) * 1e7 - cand_idx) AS cand_idx FROM ca JOIN lo USING (set_id) WHERE checked GROUP BY ALL""")
 def keep_best_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = segments(spark, sf_dir).withColumn("set_id", F.col("match_id") * 6 + F.col("kind"))
     sets = s.groupBy("match_id", "set_id").agg(F.min("short_start").alias("r_start"), (F.min("short_start") + 0.6).alias("r_end"), (F.max("seg_id") % 2 == 0).alias("dropped"))
     verdict = F.when(F.col("seg_id") % 50 == 0, "accepted").otherwise("rejected").alias("verdict")
-    candidates = s.select("set_id", F.col("seg_id").alias("cand_idx"), verdict, F.when(F.col("seg_id") % 5 > 0, F.col("confidence")).alias("confidence_pct"))
+    candidates = s.select("set_id", F.col("seg_id").alias("cand_idx"), verdict, F.when(F.col("seg_id") % 5 > 0, F.col("confidence")).alias("confidence_pct"), (F.col("seg_id") % 4 > 1).alias("checked"))
     return iv.keep_best_dropped(candidates, sets, s.filter("seg_id % 11 = 0"))
 
 

@@ -14,7 +14,7 @@ from .base import SEGMENTS_SQL, events, segments, table
 #: Candidates of sets: segments of a match and kind, with made-up verdicts.
 _CANDIDATES = """c AS (SELECT match_id * 6 + kind AS set_id, match_id, seg_id AS ord, movie_start, seg_id % 3 > 0 AS checked,
   CASE WHEN seg_id % 10 = 0 THEN NULL ELSE seg_id % 4 = 0 END AS same, confidence AS confidence_pct,
-  CASE seg_id % 5 WHEN 0 THEN 'accepted' WHEN 1 THEN 'unverifiable' ELSE 'rejected' END AS verdict, CASE WHEN seg_id % 4 = 1 THEN confidence / 2 END AS match_likelihood FROM s)"""
+  CASE WHEN seg_id % 7 = 3 THEN NULL ELSE CASE seg_id % 5 WHEN 0 THEN 'accepted' WHEN 1 THEN 'unverifiable' ELSE 'rejected' END END AS verdict, CASE WHEN seg_id % 4 = 1 THEN confidence / 2 END AS match_likelihood FROM s)"""
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,16 +22,16 @@ def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments(spark, sf_dir).select(
         (F.col("match_id") * 6 + F.col("kind")).alias("set_id"), "match_id", n.alias("ord"), "movie_start", (n % 3 > 0).alias("checked"),
         F.when(n % 10 != 0, n % 4 == 0).alias("same"), F.col("confidence").alias("confidence_pct"),
-        F.when(n % 5 == 0, "accepted").when(n % 5 == 1, "unverifiable").otherwise("rejected").alias("verdict"),
+        F.when(n % 7 == 3, None).when(n % 5 == 0, "accepted").when(n % 5 == 1, "unverifiable").otherwise("rejected").alias("verdict"),
         F.when(n % 4 == 1, F.col("confidence") / 2).alias("match_likelihood"),
     )
 
 
 @query("verify_loop", f"""
 WITH {SEGMENTS_SQL}, {_CANDIDATES}, t AS (SELECT set_id, row_number() OVER (PARTITION BY set_id ORDER BY ord) AS rank, same, confidence_pct FROM c),
-u AS (SELECT *, sum(CAST(same IS NOT NULL AS INT)) OVER (PARTITION BY set_id ORDER BY rank) AS n FROM t), k AS (SELECT * FROM u WHERE n <= 10),
-g AS (SELECT set_id, min(CASE WHEN same AND confidence_pct >= 80 THEN rank END) AS accepted_rank, max(n) AS most, min(CASE WHEN same AND confidence_pct >= 80 THEN n END) AS till FROM k GROUP BY set_id)
-SELECT set_id, CAST(coalesce(till, most) AS BIGINT) AS attempts, CAST(accepted_rank AS INT) AS accepted_rank, CASE WHEN accepted_rank IS NOT NULL THEN 'accepted' WHEN most = 0 THEN 'inconclusive' ELSE 'rejected' END AS outcome FROM g""")
+k AS (SELECT * FROM t WHERE rank <= 10), a AS (SELECT set_id, min(rank) AS accepted_rank FROM k WHERE same AND confidence_pct >= 80 GROUP BY set_id),
+g AS (SELECT set_id, count(*) AS tried, count(same) AS said FROM k GROUP BY set_id)
+SELECT set_id, CAST(coalesce(accepted_rank, tried) AS BIGINT) AS attempts, CAST(accepted_rank AS INT) AS accepted_rank, CASE WHEN accepted_rank IS NOT NULL THEN 'accepted' WHEN said = 0 THEN 'inconclusive' ELSE 'rejected' END AS outcome FROM g LEFT JOIN a USING (set_id)""")
 def verify_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
@@ -60,10 +60,10 @@ def deferred_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ve.deferred_worklist(c, sets).select("set_id", "ord", "verdict")
 
 
-_SCORE = "coalesce(match_likelihood, CASE WHEN verdict = 'accepted' THEN confidence_pct ELSE 100 - confidence_pct END)"
+_SCORE = "coalesce(match_likelihood, CASE WHEN verdict IS NULL THEN NULL WHEN verdict = 'accepted' THEN confidence_pct ELSE 100 - confidence_pct END)"
 
 
-@query("best_effort_pick", f"WITH {SEGMENTS_SQL}, {_CANDIDATES}, x AS (SELECT set_id, ord, {_SCORE} AS sc FROM c) SELECT set_id, ord AS cand_idx, round(sc, 6) AS score FROM x QUALIFY row_number() OVER (PARTITION BY set_id ORDER BY sc DESC, ord) = 1")
+@query("best_effort_pick", f"WITH {SEGMENTS_SQL}, {_CANDIDATES}, x AS (SELECT set_id, ord, {_SCORE} AS sc FROM c WHERE {_SCORE} IS NOT NULL) SELECT set_id, ord AS cand_idx, round(sc, 6) AS score FROM x QUALIFY row_number() OVER (PARTITION BY set_id ORDER BY sc DESC, ord) = 1")
 def best_effort_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ve.best_effort(_candidates(spark, sf_dir).withColumnRenamed("ord", "cand_idx")).withColumn("score", F.round("score", 6))
 
@@ -147,10 +147,13 @@ def backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", tx.backoff_ms(F.col("p_size") % 5).alias("wait_ms"))
 
 
-@query("daily_limit", "SELECT event_id, event_id % 3 = 0 OR event_id % 3 = 1 AS daily FROM events")
+#: Answers of a server: quota messages of several kinds around an event's own text.
+_MESSAGES = """CASE event_id % 5 WHEN 0 THEN 'GenerateRequestsPerDayPerProject' WHEN 1 THEN 'quota per Day exceeded' WHEN 2 THEN 'too many requests per minute' WHEN 3 THEN 'DAILY limit' ELSE NULL END"""
+
+
+@query("daily_limit", f"SELECT event_id, coalesce(lower(m) LIKE '%perday%' OR lower(m) LIKE '%per day%' OR contains(lower(m), 'daily'), false) AS daily FROM (SELECT event_id, {_MESSAGES} || ' ' || props AS m FROM events)")
 def daily_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("event_id") % 3
-    message = F.when(n == 0, "GenerateRequestsPerDayPerProject").when(n == 1, "quota per Day exceeded").otherwise("too many requests per minute")
+    message = F.concat(F.expr(_MESSAGES), F.lit(" "), F.col("props"))
     return events(spark, sf_dir).select("event_id", tx.is_daily_limit(message).alias("daily"))
 
 
@@ -176,10 +179,9 @@ def verdict_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("deferred_pass", f"""
 WITH {SEGMENTS_SQL}, {_CANDIDATES}, d AS (SELECT set_id, max(ord) % 3 > 0 AS dropped FROM c GROUP BY set_id),
 wl AS (SELECT * FROM c WHERE (NOT checked OR verdict = 'unverifiable') AND set_id IN (SELECT set_id FROM d WHERE dropped)),
-t AS (SELECT set_id, row_number() OVER (PARTITION BY set_id ORDER BY ord) AS rank, same, confidence_pct FROM wl),
-u AS (SELECT *, sum(CAST(same IS NOT NULL AS INT)) OVER (PARTITION BY set_id ORDER BY rank) AS n FROM t), k AS (SELECT * FROM u WHERE n <= 10)
-SELECT set_id, CAST(coalesce(min(CASE WHEN same AND confidence_pct >= 80 THEN n END), max(n)) AS BIGINT) AS attempts, CAST(min(CASE WHEN same AND confidence_pct >= 80 THEN rank END) AS INT) AS accepted_rank,
-  CASE WHEN count_if(same AND confidence_pct >= 80) > 0 THEN 'accepted' WHEN max(n) = 0 THEN 'inconclusive' ELSE 'rejected' END AS outcome FROM k GROUP BY set_id""")
+t AS (SELECT set_id, row_number() OVER (PARTITION BY set_id ORDER BY ord) AS rank, same, confidence_pct FROM wl)
+SELECT set_id, CAST(coalesce(min(CASE WHEN same AND confidence_pct >= 80 THEN rank END), count(*)) AS BIGINT) AS attempts, CAST(min(CASE WHEN same AND confidence_pct >= 80 THEN rank END) AS INT) AS accepted_rank,
+  CASE WHEN count_if(same AND confidence_pct >= 80) > 0 THEN 'accepted' WHEN count(same) = 0 THEN 'inconclusive' ELSE 'rejected' END AS outcome FROM t GROUP BY set_id""")
 def deferred_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _candidates(spark, sf_dir)
     return ve.deferred_pass(c, c.groupBy("set_id").agg((F.max("ord") % 3 > 0).alias("dropped")))

@@ -10,7 +10,10 @@ from cliptrace.operators import intervals as iv
 from cliptrace.operators import verification as ve
 from cliptrace.plans import match as plan
 from cliptrace.plans import retry as rt
-from cliptrace.plans.align import CANDIDATE, MAIN, Aligner, Frames
+from cliptrace.functions.blocks import Frames, Layout
+from cliptrace.plans.align import CANDIDATE, MAIN, Aligner
+
+from . import plain_matching as plain
 
 FRAME = "video_id string, si long, ts double, variants array<struct<name string, a array<long>, d array<long>, fa array<long>, fd array<long>, p array<long>>>, color array<double>, skin array<double>, detail array<double>"
 
@@ -73,11 +76,114 @@ def test_order_and_partitions_do_not_matter(clip):
     assert one == two
 
 
-def test_large_movies_travel_with_their_chunks(clip, monkeypatch):
+def test_groups_and_blocks_do_not_matter(clip, spark, monkeypatch):
     one = plan.match(*clip, MAIN).segments.collect()
-    monkeypatch.setattr(plan, "BROADCAST_BYTES", 0)
-    monkeypatch.setattr(plan, "SALTS", 2)
-    assert plan.match(*clip, MAIN).segments.collect() == one
+    monkeypatch.setattr(plan, "SHORT_FRAMES", 7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 13)  # many blocks of the movie
+    try:
+        assert plan.match(*clip, MAIN).segments.collect() == one
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def colored(rng, n, scenes):
+    """Frames with three variants, all channels and slowly changing grids."""
+    out, color, bits = [], None, None
+    for k in range(n):
+        if k % scenes == 0 or color is None:
+            color, bits = rng.integers(0, 256, 48).astype(float), {c: rng.integers(0, 2, (3, b)) for c, b in (("a", 64), ("d", 96), ("fa", 64), ("fd", 96), ("p", 64))}
+        color = np.clip(color + rng.normal(0, 2, 48), 0, 255)
+        bits = {c: x ^ (rng.random(x.shape) < 0.03) for c, x in bits.items()}
+        words = lambda x: [int(sum(int(b) << j for j, b in enumerate(x[w : w + 32]))) for w in range(0, len(x), 32)]
+        variants = [{"name": name, **{c: words(bits[c][v]) for c in bits}} for v, name in enumerate(("full", "crop", "zoom"))]
+        out.append({"variants": variants, "color": color.tolist(), "skin": rng.random(16).tolist(), "detail": (rng.random(16) * 30).tolist()})
+    return out
+
+
+def edited(rng, movie, spans, rate, turned=False):
+    """Spans of the movie (start, frames, step), a little changed, one after another."""
+    out = []
+    for start, n, step in spans:
+        for k in range(n):
+            f = movie[min(len(movie) - 1, int(start + k * step))] if start is not None else colored(rng, 1, 1)[0]
+            noisy = [{**v, **{c: [w ^ (1 << int(rng.integers(0, 32))) if rng.random() < 0.3 else w for w in v[c]] for c in ("a", "d", "p")}} for v in f["variants"]]
+            if turned:
+                noisy = [{**v, "a": v["fa"], "d": v["fd"], "fa": v["a"], "fd": v["d"]} for v in noisy]
+            out.append({**f, "variants": noisy, "color": np.clip(np.array(f["color"]) + rng.normal(0, 1.5, 48), 0, 255).tolist(), "ts": len(out) / rate})
+    return out
+
+
+@pytest.mark.parametrize("profile", ["main", "candidate"])
+def test_matching_equals_plain_loops(spark, profile):
+    rng = np.random.default_rng(12)
+    movie = [f | {"ts": k / 25} for k, f in enumerate(colored(rng, 210, 35))]
+    shorts = {
+        "a": edited(rng, movie, [(20, 24, 1), (120, 18, 2), (None, 14, 1), (60, 16, 1)], 25),
+        "b": edited(rng, movie, [(150, 20, 0.5), (5, 12, 1)], 10, turned=True),
+        "c": [{**f, "color": None, "skin": None, "detail": None} for f in edited(rng, movie, [(90, 15, 1), (None, 12, 1), (40, 5, 1)], 30)],
+    }
+    rows = lambda name, video: [(name, k, f["ts"], [tuple(v[c] for c in ("name", "a", "d", "fa", "fd", "p")) for v in f["variants"]], f["color"], f["skin"], f["detail"]) for k, f in enumerate(video)]
+    short = spark.createDataFrame([r for n, v in shorts.items() for r in rows(n, v)], FRAME)
+    got = plan.match(short, spark.createDataFrame(rows("m", movie), FRAME), {"main": MAIN, "candidate": CANDIDATE}[profile])
+    # The same whatever the groups; one movie of a library is that movie.
+    times = ("short_start", "short_end", "movie_start", "movie_end", "confidence", "speed_ratio")
+    flat = lambda x: [*(round(x[c], 6) for c in times), x["frame_count"], x["gap_count"], x["is_approximate"]]
+    found, free, pool, everything = (getattr(got, n).collect() for n in ("segments", "unmatched", "alternates", "pool"))
+    n_segments = n_merged = 0
+    for name, video in shorts.items():
+        want, want_free, want_pool, want_merged = plain.whole(video, movie, profile)
+        mine = sorted((x for x in found if x["match_id"] == name), key=lambda x: x["short_start"])
+        assert [flat(x) for x in mine] == [flat(x) for x in want], name
+        for x, y in zip(mine, want, strict=True):
+            d = x["detail"]
+            assert d["crop"] == y["detail"][0]
+            assert [d[c] for c in ("structure_sim", "color_sim", "skin_sim", "detail_sim")] == pytest.approx(y["detail"][1:])
+            assert d["short_hash"] == video[x["best_si"]]["variants"][0]["a"] and d["movie_hash"] == movie[x["best_mi"]]["variants"][0]["a"]
+        assert sorted((round(u["short_start"], 6), round(u["short_end"], 6), u["frames"]) for u in free if u["video_id"] == name) == [(round(a, 6), round(b, 6), n) for a, b, n in want_free]
+        alternates = [x for x in pool if x["match_id"] == name]
+        assert sorted(flat(x) for x in alternates) == sorted(flat(x) for x in want_pool)
+        steps = lambda x: [(p["si"], p["mi"], round(p["similarity"], 6)) for p in x["sequence"]]
+        assert sorted(map(steps, alternates)) == sorted([(a, b, round(c, 6)) for a, b, c in x["seq"]] for x in want_pool)
+        assert sorted(flat(x) for x in everything if x["match_id"] == name) == sorted(flat(x) for x in [*want_merged, *want_pool])
+        n_segments, n_merged = n_segments + len(want), n_merged + len(want_merged)
+    assert n_segments >= 6 and pool
+
+
+def test_library_matches_each_movie(clip, spark):
+    short, movie = clip
+    noise_only = movie.filter("si < 90").withColumn("video_id", F.lit("other"))
+    got = plan.match(short.unionByName(short.withColumn("video_id", F.lit("again"))), movie.unionByName(noise_only), MAIN, single=False)
+    ids = {r["match_id"]: r for r in got.segments.filter("NOT is_approximate").collect()}
+    assert set(ids) == {"short/movie", "again/movie"} and ids["short/movie"]["frame_count"] == 80
+    assert {r["match_id"] for r in got.unmatched.collect()} <= {"short/other", "again/other"}
+    one = plan.match(short, movie, MAIN).segments.first()
+    assert all(ids["short/movie"][c] == one[c] for c in ("movie_start", "movie_end", "short_end", "confidence", "detail"))
+
+
+def test_merge_keeps_the_detail_of_the_running_confidence(spark):
+    rows = [("m", k, k * 1.0, k + 1.0, k * 1.0, k + 1.0, c, 10, 0, 1.0, False) for k, c in enumerate([90.0, 50.0, 80.0])]
+    df = spark.createDataFrame(rows, "match_id string, seg_id long, short_start double, short_end double, movie_start double, movie_end double, confidence double, frame_count int, gap_count int, speed_ratio double, is_approximate boolean")
+    r = iv.merge_adjacent(df).collect()
+    assert len(r) == 1 and r[0]["detail_seg_id"] == 2 and r[0]["members"] == [0, 1, 2]
+
+
+def test_every_tried_candidate_is_an_attempt(spark):
+    rows = [(1, k, None if k <= 10 else True, 90.0) for k in range(1, 12)] + [(2, 1, None, None), (2, 2, True, 95.0)] + [(3, k, False, 99.0) for k in range(1, 4)] + [(4, 1, None, None)]
+    df = spark.createDataFrame(rows, "set_id long, rank int, same boolean, confidence_pct double")
+    got = {r["set_id"]: (r["attempts"], r["accepted_rank"], r["outcome"]) for r in ve.verify(df, ["set_id"]).collect()}
+    assert got == {1: (10, None, "inconclusive"), 2: (2, 2, "accepted"), 3: (3, None, "rejected"), 4: (1, None, "inconclusive")}
+    sets = spark.createDataFrame([(1, True)], "set_id long, dropped boolean")
+    put_off = df.filter("set_id = 1").selectExpr("set_id", "rank AS ord", "same", "confidence_pct", "false AS checked", "CAST(NULL AS STRING) AS verdict")
+    r = ve.deferred_pass(put_off, sets).first()
+    assert (r["attempts"], r["accepted_rank"], r["outcome"]) == (11, 11, "accepted")
+
+
+def test_keep_best_takes_checked_candidates_only(spark):
+    sets = spark.createDataFrame([(1, 1, 0.0, 1.0, True), (2, 1, 5.0, 6.0, True)], "set_id long, match_id long, r_start double, r_end double, dropped boolean")
+    made = "set_id long, cand_idx long, checked boolean, verdict string, confidence_pct double"
+    candidates = spark.createDataFrame([(1, 0, False, None, 99.0), (2, 0, False, None, 99.0), (2, 1, True, "rejected", None), (2, 2, True, "rejected", 10.0), (2, 3, True, "rejected", 10.0)], made)
+    nothing = spark.createDataFrame([], "match_id long, short_start double, short_end double")
+    assert [(r["set_id"], r["cand_idx"]) for r in iv.keep_best_dropped(candidates, sets, nothing).collect()] == [(2, 2)]
 
 
 def test_noise_is_approximate_at_most(spark):
@@ -92,16 +198,19 @@ def test_noise_is_approximate_at_most(spark):
     assert empty.segments.count() == 0 and empty.unmatched.agg(F.sum("frames")).first()[0] == 30
 
 
+def hashed(n, **channels):
+    """Frames of one variant with these hashes (frame x word)."""
+    none = {g: (np.zeros((n, w)), np.zeros(n, bool)) for g, w in (("color", 48), ("skin", 16), ("detail", 16))}
+    words = {c: x.shape[1] for c, x in channels.items()}
+    return Frames(np.arange(n), np.arange(n) / 25, {c: np.ascontiguousarray(x).view(np.uint64)[:, None] for c, x in channels.items()}, Layout(["full"], words), none)
+
+
 def test_mirrored_and_sped_up_clips():
     rng = np.random.default_rng(1)
-    base = rng.integers(0, 2**32, (200, 1, 8), np.uint64).astype(np.uint32)
-    movie = Frames(np.arange(200) / 25, {"a": rng.integers(0, 2**32, (200, 1, 8), np.uint64).astype(np.uint32), "fa": base})
-    short = Frames(np.arange(40) / 25, {"a": base[60:100]})
-    segments, _ = Aligner(short, movie, np.zeros(41, bool), MAIN, 3).chunk((0, 39), 82, 9)
+    base, other = (rng.integers(0, 2**32, (200, 8), np.uint64).astype(np.uint32) for _ in range(2))
+    segments, _ = Aligner(hashed(40, a=base[60:100]), hashed(200, a=other, fa=base), np.zeros(41, bool), MAIN, 3).chunk((0, 39), 82, 9)
     assert [x[1] for x in segments[0]["seq"]] == list(range(60, 100))
-    fast = Frames(np.arange(40) / 25, {"a": base[20:100:2]})
-    movie = Frames(np.arange(200) / 25, {"a": base})
-    aligner = Aligner(fast, movie, np.zeros(41, bool), MAIN, 3)
+    aligner = Aligner(hashed(40, a=base[20:100:2]), hashed(200, a=base), np.zeros(41, bool), MAIN, 3)
     segments, _ = aligner.chunk((0, 39), 82, 9)
     assert [x[1] for x in segments[0]["seq"]] == list(range(20, 100, 2))
     assert aligner.summary(segments[0]["seq"])["speed_ratio"] == pytest.approx(2.0)
