@@ -58,7 +58,8 @@ URL_SEEDS = ["adult", "ads", "bets", "casino", "pills", "spam"]
 def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judge every url by the listed rules, else by mined ones."""
     pages = documents(spark, sf_dir, "pages").select("page_id", "url")
-    mined = urlfilter.mine(urlfilter.seed_labels(pages, URL_SEEDS))
+    # The words that made the labels are no tokens of rules: what is mined is what goes with them.
+    mined = urlfilter.mine(urlfilter.seed_labels(pages, URL_SEEDS), masked=[f"h:{w}" for w in URL_SEEDS])
     return urlfilter.judge(pages, URL_RULES, mined).select("page_id", "host", "path", "rule", "verdict", "mined_rules")
 
 
@@ -86,7 +87,7 @@ def digests(decoded: DataFrame) -> DataFrame:
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Article text of every page."""
     pages = documents(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return extract.extract(pages).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+    return extract.extract(pages, extract.fit(pages)).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
