@@ -5,12 +5,13 @@ each round every sequence merges its lowest-rank (best-scored, then leftmost)
 pair, all sequences at once; the symbols that survive are counted.
 
 Counts equal the library's without begin, end or added special tokens.  Null
-texts count as empty; texts of any length are counted whole.
+texts count as empty; texts of any length are counted whole, by the same merges;
+repeated rows count alike; an empty table stays empty.  A column of the output's
+name is replaced, others are kept.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections.abc import Iterator
 
@@ -24,16 +25,51 @@ from .common import broadcast_bytes, only
 
 #: Bound on the model file that is broadcast, in bytes.
 MAX_MODEL_BYTES = 64 << 20
-#: Units of more symbols than this are merged one at a time, by a heap.
-LONG_UNIT = 64
 #: Distinct units that a worker remembers between batches.
 CACHE_ENTRIES = 600_000
-#: Units that are merged in one ragged array.
-UNITS_AT_ONCE = 150_000
+#: Symbols that are merged in one ragged array.
+SYMBOLS_AT_ONCE = 1 << 20
 _SPACE = "▁"  # the model's sign for a space
 _NONE = np.iinfo(np.int64).max
 
 
+# The number that marks a user-defined piece in a model file, and
+# characters that usual normalizers change.
+_USER_DEFINED = 4
+_PROBE = "ﬁ Ａ  é e\u0301 ①  x "
+
+
+def _piece_types(raw: bytes) -> Iterator[int]:
+    """The type of each piece of a model file (field 3 of its messages 1)."""
+
+    def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+        at = 0
+
+        def number() -> int:
+            nonlocal at
+            out = shift = 0
+            while True:
+                b = data[at]
+                at += 1
+                out |= (b & 127) << shift
+                shift += 7
+                if b < 128:
+                    return out
+
+        while at < len(data):
+            name, kind = divmod(number(), 8)
+            if kind == 0:
+                yield name, number()
+            else:
+                n = {1: 8, 5: 4}.get(kind) or number()
+                yield name, data[at : at + n]
+                at += n
+
+    for name, piece in fields(raw):
+        if name == 1:
+            yield next((v for f, v in fields(piece) if f == 3), 1)
+
+
 class PieceModel:
     """Pieces and scores of a sentence-piece BPE model with byte fallback."""
 
@@ -41,6 +77,10 @@ class PieceModel:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_proto=raw)
+        if _USER_DEFINED in set(_piece_types(raw)):
+            raise ValueError("user-defined pieces are not supported")
+        if sp.normalize(_PROBE).replace(_SPACE, " ") != " " + _PROBE:
+            raise ValueError("models that normalize texts are not supported")
         n = sp.get_piece_size()
         normal = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         self.id = {sp.id_to_piece(i): i for i in normal}
@@ -64,6 +104,13 @@ class PieceModel:
                     to.append(i)
         order = np.argsort(np.array(keys, np.int64))
         self.keys, self.to = np.array(keys, np.int64)[order], np.array(to, np.int64)[order]
+        # Ranks whose merge can make a pair of an earlier rank, or that several
+        # pieces share: their places are merged one at a time.
+        self.hasty = np.bincount(self.rank_of[normal], minlength=n) > 1
+        for part in (self.keys // self.size, self.keys % self.size):
+            known = part < n
+            earlier = self.rank_of[self.to[known]] < self.rank_of[part[known]]
+            self.hasty[self.rank_of[part[known][earlier]]] = True
 
     def _part(self, p: str, n: int) -> int | None:
         return self.id.get(p)
@@ -78,32 +125,32 @@ class PieceModel:
         return np.where(hit, self.rank_of[to], _NONE), to
 
     def count(self, units: list[str]) -> np.ndarray:
-        """Tokens of each unit."""
+        """Tokens of each unit.  Units of like length are merged together, so
+        that a long one does not keep short ones waiting."""
         lens = np.fromiter(map(len, units), np.int64, len(units))
         out = np.zeros(len(units), np.int64)
-        short = np.flatnonzero((lens > 0) & (lens <= LONG_UNIT))
-        for lo in range(0, len(short), UNITS_AT_ONCE):
-            at = short[lo : lo + UNITS_AT_ONCE]
+        order = np.argsort(lens, kind="stable")
+        order = order[lens[order] > 0]
+        total, size = np.cumsum(lens[order]), np.frexp(lens[order].astype(float))[1]
+        lo = 0
+        while lo < len(order):
+            hi = min(int(np.searchsorted(total, total[lo] - lens[order[lo]] + SYMBOLS_AT_ONCE, side="right")), int(np.searchsorted(size, max(size[lo], 6), side="right")))
+            at = order[lo : max(hi, lo + 1)]
             out[at] = self._ragged([units[i] for i in at], lens[at])
-        for i in np.flatnonzero(lens > LONG_UNIT):
-            out[i] = self._single(units[i])
+            lo += len(at)
         return out
 
     def _ragged(self, units: list[str], lens: np.ndarray) -> np.ndarray:
+        """Rounds of merges: in each, every sequence applies its lowest-rank
+        pair, at all its places at once where no merge of that rank can lead to
+        an earlier one, else at the leftmost."""
         sym = self.start[np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)].astype(np.int64)
-        out = np.zeros(len(units), np.int64)
-        seq = np.arange(len(units))
-        while len(seq):
-            first = np.cumsum(lens) - lens
-            last = first + lens - 1
-            rank = np.full(len(sym), _NONE)
-            if len(sym) > 1:
-                rank[:-1] = self.pairs(sym[:-1], sym[1:])[0]
-            rank[last] = _NONE
-            return self._rounds(sym, rank, first, lens, seq, out)
-        return out
-
-    def _rounds(self, sym, rank, first, lens, seq, out) -> np.ndarray:
+        out, seq = np.zeros(len(units), np.int64), np.arange(len(units))
+        first = np.cumsum(lens) - lens
+        rank = np.full(len(sym), _NONE)
+        if len(sym) > 1:
+            rank[:-1] = self.pairs(sym[:-1], sym[1:])[0]
+        rank[first + lens - 1] = _NONE
         while True:
             low = np.minimum.reduceat(rank, first)
             done = low == _NONE
@@ -115,61 +162,30 @@ class PieceModel:
                 if not len(seq):
                     return out
                 first = np.cumsum(lens) - lens
-            # the leftmost place of the lowest rank in each sequence
             hit = np.flatnonzero(rank == np.repeat(low, lens))
             owner = np.searchsorted(first, hit, side="right") - 1
             lead = np.ones(len(hit), bool)
             lead[1:] = owner[1:] != owner[:-1]
-            at = hit[lead]
+            # Overlapping places: every second one of a run, from its left.
+            run = np.ones(len(hit), bool)
+            run[1:] = hit[1:] != hit[:-1] + 1
+            begin = np.flatnonzero(run)
+            apart = (np.arange(len(hit)) - np.repeat(begin, np.diff(np.append(begin, len(hit))))) % 2 == 0
+            chosen = np.where(self.hasty[low[owner]], lead, apart)
+            at, owner = hit[chosen], owner[chosen]
             sym[at] = self.pairs(sym[at], sym[at + 1])[1]
-            end = first + lens - 1
-            rank[at] = _NONE
-            more = at + 1 < end  # a symbol follows the merged pair
-            p = at[more]
-            rank[p] = self.pairs(sym[p], sym[p + 2])[0]
-            more = at > first  # a symbol stands before it
-            p = at[more]
-            rank[p - 1] = self.pairs(sym[p - 1], sym[p])[0]
             keep = np.ones(len(sym), bool)
             keep[at + 1] = False
             sym, rank = sym[keep], rank[keep]
-            lens = lens - 1
+            lens = lens - np.bincount(owner, minlength=len(lens))
             first = np.cumsum(lens) - lens
-
-    def _single(self, unit: str) -> int:
-        """A long unit: the same order of merges, kept in a heap."""
-        sym = self.start[np.frombuffer(unit.encode("utf-32-le"), np.uint32)].tolist()
-        n = len(sym)
-        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        rank_of, table = self.rank_of, self._table()
-        heap = []
-
-        def offer(i: int, j: int) -> None:
-            if i >= 0 and j >= 0 and (to := table.get(sym[i] * self.size + sym[j])) is not None:
-                heap.append((int(rank_of[to]), i, sym[i], sym[j], to)) if first else heapq.heappush(heap, (int(rank_of[to]), i, sym[i], sym[j], to))
-
-        first = True
-        for i in range(n - 1):
-            offer(i, i + 1)
-        heapq.heapify(heap)
-        first = False
-        while heap:
-            _, i, a, b, to = heapq.heappop(heap)
-            j = after[i]
-            if sym[i] != a or j < 0 or sym[j] != b:
-                continue
-            sym[i], sym[j], after[i] = to, -1, after[j]
-            if after[i] >= 0:
-                before[after[i]] = i
-            offer(i, after[i])
-            offer(before[i], i)
-        weight = self.weight
-        return int(sum(weight[s] for s in sym if s >= 0))
-
-    def _table(self) -> dict[int, int]:
-        if not hasattr(self, "_dict"):
-            self._dict = dict(zip(self.keys.tolist(), self.to.tolist(), strict=True))
-        return self._dict
+            at = at - np.arange(len(at))  # one symbol went for each place before
+            rank[at] = _NONE
+            last = (first + lens - 1)[owner]
+            p = at[at < last]
+            rank[p] = self.pairs(sym[p], sym[p + 1])[0]
+            p = at[at > first[owner]]
+            rank[p - 1] = self.pairs(sym[p - 1], sym[p])[0]
 
 
 _CUT = re.compile(f"(?<=[^{_SPACE}])(?={_SPACE})")
