@@ -6,8 +6,15 @@ Spark writes to and a lost task is simply run again.  ``read`` parses whole
 records by their content lengths.  ``assemble`` joins the records of a capture
 through their ``WARC-Concurrent-To`` identifiers into one nested row.
 
-A null payload is an empty one.  Repeated pages are separate captures.  Control
-characters of a url are percent-encoded in headers.
+A file is one gzip member, as Spark's writer makes it; files of one member per
+record are read as well.  Reading inflates a file piece by piece and holds one
+record.  A torn record or member is an error.
+
+A null payload is an empty one.  Repeated pages are separate captures; of equal
+payloads the smallest key, then the smallest url, is the response.  Payloads of
+any length are written whole.  An empty table gives archives without records.
+Control characters of a url are percent-encoded in headers.  Columns other than
+key, url and payload are not stored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,8 +30,9 @@ from pyspark.sql import types as T
 
 from .common import cut
 
-#: Pages a file holds at most; bounds what a reading task has in memory.
-PAGES_PER_FILE = 4_000
+#: Pages of up to ``SMALL_BYTES`` that a file holds at most; of pages up to twice
+#: as long, half as many, and so on.
+PAGES_PER_FILE, SMALL_BYTES = 4_000, 128 << 10
 #: Payloads below this many bytes are never written as revisits.
 REVISIT_BYTES = 100
 _CRLF = "\r\n"
@@ -114,40 +122,84 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", p
     metadata = _record([*common("metadata", mine("metadata")), with_me, ("Content-Type", "application/warc-fields")],
                        F.concat(F.lit("key: "), F.coalesce(F.col("key").cast("string"), F.lit("")), F.lit(_CRLF)))
     line = F.concat(request, F.lit("\n"), F.when(again, revisit).otherwise(response), F.lit("\n"), metadata)
-    # Each row closes with the writer's own line end, the last byte of its last record.
-    rows.select(line.alias("value")).write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", PAGES_PER_FILE).text(path)
+    # Pages of like size share files, longer ones fewer to a file, so that the
+    # bytes of a file are bounded.
+    longest = rows.agg(F.max("bytes")).first()[0] or 0
+    level = 0
+    while True:
+        low, high = (SMALL_BYTES << (level - 1)) if level else -1, SMALL_BYTES << level
+        some = rows.filter((F.col("bytes") > low) & (F.col("bytes") <= high)) if level or longest > high else rows
+        # Each row closes with the writer's own line end, the last byte of its last record.
+        out = some.select(line.alias("value")).write.option("lineSep", "\n").option("compression", "gzip")
+        out.option("maxRecordsPerFile", max(1, PAGES_PER_FILE >> level)).text(f"{path}/level={level}")
+        if longest <= high:
+            return
+        level += 1
+
+
+def inflate(content: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """The bytes of all gzip members, or of ``content`` if it is not gzipped, a
+    piece at a time."""
+    if content[:2] != b"\x1f\x8b":
+        yield from (content[a : a + size] for a in range(0, len(content), size))
+        return
+    rest = memoryview(content)
+    while len(rest):
+        member = zlib.decompressobj(31)
+        todo: bytes | memoryview = rest
+        while not member.eof:
+            piece = member.decompress(todo, size)
+            if not piece and not member.unconsumed_tail and not member.eof:
+                raise ValueError("truncated gzip member")
+            if piece:
+                yield piece
+            todo = member.unconsumed_tail
+        at = len(content) - len(member.unused_data)
+        while at < len(content) and content[at] == 0:  # members may be padded
+            at += 1
+        rest = rest[len(rest) - (len(content) - at) :]
 
 
 def unpack(content: bytes) -> bytes:
-    """The bytes of all gzip members, or ``content`` if it is not gzipped."""
-    if content[:2] != b"\x1f\x8b":
-        return content
-    out = []
-    while content:
-        member = zlib.decompressobj(31)
-        out.append(member.decompress(content))
-        if not member.eof:
-            raise ValueError("truncated gzip member")
-        content = member.unused_data.lstrip(b"\0")  # members may be padded
-    return b"".join(out)
+    """All bytes that ``inflate`` gives."""
+    return b"".join(inflate(content))
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers (names in lower case) and block of each record."""
-    at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            raise ValueError(f"truncated header of the WARC record at byte {at}")
-        head = data[at:end].decode("utf-8", "replace").split(_CRLF)
+    return records((data,))
+
+
+def records(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (names in lower case) and block of each record of a file that
+    comes in pieces; no more than a record and a piece are held."""
+    source, held, at = iter(pieces), bytearray(), 0  # at: bytes of the file before what is held
+
+    def fill(n: int) -> bool:
+        while len(held) < n:
+            piece = next(source, None)
+            if piece is None:
+                return False
+            held.extend(piece)
+        return True
+
+    while fill(1):
+        end, seen = -1, 0
+        while (end := held.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
+            seen = len(held)
+            if not fill(seen + 1):
+                raise ValueError(f"truncated header of the WARC record at byte {at}")
+        head = held[:end].decode("utf-8", "replace").split(_CRLF)
         if not head[0].startswith("WARC/"):
             raise ValueError(f"no WARC record at byte {at}")
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head[1:])}
         n = int(fields["content-length"])
-        if end + 4 + n > len(data):
+        if not fill(end + 4 + n):
             raise ValueError(f"truncated block of the WARC record at byte {at}")
-        yield fields, data[end + 4 : end + 4 + n]
-        at = end + 4 + n + 4
+        yield fields, bytes(held[end + 4 : end + 4 + n])
+        fill(end + 4 + n + 4)
+        at += min(len(held), end + 4 + n + 4)
+        del held[: end + 4 + n + 4]
 
 
 def _row(fields: dict[str, str], block: bytes, with_payload: bool) -> tuple:
@@ -179,9 +231,8 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch["content"]:
-                data = unpack(content)
                 held, out = 0, []
-                for fields, block in parse(data):
+                for fields, block in records(inflate(content)):
                     out.append(_row(fields, block, payloads))
                     held += len(block)
                     if held > 16 << 20 or len(out) >= 6_000:
