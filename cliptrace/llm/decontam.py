@@ -17,13 +17,20 @@ target ``recall`` with any of them, every window that shares enough word pairs
 with one item is verified instead, which loses nothing.
 
 An item is found where an edit distance of at most ``(1 - similarity)`` of its
-words remains.  Items of fewer than ``min_words`` words (2 at
-least) are not searched for.
-Null and empty texts match nothing; repeated items are all reported.
+words remains; short ones (below five words at 0.8) are thereby found verbatim
+only, one word as that word.  Characters of scripts that are written without
+spaces are words of their own.
+
+Null and empty texts match nothing; items without any word are searched for in
+vain; repeated items are all reported.  Texts of any length are searched whole,
+repeated rows alike; of an item's passages the closest, then the first, is
+reported.  Empty tables give no matches.  A column of the output's name is
+replaced, others are kept.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 import uuid
 from collections import defaultdict
@@ -36,11 +43,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import only
+from .common import broadcast_bytes, fresh, only
 
 #: Bytes of item text that one pass over the documents searches for; a larger
 #: benchmark is searched for in several passes.
-MAX_ITEM_BYTES = 32 << 20
+MAX_ITEM_BYTES = 4 << 20
+#: Bytes of a slice's index that may be broadcast.
+MAX_INDEX_BYTES = 512 << 20
 #: Words of chunks that a worker remembers between batches.
 CACHE_ENTRIES = 400_000
 #: Words of text whose windows are made at a time.
@@ -50,6 +59,11 @@ TRIALS = 500
 #: Pairs of a word pair in a text and an item with it that are looked at together.
 SHARED_PAIRS = 1 << 20
 _NOT_WORD = re.compile(r"[\W_]+")
+# Ranges of letters that are written without spaces (Thai to
+# Tibetan, Burmese, Khmer, kana, Han).
+_UNSPACED = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_EACH = re.compile(f"[{_UNSPACED}]|[^{_UNSPACED}]+")
+_ANY_UNSPACED = re.compile(f"[{_UNSPACED}]")
 
 MATCH = T.ArrayType(T.StructType([
     T.StructField("item_id", T.LongType()),
@@ -63,7 +77,12 @@ MATCH = T.ArrayType(T.StructType([
 def words(text: str) -> list[str]:
     """White-space separated words, lower-cased, without what is no letter or
     digit; empty ones are left out."""
-    return [w for c in text.split() if (w := _NOT_WORD.sub("", c.lower()))]
+    return [x for c in text.split() if (w := _NOT_WORD.sub("", c.lower())) for x in parts_of(w)]
+
+
+def parts_of(word: str) -> list[str]:
+    """A word, or the characters of one that is written without spaces."""
+    return _EACH.findall(word) if _ANY_UNSPACED.search(word) else [word]
 
 
 @dataclass
@@ -88,22 +107,23 @@ class Searcher:
         by_text: dict[tuple[int, ...], list[int]] = defaultdict(list)
         for item, text in items:
             w = words(text or "")
-            if len(w) >= max(2, min_words):  # pairs of words are searched for
+            if len(w) >= max(1, min_words):
                 by_text[tuple(self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in w)].append(item)
         n = self.width = len(self.vocabulary) + 1  # 0: a word of no item
         by_size: dict[int, list[tuple[int, ...]]] = defaultdict(list)
         for w in by_text:
             by_size[len(w)].append(w)
+        alone = sorted(w[0] for w in by_size.pop(1, []))  # items of one word
+        self.alone, self.alone_ids = np.array(alone, np.int64), [by_text[(w,)] for w in alone]
         pairs = {a * n + b for w in by_text for a, b in zip(w, w[1:], strict=False)}
         self.pairs = np.array(sorted(pairs), np.int64)
-        self.member = np.zeros((len(by_size), len(pairs)), bool)  # group x pair
-        for row, (_, found) in enumerate(sorted(by_size.items())):
-            own = np.array([a * n + b for w in found for a, b in zip(w, w[1:], strict=False)], np.int64)
-            self.member[row, np.searchsorted(self.pairs, own)] = True
+        # The groups of each pair, one after another.
+        held = [np.unique(np.searchsorted(self.pairs, [a * n + b for w in found for a, b in zip(w, w[1:], strict=False)])) for _, found in sorted(by_size.items())]
+        pair, group = np.concatenate([*held, np.empty(0, np.int64)]).astype(np.int64), np.repeat(np.arange(len(held)), [len(x) for x in held])
+        order = np.argsort(pair, kind="stable")
+        self.member, self.member_at = group[order], np.searchsorted(pair[order], np.arange(len(self.pairs) + 1))
         rng = np.random.default_rng(seed)
-        longest = max(by_size, default=1)
-        # The walks: at each step, whether a word moves the reading place on.
-        self.steps = rng.integers(0, 2, (walks, 2 * longest, n), np.uint8)
+        self.walks = rng.integers(1, 2**63, walks, np.uint64) | np.uint64(1)
         self.mix = rng.integers(1, 2**63, (walks, tables, bits), np.uint64) | np.uint64(1)
         self.groups: list[Group] = []
         for size, found in sorted(by_size.items()):
@@ -162,12 +182,20 @@ class Searcher:
         for step in range(2 * size):
             sym = padded[rows, at]
             out[:, step] = np.where(at < size, sym + 1, 0)
-            at = np.minimum(at + self.steps[w, step][sym], size)
+            at = np.minimum(at + self.moves(w, step, sym), size)
         return out
 
+    def moves(self, w: int, step: int, words: np.ndarray) -> np.ndarray:
+        """Whether words move the reading place of a walk on at a step: a bit of
+        a hash of all three, so that no table of them is held."""
+        with np.errstate(over="ignore"):
+            h = (words.astype(np.uint64) + np.uint64(1)) * self.walks[w] + np.uint64(step + 1) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+            return ((h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) >> np.uint64(63)).astype(np.int64)
+
     def keys(self, group: Group, windows: np.ndarray) -> Iterator[np.ndarray]:
         """The sampled places of the embeddings, hashed: one key a table."""
-        for w in range(len(self.steps)):
+        for w in range(len(self.walks)):
             embedded = self.walk(group, windows, w).astype(np.uint64)
             for t in range(self.tables):
                 with np.errstate(over="ignore"):
@@ -302,8 +330,21 @@ class Searcher:
         at = np.minimum(np.searchsorted(self.pairs, key), max(len(self.pairs) - 1, 0))
         hit = self.pairs[at] == key if len(self.pairs) else np.zeros(len(key), bool)
         pairs_at, kind = both[hit], at[hit]
+        if len(self.alone):
+            where = np.minimum(np.searchsorted(self.alone, seq), len(self.alone) - 1)
+            found = np.flatnonzero(self.alone[where] == seq)
+            _, one = np.unique(np.stack((owner[found], where[found])), axis=1, return_index=True)
+            for k in found[one].tolist():
+                first = k - int(begins[k])
+                out[base + int(owner[k])] += [(x, 0, 1, first, first + 1) for x in self.alone_ids[where[k]]]
+        # The pairs of each group: those of all groups, dealt out by one sort.
+        often = self.member_at[kind + 1] - self.member_at[kind]
+        which = self.member[np.repeat(self.member_at[kind] - np.cumsum(often) + often, often) + np.arange(often.sum())]
+        order = np.argsort(which, kind="stable")
+        of_pair = np.repeat(np.arange(len(kind)), often)[order]
+        edge = np.searchsorted(which[order], np.arange(len(self.groups) + 1))
         for n, group in enumerate(self.groups):
-            own = self.member[n, kind]
+            own = of_pair[edge[n] : edge[n + 1]]
             start, item = self.candidates(seq, pairs_at[own], kind[own], begins, ends, group)
             best: dict[tuple[int, int], tuple[int, int, int]] = {}
             for a in range(0, len(start), 2_048):
@@ -317,17 +358,23 @@ class Searcher:
 
 
 class _Words(dict):
-    """White-space separated chunk -> number of its word; -1: it has none."""
+    """White-space separated chunk -> number of its word; -1: it has none, -2:
+    it has several (``many``)."""
 
     def __init__(self, vocabulary: dict[str, int]):
         super().__init__()
         self.vocabulary = vocabulary
+        self.many: dict[str, list[int]] = {}
 
     def __missing__(self, chunk: str) -> int:
         w = chunk.lower()
         if not w.isalnum():
             w = _NOT_WORD.sub("", w)
-        n = self.vocabulary.get(w, 0) if w else -1
+        if w and not w.isascii() and _ANY_UNSPACED.search(w):
+            self.many[chunk] = [self.vocabulary.get(x, 0) for x in parts_of(w)]
+            n = -2
+        else:
+            n = self.vocabulary.get(w, 0) if w else -1
         self[chunk] = n
         return n
 
@@ -337,34 +384,32 @@ class _Words(dict):
             return np.empty(0, np.int32)
         if len(self) > CACHE_ENTRIES:
             self.clear()
+            self.many.clear()
         parts = text.split()
         seq = np.fromiter(map(self.__getitem__, parts), np.int32, len(parts))
+        if len(seq) and seq.min() == -2:
+            seq = np.fromiter((x for c, n in zip(parts, seq.tolist(), strict=True) for x in (self.many[c] if n == -2 else (n,))), np.int32)
         return seq[seq >= 0] if len(seq) and seq.min() < 0 else seq
 
 
-def _slices(benchmark: DataFrame, key: str, text: str, limit: int) -> list[list[tuple[int, str]]]:
-    """The items, in slices of at most ``limit`` bytes of text."""
+def _slices(benchmark: DataFrame, key: str, text: str, limit: int) -> Iterator[list[tuple[int, str]]]:
+    """The items, in slices of about ``limit`` bytes of text, by a hash; the
+    driver holds one of them at a time."""
     items = benchmark.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).filter("k IS NOT NULL AND t IS NOT NULL").distinct()
-    slices: list[list[tuple[int, str]]] = [[]]
-    held = 0
-    for r in items.orderBy("k", "t").toLocalIterator():
-        n = len(r["t"].encode())
-        if slices[-1] and held + n > limit:
-            slices.append([])
-            held = 0
-        slices[-1].append((r["k"], r["t"]))
-        held += n
-    return slices
+    size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    n = max(1, -(-size // limit))
+    for k in range(n):
+        part = items if n == 1 else items.filter(F.pmod(F.xxhash64("k", "t"), F.lit(n)) == k)
+        yield [(r["k"], r["t"]) for r in part.orderBy("k", "t").collect()]
 
 
 def _searching(sent):
-    """A UDF that searches for the items of a broadcast slice."""
+    """A UDF that searches for the items of a broadcast searcher."""
     tag = uuid.uuid4().hex
 
     @F.pandas_udf(MATCH)
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        value = sent.value
-        searcher = only(("decontam", tag), lambda: Searcher(*value))
+        searcher = only(("decontam", tag), lambda: pickle.loads(sent.value))
         for batch in batches:
             yield pd.Series(searcher.search(batch.tolist()), dtype=object)
 
@@ -372,31 +417,36 @@ def _searching(sent):
 
 
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", out: str = "matches",
-         similarity: float = 0.8, min_words: int = 5, walks: int = 4, tables: int = 8, bits: int = 3, seed: int = 3, recall: float = 0.99) -> DataFrame:
+         similarity: float = 0.8, min_words: int = 1, walks: int = 4, tables: int = 8, bits: int = 3, seed: int = 3, recall: float = 0.99) -> DataFrame:
     """Add ``out``: an array of the items found in each text, each with the
     edit distance in words and the closest passage (word numbers).
 
     ``recall`` is the share of passages with as many edits as are allowed that
-    are to be found; 1 samples nothing and finds all of them.  A column of that name is replaced.
+    are to be found; 1 samples nothing and finds all of them.  Items of fewer
+    than ``min_words`` words are not searched for.  The index of each slice of
+    items is built once and sent; a column of the name ``out`` is replaced.
     """
-    found = docs
-    parts = []
-    for n, items in enumerate(_slices(benchmark, item_key, item_text, MAX_ITEM_BYTES)):
-        sent = docs.sparkSession.sparkContext.broadcast((items, similarity, min_words, walks, tables, bits, seed, recall))  # bounded by MAX_ITEM_BYTES
-
-        parts.append(f"_matches{n}")
-        found = found.withColumn(parts[-1], _searching(sent)(F.col(text)))
+    spark, source = docs.sparkSession, fresh(docs, "_source")
+    found = docs.withColumn(source, F.col(text))
+    parts: list[str] = []
+    for items in _slices(benchmark, item_key, item_text, MAX_ITEM_BYTES):
+        index = pickle.dumps(Searcher(items, similarity, min_words, walks, tables, bits, seed, recall), 5)
+        sent = broadcast_bytes(spark, index, len(index), MAX_INDEX_BYTES, "index of items")
+        parts.append(fresh(found, "_matches"))
+        found = found.withColumn(parts[-1], _searching(sent)(F.col(source)))
     whole = F.concat(*map(F.col, parts)) if len(parts) > 1 else F.col(parts[0])
-    return found.withColumn(out, whole).drop(*parts)
+    return found.withColumn(out, whole).drop(source, *parts)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row per text and item found in it."""
-    found = find(docs, benchmark, out="_matches", **options)
-    one = found.filter(F.size("_matches") > 0).select(F.col(key), F.explode("_matches").alias("m"))
-    return one.select(key, "m.*").withColumn("similarity", 1 - F.col("distance") / F.col("item_words"))
+    slim = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    found = find(slim, benchmark, "_text", out="_found", **options)
+    one = found.filter(F.size("_found") > 0).select(F.col("_key").alias(key), F.explode("_found").alias("_m"))
+    return one.select(key, "_m.*").withColumn("similarity", 1 - F.col("distance") / F.col("item_words"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` whose text holds no item."""
-    return find(docs, benchmark, out="_matches", **options).filter(F.size("_matches") == 0).drop("_matches")
+    name = fresh(docs, "_found")
+    return find(docs, benchmark, out=name, **options).filter(F.size(name) == 0).drop(name)
