@@ -5,7 +5,9 @@ symbol array; an inverted index maps each merge rank to the positions whose
 adjacent pair has it.  Ranks are replayed in ascending order over all words at
 once, and a merge updates only its two touched neighbours in the index.
 
-Nulls encode as empty texts.  Texts of any length are encoded whole.
+Nulls encode as empty texts.  Texts of any length are encoded whole; repeated
+rows are encoded alike; an empty table stays empty.  Columns with the names of
+the output are replaced, others are kept.
 """
 
 from __future__ import annotations
@@ -28,6 +30,9 @@ from .common import broadcast_bytes, only
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Distinct space-led chunks that a worker remembers between batches.
 CACHE_ENTRIES = 250_000
+# Fixed value: the pattern for which texts may be cut before spaces, and a run
+# of letters with one space before it is one match.
+_CUTTING = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _NONE = np.iinfo(np.int32).max
 _SPACE_BEFORE_WORD = regex.compile(r"(?= \S)", regex.V1)
 
@@ -192,7 +197,8 @@ class Encoder:
 
     def __init__(self, table: MergeTable, pattern: str, cache: int = CACHE_ENTRIES):
         self.table, self.cache = table, cache
-        self.find = regex.compile(pattern).findall
+        self.find = lambda text, each=regex.compile(pattern).finditer: [m[0] for m in each(text) if m[0]]
+        self.cutting = pattern == _CUTTING  # another pattern is run over whole texts
         self._forget()
 
     def _forget(self) -> None:
@@ -209,6 +215,8 @@ class Encoder:
         """The places of the chunks of a text."""
         if not text:
             return np.empty(0, np.int32)
+        if not self.cutting:
+            return np.array([self.first[text]], np.int32)
         parts = text.split(" ")
         head = self.first[parts[0]]
         found = np.fromiter(map(self.led.__getitem__, parts), np.int32, len(parts))
@@ -220,7 +228,7 @@ class Encoder:
 
     def _learn(self, new: list[str]) -> None:
         find = self.find
-        pieces = [[c] if c[1:].isalpha() and (c[0] == " " or c[0].isalpha()) else find(c) for c in new]
+        pieces = [[c] if self.cutting and c[1:].isalpha() and (c[0] == " " or c[0].isalpha()) else find(c) for c in new]
         words = list({w: None for p in pieces for w in p})
         place = {w: i for i, w in enumerate(words)}
         flat, n = self.table.replay([w.encode() for w in words])

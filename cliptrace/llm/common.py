@@ -7,7 +7,8 @@ import gc
 import math
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,11 +28,14 @@ def fold(col: Column, mod: int) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` of the session is used as it is.  Only where the
-    session names none (single-machine tests) a temporary folder is set.
+    ``spark.checkpoint.dir`` of the session is used as it is.  Only where a
+    session on a single machine names none (tests), a temporary folder is set;
+    on a cluster that is an error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="cliptrace-")
         spark.conf.set("spark.checkpoint.dir", where)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -47,6 +51,7 @@ def written(df: DataFrame) -> tuple[DataFrame, str]:
     """
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _tables.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
@@ -55,6 +60,23 @@ def cut(df: DataFrame) -> DataFrame:
     return written(df)[0]
 
 
+#: Tables written and not yet removed, the oldest first.
+_tables: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove at the end the tables that were written inside: for a caller who
+    then has written down all that is to stay."""
+    known = len(_tables)
+    try:
+        yield
+    finally:
+        for path in _tables[known:]:
+            remove(spark, path)
+        del _tables[known:]
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a table of ``written`` that nothing reads any more."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -6,6 +6,11 @@ known down to single characters.
 
 The model is fitted on a bounded sample: ``per_language`` texts of each
 language, chosen by a hash of their key (`fit`).
+
+A null text, one without letters, and every text under a model without languages
+are ``und`` with score 0.  Long texts are scored whole, repeated rows alike; of
+equally likely languages the first by name wins; an empty table stays empty.
+Columns with the names of the output are replaced, others are kept.
 """
 
 from __future__ import annotations
@@ -19,13 +24,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import only
+from .common import fresh, only
 
-#: Bound on the number of languages.
+#: Languages of a model, at most; more are an error.
 MAX_LANGUAGES = 256
 #: Chunks that a worker remembers between batches.
 CACHE_ENTRIES = 300_000
@@ -64,11 +69,15 @@ class Model:
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 4_000, most_words: int = 120_000, most_grams: int = 60_000, longest: int = 5) -> Model:
     """Fit on at most about ``per_language`` texts of each language.
 
-    Rows with a null text or language are left out.  At most ``most_words``
-    words and ``most_grams`` n-grams, the most frequent, enter the model.
+    Rows with a null text or language are left out.  The size of the model is
+    bounded: each language brings its most frequent words, the same number of
+    each and about ``most_words`` in all; of these the ``most_grams`` most
+    frequent n-grams enter.  Rarer words are scored by their n-grams.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL AND key IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not sizes:
         return Model([], np.zeros(0), {}, [{} for _ in range(longest)], np.zeros((0, 0)))
     names = sorted(sizes)
@@ -77,7 +86,9 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
         share = F.when(F.col("lang") == name, min(1.0, per_language / sizes[name])).otherwise(share)
     draw = F.pmod(F.xxhash64("key", F.lit("langid")), F.lit(1_000_000)) / 1e6
     words = rows.filter(draw < share).select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).filter("w <> ''")
-    counted = words.groupBy("lang", "w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w", "lang").limit(most_words).collect()
+    counts = words.groupBy("lang", "w").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))  # Spark keeps the first rows while it ranks them
+    counted = counts.withColumn("place", place).filter(F.col("place") <= max(1, most_words // len(names))).orderBy(F.desc("n"), "w", "lang").collect()
     return _model(names, {n: sizes[n] for n in names}, [(r["lang"], r["w"], r["n"]) for r in counted], most_grams, longest)
 
 
@@ -213,5 +224,6 @@ def identify(docs: DataFrame, model: Model, text: str = "text", name: str = "lan
                 scores.append(b)
             yield pd.DataFrame({"name": pd.Series(names, dtype=object), "score": np.concatenate(scores) if scores else np.zeros(0)})
 
-    judged = docs.withColumn("_language", of(F.col(text)))
-    return judged.withColumns({name: F.col("_language")["name"], score: F.col("_language")["score"]}).drop("_language")
+    found = fresh(docs, "_language")
+    judged = docs.withColumn(found, of(F.col(text)))
+    return judged.withColumns({name: F.col(found)["name"], score: F.col(found)["score"]}).drop(found)

@@ -7,7 +7,11 @@ regression on held-apart labelled rows turns scores into probabilities.
 
 The classifier is fitted on a bounded sample of labelled rows
 (``MAX_LABELLED``); scoring covers every row.  Null and empty texts have the
-statistics of an empty text and are scored like any other.
+statistics of an empty text and are scored like any other.  Texts of any length
+count whole; repeated rows and equal texts have equal scores; an empty table
+stays empty, and a model fitted on nothing scores all texts alike.  Of several
+texts with one labelled key the first in order of text is learned from.  A
+column of the output's name is replaced, others are kept.
 """
 
 from __future__ import annotations
@@ -178,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg((F.avg(F.col(label).cast("double")) >= 0.5).cast("int").alias("_y"))
     known = known.orderBy(F.xxhash64(key, F.lit("sample")), key).limit(MAX_LABELLED)  # 16 bytes a row: bounded, so it may be broadcast
     rows = docs.select(F.col(key), F.col(text).alias("_text")).join(F.broadcast(known), key)
-    rows = rows.groupBy(key).agg(F.first("_text").alias("_text"), F.first("_y").alias("_y"))  # a repeated key counts once
+    rows = rows.groupBy(key).agg(F.min("_text").alias("_text"), F.first("_y").alias("_y"))  # a repeated key counts once
     rows = cut(_with_statistics(rows.withColumn("_apart", calibrate), F.col("_text"), "x").select("x", F.col("_y").alias("y"), F.col("_apart").alias("apart")).repartition(8))
     d = N_STATISTICS
 

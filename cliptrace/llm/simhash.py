@@ -12,7 +12,9 @@ trying all choices of ``e`` blocks loses no link; ``e`` grows with the number of
 fingerprints and only decides how finely they are grouped.
 
 Null and empty texts have the fingerprint zero and are linked like any other.
-Rows with a null id get a fingerprint and a null component.
+Rows with a null id get a fingerprint and a null component.  Texts of any length
+count whole; rows that repeat an id, and ties, share a component by their
+fingerprints; an empty table stays empty.  The result has no other columns.
 """
 
 from __future__ import annotations

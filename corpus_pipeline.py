@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cliptrace.llm import bpe, decontam, langid, quality, shingles
-from cliptrace.llm.common import cut, documents, fresh, remove, shared_dir
+from cliptrace.llm.common import cut, documents, fresh, remove, scratch, shared_dir
 from cliptrace.llm.queries import GOOD, digests, language_model, quality_model
 
 #: Documents whose language has at least this posterior stay.
@@ -82,7 +82,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = documents(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
         docs = spark.read.parquet(f"{base}/{k}")
         if k:
             remove(spark, f"{base}/{k - 1}")
