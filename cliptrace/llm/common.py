@@ -25,6 +25,12 @@ def fold(col: Column, mod: int) -> Column:
     return F.crc32(col.cast("string")) % F.lit(mod)
 
 
+def drawn(hashed: Column, wanted: int, rows: int) -> Column:
+    """Whether a row, by a hash of it, is in a sample of about ``wanted`` of
+    ``rows`` rows.  Nothing is shuffled for it."""
+    return F.pmod(hashed, F.lit(1_000_000_007)) < F.lit(min(1_000_000_007, wanted * 1_000_000_007 // max(rows, 1)))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut as written_table
-from .common import only
+from .common import drawn, only
 
 # Element names of HTML, by what they do to text.
 _RAW = frozenset("script style noscript template title iframe textarea".split())
@@ -78,7 +78,7 @@ CAPACITY = 8.0
 FRAME = 0.8
 #: Steps up the tree within which two blocks are near.
 NEAR = 16
-#: Pages that the classifier is fitted on, at most (smallest hashes).
+#: Pages that the classifier is fitted on, about, whatever their number.
 MAX_PAGES = 2_000
 #: Blocks that the fitting pages count for against the prior.
 EVIDENCE = 200.0
@@ -362,8 +362,8 @@ def fit(pages: DataFrame, html_col: str = "html", rounds: int = 8) -> np.ndarray
     stands.  Pages with equal hashes stand or fall together, so that the sample
     does not depend on the order of rows.
     """
-    body = pages.select(F.col(html_col).alias("h")).filter(F.lower("h").rlike("<(article|main)[ >]"))
-    some = body.select("h", F.xxhash64("h").alias("at")).orderBy("at").limit(MAX_PAGES)
+    body = pages.select(F.col(html_col).alias("h"))
+    some = body.filter(drawn(F.xxhash64("h"), MAX_PAGES, pages.count())).filter(F.lower("h").rlike("<(article|main)[ >]"))
     d = len(PRIOR)
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
