@@ -14,24 +14,30 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cliptrace.llm import bpe, decontam, langid, quality, shingles
+from cliptrace.llm import bpe, decontam, langid, quality, simhash
 from cliptrace.llm.common import cut, documents, fresh, remove, scratch, shared_dir
 from cliptrace.llm.queries import GOOD, digests, language_model, quality_model
 
 #: Documents whose language has at least this posterior stay.
 SURE = 0.5
+#: Words of a shingle, and bits in which fingerprints of near-duplicates may
+#: differ: 0.906 of all bits agree.
+NEAR_WORDS, NEAR_BITS = 5, 6
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier takes for good ones."""
+    """Documents that the quality classifier takes for good ones.  Null and
+    empty texts are scored like any other; repeated rows stay or go together; an
+    empty table stays empty."""
     model = quality_model(docs.select("doc_id", "text"), documents(spark, sf_dir, "labels").select("doc_id", "quality"))
     name = fresh(docs, "_score")
     return quality.score(docs, model, out=name).filter(F.col(name) >= GOOD).drop(name)
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language; what has no letters, or is of no
-    language for sure, goes."""
+    """Documents in a learned language; what has no letters (null and empty
+    texts too), or is of no language for sure, goes.  Repeated rows stay or go
+    together; an empty table stays empty."""
     model = language_model(docs.select("doc_id", "text", "lang"))
     name, sure = fresh(docs, "_lang"), fresh(docs, "_sure")
     judged = langid.identify(docs, model, name=name, score=sure)
@@ -39,27 +45,30 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (at least 0.8 of their
-    five-word shingles are the same): the one with the smallest id, and of
-    several such rows the first."""
-    row, sig = fresh(docs, "_row"), fresh(docs, "_sig")
+    """One document of each group of near-duplicates (fingerprints of five-word
+    shingles that differ in at most ``NEAR_BITS`` bits, and what these link):
+    the one with the smallest id, and of several such rows the first.  Null and
+    empty texts are one group, a null id comes last; an empty table stays empty."""
+    row, fp = fresh(docs, "_row"), fresh(docs, "_fp")
     # Rows are numbered in a written table: the numbers never change.
-    numbered = cut(shingles.with_signature(docs, out=sig).withColumn(row, F.monotonically_increasing_id()))
-    groups = shingles.classes(numbered.select(F.col(row).alias("_key"), "text", F.col(sig).alias("sig"), F.col("doc_id").alias("_id")))
+    numbered = cut(simhash.with_fingerprint(docs, out=fp, width=NEAR_WORDS).withColumn(row, F.monotonically_increasing_id()))
+    groups = simhash.classes(numbered.select(F.col(row).alias("_key"), F.col(fp).alias("fp"), F.col("doc_id").alias("_id")), NEAR_BITS)
     first = F.min(F.struct(F.col("_id").isNull(), "_id", F.col("_key").alias("at")))
     kept = groups.groupBy("component_id").agg(first.alias("first")).select(F.col("first.at").alias(row))
-    return numbered.join(kept, row, "left_semi").drop(row, sig)
+    return numbered.join(kept, row, "left_semi").drop(row, fp)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, exact or edited."""
+    """Documents that hold no benchmark item, exact or edited.  Null and empty
+    texts hold none; repeated rows stay or go together; an empty table, and an
+    empty benchmark, leave all as it is."""
     name = fresh(docs, "_matches")
     return decontam.find(docs, documents(spark, sf_dir, "benchmark"), out=name).filter(F.size(name) == 0).drop(name)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and digests of the ids and of the text that
-    they decode to."""
+    they decode to.  A null text is an empty one; all rows stay."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     coded = digests(bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), ranks, public_tokenizers.PATTERN))
     return coded.select("doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")

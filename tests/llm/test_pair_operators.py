@@ -4,6 +4,7 @@ against brute force, and on awkward rows."""
 from __future__ import annotations
 
 import gzip
+import math
 import random
 import re
 
@@ -12,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from cliptrace.llm import decontam, embdedup, graph, queries, shingles, simhash, warc
+from cliptrace.llm import common, decontam, embdedup, graph, langid, quality, queries, simhash, warc
 
 
 def union(n, pairs):
@@ -240,6 +241,21 @@ def test_warc_of_one_gzip_member_per_record(spark, tmp_path):
             list(warc.parse(short))
     with pytest.raises(ValueError, match="truncated"):
         warc.unpack(packed[:-12])
+    big = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n" % (50 << 20) + b"x" * (50 << 20) + b"\r\n\r\n" + record(7)
+    found = list(warc.records(warc.inflate(gzip.compress(big, 1) + packed)))
+    assert len(found) == 7 and len(found[0][1]) == 50 << 20 and found[1][0]["warc-record-id"] == "<7>"
+
+
+def test_long_pages_have_files_of_their_own(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "SMALL_BYTES", 100)
+    monkeypatch.setattr(warc, "PAGES_PER_FILE", 4)
+    pages = spark.range(60).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.lit("x"), (F.col("id") * 9).cast("int")).alias("html")).coalesce(1)
+    warc.write(pages, str(tmp_path / "w"))
+    files = spark.read.format("binaryFile").load(str(tmp_path / "w")).select("path", "content").collect()
+    held = [(f["path"], sum(len(b) for h, b in warc.records(warc.inflate(bytes(f["content"]))) if h["warc-type"] == "response")) for f in files]
+    assert max(n for _, n in held) <= 4 * 100 + 4 * 200 and sum(1 for p, _ in held if "level=3" in p) >= 15
+    got = warc.resolve(warc.captures(spark, str(tmp_path / "w"), payloads=False)).collect()
+    assert sorted((int(r["key"]), r["payload_bytes"]) for r in got) == [(k, 9 * k) for k in range(60)]
 
 
 def test_warc_round_trip(spark, tmp_path):
@@ -261,15 +277,9 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.captures(spark, str(tmp_path / "e")).count() == 0
 
 
-def brute_shingles(text):
-    words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
-    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
-
-
-def test_near_duplicate_stage_against_brute_force_jaccard(spark, monkeypatch):
+def test_near_duplicate_stage_against_brute_force(spark, monkeypatch):
     pipeline = pytest.importorskip("corpus_pipeline")
-    monkeypatch.setattr(shingles, "UNIT_ROWS", 8)  # groups in several units
-    monkeypatch.setattr(shingles, "PAIRS_AT_ONCE", 16)
+    monkeypatch.setattr(simhash, "UNIT_ROWS", 16)  # groups in several units
     rng = random.Random(8)
     vocab = [f"v{k}" for k in range(3_000)]
     texts = [None, "", " \n", "a b", "A  B", "one two three", "one two three four"]
@@ -277,20 +287,116 @@ def test_near_duplicate_stage_against_brute_force_jaccard(spark, monkeypatch):
         for _ in range(6):
             base = [rng.choice(vocab) for _ in range(n)]
             texts.append(" ".join(base))
-            for edits in (0.01, 0.02, 0.03, 0.05):
+            for edits in (0.005, 0.01, 0.02, 0.05):
                 w = list(base)
                 for p in rng.sample(range(n), max(1, round(edits * n))):
                     w[p] = rng.choice(vocab)
                 texts.append(" ".join(w))
     texts += [texts[-1].upper()] * 20 + [texts[40] + f" end{k}" for k in range(30)]
-    sets = [brute_shingles(t) for t in texts]
-    near = lambda x, y: x == y or len(x & y) >= 0.8 * len(x | y)
-    comp = union(len(texts), [(a, b) for a in range(len(texts)) for b in range(a) if near(sets[a], sets[b])])
+    fps = [brute_fingerprint(t, 5) for t in texts]
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 6]
+    assert sum(fps[a] != fps[b] for a, b in pairs) > 30
     df = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted(r["doc_id"] for r in pipeline.drop_near_duplicates(spark, df, "").collect())
-    assert got == sorted(set(comp))
-    links = [(simhash.fingerprint(texts[a]) ^ simhash.fingerprint(texts[b])).bit_count() <= 4 for a in range(len(texts)) for b in range(a) if near(sets[a], sets[b])]
-    assert not all(links)  # pairs that four bits do not link are among them
+    assert got == sorted(set(union(len(texts), pairs)))
+
+
+def plain_quality(model, text):
+    """Features, ridge score and calibration of one text, number by number."""
+    x = quality.statistics([text])[0]
+    z = np.clip((x - model.mean) / model.scale, -6, 6)
+    each = [math.sqrt(2 / quality.FEATURES) * math.cos(sum(a * b for a, b in zip(z, model.directions[:, k], strict=True)) + model.phases[k]) for k in range(quality.FEATURES)]
+    raw = sum(a * b for a, b in zip([*each, 1.0], model.weights, strict=True))
+    return float(np.interp(raw, model.knots, model.values))
+
+
+def plain_language(model, text):
+    """Word by word: its own row, else those of its longest known n-grams."""
+    found = [w for w in re.findall(r"[^\W\d_]+", (text or "").lower()) if any(c.isalpha() for c in w)]
+    if not found:
+        return "und", 0.0
+    total = np.zeros(len(model.languages))
+    for w in found:
+        rows = [model.words[w]] if w in model.words else next((r for n, table in zip(range(len(model.grams), 0, -1), model.grams, strict=True) if (r := [table[g] for g in langid.grams(w, n) if g in table])), [])
+        if rows:
+            total += sum(model.rows[k] for k in rows) / len(rows)
+    n = len(found)
+    odds = model.prior + total * (min(n, 30) / n)
+    best = int(np.argmax(model.prior / n + total / n))
+    return model.languages[best], float(1 / np.exp(odds - odds[best]).sum())
+
+
+def plain_items(bench, text):
+    """Items of which the text holds a passage: an edit distance free at both
+    ends of the text, for every item."""
+    w, out = decontam.words(text or ""), set()
+    for item, words in bench:
+        v = decontam.words(words or "")
+        most = int(0.2 * len(v) + 1e-9)
+        if not v or len(set(w) & set(v)) < len(set(v)) - most:
+            continue
+        row = [0] * (len(w) + 1)
+        for i, x in enumerate(v, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(w, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        if min(row) <= most:
+            out.add(item)
+    return out
+
+
+def test_decontamination_query_against_all_windows(spark, sf_dir):
+    bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    got = {(r["doc_id"], r["item_id"]) for r in queries.op9_decontamination(spark, sf_dir).collect()}
+    assert got == {(d["doc_id"], k) for d in docs for k in plain_items(bench, d["text"])}
+
+
+def test_short_and_unspaced_items():
+    bench = [(1, "Photosynthesis"), (2, "red herring"), (3, "what is love"), (4, "人工智能改变世界"), (5, "")]
+    searcher = decontam.Searcher(bench, 0.8, 1, 4, 8, 3, 3)
+    texts = ["On photosynthesis, again: photosynthesis.", "a red, Herring", "red big herring", "so What is love?", "我们认为人工智能改变世界的方式", "人工智慧改变世界吗", "人工", None]
+    assert [sorted(m[0] for m in f) for f in searcher.search(texts)] == [[1], [2], [], [3], [4], [4], [], []]
+
+
+def test_ridge_equals_a_direct_solve(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    apart = F.crc32(F.col("doc_id").cast("string")) % 5 == 4
+    model = quality.fit(docs, labels, calibrate=apart)
+    rows = docs.join(labels, "doc_id").select("text", "quality", apart.alias("apart")).collect()
+    x, y, away = quality.statistics([r["text"] for r in rows]), np.array([r["quality"] for r in rows], float), np.array([r["apart"] for r in rows])
+    assert np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.scale, np.where(x.std(axis=0) < 1e-6, 1, x.std(axis=0)))
+    z = model.features(x)
+    fit = z[~away]
+    want = np.linalg.lstsq(np.vstack((fit, math.sqrt(quality.PENALTY) * np.eye(fit.shape[1]))), np.concatenate((y[~away], np.zeros(fit.shape[1]))), rcond=None)[0]
+    assert np.allclose(fit @ model.weights, fit @ want, atol=1e-4)
+    assert [plain_quality(model, r["text"]) for r in rows[:20]] == pytest.approx(quality.score(docs.join(labels, "doc_id").select("text").limit(0).union(spark.createDataFrame([(r["text"],) for r in rows[:20]], "text string")), model).toPandas()["score"].tolist())
+
+
+def test_language_query_against_plain_scores(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = queries.language_model(docs.select("doc_id", "text", "lang"))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in queries.op3_language(spark, sf_dir).collect():
+        lang, p = plain_language(model, texts[r["doc_id"]])
+        assert r["lang_pred"] == lang and r["score"] == pytest.approx(p, abs=1e-9)
+
+
+def test_clashing_columns_stay(spark):
+    df = spark.createDataFrame([(1, "some text", "a", "b", "c", "d")], "doc_id long, text string, _language string, _matches0 string, _source string, _found string")
+    bench = spark.createDataFrame([(1, "some other text of it")], "item_id long, text string")
+    model = langid.fit(spark.createDataFrame([(1, "some text", "en"), (2, "anderer text", "de")], "doc_id long, text string, lang string"))
+    for got in (langid.identify(df, model), decontam.find(df, bench), decontam.clean(df, bench)):
+        r = got.first()
+        assert [r[c] for c in ("_language", "_matches0", "_source", "_found")] == ["a", "b", "c", "d"]
+
+
+def test_no_shared_folder_is_an_error_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(fake)
 
 
 def test_pipeline_stage_by_stage(spark, sf_dir):
@@ -302,10 +408,21 @@ def test_pipeline_stage_by_stage(spark, sf_dir):
         assert left.columns == docs.columns, name
         assert left.exceptAll(before).count() == 0 and 0 < left.count() <= before.count()
         if name == "near_duplicates":
-            fps = {r["doc_id"]: simhash.fingerprint(r["text"]) for r in before.collect()}
+            fps = {r["doc_id"]: brute_fingerprint(r["text"], 5) for r in before.collect()}
             ids = sorted(fps)
-            comp = union(len(ids), [(a, b) for a in range(len(ids)) for b in range(a) if (fps[ids[a]] ^ fps[ids[b]]).bit_count() <= 4])
+            comp = union(len(ids), [(a, b) for a in range(len(ids)) for b in range(a) if (fps[ids[a]] ^ fps[ids[b]]).bit_count() <= 6])
             assert sorted(r["doc_id"] for r in left.collect()) == sorted({ids[c] for c in comp})
+        if name == "quality":
+            model = queries.quality_model(before.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
+            want = {r["doc_id"] for r in before.collect() if plain_quality(model, r["text"]) >= 0.3}
+            assert {r["doc_id"] for r in left.collect()} == want
+        if name == "language":
+            model = queries.language_model(before.select("doc_id", "text", "lang"))
+            said = {r["doc_id"]: plain_language(model, r["text"]) for r in before.collect()}
+            assert {r["doc_id"] for r in left.collect()} == {k for k, (lang, p) in said.items() if lang != "und" and p >= 0.5}
+        if name == "decontamination":
+            bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+            assert {r["doc_id"] for r in left.collect()} == {r["doc_id"] for r in before.collect() if not plain_items(bench, r["text"])}
     out = pipeline.run(spark, sf_dir)
     assert sorted(r["doc_id"] for r in out.select("doc_id").collect()) == sorted(r["doc_id"] for r in left.select("doc_id").collect())
 
