@@ -24,6 +24,8 @@ PAIR_SPACING = 0.75
 SURE_CONFIDENCE, SURE_FRAMES, GOOD_NEIGHBOUR = 80.0, 20, 85.0
 NEIGHBOUR_GAP = (-1.0, 10.0)
 FPS = 25.0
+#: Seconds of a time slot by which intervals are dealt out for joins.
+SLOT = 30.0
 
 
 def overlap(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
@@ -149,12 +151,29 @@ def end_correction(segments: DataFrame, short_duration: float | Column, movie_du
     return segments.withColumns({"short_end": F.col("short_end") + lit(short_duration), "movie_end": F.col("movie_end") + lit(movie_duration)})
 
 
+def joined_by_time(ranges: DataFrame, segments: DataFrame, margin: float = 0.0) -> DataFrame:
+    """Ranges (match_id, r_start, r_end) with the segments of their match that
+    they overlap, or miss by no more than ``margin``; each pair once.
+
+    Both are dealt out by match and time slot, so that a match with many of them
+    is spread, and only what is near meets.
+    """
+    slot = lambda c: F.floor(c / F.lit(SLOT)).cast("long")
+    slots = lambda a, b: F.explode(F.sequence(slot(a), F.greatest(slot(a), slot(b))))
+    r_start, r_end = F.col("r_start") - margin, F.col("r_end") + margin
+    left = ranges.withColumn("_slot", slots(r_start, r_end))
+    right = segments.withColumn("_slot", slots(F.col("short_start"), F.col("short_end")))
+    # A pair meets in all slots that both reach; it counts in the first.
+    first = F.col("_slot") == slot(F.greatest(r_start, F.col("short_start")))
+    return left.join(right, ["match_id", "_slot"]).filter(first).drop("_slot")
+
+
 def alternates(pool: DataFrame, ranges: DataFrame, excluded: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """Candidates of each range (match_id, range_id, r_start, r_end): pool rows
     that overlap it by more than 0.15 s and start nowhere near an excluded
     place (match_id, range_id, x_start), most confident first."""
     near = overlap(F.col("short_start"), F.col("short_end"), F.col("r_start"), F.col("r_end")) > OVERLAP
-    got = ranges.join(pool, "match_id").filter(near)
+    got = joined_by_time(ranges, pool).filter(near)
     if excluded is not None:
         x = excluded.select(F.col("match_id").alias("_m"), F.col("range_id").alias("_r"), "x_start")
         got = got.join(x, (F.col("match_id") == F.col("_m")) & (F.col("range_id") == F.col("_r")) & (F.abs(F.col("movie_start") - F.col("x_start")) <= SAME_PLACE), "left_anti")
@@ -178,7 +197,7 @@ def range_lookup(ranges: DataFrame, segments: DataFrame, within: float = 0.05) -
     its bounds within ``within`` seconds, else the one that overlaps it most."""
     exact = (F.abs(F.col("short_start") - F.col("r_start")) <= within) & (F.abs(F.col("short_end") - F.col("r_end")) <= within)
     common = overlap(F.col("short_start"), F.col("short_end"), F.col("r_start"), F.col("r_end"))
-    got = ranges.join(segments, "match_id").withColumns({"exact": exact, "overlap": common}).filter(F.col("exact") | (F.col("overlap") > 0))
+    got = joined_by_time(ranges, segments, within).withColumns({"exact": exact, "overlap": common}).filter(F.col("exact") | (F.col("overlap") > 0))
     pick = F.min_by(F.struct("seg_id", "exact", "overlap"), F.struct(~F.col("exact"), F.when(F.col("exact"), 0.0).otherwise(-F.col("overlap")), "seg_id")).alias("p")
     return got.groupBy("match_id", "range_id").agg(pick).select("match_id", "range_id", "p.*")
 
@@ -189,8 +208,8 @@ def keep_best_dropped(candidates: DataFrame, sets: DataFrame, segments: DataFram
     with the highest confidence, the first of equals.  A set of which nothing
     was checked has none."""
     hit = overlap(F.col("short_start"), F.col("short_end"), F.col("r_start"), F.col("r_end")) > KEEP_OVERLAP
-    final = segments.select(F.col("match_id").alias("_m"), "short_start", "short_end")
-    lost = sets.filter("dropped").join(final, (F.col("match_id") == F.col("_m")) & hit, "left_anti")
+    covered = joined_by_time(sets.filter("dropped").select("set_id", "match_id", "r_start", "r_end"), segments.select("match_id", "short_start", "short_end")).filter(hit).select("set_id").distinct()
+    lost = sets.filter("dropped").join(covered, "set_id", "left_anti")
     lost = lost.join(candidates.filter("verdict = 'accepted'").select("set_id").distinct(), "set_id", "left_anti")
     best = F.max_by("cand_idx", F.struct(F.coalesce("confidence_pct", F.lit(-1.0)), -F.col("cand_idx"))).alias("cand_idx")
     return candidates.filter("checked").join(lost.select("set_id", "match_id"), "set_id").groupBy("match_id", "set_id").agg(best)

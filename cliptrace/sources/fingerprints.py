@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.bits import pack_text
+from ..operators.jobs import recovered_match, recovered_status
 
 _VARIANT = "STRUCT<hash: STRING, dhash: STRING, fhash: STRING, fdhash: STRING, phash: STRING>"
 #: A frame as it is written: one JSON object a line.
@@ -94,14 +95,31 @@ def read_candidates(spark: SparkSession, path: str) -> DataFrame:
 
 
 def history(spark: SparkSession, path: str) -> DataFrame:
-    """What a folder of results says of its jobs: (job_id, kind, state), from
-    file names and meta files; what was running has failed."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json*").load(path).select("path")
-    named = files.select(
-        F.regexp_extract("path", r"([^/]+?)(?:_(meta|matchmeta|matchresult|fingerprints|checkpoint|candidates_\d+))?\.(?:nd)?jsonl?$", 1).alias("job_id"),
-        F.regexp_extract("path", r"_(meta|matchmeta|matchresult|fingerprints|checkpoint|candidates)(?:_\d+)?\.(?:nd)?jsonl?$", 1).alias("part"),
-    )
-    return named.groupBy("job_id").agg(F.sort_array(F.collect_set("part")).alias("parts"), F.count("*").alias("files"))
+    """What a folder of results says of its jobs after a restart: (job_id, kind,
+    state, error, parts, files), from file names and meta files.
+
+    A video is completed with a result and no checkpoint; what was running, or
+    lacks its result, has failed.  A match that was running has failed, and so
+    has a completed one without its result.  Broken meta files count as none;
+    jobs of which nothing is known have no row.
+    """
+    pattern = r"([^/]+?)_(meta|matchmeta|matchresult|result|fingerprints|checkpoint|candidates)(?:_\d+)?\.(?:nd)?jsonl?$"
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.*json*").load(path).select("path", F.when(F.col("path").rlike(r"_(match)?meta\.json$"), F.col("content").cast("string")).alias("meta"))
+    named = files.select(F.regexp_extract("path", pattern, 1).alias("job_id"), F.regexp_extract("path", pattern, 2).alias("part"), F.from_json("meta", META_JSON).alias("m")).filter("job_id <> ''")
+    has = lambda *parts: F.bool_or(F.col("part").isin(*parts))
+    grouped = named.groupBy("job_id").agg(
+        F.sort_array(F.collect_set("part")).alias("parts"), F.count("*").alias("files"), F.max("m.status").alias("said"), F.max("m.error").alias("told"),
+        has("meta", "matchmeta").alias("known"), has("matchmeta", "matchresult", "candidates").alias("match"), has("result", "fingerprints").alias("result"),
+        has("matchresult").alias("matched"), has("checkpoint").alias("open"),
+    )
+    match_state = F.when((F.col("said") == "completed") & ~F.col("matched"), "failed").otherwise(recovered_match(F.col("said")))
+    video_state = recovered_status(F.coalesce(F.col("said"), F.when(F.col("known"), F.lit("unknown"))), F.col("result"), F.col("open"))
+    state = F.when(F.col("match"), match_state).otherwise(video_state)
+    error = F.when(F.col("match") & (F.col("said") == "processing"), F.coalesce("told", F.lit("Interrupted by server restart"))).when(
+        F.col("match") & (F.col("said") == "completed") & ~F.col("matched"), "Result file missing"
+    ).otherwise(F.col("told"))
+    out = grouped.select("job_id", F.when(F.col("match"), "match").otherwise("video").alias("kind"), state.alias("state"), error.alias("error"), "parts", "files")
+    return out.filter("state IS NOT NULL")
 
 
 def read_meta(spark: SparkSession, path: str) -> DataFrame:
@@ -113,3 +131,37 @@ def read_meta(spark: SparkSession, path: str) -> DataFrame:
 def write_results(segments: DataFrame, path: str) -> None:
     """Segments as JSON, one folder a match."""
     segments.write.mode("overwrite").partitionBy("match_id").json(path)
+
+
+def write_ndjson(frames: DataFrame, path: str) -> None:
+    """Packed frames as lines of JSON, a folder a video, in order of frames:
+    what ``read_ndjson`` and ``pack`` read back."""
+    text = lambda words: F.when(F.size(words) > 0, F.array_join(F.transform(words, lambda w: F.reverse(F.lpad(F.bin(w), 32, "0"))), ""))
+    fields = {"hash": "a", "dhash": "d", "fhash": "fa", "fdhash": "fd", "phash": "p"}
+    one = lambda v: F.struct(v["name"].alias("key"), F.struct(*[text(v[c]).alias(n) for n, c in fields.items()]).alias("value"))
+    grids = F.struct(F.col("color").alias("colorGrid"), F.col("skin").alias("skinScoreGrid"), F.col("detail").alias("detailGrid"))
+    signature = F.when(F.coalesce(F.col("color"), F.col("skin"), F.col("detail")).isNotNull(), grids)
+    rows = frames.select("video_id", "si", (F.col("si") + 1).cast("int").alias("frameIndex"), F.col("ts").alias("timestamp"), F.map_from_entries(F.transform("variants", one)).alias("variants"), signature.alias("signature"))
+    rows.repartition("video_id").sortWithinPartitions("video_id", "si").drop("si").write.mode("overwrite").partitionBy("video_id").json(path)
+
+
+def complete_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, lines): lines of each file that end in a line feed; what a run
+    that broke off has written for sure."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select("path", (F.length("content") - F.length(F.regexp_replace(F.decode("content", "ISO-8859-1"), "\n", ""))).cast("long").alias("lines"))
+
+
+def write_candidates(candidates: DataFrame, path: str) -> None:
+    """Candidate sets as JSON, one object a set below its match: rows of
+    ``read_candidates`` (set fields, cand_idx, and each candidate's fields)."""
+    head = ["match_id", "segmentIndex", "shortStart", "shortEnd", "dropped", "bestEffort", "broaderSearchRounds", "recoveredCandidateIndex"]
+    own = [c for c in candidates.columns if c not in (*head, "cand_idx")]
+    sets = candidates.groupBy(*head).agg(F.transform(F.array_sort(F.collect_list(F.struct("cand_idx", *own))), lambda c: F.struct(*[c[n].alias(n) for n in own])).alias("candidates"))
+    sets.repartition("match_id").write.mode("overwrite").partitionBy("match_id").json(path)
+
+
+def write_meta(jobs: DataFrame, path: str) -> None:
+    """Meta data of jobs as JSON, times in milliseconds, a folder a job."""
+    times = {c: F.unix_millis(c) for c in ("createdAt", "startedAt", "completedAt") if dict(jobs.dtypes).get(c) == "timestamp"}
+    jobs.withColumns(times).write.mode("overwrite").partitionBy("job_id").json(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -20,14 +20,26 @@ def frame_stream(spark: SparkSession, folder: str, files_per_batch: int = 16) ->
     return raw.withColumn("video_id", F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:_fingerprints)?\.(?:nd)?jsonl?$", 1))
 
 
-def ingest(spark: SparkSession, folder: str, store: str, checkpoint: str, bad: str | None = None, files_per_batch: int = 16):
+class Cancelled(Exception):
+    """An ingest was stopped between batches; what is stored stays."""
+
+
+def ingest(spark: SparkSession, folder: str, store: str, checkpoint: str, bad: str | None = None, files_per_batch: int = 16,
+           progress: Callable[[int, int], None] | None = None, cancelled: Callable[[], bool] | None = None):
     """Run what has arrived into the Parquet store and stop.
 
     Frames already stored are not written again, whatever broke off before;
-    frames without an index or hashes go to ``bad``.
+    frames without an index or hashes go to ``bad``.  ``progress`` is called
+    after each batch with the frames taken and those left out so far;
+    ``cancelled`` is asked before each and ends the run with ``Cancelled``.  A run
+    of which every frame is left out is an error.
     """
+    done = {"good": 0, "bad": 0, "stopped": False}
 
     def write(batch: DataFrame, epoch: int) -> None:
+        if done["stopped"] or cancelled is not None and cancelled():
+            done["stopped"] = True
+            raise Cancelled(folder)
         batch = batch.persist()
         good = F.col("frameIndex").isNotNull() & F.col("variants").isNotNull() & (F.size("variants") > 0)
         if bad:
@@ -40,11 +52,23 @@ def ingest(spark: SparkSession, folder: str, store: str, checkpoint: str, bad: s
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
         frames.write.mode("append").partitionBy("video_id").parquet(store)
+        counts = batch.agg(F.count_if(good).alias("good"), F.count_if(~good).alias("bad")).first()
+        done["good"] += counts["good"]
+        done["bad"] += counts["bad"]
         batch.unpersist()
+        if progress is not None:
+            progress(done["good"], done["bad"])
 
     stream = frame_stream(spark, folder, files_per_batch)
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    try:
+        query.awaitTermination()
+    except Exception:
+        if done["stopped"]:
+            raise Cancelled(folder) from None
+        raise
+    if done["bad"] and not done["good"]:
+        raise RuntimeError(f"all {done['bad']} frames were left out")
     return query
 
 

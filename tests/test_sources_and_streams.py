@@ -62,6 +62,50 @@ def test_results_and_history(spark, tmp_path):
     assert fp.read_meta(spark, str(tmp_path / "m1_matchmeta.json")).first()["job_id"] == "m1"
     h = fp.history(spark, str(tmp_path)).collect()
     assert [(r["job_id"], r["files"]) for r in h] == [("m1", 3)]
+    # Written again, the sets read the same.
+    fp.write_candidates(fp.read_candidates(spark, str(tmp_path / "m1_candidates_0.json")), str(tmp_path / "again"))
+    one = spark.read.schema(fp.CANDIDATES_JSON).json(str(tmp_path / "again")).first()
+    assert len(one["candidates"]) == 1 and one["candidates"][0]["segment"]["movieStart"] == 5.0 and one["candidates"][0]["verdict"] == "accepted"
+
+
+def test_history_after_a_restart(spark, tmp_path):
+    def put(name, data=None):
+        (tmp_path / name).write_text(json.dumps(data) if data is not None else "x")
+
+    for job, said, parts in [
+        ("done", "completed", ["result"]), ("stopped", "stopped", ["result"]), ("failed", "failed", []), ("broke", "processing", ["result", "checkpoint"]),
+        ("lost", "completed", []), ("plain", None, ["result"]),
+    ]:
+        if said:
+            put(f"{job}_meta.json", {"status": said, "originalName": job, "fileSize": 5})
+        for p in parts:
+            put(f"{job}_{p}.json")
+    put("m1_matchmeta.json", {"status": "processing"})
+    put("m2_matchmeta.json", {"status": "completed"})
+    put("m3_matchmeta.json", {"status": "completed"})
+    put("m3_matchresult.json", {})
+    got = {r["job_id"]: (r["kind"], r["state"], r["error"]) for r in fp.history(spark, str(tmp_path)).collect()}
+    assert got == {
+        "done": ("video", "completed", None), "stopped": ("video", "stopped", None), "failed": ("video", "failed", None), "broke": ("video", "failed", None),
+        "lost": ("video", "failed", None), "plain": ("video", "completed", None), "m1": ("match", "failed", "Interrupted by server restart"),
+        "m2": ("match", "failed", "Result file missing"), "m3": ("match", "completed", None),
+    }
+
+
+def test_frames_written_as_lines_read_the_same(spark, tmp_path):
+    (tmp_path / "v_fingerprints.ndjson").write_text("\n".join(json.dumps(frame(i)) for i in range(1, 8)) + "\n" + '{"frameIndex"')
+    packed = fp.pack(fp.read_ndjson(spark, str(tmp_path / "v_fingerprints.ndjson")))
+    fp.write_ndjson(packed, str(tmp_path / "out"))
+    raw = spark.read.schema(fp.FRAME_JSON + ", video_id STRING").json(str(tmp_path / "out"))
+    assert fp.pack(raw).orderBy("si").collect() == packed.orderBy("si").collect()
+    assert [r["lines"] for r in fp.complete_lines(spark, str(tmp_path / "v_fingerprints.ndjson")).collect()] == [7]
+
+
+def test_meta_round_trip(spark, tmp_path):
+    (tmp_path / "j_meta.json").write_text(json.dumps({"status": "completed", "startedAt": 1700000000123}))
+    meta = fp.read_meta(spark, str(tmp_path / "j_meta.json"))
+    fp.write_meta(meta, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).select("startedAt", "status", "job_id").first() == (1700000000123, "completed", "j")
 
 
 def test_stream_ingest_resumes_without_duplicates(spark, tmp_path):
@@ -80,6 +124,21 @@ def test_stream_ingest_resumes_without_duplicates(spark, tmp_path):
     assert spark.read.parquet(store).count() == 10
 
 
+def test_stream_tells_of_progress_stops_and_fails(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        (tmp_path / "in" / f"v{k}.ndjson").write_text("\n".join(json.dumps(frame(i)) for i in range(1, 4)) + '\n{"timestamp": 1.0}')
+    told = []
+    si.ingest(spark, str(tmp_path / "in"), str(tmp_path / "s"), str(tmp_path / "c"), files_per_batch=1, progress=lambda good, bad: told.append((good, bad)))
+    assert told == [(3, 1), (6, 2), (9, 3)]
+    with pytest.raises(si.Cancelled):
+        si.ingest(spark, str(tmp_path / "in"), str(tmp_path / "s2"), str(tmp_path / "c2"), files_per_batch=1, cancelled=lambda: True)
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "w.ndjson").write_text('{"timestamp": 1.0}\n{"timestamp": 2.0}')
+    with pytest.raises(RuntimeError, match="all 2 frames"):
+        si.ingest(spark, str(tmp_path / "bad"), str(tmp_path / "s3"), str(tmp_path / "c3"))
+
+
 def test_windowed_counts_stream_equals_batch(spark, tmp_path, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     events.write.parquet(str(tmp_path / "e"))
