@@ -8,6 +8,11 @@ match, so that matches are dealt out by their id.
 
 from __future__ import annotations
 
+import bisect
+import math
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,39 +68,93 @@ def merge_adjacent(segments: DataFrame) -> DataFrame:
     ).drop("_island")
 
 
-def _folded(rows: DataFrame, key: list[str], order: list[Column], fields: list[str], drop_if, limit: int | None = None) -> DataFrame:
-    """Greedy choice per key: rows in order are kept unless ``drop_if(row,
-    kept)`` holds for a kept one."""
-    sort = [F.col(c) if isinstance(c, str) else c for c in order]
-    kind = F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(sort)], *fields)
-    listed = rows.groupBy(*key).agg(F.array_sort(F.collect_list(kind)).alias("_l"))
-    empty = F.slice("_l", 1, 0)
+class _Points:
+    """Kept points; one that is ``within`` of a kept one is not taken."""
+
+    def __init__(self, within: float, strict: bool):
+        self.within, self.strict, self.kept = within, strict, []
+
+    def take(self, x: float | None) -> bool:
+        if x is None or x != x:
+            return True
+        at = bisect.bisect_left(self.kept, x)
+        for k in self.kept[max(0, at - 1) : at + 1]:  # no other one is nearer
+            if abs(x - k) < self.within or not self.strict and abs(x - k) == self.within:
+                return False
+        self.kept.insert(at, x)
+        return True
+
+
+class _Ranges:
+    """Kept ranges by time slot; one that overlaps a kept one by more than
+    ``limit`` is not taken."""
+
+    def __init__(self, limit: float):
+        self.limit, self.kept = limit, {}
+
+    def take(self, start: float | None, end: float | None) -> bool:
+        if start is None or end is None or not math.isfinite(start) or not math.isfinite(end):
+            return True
+        slots = range(math.floor(start / SLOT), math.floor(end / SLOT) + 1)
+        if any(min(end, b) - max(start, a) > self.limit for n in slots for a, b in self.kept.get(n, ())):
+            return False
+        for n in slots:
+            self.kept.setdefault(n, []).append((start, end))
+        return True
+
 
-    def step(acc: Column, x: Column) -> Column:
-        free = ~F.exists(acc, lambda k: drop_if(x, k))
-        if limit is not None:
-            free = free & (F.size(acc) < limit)
-        return F.when(free, F.array_append(acc, x)).otherwise(acc)
+def _in_order(rows: DataFrame, key: list[str], order: list[Column], fields: list[str], fold: Callable, out: str) -> DataFrame:
+    """``fold`` over the rows of each key in order, which reach it a batch at a
+    time; it gives the columns ``out`` (DDL)."""
+    sort = [c.alias(f"_o{i}") for i, c in enumerate(order)]
+    dealt = rows.select(*key, *fields, *sort).repartition(*key)
+    return dealt.sortWithinPartitions(*key, *[f"_o{i}" for i in range(len(sort))], *fields).select(*key, *fields).mapInArrow(fold, out)
 
-    kept = listed.withColumn("_k", F.aggregate("_l", empty, step)).select(*key, F.posexplode("_k").alias("kept_idx", "_x"))
-    return kept.select(*key, "kept_idx", *[F.col(f"_x.{f}").alias(f) for f in fields])
+
+def _ddl(rows: DataFrame, names: list[str]) -> str:
+    return ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names)
+
+
+def _folded(rows: DataFrame, key: list[str], order: list[Column], fields: list[str], at: list[str], kept_by: Callable[[], _Points | _Ranges], limit: int | None = None) -> DataFrame:
+    """Greedy choice per key: rows in order are kept, up to ``limit``, unless
+    they clash with a kept one by their place ``at``; rows without a place clash
+    with none.  Only the places of kept rows are held."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, kept, n = None, None, 0
+        for batch in batches:
+            keys = zip(*[batch[c].to_pylist() for c in key], strict=True)
+            places = zip(*[batch[c].to_pylist() for c in at], strict=True)
+            taken, numbers = [], []
+            for row, (k, place) in enumerate(zip(keys, places, strict=True)):
+                if kept is None or k != now:
+                    now, kept, n = k, kept_by(), 0
+                if (limit is None or n < limit) and kept.take(*place):
+                    taken.append(row)
+                    numbers.append(n)
+                    n += 1
+            got = batch.take(pa.array(taken, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*[got[c] for c in key], pa.array(numbers, pa.int32()), *[got[c] for c in fields]], names=[*key, "kept_idx", *fields])
+
+    return _in_order(rows, key, order, fields, fold, f"{_ddl(rows, key)}, kept_idx int, {_ddl(rows, fields)}")
 
 
 def overlap_dedup(segments: DataFrame, limit: float = OVERLAP) -> DataFrame:
-    """Most confident segments first; one that overlaps a kept one goes."""
-    clash = lambda x, k: overlap(x["short_start"], x["short_end"], k["short_start"], k["short_end"]) > limit
-    return _folded(segments, ["match_id"], [-F.col("confidence"), F.col("seg_id")], ["seg_id", "short_start", "short_end", "confidence"], clash)
+    """Most confident segments first; one that overlaps a kept one by more than
+    ``limit`` seconds (0 or more) goes."""
+    fields = ["seg_id", "short_start", "short_end", "confidence"]
+    return _folded(segments, ["match_id"], [-F.col("confidence"), F.col("seg_id")], fields, ["short_start", "short_end"], lambda: _Ranges(limit))
 
 
 def near_dedup(rows: DataFrame, key: list[str], order: list[Column], fields: list[str], at: str = "movie_start", within: float = SAME_PLACE, limit: int | None = None) -> DataFrame:
     """Rows in order; one within ``within`` seconds of a kept one goes."""
-    return _folded(rows, key, order, fields, lambda x, k: F.abs(x[at] - k[at]) <= within, limit)
+    return _folded(rows, key, order, fields, [at], lambda: _Points(within, False), limit)
 
 
 def offset_dedup(rows: DataFrame, key: list[str], separation: int = 50, limit: int | None = 10) -> DataFrame:
     """Aligned candidates (offset, sim), best first, fewer than ``separation``
     frames from a kept one dropped."""
-    return _folded(rows, key, [-F.col("sim"), F.col("offset")], ["offset", "sim"], lambda x, k: F.abs(x["offset"] - k["offset"]) < separation, limit)
+    return _folded(rows, key, [-F.col("sim"), F.col("offset")], ["offset", "sim"], ["offset"], lambda: _Points(separation, True), limit)
 
 
 def spaced_pairs(points: DataFrame, key: list[str], spacing: float = PAIR_SPACING, most: int = 3) -> DataFrame:
@@ -105,7 +164,7 @@ def spaced_pairs(points: DataFrame, key: list[str], spacing: float = PAIR_SPACIN
     n = F.count("*").over(Window.partitionBy(*key))
     first = F.row_number().over(w) - 1 == F.floor(n / 2)
     rows = points.withColumn("_first", F.when(first, 0).otherwise(1))
-    return _folded(rows, key, [F.col("_first"), -F.col("sim"), F.col("ord")], ["ord", "short_time", "movie_time", "sim"], lambda x, k: F.abs(x["short_time"] - k["short_time"]) < spacing, most)
+    return _folded(rows, key, [F.col("_first"), -F.col("sim"), F.col("ord")], ["ord", "short_time", "movie_time", "sim"], ["short_time"], lambda: _Points(spacing, True), most)
 
 
 def context_validate(segments: DataFrame) -> DataFrame:
@@ -113,20 +172,30 @@ def context_validate(segments: DataFrame) -> DataFrame:
     the one after, whose movie time fits.  A match of one segment is kept."""
     fields = ["seg_id", "short_start", "movie_start", "movie_end", "confidence", "frame_count", "is_approximate"]
     w = Window.partitionBy("match_id").orderBy("short_start", "seg_id")
-    ahead = F.lead(F.struct("confidence", "movie_start")).over(w)
-    rows = segments.withColumn("_next", ahead)
+    rows = segments.withColumns({"_next": F.lead(F.struct("confidence", "movie_start")).over(w), "_first": F.row_number().over(w) == 1})
     gap = F.col("_next.movie_start") - F.col("movie_end")
-    next_good = F.coalesce((F.col("_next.confidence") >= GOOD_NEIGHBOUR) & gap.between(*NEIGHBOUR_GAP), F.lit(False))
+    next_good = (F.col("_next.confidence") >= GOOD_NEIGHBOUR) & gap.between(*NEIGHBOUR_GAP)
     sure = ~F.col("is_approximate") | (F.col("confidence") >= SURE_CONFIDENCE) | (F.col("frame_count") >= SURE_FRAMES)
-    listed = rows.withColumn("_ok", sure | next_good).groupBy("match_id").agg(F.array_sort(F.collect_list(F.struct("short_start", "seg_id", "_ok", *[f for f in fields if f not in ("short_start", "seg_id")]))).alias("_l"))
-
-    def step(acc: Column, x: Column) -> Column:
-        prev = F.get(acc, F.size(acc) - 1)  # null while nothing is kept
-        fits = F.coalesce((prev["confidence"] >= GOOD_NEIGHBOUR) & (x["movie_start"] - prev["movie_end"]).between(*NEIGHBOUR_GAP), F.lit(False))
-        return F.when(x["_ok"] | fits, F.array_append(acc, x)).otherwise(acc)
-
-    kept = F.when(F.size("_l") <= 1, F.col("_l")).otherwise(F.aggregate("_l", F.slice("_l", 1, 0), step))
-    return listed.select("match_id", F.explode(kept).alias("_x")).select("match_id", *[F.col(f"_x.{f}").alias(f) for f in fields])
+    alone = F.col("_first") & F.col("_next").isNull()
+    rows = rows.withColumn("_ok", F.coalesce(sure, F.lit(False)) | F.coalesce(next_good, F.lit(False)) | alone)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, before = None, None  # match; confidence and movie end of the last kept one
+        for batch in batches:
+            taken = []
+            columns = [batch[c].to_pylist() for c in ("match_id", "_ok", "confidence", "movie_start", "movie_end")]
+            for row, (match, ok, confidence, start, end) in enumerate(zip(*columns, strict=True)):
+                if match != now:
+                    now, before = match, None
+                if not ok and before is not None and None not in (*before, start):
+                    ok = before[0] >= GOOD_NEIGHBOUR and NEIGHBOUR_GAP[0] <= start - before[1] <= NEIGHBOUR_GAP[1]
+                if ok:
+                    taken.append(row)
+                    before = (confidence, end)
+            got = batch.take(pa.array(taken, pa.int64()))
+            yield pa.RecordBatch.from_arrays([got[c] for c in ("match_id", *fields)], names=["match_id", *fields])
+
+    return _in_order(rows, ["match_id"], [F.col("short_start"), F.col("seg_id")], [*fields, "_ok"], fold, _ddl(rows, ["match_id", *fields]))
 
 
 def unmatched_ranges(frames: DataFrame, used: DataFrame, key: str = "video_id") -> DataFrame:

@@ -53,8 +53,9 @@ def pack(frames: DataFrame) -> DataFrame:
 
 def write_store(frames: DataFrame, path: str, mode: str = "append") -> None:
     """Frames as Parquet, one folder a video, ordered within it: a range of
-    frames is then read by row-group statistics."""
-    frames.repartition("video_id").sortWithinPartitions("video_id", "si").write.mode(mode).partitionBy("video_id").parquet(path)
+    frames is then read by row-group statistics.  Long videos are dealt out over
+    several files by ranges of frames."""
+    frames.repartitionByRange("video_id", "si").sortWithinPartitions("video_id", "si").write.mode(mode).partitionBy("video_id").parquet(path)
 
 
 def read_store(spark: SparkSession, path: str, video_id: str | None = None, first: int | None = None, last: int | None = None) -> DataFrame:
@@ -104,7 +105,10 @@ def history(spark: SparkSession, path: str) -> DataFrame:
     jobs of which nothing is known have no row.
     """
     pattern = r"([^/]+?)_(meta|matchmeta|matchresult|result|fingerprints|checkpoint|candidates)(?:_\d+)?\.(?:nd)?jsonl?$"
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.*json*").load(path).select("path", F.when(F.col("path").rlike(r"_(match)?meta\.json$"), F.col("content").cast("string")).alias("meta"))
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.*json*").load(path).select("path")
+    # Only meta files are opened; frames may be of any size.
+    meta = spark.read.format("binaryFile").option("pathGlobFilter", "*_{meta,matchmeta}.json").load(path).select("path", F.col("content").cast("string").alias("meta"))
+    files = listed.join(meta, "path", "left")
     named = files.select(F.regexp_extract("path", pattern, 1).alias("job_id"), F.regexp_extract("path", pattern, 2).alias("part"), F.from_json("meta", META_JSON).alias("m")).filter("job_id <> ''")
     has = lambda *parts: F.bool_or(F.col("part").isin(*parts))
     grouped = named.groupBy("job_id").agg(
@@ -135,21 +139,28 @@ def write_results(segments: DataFrame, path: str) -> None:
 
 def write_ndjson(frames: DataFrame, path: str) -> None:
     """Packed frames as lines of JSON, a folder a video, in order of frames:
-    what ``read_ndjson`` and ``pack`` read back."""
+    what ``read_ndjson`` and ``pack`` read back.  Long videos have several
+    files, whose names are in that order too."""
     text = lambda words: F.when(F.size(words) > 0, F.array_join(F.transform(words, lambda w: F.reverse(F.lpad(F.bin(w), 32, "0"))), ""))
     fields = {"hash": "a", "dhash": "d", "fhash": "fa", "fdhash": "fd", "phash": "p"}
     one = lambda v: F.struct(v["name"].alias("key"), F.struct(*[text(v[c]).alias(n) for n, c in fields.items()]).alias("value"))
     grids = F.struct(F.col("color").alias("colorGrid"), F.col("skin").alias("skinScoreGrid"), F.col("detail").alias("detailGrid"))
     signature = F.when(F.coalesce(F.col("color"), F.col("skin"), F.col("detail")).isNotNull(), grids)
     rows = frames.select("video_id", "si", (F.col("si") + 1).cast("int").alias("frameIndex"), F.col("ts").alias("timestamp"), F.map_from_entries(F.transform("variants", one)).alias("variants"), signature.alias("signature"))
-    rows.repartition("video_id").sortWithinPartitions("video_id", "si").drop("si").write.mode("overwrite").partitionBy("video_id").json(path)
+    rows.repartitionByRange("video_id", "si").sortWithinPartitions("video_id", "si").drop("si").write.mode("overwrite").partitionBy("video_id").json(path)
 
 
 def complete_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, lines): lines of each file that end in a line feed; what a run
-    that broke off has written for sure."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", (F.length("content") - F.length(F.regexp_replace(F.decode("content", "ISO-8859-1"), "\n", ""))).cast("long").alias("lines"))
+    """(path, lines): lines of each plain file that end in a line feed; what a
+    run that broke off has written for sure.
+
+    Lines are counted where they are read, so that files of any size are split.
+    A file's last line is whole if all lines with their line feeds are as long
+    as the file.  An empty file has no row.
+    """
+    rows = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"))
+    whole = F.sum(F.octet_length("value").cast("long") + 1) <= F.max("size")
+    return rows.groupBy("path").agg((F.count("*") - F.when(whole, 0).otherwise(1)).alias("lines"))
 
 
 def write_candidates(candidates: DataFrame, path: str) -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -167,6 +169,34 @@ def test_merge_keeps_the_detail_of_the_running_confidence(spark):
     assert len(r) == 1 and r[0]["detail_seg_id"] == 2 and r[0]["members"] == [0, 1, 2]
 
 
+def test_folds_equal_plain_loops(spark):
+    """One busy match, repeated places, ties, and rows without a place."""
+    rng = random.Random(4)
+    rows = [("m" if rng.random() < 0.9 else f"n{k % 3}", k, round(rng.uniform(0, 400), 1), rng.choice([0.05, 1.0, 40.0]), rng.choice([60.0, 70.0, 80.0])) for k in range(1_500)]
+    rows += [("m", 2_000, None, 1.0, 90.0), ("m", 2_001, None, 1.0, 90.0), ("n0", 2_002, float("nan"), 1.0, 90.0)]
+    df = spark.createDataFrame(rows, "match_id string, seg_id long, short_start double, length double, confidence double").repartition(7)
+    df = df.withColumns({"short_end": F.col("short_start") + F.col("length"), "movie_start": F.col("short_start")})
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        ranges = {(r["match_id"], r["kept_idx"]): r["seg_id"] for r in iv.overlap_dedup(df).collect()}
+        places = {(r["match_id"], r["kept_idx"]): r["seg_id"] for r in iv.near_dedup(df, ["match_id"], [F.col("seg_id")], ["seg_id", "movie_start"], limit=9).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+    placed = lambda r: r[2] is not None and r[2] == r[2]
+
+    def greedy(order, clash, limit=None):
+        kept = {}
+        for r in sorted(rows, key=order):
+            mine = kept.setdefault(r[0], [])
+            if (limit is None or len(mine) < limit) and not (placed(r) and any(placed(k) and clash(r, k) for k in mine)):
+                mine.append(r)
+        return {(m, n): r[1] for m, mine in kept.items() for n, r in enumerate(mine)}
+
+    assert ranges == greedy(lambda r: (-r[4], r[1]), lambda x, k: min(x[2] + x[3], k[2] + k[3]) - max(x[2], k[2]) > 0.15)
+    assert places == greedy(lambda r: r[1], lambda x, k: abs(x[2] - k[2]) <= 0.5, 9)
+
+
 def test_every_tried_candidate_is_an_attempt(spark):
     rows = [(1, k, None if k <= 10 else True, 90.0) for k in range(1, 12)] + [(2, 1, None, None), (2, 2, True, 95.0)] + [(3, k, False, 99.0) for k in range(1, 4)] + [(4, 1, None, None)]
     df = spark.createDataFrame(rows, "set_id long, rank int, same boolean, confidence_pct double")

@@ -101,6 +101,25 @@ def test_frames_written_as_lines_read_the_same(spark, tmp_path):
     assert [r["lines"] for r in fp.complete_lines(spark, str(tmp_path / "v_fingerprints.ndjson")).collect()] == [7]
 
 
+def test_complete_lines_of_odd_files(spark, tmp_path):
+    for name, data in {"a": b"", "b": b"no end", "c": b"\n", "d": b"x\r\n\n\xff\xfe\n", "e": b"1\n" * 50_000 + b"2"}.items():
+        (tmp_path / f"{name}.ndjson").write_bytes(data)
+    got = {r["path"].rsplit("/", 1)[1][0]: r["lines"] for r in fp.complete_lines(spark, str(tmp_path)).collect()}
+    assert got == {"b": 0, "c": 1, "d": 3, "e": 50_000}
+
+
+def test_a_long_video_has_several_files_in_order(spark, tmp_path):
+    df = spark.range(5_000).select(F.when(F.col("id") < 4_900, "long").otherwise("short").alias("video_id"), F.col("id").alias("si"), (F.col("id") / 25).alias("ts"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        fp.write_store(df, str(tmp_path / "s"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    files = sorted((tmp_path / "s" / "video_id=long").glob("*.parquet"))
+    read = [[r["si"] for r in spark.read.parquet(str(f)).collect()] for f in files]
+    assert len(files) > 2 and [x for part in read for x in part] == list(range(4_900))
+
+
 def test_meta_round_trip(spark, tmp_path):
     (tmp_path / "j_meta.json").write_text(json.dumps({"status": "completed", "startedAt": 1700000000123}))
     meta = fp.read_meta(spark, str(tmp_path / "j_meta.json"))
