@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.bits import pack_text
 from ..operators.jobs import recovered_match, recovered_status
@@ -59,8 +60,10 @@ def write_store(frames: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def read_store(spark: SparkSession, path: str, video_id: str | None = None, first: int | None = None, last: int | None = None) -> DataFrame:
-    """Frames of the store; the video and the range reach the scan."""
-    df = spark.read.parquet(path)
+    """Frames of the store; the video and the range reach the scan.  Names of
+    videos are texts, also where all of them look like numbers."""
+    kept = [T.StructField(f.name, T.StringType()) if f.name == "video_id" else f for f in spark.read.parquet(path).schema]
+    df = spark.read.schema(T.StructType(kept)).parquet(path)
     if video_id is not None:
         df = df.filter(F.col("video_id") == video_id)
     if first is not None:

@@ -6,11 +6,12 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..sources.fingerprints import FRAME_JSON, pack
+from ..sources.fingerprints import FRAME_JSON, pack, write_store
 
 
 def frame_stream(spark: SparkSession, folder: str, files_per_batch: int = 16) -> DataFrame:
@@ -45,13 +46,15 @@ def ingest(spark: SparkSession, folder: str, store: str, checkpoint: str, bad: s
         if bad:
             batch.filter(~good).withColumn("epoch", F.lit(epoch)).write.mode("append").json(bad)
         frames = pack(batch.filter(good))
+        # A batch has as many videos as files, at most: only their part of the store is read.
+        videos = [r["video_id"] for r in batch.select("video_id").distinct().collect()]
         try:
-            have = spark.read.parquet(store).select("video_id", "si")
+            have = spark.read.schema("video_id string, si long").parquet(store).filter(F.col("video_id").isin(videos))
             frames = frames.join(have, ["video_id", "si"], "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-        frames.write.mode("append").partitionBy("video_id").parquet(store)
+        write_store(frames, store)
         counts = batch.agg(F.count_if(good).alias("good"), F.count_if(~good).alias("bad")).first()
         done["good"] += counts["good"]
         done["bad"] += counts["bad"]

@@ -143,6 +143,21 @@ def test_stream_ingest_resumes_without_duplicates(spark, tmp_path):
     assert spark.read.parquet(store).count() == 10
 
 
+def test_names_that_look_like_numbers_stay_apart(spark, tmp_path):
+    src, store = tmp_path / "in", str(tmp_path / "s")
+    src.mkdir()
+    (src / "7_fingerprints.ndjson").write_text("\n".join(json.dumps(frame(i, 1)) for i in range(1, 4)))
+    si.ingest(spark, str(src), store, str(tmp_path / "c"))
+    (src / "007_fingerprints.ndjson").write_text("\n".join(json.dumps(frame(i, 2)) for i in range(1, 6)))
+    si.ingest(spark, str(src), store, str(tmp_path / "c"))
+    got = fp.read_store(spark, store)
+    assert {r["video_id"]: r["count"] for r in got.groupBy("video_id").count().collect()} == {"7": 3, "007": 5}
+    assert fp.read_store(spark, store, "007").count() == 5 and fp.resume_after(got.filter("si < 2"), got).count() == 0
+    # Again from the start, without the checkpoint: nothing is written twice.
+    si.ingest(spark, str(src), store, str(tmp_path / "other"), files_per_batch=1)
+    assert fp.read_store(spark, store).count() == 8
+
+
 def test_stream_tells_of_progress_stops_and_fails(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for k in range(3):
