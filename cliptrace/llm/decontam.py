@@ -10,11 +10,12 @@ A window is left out before embedding only if too few of its word pairs occur in
 any item: ``k`` edits destroy at most ``2 k`` of an item's pairs, so that this
 loses nothing.
 
-Embeddings drift apart with the number of edits, so that sampling finds less the
-longer an item is.  Items of each length are therefore tried out with as many
-substitutions, insertions or deletions as are allowed; where sampling misses the
-target ``recall`` with any of them, every window that shares enough word pairs
-with one item is verified instead, which loses nothing.
+Embeddings drift apart with the number of edits, so that a walk finds less the
+longer an item is.  Items of about each length are therefore tried out with as
+many substitutions, insertions or deletions as are allowed, and walks are added
+until sampling reaches the target ``recall`` with all of them.  Lengths at which
+``MAX_WALKS`` walks do not (and all, for a recall of 1) are searched for by the
+windows that share enough word pairs with one item, which loses nothing.
 
 An item is found where an edit distance of at most ``(1 - similarity)`` of its
 words remains; short ones (below five words at 0.8) are thereby found verbatim
@@ -35,7 +36,7 @@ import re
 import uuid
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -56,6 +57,12 @@ CACHE_ENTRIES = 400_000
 SLICE_WORDS = 1 << 19
 #: Edited items of each kind of edit that sampling is tried on, for each length.
 TRIALS = 500
+#: Walks that may be taken to reach the target recall.
+MAX_WALKS = 128
+#: Item lengths that differ by less than this share have the same walks.
+BAND = 0.1
+#: Words of embeddings that are held at a time.
+EMBEDDED = 1 << 20
 #: Pairs of a word pair in a text and an item with it that are looked at together.
 SHARED_PAIRS = 1 << 20
 _NOT_WORD = re.compile(r"[\W_]+")
@@ -93,8 +100,8 @@ class Group:
     edits: int
     words: np.ndarray  # item x position
     ids: list[list[int]]  # the item ids of each distinct item
-    places: np.ndarray | None = None  # walk x table x sampled place
-    tables: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # sorted keys, items
+    first: int = 0  # number of its first item among those of all groups
+    walks: int = 0  # that find its items
     holders: tuple[np.ndarray, np.ndarray] | None = None  # where the items of each pair begin, items; only without sampling
 
 
@@ -123,39 +130,68 @@ class Searcher:
         order = np.argsort(pair, kind="stable")
         self.member, self.member_at = group[order], np.searchsorted(pair[order], np.arange(len(self.pairs) + 1))
         rng = np.random.default_rng(seed)
-        self.walks = rng.integers(1, 2**63, walks, np.uint64) | np.uint64(1)
-        self.mix = rng.integers(1, 2**63, (walks, tables, bits), np.uint64) | np.uint64(1)
+        most = max(walks, MAX_WALKS)
+        self.walks = rng.integers(1, 2**63, most, np.uint64) | np.uint64(1)
+        self.mix = rng.integers(1, 2**63, (most, tables, bits), np.uint64) | np.uint64(1)
+        self.spots = rng.random((most, tables, bits))  # sampled places, as shares of an embedding
         self.groups: list[Group] = []
         for size, found in sorted(by_size.items()):
             g = Group(size, int((1 - similarity) * size + 1e-9), np.array(found, np.int64), [by_text[w] for w in found])
-            g.places = np.stack([[rng.integers(0, 2 * size, bits) for _ in range(tables)] for _ in range(walks)])
-            own = list(self.keys(g, g.words))
-            if self.reaches(g, own, recall, seed):
-                for keys in own:
-                    order = np.argsort(keys, kind="stable")
-                    g.tables.append((keys[order], order))
+            g.first = self.groups[-1].first + len(self.groups[-1].ids) if self.groups else 0
+            self.groups.append(g)
+        bands: list[list[Group]] = []
+        for g in self.groups:
+            if bands and g.size < bands[-1][0].size * (1 + BAND):
+                bands[-1].append(g)
             else:
+                bands.append([g])
+        for band in bands:
+            hardest = {g.size: g for g in (band[-1], max(band, key=lambda g: g.edits / g.size))}
+            needed = [self.needed(g, walks, recall, seed) for g in hardest.values()] if recall < 1 else [0]
+            for g in band:
+                g.walks = max(needed) if min(needed) else 0
+        self.index = self._index()
+        for g in self.groups:
+            if not g.walks:
                 at = np.searchsorted(self.pairs, g.words[:, :-1] * n + g.words[:, 1:])
                 held = np.unique(at * len(g.words) + np.arange(len(g.words))[:, None])
                 pair, item = np.divmod(held, len(g.words))
                 g.holders = np.searchsorted(pair, np.arange(len(self.pairs) + 1)), item
-            self.groups.append(g)
         self.known = _Words(self.vocabulary)
 
-    def reaches(self, group: Group, own: list[np.ndarray], recall: float, seed: int) -> bool:
-        """Whether sampling finds items with as many edits as are allowed.
+    def _index(self) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+        """For each walk and table the sorted keys of the items, and the items."""
+        sampled = [g for g in self.groups if g.walks]
+        out = []
+        for w in range(max((g.walks for g in sampled), default=0)):
+            keys, items = [[] for _ in range(self.tables)], []
+            for g in sampled:
+                if g.walks > w:
+                    for part in _rows(len(g.words), g.size):
+                        sizes = np.full(len(g.words[part]), g.size)
+                        for t, k in enumerate(self.keys(w, *self.coded(g.words[part], sizes), sizes)):
+                            keys[t].append(k)
+                    items.append(g.first + np.arange(len(g.words)))
+            item = np.concatenate(items)
+            whole = [np.concatenate(k) for k in keys]
+            order = [np.argsort(k, kind="stable") for k in whole]
+            out.append([(k[o], item[o]) for k, o in zip(whole, order, strict=True)])
+        return out
+
+    def needed(self, group: Group, least: int, recall: float, seed: int) -> int:
+        """Walks with which sampling finds items with as many edits as are
+        allowed; 0 if ``MAX_WALKS`` are too few.
 
         Only the window where the edited item begins is looked at, and half of
         the misses that ``recall`` allows are taken for chance.
         """
-        if recall >= 1:
-            return False
         size, k, n = group.size, group.edits, TRIALS
         rng = np.random.default_rng((seed, size))
+        item, edited = [], []
         for kind in ("delete", "insert", "substitute"):
-            item = rng.integers(0, len(group.words), n)
+            item.append(rng.integers(0, len(group.words), n))
             place = np.argsort(rng.random((n, size)), axis=1)[:, :k]
-            w, other = group.words[item], rng.integers(0, self.width, (n, k))
+            w, other = group.words[item[-1]], rng.integers(0, self.width, (n, k))
             if kind == "substitute":
                 np.put_along_axis(w, place, other, axis=1)
             elif kind == "delete":  # the text goes on with other words
@@ -165,84 +201,130 @@ class Searcher:
             else:
                 order = np.hstack((np.tile(np.arange(size), (n, 1)), place - 0.5))
                 w = np.take_along_axis(np.hstack((w, other)), np.argsort(order, axis=1, kind="stable"), axis=1)[:, :size]
-            met = np.zeros(n, bool)
-            for mine, keys in zip(own, self.keys(group, w), strict=True):
-                met |= mine[item] == keys
-            if (~met).sum() > (1 - recall) * n / 2:
-                return False
-        return True
-
-    def walk(self, group: Group, windows: np.ndarray, w: int) -> np.ndarray:
-        """CGK embedding: window x step; 0 after the window's end.  A step reads
-        on with probability 1/2, so that 2 x size steps read a window through."""
-        n, size = windows.shape
-        padded = np.hstack((windows, np.zeros((n, 1), windows.dtype)))
-        at, rows = np.zeros(n, np.int64), np.arange(n)
-        out = np.empty((n, 2 * size), np.int64)
-        for step in range(2 * size):
-            sym = padded[rows, at]
-            out[:, step] = np.where(at < size, sym + 1, 0)
-            at = np.minimum(at + self.moves(w, step, sym), size)
+            edited.append(w)
+        items, windows, kinds = np.concatenate(item), np.concatenate(edited), np.repeat(np.arange(3), n)
+        for w in range(len(self.walks)):
+            # What an earlier walk met needs no further one.
+            met = np.zeros(len(items), bool)
+            for part in _rows(len(items), 2 * size):
+                both = np.concatenate((group.words[items[part]], windows[part]))
+                sizes = np.full(len(both), size)
+                for keys in self.keys(w, *self.coded(both, sizes), sizes):
+                    met[part] |= keys[: len(both) // 2] == keys[len(both) // 2 :]
+            items, windows, kinds = items[~met], windows[~met], kinds[~met]
+            if w + 1 >= least and np.bincount(kinds, minlength=3).max() <= (1 - recall) * n / 2:
+                return w + 1
+        return 0
+
+    @staticmethod
+    def coded(windows: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Windows with their words numbered from 1, a 0 behind each, and the
+        words of these numbers.  What lies behind the ``sizes`` is 0 as well."""
+        kinds, code = np.unique(windows, return_inverse=True)
+        padded = np.zeros((len(windows), windows.shape[1] + 1), np.int64)
+        padded[:, :-1] = np.where(np.arange(windows.shape[1]) < sizes[:, None], code.reshape(windows.shape) + 1, 0)
+        return padded, np.concatenate(([0], kinds + 1)).astype(np.uint64)
+
+    def walk(self, w: int, padded: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        """CGK embedding: step x window, of ``coded`` windows; 0 after their
+        ends.  A step reads on with probability 1/2, so that 2 x size steps read
+        a window through.  Whether it does is a bit of a hash of walk, step and
+        word: no table of them is held."""
+        n, width = padded.shape
+        flat, at = padded.ravel(), np.arange(n) * width
+        out = np.empty((2 * width - 2, n), np.int64)
+        with np.errstate(over="ignore"):
+            mixed = kinds * self.walks[w]
+            for step in range(len(out)):
+                if step % 32 == 0:  # a hash has the bits of 32 steps
+                    h = mixed + np.uint64((step + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+                    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+                    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+                    moves = (h >> np.uint64(32)).astype(np.int64)
+                    moves[0] = 0  # the end is not passed
+                np.take(flat, at, out=out[step], mode="clip")
+                at += (moves & 1)[out[step]]
+                moves >>= 1
         return out
 
-    def moves(self, w: int, step: int, words: np.ndarray) -> np.ndarray:
-        """Whether words move the reading place of a walk on at a step: a bit of
-        a hash of all three, so that no table of them is held."""
+    def keys(self, w: int, padded: np.ndarray, kinds: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
+        """The sampled places of the embeddings of a walk, hashed with the size:
+        one key a table."""
+        embedded, rows = self.walk(w, padded, kinds), np.arange(len(padded))
         with np.errstate(over="ignore"):
-            h = (words.astype(np.uint64) + np.uint64(1)) * self.walks[w] + np.uint64(step + 1) * np.uint64(0x9E3779B97F4A7C15)
-            h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-            return ((h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) >> np.uint64(63)).astype(np.int64)
-
-    def keys(self, group: Group, windows: np.ndarray) -> Iterator[np.ndarray]:
-        """The sampled places of the embeddings, hashed: one key a table."""
-        for w in range(len(self.walks)):
-            embedded = self.walk(group, windows, w).astype(np.uint64)
             for t in range(self.tables):
-                with np.errstate(over="ignore"):
-                    k = (embedded[:, group.places[w, t]] * self.mix[w, t]).sum(axis=1, dtype=np.uint64)
-                    k ^= k >> np.uint64(29)
-                yield k
+                k = sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+                for spot, mix in zip(self.spots[w, t], self.mix[w, t], strict=True):
+                    k += (kinds * mix)[embedded[(spot * 2 * sizes).astype(np.int64), rows]]
+                yield k ^ (k >> np.uint64(29))
+
+    def starts(self, pairs_at: np.ndarray, near: np.ndarray, ends: np.ndarray, group: Group) -> np.ndarray:
+        """Where windows of a group begin that hold enough word pairs."""
+        k = group.edits
+        # The first pair that is left stands at most 2 k words after the start.
+        some = np.unique((pairs_at[near][:, None] - np.arange(2 * k + 1)).ravel())
+        some = some[some >= 0]
+        return some[ends[some] - some >= group.size - k]
+
+    def sampled(self, seq: np.ndarray, ends: np.ndarray, start: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Windows and items (of all groups) that share a key of some table.
+        ``number``: the group of each window, in ascending order."""
+        sizes, walks = (np.array([getattr(g, x) for g in self.groups])[number] for x in ("size", "walks"))
+        rows, which = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        lo = 0
+        while lo < len(start):
+            hi = min(len(start), lo + 8_192)
+            while hi - lo > 1 and (hi - lo) * 2 * sizes[hi - 1] > EMBEDDED:
+                hi = lo + (hi - lo) // 2
+            width = int(sizes[hi - 1])
+            place = start[lo:hi, None] + np.arange(width)
+            windows = np.where(place < ends[start[lo:hi]][:, None], seq[np.minimum(place, len(seq) - 1)], 0)
+            padded, kinds = self.coded(windows, sizes[lo:hi])
+            at = np.arange(lo, hi)
+            for w in range(int(walks[lo:hi].max())):
+                on = walks[at] > w
+                if not on.all():
+                    at, padded = at[on], padded[on]
+                for (table, items), keys in zip(self.index[w], self.keys(w, padded, kinds, sizes[at]), strict=True):
+                    lower = np.searchsorted(table, keys, side="left")
+                    hit = np.flatnonzero(table[np.minimum(lower, len(table) - 1)] == keys)
+                    if len(hit):
+                        low = lower[hit]
+                        n = np.searchsorted(table, keys[hit], side="right") - low
+                        rows.append(np.repeat(at[hit], n))
+                        which.append(items[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())])
+            lo = hi
+        return np.concatenate(rows), np.concatenate(which)
 
-    def candidates(self, seq: np.ndarray, pairs_at: np.ndarray, kinds: np.ndarray, begins: np.ndarray, ends: np.ndarray, group: Group) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of windows, and items, that share a key of some table, or
-        enough pairs where no tables are.
+    def candidates(self, seq: np.ndarray, of_group: list[tuple[np.ndarray, np.ndarray]], begins: np.ndarray, ends: np.ndarray) -> Iterator[tuple[Group, np.ndarray, np.ndarray]]:
+        """Each group with the starts of windows, and items, that share a key of
+        some table, or enough pairs where no tables are.
 
-        ``pairs_at``: where word pairs of the group's items stand, ``kinds``:
-        which.  ``begins`` and ``ends``: where the text of a word begins and ends.
+        ``of_group``: where word pairs of each group's items stand, and which.
+        ``begins`` and ``ends``: where the text of a word begins and ends.
         """
-        size, k = group.size, group.edits
-        least = max(size - 1 - 2 * k, 1)  # pairs that k edits leave
-        if len(pairs_at) < least:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        first = pairs_at[: len(pairs_at) - least + 1]
-        last = pairs_at[least - 1 :]
-        near = (last - first <= size + k - 2) & (begins[first] == begins[last])
-        if group.holders is not None:
-            return self.sharing(pairs_at, kinds, np.flatnonzero(near), begins, group, least)
-        dense = first[near]
-        # The first pair that is left stands at most 2 k words after the start.
-        some = np.unique((dense[:, None] - np.arange(2 * k + 1)).ravel())
-        some = some[some >= 0]
-        some = some[ends[some] - some >= size - k]
-        rows, which = [], []
-        for lo in range(0, len(some), 4_096):
-            at = some[lo : lo + 4_096]
-            place = at[:, None] + np.arange(size)
-            windows = np.where(place < ends[at][:, None], seq[np.minimum(place, len(seq) - 1)], 0)
-            for (table, items), keys in zip(group.tables, self.keys(group, windows), strict=True):
-                lower, upper = np.searchsorted(table, keys, side="left"), np.searchsorted(table, keys, side="right")
-                n = upper - lower
-                hit = np.flatnonzero(n)
-                if len(hit):
-                    n = n[hit]
-                    rows.append(np.repeat(at[hit], n))
-                    which.append(items[np.repeat(lower[hit] - np.cumsum(n) + n, n) + np.arange(n.sum())])
-        if not rows:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        start, item = np.concatenate(rows), np.concatenate(which)
-        # Windows of one text and item that lie close together are verified as one.
-        _, one = np.unique(np.stack((begins[start], item, start // (k + 1))), axis=1, return_index=True)
-        return start[one], item[one]
+        start, number = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for g, (group, (pairs_at, kinds)) in enumerate(zip(self.groups, of_group, strict=True)):
+            size, k = group.size, group.edits
+            least = max(size - 1 - 2 * k, 1)  # pairs that k edits leave
+            if len(pairs_at) < least:
+                continue
+            first = pairs_at[: len(pairs_at) - least + 1]
+            last = pairs_at[least - 1 :]
+            near = np.flatnonzero((last - first <= size + k - 2) & (begins[first] == begins[last]))
+            if not group.walks:
+                yield group, *self.sharing(pairs_at, kinds, near, begins, group, least)
+            elif len(near):
+                start.append(self.starts(pairs_at, near, ends, group))
+                number.append(np.full(len(start[-1]), g))
+        at, of = np.concatenate(start), np.concatenate(number)
+        row, item = self.sampled(seq, ends, at, of)
+        for g in np.unique(of[row]).tolist():
+            group, mine = self.groups[g], of[row] == g
+            begin, which = at[row[mine]], item[mine] - self.groups[g].first
+            # Windows of one text and item that lie close together are verified as one.
+            _, one = np.unique(np.stack((begins[begin], which, begin // (group.edits + 1))), axis=1, return_index=True)
+            yield group, begin[one], which[one]
 
     def sharing(self, pairs_at: np.ndarray, kinds: np.ndarray, dense: np.ndarray, begins: np.ndarray, group: Group, least: int) -> tuple[np.ndarray, np.ndarray]:
         """Where at least ``least`` pairs of one item begin to stand close
@@ -343,9 +425,8 @@ class Searcher:
         order = np.argsort(which, kind="stable")
         of_pair = np.repeat(np.arange(len(kind)), often)[order]
         edge = np.searchsorted(which[order], np.arange(len(self.groups) + 1))
-        for n, group in enumerate(self.groups):
-            own = of_pair[edge[n] : edge[n + 1]]
-            start, item = self.candidates(seq, pairs_at[own], kind[own], begins, ends, group)
+        parts_of_pair = [of_pair[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
+        for group, start, item in self.candidates(seq, [(pairs_at[x], kind[x]) for x in parts_of_pair], begins, ends):
             best: dict[tuple[int, int], tuple[int, int, int]] = {}
             for a in range(0, len(start), 2_048):
                 s, i = start[a : a + 2_048], item[a : a + 2_048]
@@ -357,6 +438,12 @@ class Searcher:
                 out[base + row] += [(x, d, group.size, b - first, e - first) for x in group.ids[which]]
 
 
+def _rows(n: int, size: int) -> Iterator[slice]:
+    """Parts of n windows of a size, each of which may be embedded at once."""
+    step = max(1, EMBEDDED // (2 * size))
+    return (slice(a, a + step) for a in range(0, n, step))
+
+
 class _Words(dict):
     """White-space separated chunk -> number of its word; -1: it has none, -2:
     it has several (``many``)."""
@@ -417,12 +504,13 @@ def _searching(sent):
 
 
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", out: str = "matches",
-         similarity: float = 0.8, min_words: int = 1, walks: int = 4, tables: int = 8, bits: int = 3, seed: int = 3, recall: float = 0.99) -> DataFrame:
+         similarity: float = 0.8, min_words: int = 1, walks: int = 4, tables: int = 8, bits: int = 2, seed: int = 3, recall: float = 0.99) -> DataFrame:
     """Add ``out``: an array of the items found in each text, each with the
     edit distance in words and the closest passage (word numbers).
 
     ``recall`` is the share of passages with as many edits as are allowed that
-    are to be found; 1 samples nothing and finds all of them.  Items of fewer
+    are to be found, ``walks`` the number of walks to begin with; a recall of 1
+    samples nothing and finds all of them.  Items of fewer
     than ``min_words`` words are not searched for.  The index of each slice of
     items is built once and sent; a column of the name ``out`` is replaced.
     """

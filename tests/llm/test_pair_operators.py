@@ -9,6 +9,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -189,6 +190,29 @@ def test_decontamination_recall_at_all_allowed_edits(size):
             assert found >= recall * len(texts), (kind, found)
 
 
+def test_walks_are_added_until_sampling_reaches_the_recall(sf_dir):
+    """No item of the tables is searched for without sampling, and at exactly
+    the allowed edits as many are found as the target says."""
+    rows = pd.read_parquet(f"{sf_dir}/benchmark.parquet")
+    bench = list(zip(rows.item_id.tolist(), rows.text.tolist(), strict=True))
+    searcher = decontam.Searcher(bench, 0.8, 1, 4, 8, 2, 3, 0.99)
+    assert all(4 <= g.walks <= decontam.MAX_WALKS and g.holders is None for g in searcher.groups)
+    lax = decontam.Searcher(bench, 0.8, 1, 1, 8, 2, 3, 0.5)
+    assert all(a.walks < b.walks for a, b in zip(lax.groups, searcher.groups, strict=True))
+    rng = random.Random(8)
+    vocab = sorted(searcher.vocabulary)
+    for kind in ("substitute", "insert", "delete"):
+        texts, planted = [], []
+        for item, text in bench:
+            w = decontam.words(text)
+            for _ in range(3):
+                pad = [rng.choice(vocab) for _ in range(60)]
+                texts.append(" ".join(pad[:30] + edited(rng, w, int(0.2 * len(w) + 1e-9), kind, lambda: rng.choice(vocab)) + pad[30:]))
+                planted.append(item)
+        found = sum(k in {m[0] for m in f} for k, f in zip(planted, searcher.search(texts), strict=True))
+        assert found >= 0.99 * len(texts), (kind, found, len(texts))
+
+
 def test_decontamination_without_sampling_finds_what_brute_force_does(monkeypatch):
     monkeypatch.setattr(decontam, "SHARED_PAIRS", 50)  # many small parts
     vocab, _ = items()
