@@ -62,7 +62,7 @@ MAX_WALKS = 128
 #: Item lengths that differ by less than this share have the same walks.
 BAND = 0.1
 #: Words of embeddings that are held at a time.
-EMBEDDED = 1 << 20
+EMBEDDED = 1 << 21
 #: Pairs of a word pair in a text and an item with it that are looked at together.
 SHARED_PAIRS = 1 << 20
 _NOT_WORD = re.compile(r"[\W_]+")
@@ -150,7 +150,7 @@ class Searcher:
             needed = [self.needed(g, walks, recall, seed) for g in hardest.values()] if recall < 1 else [0]
             for g in band:
                 g.walks = max(needed) if min(needed) else 0
-        self.index = self._index()
+        self.index = self._index(bands)
         for g in self.groups:
             if not g.walks:
                 at = np.searchsorted(self.pairs, g.words[:, :-1] * n + g.words[:, 1:])
@@ -159,23 +159,25 @@ class Searcher:
                 g.holders = np.searchsorted(pair, np.arange(len(self.pairs) + 1)), item
         self.known = _Words(self.vocabulary)
 
-    def _index(self) -> list[list[tuple[np.ndarray, np.ndarray]]]:
-        """For each walk and table the sorted keys of the items, and the items."""
-        sampled = [g for g in self.groups if g.walks]
+    def _index(self, bands: list[list[Group]]) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+        """For each walk and table the sorted keys of the items, and the items.
+        Items of a band are embedded together."""
+        parts = []
+        for band in bands:
+            if band[0].walks:
+                width = band[-1].size
+                whole = np.concatenate([np.pad(g.words, ((0, 0), (0, width - g.size))) for g in band])
+                sizes = np.repeat([g.size for g in band], [len(g.words) for g in band])
+                items = band[0].first + np.arange(len(whole))
+                for part in _rows(len(whole), width):
+                    parts.append((band[0].walks, items[part], *self.coded(whole[part], sizes[part]), sizes[part]))
         out = []
-        for w in range(max((g.walks for g in sampled), default=0)):
-            keys, items = [[] for _ in range(self.tables)], []
-            for g in sampled:
-                if g.walks > w:
-                    for part in _rows(len(g.words), g.size):
-                        sizes = np.full(len(g.words[part]), g.size)
-                        for t, k in enumerate(self.keys(w, *self.coded(g.words[part], sizes), sizes)):
-                            keys[t].append(k)
-                    items.append(g.first + np.arange(len(g.words)))
-            item = np.concatenate(items)
-            whole = [np.concatenate(k) for k in keys]
-            order = [np.argsort(k, kind="stable") for k in whole]
-            out.append([(k[o], item[o]) for k, o in zip(whole, order, strict=True)])
+        for w in range(max((x[0] for x in parts), default=0)):
+            on = [x for x in parts if x[0] > w]
+            item = np.concatenate([x[1] for x in on])
+            tables = [np.concatenate(k) for k in zip(*(self.keys(w, *x[2:]) for x in on), strict=True)]
+            order = [np.argsort(k, kind="stable") for k in tables]
+            out.append([(k[o], item[o]) for k, o in zip(tables, order, strict=True)])
         return out
 
     def needed(self, group: Group, least: int, recall: float, seed: int) -> int:
@@ -212,8 +214,12 @@ class Searcher:
                 for keys in self.keys(w, *self.coded(both, sizes), sizes):
                     met[part] |= keys[: len(both) // 2] == keys[len(both) // 2 :]
             items, windows, kinds = items[~met], windows[~met], kinds[~met]
-            if w + 1 >= least and np.bincount(kinds, minlength=3).max() <= (1 - recall) * n / 2:
+            missed, most = np.bincount(kinds, minlength=3).max() / n, (1 - recall) / 2
+            if w + 1 >= least and missed <= most:
                 return w + 1
+            # Misses fall by the same share with each walk at best.
+            if w >= 7 and missed ** (len(self.walks) / (w + 1)) > most:
+                return 0
         return 0
 
     @staticmethod
