@@ -9,12 +9,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, embdedup, extract, langid, quality, simhash, tokencount, urlfilter, warc
+from . import audit, bpe, centroids, decontam, embdedup, extract, langid, quality, simhash, tokencount, toxicity, urlfilter, warc
 from .common import documents, fold, shared_dir
 
 
 #: Texts with a quality score of at least this are taken for good ones.
 GOOD = 0.3
+#: Texts with a toxicity score of at least this are taken for toxic ones.
+TOXIC = 0.3
 
 
 def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Model:
@@ -152,6 +154,81 @@ SELECT c.vec_id, (SELECT count(*) FROM links WHERE a = c.vec_id) AS n_links, com
 """
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster, distance and centroid of every vector."""
+    return centroids.cluster(documents(spark, sf_dir, "embeddings"))
+
+
+def op11_sql(k: int = 40, rounds: int = 5, seed: int = 2) -> str:
+    """The rounds of ``op11_centroids`` as a chain of tables."""
+    square = "list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    part = [f"""kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda e: CAST(floor(256 * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, x) - 1 AS k, x FROM (SELECT sha256('{seed}:' || vec_id) AS h, x FROM kept ORDER BY h, x LIMIT {k})
+)"""]
+    for r in range(rounds + 1):
+        part.append(f"a{r} AS MATERIALIZED (SELECT rid, min(d) AS d, arg_min(k, d * {k} + k) AS k FROM (SELECT v.rid, c.k, {square} AS d FROM kept v, c{r} c) GROUP BY rid)")
+        if r < rounds:
+            part.append(f"""s{r} AS MATERIALIZED (
+  SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM (SELECT a.k, i, CAST(sum(v.x[i]) AS BIGINT) AS s, count(*) AS n FROM a{r} a JOIN kept v USING (rid), range(1, 65) t(i) GROUP BY a.k, i) GROUP BY k
+), c{r + 1} AS MATERIALIZED (SELECT k, coalesce(s.x, c.x) AS x FROM c{r} c LEFT JOIN s{r} s USING (k))""")
+    return "WITH " + ", ".join(part) + f"""
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a{rounds} JOIN kept USING (rid) JOIN c{rounds} c USING (k)"""
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every text for toxicity."""
+    docs = documents(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = documents(spark, sf_dir, "labels").select("doc_id", "toxic").filter(fold(F.col("doc_id"), 4) != 2)
+    held_out = F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out")
+    scored = toxicity.score(docs, toxicity.fit(docs, labels))
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove, in all orders, by language."""
+    return audit.audit(documents(spark, sf_dir, "documents"), documents(spark, sf_dir, "labels"))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS first_id FROM d
+), f AS (
+  SELECT part, doc_id, len(ws) < 100 AS a, 100 * len(list_distinct(ws)) < 80 * len(ws) AS b,
+         100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d, coalesce(doc_id > first_id, false) AS e
+  FROM w
+), l AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), m AS (
+  SELECT part, CAST(a AS INT) + 2 * CAST(b AS INT) + 4 * CAST(c AS INT) + 8 * CAST(d AS INT) + 16 * CAST(e AS INT) AS mask, count(*) AS n,
+         count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic
+  FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL
+), o(filter_order, before, step, letter) AS (
+  SELECT '', 0, 0, '' UNION ALL
+  SELECT filter_order || x, before + CASE WHEN step = 0 THEN 0 ELSE CAST(pow(2, ascii(letter) - 65) AS INT) END, step + 1, x FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE NOT contains(filter_order, x)
+), s AS (
+  SELECT p.filter_order, q.step, q.before, CAST(pow(2, ascii(q.letter) - 65) AS INT) AS mine FROM o p JOIN o q ON p.step = 5 AND q.step > 0 AND starts_with(p.filter_order, q.filter_order)
+), r AS (
+  SELECT part, filter_order, step, mine,
+         sum(n) FILTER (WHERE mask & (before | mine) = 0) AS kept, sum(n) FILTER (WHERE mask & mine > 0 AND mask & before = 0) AS removed,
+         sum(n) FILTER (WHERE mask & mine > 0 AND mask & before > 0) AS redundant, sum(n) FILTER (WHERE mask = mine) AS unique_fails,
+         sum(good) FILTER (WHERE mask & mine > 0 AND mask & before = 0) AS good_lost, sum(toxic) FILTER (WHERE mask & mine > 0 AND mask & before = 0) AS toxic_lost
+  FROM m, s GROUP BY ALL
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+       CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+       CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+       CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, mine) AS BIGINT) AS shapley
+FROM r
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> query over the tables of a folder."""
     return {
@@ -165,9 +242,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": op8_warc,
         "op9_decontamination": op9_decontamination,
         "op10_embedding_dedup": op10_embedding_dedup,
+        "op11_centroids": op11_centroids,
+        "op12_toxicity": op12_toxicity,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """Name -> DuckDB SQL with the same rows."""
-    return {"op8_warc": OP8_SQL, "op10_embedding_dedup": OP10_SQL}
+    return {"op8_warc": OP8_SQL, "op10_embedding_dedup": OP10_SQL, "op11_centroids": op11_sql(), "op13_filter_audit": OP13_SQL}
