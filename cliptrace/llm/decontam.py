@@ -8,7 +8,8 @@ items together; an exact edit distance, free at both ends of the window, decides
 
 A window is left out before embedding only if too few of its word pairs occur in
 any item: ``k`` edits destroy at most ``2 k`` of an item's pairs, so that this
-loses nothing.
+loses nothing.  A similarity at which edits could leave an item no pair (below
+about 0.6, depending on the lengths) is an error.
 
 Embeddings drift apart with the number of edits, so that a walk finds less the
 longer an item is.  Items of about each length are therefore tried out with as
@@ -137,6 +138,8 @@ class Searcher:
         self.groups: list[Group] = []
         for size, found in sorted(by_size.items()):
             g = Group(size, int((1 - similarity) * size + 1e-9), np.array(found, np.int64), [by_text[w] for w in found])
+            if g.edits and size - 1 - 2 * g.edits < 1:
+                raise ValueError(f"similarity {similarity}: {g.edits} edits can leave an item of {size} words without any pair of its words")
             g.first = self.groups[-1].first + len(self.groups[-1].ids) if self.groups else 0
             self.groups.append(g)
         bands: list[list[Group]] = []
@@ -408,7 +411,7 @@ class Searcher:
     def _search(self, parts: list[np.ndarray], base: int, out: list) -> None:
         lens = np.fromiter(map(len, parts), np.int64, len(parts))
         seq = np.concatenate(parts).astype(np.int64)
-        if not len(seq) or not self.groups:
+        if not len(seq):
             return
         last = np.cumsum(lens)
         owner = np.repeat(np.arange(len(parts)), lens)
@@ -425,6 +428,8 @@ class Searcher:
             for k in found[one].tolist():
                 first = k - int(begins[k])
                 out[base + int(owner[k])] += [(x, 0, 1, first, first + 1) for x in self.alone_ids[where[k]]]
+        if not self.groups:
+            return
         # The pairs of each group: those of all groups, dealt out by one sort.
         often = self.member_at[kind + 1] - self.member_at[kind]
         which = self.member[np.repeat(self.member_at[kind] - np.cumsum(often) + often, often) + np.arange(often.sum())]

@@ -53,15 +53,14 @@ URL_RULES = [
     ("example.net", "/de/8", "block"),
     ("org", "/es/", "block"),
 ]
-#: Words of hosts that mark a url as unwanted where no judged urls are at hand.
-URL_SEEDS = ["adult", "ads", "bets", "casino", "pills", "spam"]
 
 
 def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Judge every url by the listed rules, else by mined ones."""
+    """Judge every url by the listed rules, else by rules mined from what these
+    block and allow."""
     pages = documents(spark, sf_dir, "pages").select("page_id", "url")
-    # The words that made the labels are no tokens of rules: what is mined is what goes with them.
-    mined = urlfilter.mine(urlfilter.seed_labels(pages, URL_SEEDS), masked=[f"h:{w}" for w in URL_SEEDS])
+    # The tables hold no judged urls but those that the listed rules judge.
+    mined = urlfilter.mine(urlfilter.listed_labels(pages, URL_RULES))
     return urlfilter.judge(pages, URL_RULES, mined).select("page_id", "host", "path", "rule", "verdict", "mined_rules")
 
 

@@ -28,8 +28,9 @@ from .common import cut, drawn, fresh
 MAX_LABELLED = 50_000
 #: Rules that are sent to all tasks, at most; more are an error.
 MAX_RULES = 20_000
-#: Tokens of a url that are items of FP-growth, at most.
-MAX_ITEMS = 12
+#: Frequent tokens, of those that do not always occur together, that one url may
+#: have; more are an error.
+MAX_TOGETHER = 24
 #: The item that stands for the label.
 _BAD = "=unwanted"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -92,9 +93,10 @@ def mine(labelled: DataFrame, min_support: float = 0.02, min_count: int = 2, min
     A token that is a rule by itself is no item any more, since every longer
     combination with it would add nothing.  FP-growth then mines combinations of
     the others together with the label, so that supports and confidences are
-    counts over all labelled urls.  Of a url with more than ``MAX_ITEMS`` such
-    tokens the most telling ones (by confidence) are items: a bound of fitting,
-    since FP-growth looks at all combinations of what rows share.
+    counts over all labelled urls of the sample.  Tokens that occur in the very
+    same urls are one item, and a rule with it needs all of them: FP-growth looks
+    at all combinations of what rows share.  Nothing is left out; more than
+    ``MAX_TOGETHER`` items in one url are an error.
     """
     tokens = F.array_except(tokens_of(host_of(F.col("url")), path_of(F.col("url"))), F.array(*map(F.lit, masked)).cast("array<string>"))
     rows = labelled.select(tokens.alias("items"), F.col("label").cast("int").alias("label"), F.xxhash64("url").alias("at"))
@@ -107,20 +109,26 @@ def mine(labelled: DataFrame, min_support: float = 0.02, min_count: int = 2, min
     single = rows.select("label", F.explode("items").alias("t")).groupBy("t").agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("bad")).filter(F.col("bad") >= least)
     single = single.withColumn("confidence", F.col("bad") / F.col("n"))
     sure = [Rule(frozenset([r["t"]]), r["bad"], r["confidence"]) for r in _bounded(single.filter(F.col("confidence") >= min_confidence).orderBy("t"))]
-    # Items of a row, the most telling first; only frequent ones are left.
-    left = single.filter(F.col("confidence") < min_confidence).select(F.col("t"), F.col("confidence").alias("c"))
-    kept = rows.withColumn("row", F.monotonically_increasing_id()).select("row", "label", F.explode("items").alias("t")).join(left, "t")
-    best = F.slice(F.sort_array(F.collect_list(F.struct("c", "t")), asc=False), 1, MAX_ITEMS)
-    items = kept.groupBy("row", "label").agg(F.transform(best, lambda x: x["t"]).alias("items"))
+    left = single.filter(F.col("confidence") < min_confidence).select("t")
+    kept = cut(rows.withColumn("row", F.monotonically_increasing_id()).select("row", "label", F.explode("items").alias("t")).join(left, "t"))
+    # The urls of a token, as a number and a sum of hashes.
+    alike = kept.groupBy("t").agg(F.count("*").alias("n"), F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("h"))
+    joint = cut(alike.groupBy("n", "h").agg(F.sort_array(F.collect_list("t")).alias("all")))
+    lead = joint.select(F.col("all")[0].alias("t"))
+    items = cut(kept.join(lead, "t", "left_semi").groupBy("row", "label").agg(F.collect_list("t").alias("items")))
+    most = items.agg(F.max(F.size("items"))).first()[0] or 0
+    if most > MAX_TOGETHER:
+        raise ValueError(f"{most} frequent tokens in one url: raise min_support")
     items = items.select(F.when(F.col("label") == 1, F.concat("items", F.array(F.lit(_BAD)))).otherwise(F.col("items")).alias("items"))
     found = FPGrowth(itemsCol="items", minSupport=least / sizes["n"], minConfidence=min_confidence).fit(items).associationRules
     found = found.filter((F.size("consequent") == 1) & (F.col("consequent")[0] == _BAD))
     # FP-growth counts in shares of the rows that it was given.
     n = items.count()
     more = found.select("antecedent", "confidence", F.round(F.col("support") * n).cast("long").alias("bad")).filter(F.col("bad") >= least)
+    joined = {r["all"][0]: frozenset(r["all"]) for r in _bounded(joint)}
     out = list(sure)
     for r in _bounded(more.orderBy(F.size("antecedent"), F.desc("bad"), F.array_join(F.array_sort("antecedent"), " "))):
-        s = frozenset(r["antecedent"])
+        s = frozenset().union(*(joined[t] for t in r["antecedent"]))
         if not any(k.tokens <= s for k in out):  # shorter rules first: what one implies is not kept
             out.append(Rule(s, r["bad"], r["confidence"]))
     return out
@@ -139,9 +147,9 @@ class Listed:
     subdomains, and paths that start with its own.  The longest wins."""
 
     def __init__(self, rules: Sequence[tuple[str, str, str]]):
-        self.by: dict[str, list[tuple[str, str]]] = defaultdict(list)
-        for host, path, verdict in rules:
-            self.by[host.lower()].append((path, verdict))
+        self.by: dict[str, list[tuple[str, str, int]]] = defaultdict(list)
+        for place, (host, path, verdict) in enumerate(rules):
+            self.by[host.lower()].append((path, verdict, place))
         for paths in self.by.values():
             paths.sort(key=lambda x: -len(x[0]))
 
@@ -150,13 +158,13 @@ class Listed:
         best, at = None, 0
         while at >= 0:
             suffix = host[at:]
-            for p, verdict in self.by.get(suffix, ()):
+            for p, verdict, place in self.by.get(suffix, ()):
                 if path.startswith(p):
-                    if best is None or len(suffix) + len(p) > len(best[0]):
-                        best = (suffix + p, verdict)
+                    if best is None or (len(suffix) + len(p), -place) > best[0]:
+                        best = (len(suffix) + len(p), -place), (suffix + p, verdict)
                     break
             at = host.find(".", at) + 1 or -1
-        return best
+        return best[1] if best else None
 
 
 def judge(pages: DataFrame, listed: Sequence[tuple[str, str, str]], mined: Sequence[Rule], url: str = "url") -> DataFrame:
@@ -182,6 +190,13 @@ def judge(pages: DataFrame, listed: Sequence[tuple[str, str, str]], mined: Seque
     return judged.withColumns({c: F.col(name)[c] for c in ("rule", "verdict", "mined_rules")}).drop(name)
 
 
+def listed_labels(pages: DataFrame, listed: Sequence[tuple[str, str, str]], url: str = "url") -> DataFrame:
+    """Labels (url, label) from listed rules: 1 for urls that they block, 0 for
+    urls that they allow; others have none."""
+    judged = judge(pages.select(F.col(url).alias("url")), listed, [])
+    return judged.filter("rule IS NOT NULL").select("url", (F.col("verdict") == "block").cast("int").alias("label"))
+
+
 def seed_labels(pages: DataFrame, terms: Sequence[str], url: str = "url") -> DataFrame:
     """Labels (url, label) from a list of words: 1 for a url whose host has one
     of them.  A stand-in where no judged urls are at hand."""

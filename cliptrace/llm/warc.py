@@ -94,6 +94,12 @@ def _copies(pages: DataFrame, key: str, url: str, payload: str) -> tuple[DataFra
     return once.unionByName(firsts).unionByName(others), shared
 
 
+def escaped(url: Column) -> Column:
+    """A url with its control characters percent-encoded: it fits on a line."""
+    encoded = lambda c: F.when(c.rlike(r"\p{Cntrl}"), F.concat(F.lit("%"), F.lpad(F.hex(F.ascii(c)), 2, "0"))).otherwise(c)
+    return F.when(url.rlike(r"\p{Cntrl}"), F.array_join(F.transform(F.split(url, ""), encoded), "")).otherwise(url)
+
+
 def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html") -> None:
     """Write ``pages`` as gzipped WARC files below ``path``.
 
@@ -108,7 +114,7 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", p
     mine = lambda kind: _urn(F.lit(kind), F.col("key"), F.col("url"), hexed, F.col("copy"))
     hexed = F.lower(F.hex("digest"))
     me = mine("response")
-    target = F.regexp_replace(F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A"), r"\p{Cntrl}", "%00")
+    target = escaped(F.col("url"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{_CRLF}Content-Type: text/html; charset=utf-8{_CRLF}Content-Length: "), F.col("bytes").cast("string"), F.lit(_CRLF * 2))
     common = lambda kind, rid: [("WARC-Type", kind), ("WARC-Record-ID", rid), ("WARC-Date", _DATE), ("WARC-Target-URI", target)]
     digest = ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), hexed))
@@ -260,8 +266,10 @@ def assemble(records: DataFrame) -> DataFrame:
 
 
 def captures(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """The captures below ``path`` with the key that ``write`` stored."""
-    return assemble(read(spark, path, payloads)).withColumn("key", F.element_at(F.get("metadata", F.lit(0))["fields"], "key"))
+    """The captures below ``path`` with the key that ``write`` stored; null if
+    that was null or empty."""
+    key = F.element_at(F.get("metadata", F.lit(0))["fields"], "key")
+    return assemble(read(spark, path, payloads)).withColumn("key", F.when(key != "", key))
 
 
 def resolve(found: DataFrame) -> DataFrame:

@@ -145,9 +145,9 @@ def test_url_query_against_plain_python(spark):
 
     sf_dir = "/root/testdata/sf0.01"  # the smallest tables have too few unwanted urls for a rule
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    mined = urlfilter.mine(urlfilter.seed_labels(pages, queries.URL_SEEDS), masked=[f"h:{w}" for w in queries.URL_SEEDS])
+    mined = urlfilter.mine(urlfilter.listed_labels(pages, queries.URL_RULES))
     got = {r["page_id"]: r for r in queries.op2_url_rules(spark, sf_dir).collect()}
-    assert mined and not any(t[2:] in queries.URL_SEEDS for r in mined for t in r.tokens if t.startswith("h:"))
+    assert mined
     for page_id, url in pages.collect():
         rest = url.split("://", 1)[1] if url and "://" in url else ""
         host = re.split("[/?#]", rest)[0]
@@ -171,6 +171,46 @@ def test_mined_rules_judge_hosts_that_were_held_out(spark):
     assert all((r["verdict"] == "block") == bool(r["label"]) for r in got)
 
 
+def test_no_rule_is_lost_beside_many_tokens(spark):
+    """A rule of two tokens beside fourteen that tell more each."""
+    rows = []
+    for k in range(4_000):
+        bad = k % 2
+        noise = [f"n{j}" for j in range(14) if bad or (k // 2 + j) % 4 == 0]  # confidence 0.8 each
+        pair = ["uu", "vv"] if bad else ["uu"] if k % 4 else ["vv"]
+        rows.append((f"http://x.y/{'/'.join(noise + pair)}", bad))
+    mined = urlfilter.mine(spark.createDataFrame(rows, "url string, label int"))
+    assert any(r.tokens == {"p:uu", "p:vv"} and r.support == 2_000 and r.confidence == 1.0 for r in mined)
+
+
+def test_tokens_that_always_occur_together_are_one_item(spark):
+    many = "/".join(f"t{j}" for j in range(60))
+    rows = [(f"http://x.y/{many}/bad", 1)] * 5 + [(f"http://x.y/{many}", 0), ("http://x.y/bad", 0)] * 3
+    mined = urlfilter.mine(spark.createDataFrame(rows, "url string, label int"))
+    assert [(len(r.tokens), r.support, r.confidence) for r in mined] == [(61, 5, 1.0)]
+    free = [(f"http://x.y/{'/'.join(f't{j}' for j in range(40) if j != k)}", k % 2) for k in range(40)]
+    with pytest.raises(ValueError, match="min_support"):
+        urlfilter.mine(spark.createDataFrame(free, "url string, label int"))
+
+
+def test_rules_mined_from_listed_ones_judge_held_out_urls(spark):
+    """The listed rules' verdicts on pages that were not learned from."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    held = F.crc32(F.col("page_id").cast("string")) % 4 == 2
+    mined = urlfilter.mine(urlfilter.listed_labels(pages.filter(~held), queries.URL_RULES))
+    truth = urlfilter.listed_labels(pages.filter(held), queries.URL_RULES).distinct()
+    got = urlfilter.judge(truth, [], mined).groupBy("label", "verdict").count().collect()
+    n = {(r["label"], r["verdict"]): r["count"] for r in got}
+    right, wrong = n.get((1, "block"), 0), n.get((0, "block"), 0)
+    assert right / (right + n.get((1, "allow"), 0)) > 0.4 and right / (right + wrong) > 0.85
+
+
+def test_of_equal_rules_the_first_listed_wins():
+    assert urlfilter.Listed([("com", "/x/y", "allow"), ("a.com", "/x", "block")]).match("a.com", "/x/y") == ("com/x/y", "allow")
+    assert urlfilter.Listed([("a.com", "/x", "block"), ("com", "/x/y", "allow")]).match("a.com", "/x/y") == ("a.com/x", "block")
+    assert urlfilter.Listed([("com", "/x/y/", "allow"), ("a.com", "/x", "block")]).match("b.a.com", "/x/y/") == ("com/x/y/", "allow")
+
+
 def test_url_odd_rows(spark):
     rows = [(1, "http://a.casino.com/x" + "y" * 100_000, "k", "m", "n"), (1, None, "k", "m", "n"), (1, "http://a.casino.com/", "k", "m", "n")] * 2
     df = spark.createDataFrame(rows, "page_id long, url string, _judged string, host string, mined_rules string")

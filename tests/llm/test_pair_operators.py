@@ -301,6 +301,31 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.captures(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_warc_query_with_null_and_odd_keys(spark, tmp_path):
+    rows = [(None, "http://n\t\x01\x7f", "z" * 300), (5, "http://a/\tb", "z" * 300), (None, None, None), (6, "u", "short")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = queries.op8_warc(spark, str(tmp_path)).collect()
+    assert sorted((r["page_id"] or 0, r["record_type"], r["refers_to"], r["payload_bytes"]) for r in got) == [(0, "response", None, 0), (0, "revisit", 5, 300), (5, "response", None, 300), (6, "response", None, 5)]
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w"))
+    urls = {r["target_uri"] for r in warc.captures(spark, str(tmp_path / "w")).collect()}
+    assert urls == {"http://n%09%01%7F", "http://a/%09b", None, "u"}
+
+
+def test_items_of_one_word_alone_are_found(spark):
+    docs = spark.createDataFrame([(1, "say hello world"), (2, "nothing"), (3, None), (4, "Hello, hello!")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "hello")], "item_id long, text string")
+    got = sorted(tuple(r) for r in decontam.matches(docs, bench).select("doc_id", "item_id", "distance", "start_word", "end_word").collect())
+    assert got == [(1, 7, 0, 1, 2), (4, 7, 0, 0, 1)]
+    assert decontam.Searcher([(7, "hello")], 0.8, 1, 4, 8, 2, 3).search(["say hello world"]) == [[(7, 0, 1, 1, 2)]]
+
+
+def test_similarities_that_could_lose_items_are_refused():
+    item = [(1, " ".join(f"w{k}" for k in range(12)))]
+    with pytest.raises(ValueError, match="similarity"):
+        decontam.Searcher(item, 0.5, 1, 4, 8, 2, 3, 1.0)
+    assert decontam.Searcher(item, 0.8, 1, 4, 8, 2, 3, 1.0).groups[0].edits == 2
+
+
 def test_near_duplicate_stage_against_brute_force(spark, monkeypatch):
     pipeline = pytest.importorskip("corpus_pipeline")
     monkeypatch.setattr(simhash, "UNIT_ROWS", 16)  # groups in several units
