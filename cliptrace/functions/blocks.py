@@ -166,6 +166,16 @@ class Frames:
         grids = {g: tuple(np.concatenate([p.grids[g][k] for p in parts])[order] for k in (0, 1)) for g in GRIDS}
         return cls(si[order], np.concatenate([p.ts for p in parts])[order], {c: np.concatenate(x)[order] for c, x in hashes.items()}, layout, grids)
 
+    @classmethod
+    def in_a_row(cls, parts: list[Frames]) -> Frames:
+        """Parts of one video, in one layout, one after another, with the motion
+        that they bring."""
+        grids = {g: tuple(np.concatenate([p.grids[g][k] for p in parts]) for k in (0, 1)) for g in GRIDS}
+        hashes = {c: np.concatenate([p.hashes[c] for p in parts]) for c in parts[0].hashes}
+        whole = cls(np.concatenate([p.si for p in parts]), np.concatenate([p.ts for p in parts]), hashes, parts[0].layout, grids)
+        whole.delta, whole.mag = np.concatenate([p.delta for p in parts]), np.concatenate([p.mag for p in parts])
+        return whole
+
     def motion(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
         """Color motion of a range, and its length; nan where there is none."""
         if self.mag is not None:

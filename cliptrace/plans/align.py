@@ -52,19 +52,86 @@ def js_round(x: float) -> int:
     return int(np.floor(x + 0.5))
 
 
-class Aligner:
-    """Aligns chunks of ``short`` with ``movie``."""
+class Missing(Exception):
+    """What an aligner asks for is not at hand yet."""
+
+
+def maxima(sims: np.ndarray, floor: float | None = None, step: int = 1) -> list[tuple[int, float]]:
+    """Leaders of neighbourhoods, best first."""
+    kept: list[list] = []
+    for k, s in enumerate(sims.tolist()):
+        if s != s or floor is not None and s < floor:
+            continue
+        lead(kept, k * step, s)
+    return sorted(((m, s) for m, s in kept), key=lambda x: -x[1])
+
+
+def lead(kept: list[list], mi: int, sim: float) -> None:
+    """The next frame of a scan: it moves the last leader or is a new one."""
+    if kept and mi - kept[-1][0] < SEPARATION:
+        if sim > kept[-1][1]:
+            kept[-1] = [mi, sim]
+    else:
+        kept.append([mi, sim])
+
+
+class Whole:
+    """What an aligner asks of a movie, with the whole movie at hand."""
+
+    def __init__(self, short: Frames, movie: Frames):
+        self.s, self.m, self.n = short, movie, movie.n
+        self.last: tuple[tuple[int, bool] | None, np.ndarray] = (None, np.zeros(0))
+
+    def sims(self, si: int, full_only: bool) -> np.ndarray:
+        """Hash similarities of a short frame with all movie frames."""
+        if self.last[0] != (si, full_only):
+            self.last = ((si, full_only), hash_sims(self.s, si, self.m, 0, self.n, full_only))
+        return self.last[1]
+
+    def leaders(self, si: int, full_only: bool, floor: float | None = None) -> list[tuple[int, float]]:
+        """Leaders of the scan of a short frame, best first."""
+        return maxima(self.sims(si, full_only), floor)
+
+    def best(self, si: int) -> tuple[int, float]:
+        """The movie frame that is most like a short frame."""
+        sims = frame_sims(self.s, si, self.m, 0, self.n)
+        at = int(sims.argmax())
+        return at, float(sims[at])
+
+    def window(self, si: int, lo: int, hi: int) -> np.ndarray:
+        """Similarities with a range of movie frames."""
+        return frame_sims(self.s, si, self.m, lo, hi)
 
-    def __init__(self, short: Frames, movie: Frames, cuts: np.ndarray, profile: Profile, drift: int):
-        self.s, self.m, self.cuts, self.p, self.drift = short, movie, cuts, profile, drift
+    def reach(self, lo: int, hi: int) -> None:
+        """Says what range will likely be asked for."""
 
-    # Similarities of one short frame with a range of movie frames.
+    def time(self, mi: int) -> float:
+        return float(self.m.ts[mi])
 
-    def hash_sim(self, si: int, lo: int, hi: int, full_only: bool) -> np.ndarray:
-        return hash_sims(self.s, si, self.m, lo, hi, full_only)
+    def detail(self, si: int, mi: int) -> dict:
+        return frame_detail(self.s, si, self.m, mi)
 
-    def frame_sim(self, si: int, lo: int, hi: int) -> np.ndarray:
-        return frame_sims(self.s, si, self.m, lo, hi)
+
+class Aligner:
+    """Aligns chunks of ``short`` with a movie."""
+
+    def __init__(self, short: Frames, movie: Frames | Whole, cuts: np.ndarray, profile: Profile, drift: int):
+        self.s, self.cuts, self.p, self.drift = short, cuts, profile, drift
+        self.m = Whole(short, movie) if isinstance(movie, Frames) else movie
+        self.known: dict[tuple, list[tuple[int, int, float]]] = {}  # sequences, by seed and used frames
+
+    def each(self, of, places) -> list:
+        """``of`` of each place; what is missing for any of them is asked for
+        at once."""
+        out, missing = [], False
+        for x in places:
+            try:
+                out.append(of(x))
+            except Missing:
+                missing = True
+        if missing:
+            raise Missing
+        return out
 
     # Walks.
 
@@ -95,7 +162,7 @@ class Aligner:
                 got.append((si, min(self.m.n - 1, max(0, expected)), 0.0))
                 si += step
                 continue
-            sims = self.frame_sim(si, lo, hi + 1)
+            sims = self.m.window(si, lo, hi + 1)
             at = int(sims.argmax())
             sim, mi = float(sims[at]), lo + at
             enough = p.walk_min if forced else max(p.walk_floor, p.walk_min - len(got) // 25)
@@ -115,8 +182,13 @@ class Aligner:
 
     def sequence(self, si: int, mi: int, used: np.ndarray, chunk: tuple[int, int], forced: bool = False, sim: float | None = None) -> list[tuple[int, int, float]]:
         """Both walks from a seed, with short gaps filled."""
+        key = (si, mi, forced, used[chunk[0] : chunk[1] + 1].tobytes())
+        if key in self.known:
+            return self.known[key]
+        spread = self.p.widest + self.drift
+        self.m.reach(mi - (si - chunk[0]) * 9 // 8 - spread, mi + (chunk[1] - si) * 9 // 8 + spread)
         if sim is None:
-            sim = float(self.frame_sim(si, mi, mi + 1)[0])
+            sim = float(self.m.window(si, mi, mi + 1)[0])
         seed = (si, mi, sim)
         back = self.walk(seed, -1, used, chunk, forced)
         points = [*back[::-1], seed, *self.walk(seed, 1, used, chunk, forced)]
@@ -126,25 +198,11 @@ class Aligner:
             if 2 <= gap <= 3:
                 out += [(a[0] + k, js_round(a[1] + k / gap * (b[1] - a[1])), (a[2] + b[2]) / 2) for k in range(1, gap)]
             out.append(b)
+        self.known[key] = out
         return out
 
     # Candidate places.
 
-    @staticmethod
-    def maxima(sims: np.ndarray, floor: float | None = None, step: int = 1) -> list[tuple[int, float]]:
-        """Leaders of neighbourhoods, best first."""
-        kept: list[list] = []
-        for k, s in enumerate(sims.tolist()):
-            if s != s or floor is not None and s < floor:
-                continue
-            mi = k * step
-            if kept and mi - kept[-1][0] < SEPARATION:
-                if s > kept[-1][1]:
-                    kept[-1] = [mi, s]
-            else:
-                kept.append([mi, s])
-        return sorted(((m, s) for m, s in kept), key=lambda x: -x[1])
-
     def seeds(self, chunk: tuple[int, int]) -> list[int]:
         start, end = chunk
         size = end - start + 1
@@ -156,8 +214,9 @@ class Aligner:
     def consensus(self, chunk: tuple[int, int]) -> list[dict]:
         """Offsets that many probes vote for."""
         votes: dict[int, dict] = {}
-        for si in range(chunk[0], chunk[1] + 1, CONSENSUS_STEP):
-            for mi, sim in self.maxima(self.hash_sim(si, 0, self.m.n, False))[:CONSENSUS_VOTES]:
+        probes = range(chunk[0], chunk[1] + 1, CONSENSUS_STEP)
+        for si, found in zip(probes, self.each(lambda si: self.m.leaders(si, False), probes), strict=True):
+            for mi, sim in found[:CONSENSUS_VOTES]:
                 b = votes.setdefault(js_round((mi - si) / CONSENSUS_BUCKET), {"votes": 0, "sum": 0.0, "sim": -1.0})
                 b["votes"] += 1
                 b["sum"] += sim
@@ -172,7 +231,7 @@ class Aligner:
         probes = list(range(start, end + 1, max(1, size // SWEEP_PROBES)))
         if len(probes) < 2:
             return []
-        sims = np.stack([self.hash_sim(si, 0, self.m.n, True) for si in probes])
+        sims = self.each(lambda si: self.m.sims(si, True), probes)
         anchors, found = np.arange(0, self.m.n, SWEEP_STEP), []
         for slope in SLOPES:
             total, n = np.zeros(len(anchors)), np.zeros(len(anchors), int)
@@ -182,8 +241,8 @@ class Aligner:
                 total[ok] += row[mi[ok]]
                 n += ok
             score = np.where(n >= max(2, len(probes) // 2), total / np.maximum(n, 1), np.nan)
-            found += self.maxima(score, step=SWEEP_STEP)[:SWEEP_PER_SLOPE]
-        blended = [(mid, a, 0.5 * s + 0.5 * float(self.frame_sim(mid, a, a + 1)[0])) for a, s in found]
+            found += maxima(score, step=SWEEP_STEP)[:SWEEP_PER_SLOPE]
+        blended = self.each(lambda x: (mid, x[0], 0.5 * x[1] + 0.5 * float(self.m.window(mid, x[0], x[0] + 1)[0])), found)
         return sorted(blended, key=lambda x: -x[2])[:SWEEP_TOP]
 
     # One chunk.
@@ -214,31 +273,37 @@ class Aligner:
                 if len(kept) >= self.p.alternates:
                     break
             mid = js_round((start + end) / 2)
-            for offset in kept:
-                mi = min(self.m.n - 1, max(0, offset + mid))
-                pool.append({"seq": self.sequence(mid, mi, used, chunk, forced=True), "approximate": True, "stage": "pool"})
+            places = [min(self.m.n - 1, max(0, offset + mid)) for offset in kept]
+            for seq in self.each(lambda mi: self.sequence(mid, mi, used, chunk, forced=True), places):
+                pool.append({"seq": seq, "approximate": True, "stage": "pool"})
 
         left = lambda: [si for si in range(start, end + 1) if not used[si]]
         for number, limit in ((1, min_similarity), (2, SECOND_PASS)):
             if not left():
                 break
             best, raw = None, []
-            for place in self.seeds(chunk):
+
+            def tried(place: int, limit: float = limit) -> tuple[list, list]:
+                """Offsets that a seed offers, and the sequences it leads to."""
                 si = place
                 if used[si]:
                     free = sorted(left(), key=lambda x: (abs(x - place), x < place))
                     if not free:
-                        continue
+                        return [], []
                     si = free[0]
-                sims = self.hash_sim(si, 0, self.m.n, not self.p.all_variants)
-                raw += [(mi - si, s) for mi, s in self.maxima(sims)[: self.p.alternates + 4]]
-                found = self.maxima(sims, limit - self.p.scan_slack)[: self.p.walked]
+                full = not self.p.all_variants
+                offers = [(mi - si, s) for mi, s in self.m.leaders(si, full)[: self.p.alternates + 4]]
+                found = self.m.leaders(si, full, limit - self.p.scan_slack)[: self.p.walked]
                 if not found or found[0][1] < limit - self.p.top_slack:
-                    continue
-                for mi, _ in found:
-                    sim = float(self.frame_sim(si, mi, mi + 1)[0])
-                    if sim >= limit - self.p.seed_slack:
-                        best = better(self.sequence(si, mi, used, chunk, sim=sim), best)
+                    return offers, []
+                sims = self.each(lambda x: float(self.m.window(si, x[0], x[0] + 1)[0]), found)
+                good = [(mi, sim) for (mi, _), sim in zip(found, sims, strict=True) if sim >= limit - self.p.seed_slack]
+                return offers, self.each(lambda x: self.sequence(si, x[0], used, chunk, sim=x[1]), good)
+
+            for offers, sequences in self.each(tried, self.seeds(chunk)):
+                raw += offers
+                for seq in sequences:
+                    best = better(seq, best)
             if best:
                 accept(best[0], number == 2, f"pass{number}")
             if best or self.p.rescue and number == 2:
@@ -247,8 +312,7 @@ class Aligner:
             if left():
                 found = self.consensus(chunk)
                 best = None
-                for b in found:
-                    seq = self.sequence(b["si"], b["mi"], used, chunk)
+                for seq in self.each(lambda b: self.sequence(b["si"], b["mi"], used, chunk), found):
                     if sum(x[2] for x in seq) / len(seq) >= RESCUE_MEAN:
                         best = better(seq, best)
                 if best:
@@ -258,8 +322,7 @@ class Aligner:
             if left():
                 found = self.sweep(chunk)
                 best = None
-                for mid, anchor, _ in found:
-                    seq = self.sequence(mid, min(self.m.n - 1, max(0, anchor)), used, chunk)
+                for seq in self.each(lambda x: self.sequence(x[0], min(self.m.n - 1, max(0, x[1])), used, chunk), found):
                     if sum(x[2] for x in seq) / len(seq) >= RESCUE_MEAN:
                         best = better(seq, best)
                 if best:
@@ -268,11 +331,7 @@ class Aligner:
                     offer([(a - mid, s) for mid, a, s in found])
         rest = left()
         if len(rest) >= FORCED_FRAMES:
-            forced = []
-            for si in rest:
-                sims = self.frame_sim(si, 0, self.m.n)
-                at = int(sims.argmax())
-                forced.append((si, at, float(sims[at])) if sims[at] > 0 else (si, 0, 0.0))
+            forced = [(si, at, sim) if sim > 0 else (si, 0, 0.0) for si, (at, sim) in zip(rest, self.each(self.m.best, rest), strict=True)]
             if sum(x[2] for x in forced) / len(forced) >= self.p.forced_gate:
                 group = [forced[0]]
                 for a, b in zip(forced, forced[1:], strict=False):
@@ -283,12 +342,23 @@ class Aligner:
                         group = [b]
                 accept(group, True, "forced")
         if self.p.rescue and left():
-            raw = []
-            for si in dict.fromkeys([start, js_round((start + end) / 2), end]):
-                raw += [(mi - si, s) for mi, s in self.maxima(self.hash_sim(si, 0, self.m.n, False))]
-            offer(raw)
+            probes = list(dict.fromkeys([start, js_round((start + end) / 2), end]))
+            found = self.each(lambda si: self.m.leaders(si, False), probes)
+            offer([(mi - si, s) for si, places in zip(probes, found, strict=True) for mi, s in places])
         return segments, pool
 
+    def whole_chunk(self, min_similarity: float, min_consecutive: int) -> list[tuple]:
+        """(kind, number, found, summary, steps) of all segments, then all
+        alternates, of the short taken as one chunk."""
+        segments, pool = self.chunk((0, self.s.n - 1), min_similarity, min_consecutive)
+        found = [(kind, k, x) for kind, some in (("segment", segments), ("alternate", pool)) for k, x in enumerate(some)]
+        return self.each(lambda x: (*x, self.summary(x[2]["seq"]), self.steps(x[2]["seq"])), found)
+
+    def steps(self, seq: list[tuple[int, int, float]]) -> list[dict]:
+        """Times and similarity of each step of a sequence."""
+        times = self.each(lambda x: self.m.time(x[1]), seq)
+        return [{"short_time": float(self.s.ts[a]), "movie_time": t, "similarity": float(c), "si": int(self.s.si[a]), "mi": int(b)} for (a, b, c), t in zip(seq, times, strict=True)]
+
     def summary(self, seq: list[tuple[int, int, float]]) -> dict:
         """Times, speed, and the best frame of a sequence with its detail."""
         si, mi, sim = (np.array(x) for x in zip(*seq, strict=True))
@@ -300,10 +370,10 @@ class Aligner:
         by_line = int(mi[0]) + js_round(slope * int(si[-1] - si[0]))
         end = min(self.m.n - 1, max(0, by_line)) if abs(by_line - int(mi[-1])) > 1 else int(mi[-1])
         top = int(sim.argmax())
-        detail = frame_detail(self.s, int(si[top]), self.m, int(mi[top]))
+        first, last, detail = self.each(lambda f: f(), (lambda: self.m.time(int(mi[0])), lambda: self.m.time(end), lambda: self.m.detail(int(si[top]), int(mi[top]))))
         return {
             "short_start": float(self.s.ts[si[0]]), "short_end": float(self.s.ts[si[-1]]),
-            "movie_start": float(self.m.ts[mi[0]]), "movie_end": float(self.m.ts[end]),
+            "movie_start": first, "movie_end": last,
             "confidence": float(sim.mean()), "frame_count": len(seq),
             "gap_count": int(si[-1] - si[0] + 1 - len(set(si.tolist()))) if len(seq) > 1 else 0,
             "speed_ratio": slope, "best_si": int(si[top]), "best_mi": int(mi[top]), "detail": detail,

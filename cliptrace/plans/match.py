@@ -4,12 +4,11 @@ Frames are rows (video_id, si, ts, variants, color, skin, detail).  Cuts and
 chunks are window functions; each chunk of a short is aligned on its own by an
 Arrow function; what follows is relational.
 
-There is one plan whatever the sizes.  Movie frames are packed into blocks once,
-chunks of shorts are dealt out over groups of about ``SHORT_FRAMES`` frames, and
-each group meets the blocks of its movie.  Comparing a group's frames with a
-movie costs hundreds of times what moving the blocks costs, so that copies of
-the blocks are cheap, and nothing passes through the driver.  A task holds one
-movie, packed (2 to 4 KB a frame).
+Movies of up to ``WHOLE_FRAMES`` frames are packed into blocks, and meet groups of
+chunks of about ``SHORT_FRAMES`` frames, as long as no more than ``COPIED_FRAMES``
+movie frames are copied for it.  Longer movies, and more shorts, are aligned by
+ranges (``ranges``): movies stay where they are, and no task holds one.  Both
+ways give the same rows.
 """
 
 from __future__ import annotations
@@ -29,9 +28,13 @@ from ..functions.blocks import CHANNELS, Frames, Layout
 from ..operators import frames as fr
 from ..operators import intervals as iv
 from .align import MAIN, Aligner, Profile
+from .ranges import align_ranges
 
 #: Frames of shorts that are aligned with a movie in one group, about.
 SHORT_FRAMES = 100
+#: Frames (2 to 4 KB each) of a movie that a task may hold, and frames of movies
+#: that are copied to groups of shorts; beyond them movies are cut in ranges.
+WHOLE_FRAMES, COPIED_FRAMES = 20_000, 5_000_000
 _FEATURES = ["si", "ts", "variants", "color", "skin", "detail"]
 _DETAIL = "struct<crop: string, structure_sim: double, color_sim: double, skin_sim: double, detail_sim: double, short_hash: array<bigint>, movie_hash: array<bigint>>"
 _OUT = (
@@ -88,39 +91,49 @@ def _packed(movie: DataFrame) -> DataFrame:
     return movie.select("movie_id", *_FEATURES).mapInArrow(pack, "movie_id string, block binary")
 
 
-def _align(short: Frames, movie: Frames, cuts: np.ndarray, ids: tuple[str, str, int], single: bool, profile: Profile, drift: int, min_similarity: float, min_consecutive: int) -> list[dict]:
+def _rows(found: list[tuple], ids: tuple[str, str, int], short: Frames, single: bool) -> list[dict]:
+    """Rows of a chunk from its segments and alternates, each with its summary
+    and steps.  Alternates are numbered after the segments."""
     short_id, movie_id, chunk_id = ids
-    aligner = Aligner(short, movie, np.append(cuts, True), profile, drift)
-    segments, pool = aligner.chunk((0, short.n - 1), min_similarity, min_consecutive)
     rows = []
-    for kind, found in (("segment", segments), ("alternate", pool)):
-        for k, x in enumerate(found):
-            s = aligner.summary(x["seq"])
-            seq = [{"short_time": float(short.ts[a]), "movie_time": float(movie.ts[b]), "similarity": float(c), "si": int(short.si[a]), "mi": int(b)} for a, b, c in x["seq"]]
-            rows.append(s | {
-                "match_id": short_id if single else f"{short_id}/{movie_id}", "short_id": short_id, "movie_id": movie_id, "chunk_id": chunk_id,
-                "seg_id": chunk_id * _PER_CHUNK + k, "kind": kind, "stage": x["stage"], "is_approximate": bool(x["approximate"]), "best_si": int(short.si[s["best_si"]]), "sequence": seq,
-            })
+    for place, (kind, _, x, s, steps) in enumerate(found):
+        rows.append(s | {
+            "match_id": short_id if single else f"{short_id}/{movie_id}", "short_id": short_id, "movie_id": movie_id, "chunk_id": chunk_id,
+            "seg_id": chunk_id * _PER_CHUNK + place, "kind": kind, "stage": x["stage"], "is_approximate": bool(x["approximate"]), "best_si": int(short.si[s["best_si"]]), "sequence": steps,
+        })
     return rows
 
 
 def align(short: DataFrame, movie: DataFrame, profile: Profile = MAIN, min_similarity: float = 82, min_consecutive: int = 9, drift: int = 3, single: bool = True) -> DataFrame:
     """Segments and alternates of all chunks of the shorts against a movie or,
-    if not ``single``, against every movie (by its ``video_id``)."""
+    if not ``single``, against every movie (by its ``video_id``).  Where movies
+    are cut in ranges, this runs the rounds of their alignment."""
     short = short.withColumn("video_id", F.col("video_id").cast("string"))
     movie = movie.withColumn("movie_id", F.lit("movie") if single else F.col("video_id").cast("string"))
     w = fr.in_order("video_id", "si")
     cut = with_cuts(short).withColumn("chunk_id", F.sum(F.col("is_cut").cast("int")).over(w))
     groups = max(1, math.ceil(short.count() / SHORT_FRAMES))
     salt = F.pmod(F.xxhash64("video_id", "chunk_id"), F.lit(groups)).cast("int").alias("salt")
-    movies = movie.select("movie_id").distinct()
     chunks = cut.join(_layouts(short), "video_id").select("video_id", "chunk_id", "is_cut", "t_delta", "t_mag", "layout", *_FEATURES, salt)
-    # A chunk meets each movie: its key is the movie and the group of chunks.
-    cells = movies.select("movie_id", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("salt"))
-    left = chunks.join(cells, "salt")
-    right = _packed(movie).join(cells, "movie_id")
     schema = to_arrow_schema(short.sparkSession.createDataFrame([], _OUT).schema)
-    args = (single, profile, drift, min_similarity, min_consecutive)
+    sizes = movie.groupBy("movie_id").count().agg(F.max("count").alias("most"), F.sum("count").alias("all")).first()
+    if (sizes["most"] or 0) > WHOLE_FRAMES or (sizes["all"] or 0) * groups > COPIED_FRAMES:
+        found = align_ranges(chunks, movie, profile, min_similarity, min_consecutive, drift)
+
+        def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for r in b.to_pylist():
+                    short, result = pickle.loads(r["payload"])
+                    yield pa.RecordBatch.from_pylist(_rows(result, (r["short_id"], r["movie_id"], r["chunk_id"]), short, single), schema=schema)
+
+        return found.mapInArrow(decoded, _OUT)
+    # A chunk meets each movie: its key is the movie and the group of chunks.
+    all_groups = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("salt")
+    if single:
+        left = chunks.withColumn("movie_id", F.lit("movie"))
+    else:
+        left = chunks.join(movie.select("movie_id").distinct().select("movie_id", all_groups), "salt")
+    right = _packed(movie).select("*", all_groups)
 
     def many(key: tuple, mine: pa.Table, blocks: pa.Table) -> pa.Table:
         rows: list[dict] = []
@@ -134,7 +147,8 @@ def align(short: DataFrame, movie: DataFrame, profile: Profile = MAIN, min_simil
                 found = part["layout"][0].as_py()
                 layout = Layout(found["names"], {c: n for c, n in found["words"].items() if n})
                 one = Frames.from_arrow(part, layout)
-                rows += _align(one, frames, part["is_cut"].to_numpy(), (names[a], key[0].as_py(), int(ids[a])), *args)
+                aligner = Aligner(one, frames, np.append(part["is_cut"].to_numpy(), True), profile, drift)
+                rows += _rows(aligner.whole_chunk(min_similarity, min_consecutive), (names[a], key[0].as_py(), int(ids[a])), one, single)
         return pa.Table.from_pylist(rows, schema=schema)
 
     return left.groupBy("movie_id", "salt").cogroup(right.groupBy("movie_id", "salt")).applyInArrow(many, _OUT)
