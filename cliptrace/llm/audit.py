@@ -32,10 +32,15 @@ from pyspark import RDD
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import parts_for
+
 FILTERS = "ABCDE"
 DUPLICATE = 1 << FILTERS.index("E")
 #: Bytes of text that a task keeps in chains before it sends them on.
 HELD_BYTES = 64 << 20
+#: Bytes of text that a partition of chains gets, about, and rows that a
+#: partition of labelled counts gets at most.
+CHAIN_BYTES, LABELLED_ROWS = 16 << 20, 200_000
 #: Bytes of a text that are split into words at a time.
 SLICE_BYTES = 8 << 20
 _UPPER = bytes(range(ord("A"), ord("Z") + 1))
@@ -217,7 +222,8 @@ def audit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long"), F.col(part).cast("string"), F.col(text)).rdd.map(tuple)
     known = labels.select(F.col(key).cast("long"), F.coalesce(F.col("quality") == 1, F.lit(False)), F.coalesce(F.col("toxic") == 1, F.lit(False))).rdd.map(tuple)
-    # Chains hold whole texts: four times the partitions of the scan keep them small.
-    parts = max(8, 4 * rows.getNumPartitions())
-    counted = labelled(masks(rows, parts), known, max(8, parts // 4))
+    # Chains hold whole texts: their partitions follow the measured bytes.
+    size = docs.agg(F.sum(F.octet_length(text)).alias("bytes"), F.count("*").alias("rows")).first()
+    parts = parts_for((size["bytes"] or 0) + 300 * size["rows"], CHAIN_BYTES)
+    counted = labelled(masks(rows, parts), known, parts_for(size["rows"], LABELLED_ROWS))
     return spark.createDataFrame(vectors(counted, 8).flatMap(lambda r: steps(*r)), _SCHEMA)
