@@ -237,6 +237,20 @@ def joined_by_time(ranges: DataFrame, segments: DataFrame, margin: float = 0.0)
     return left.join(right, ["match_id", "_slot"]).filter(first).drop("_slot")
 
 
+def away_from(rows: DataFrame, places: DataFrame, key: list[str], at: str = "movie_start", within: float = SAME_PLACE) -> DataFrame:
+    """Rows that lie within ``within`` seconds of no place (key..., ``at``) of
+    their key.  Both are dealt out by key and time slot, so that a busy key is
+    spread and only what is near meets; rows without a place stay."""
+    slot = lambda c: F.floor(c / F.lit(within)).cast("long")
+    own = slot(F.col(at))
+    near = places.select(*[F.col(c).alias(f"_{c}") for c in key], F.col(at).alias("_at")).filter(F.col("_at").isNotNull()).distinct()
+    near = near.withColumn("_slot", F.explode(F.sequence(slot(F.col("_at")) - 1, slot(F.col("_at")) + 1)))
+    meet = F.col("_own") == F.col("_slot")
+    for c in key:
+        meet &= F.col(c) == F.col(f"_{c}")
+    return rows.withColumn("_own", own).join(near, meet & (F.abs(F.col(at) - F.col("_at")) <= within), "left_anti").drop("_own")
+
+
 def alternates(pool: DataFrame, ranges: DataFrame, excluded: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """Candidates of each range (match_id, range_id, r_start, r_end): pool rows
     that overlap it by more than 0.15 s and start nowhere near an excluded
@@ -244,8 +258,7 @@ def alternates(pool: DataFrame, ranges: DataFrame, excluded: DataFrame | None =
     near = overlap(F.col("short_start"), F.col("short_end"), F.col("r_start"), F.col("r_end")) > OVERLAP
     got = joined_by_time(ranges, pool).filter(near)
     if excluded is not None:
-        x = excluded.select(F.col("match_id").alias("_m"), F.col("range_id").alias("_r"), "x_start")
-        got = got.join(x, (F.col("match_id") == F.col("_m")) & (F.col("range_id") == F.col("_r")) & (F.abs(F.col("movie_start") - F.col("x_start")) <= SAME_PLACE), "left_anti")
+        got = away_from(got, excluded.withColumnRenamed("x_start", "movie_start"), ["match_id", "range_id"])
     w = Window.partitionBy("match_id", "range_id").orderBy(F.desc("confidence"), "seg_id")
     ranked = got.withColumn("rank", F.row_number().over(w))
     return ranked if most is None else ranked.filter(F.col("rank") <= most)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ACCEPT_CONFIDENCE, fallback_score
+from .intervals import away_from
 
 #: Attempts of one verification loop.
 MAX_ATTEMPTS = 10
@@ -71,8 +72,7 @@ def best_effort(candidates: DataFrame) -> DataFrame:
 def fresh(found: DataFrame, existing: DataFrame, within: float = 0.5, most: int = 10) -> DataFrame:
     """Newly found candidates that start nowhere near an existing one of their
     set, the first ``most`` by ``ord``."""
-    have = existing.select(F.col("set_id").alias("_s"), F.col("movie_start").alias("_m"))
-    new = found.join(have, (F.col("set_id") == F.col("_s")) & (F.abs(F.col("movie_start") - F.col("_m")) <= within), "left_anti")
+    new = away_from(found, existing, ["set_id"], within=within)
     return new.withColumn("rank", F.row_number().over(Window.partitionBy("set_id").orderBy("ord"))).filter(F.col("rank") <= most)
 
 

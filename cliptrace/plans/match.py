@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -51,12 +51,14 @@ class Match:
     """What a match gives.  ``segments``: the final ones.  ``unmatched``: runs of
     frames that none of them covers.  ``alternates``: other places of each
     chunk.  ``pool``: all segments before those that overlap better ones were
-    dropped, and the alternates."""
+    dropped, and the alternates.  All of them read the aligned rows, which stay
+    cached until ``release`` is called."""
 
     segments: DataFrame
     unmatched: DataFrame
     alternates: DataFrame
     pool: DataFrame
+    release: Callable[[], object] = lambda: None
 
 
 def _whole(variants: str | Column) -> Column:
@@ -160,8 +162,7 @@ def match(short: DataFrame, movie: DataFrame, profile: Profile = MAIN, min_simil
     All rows of ``movie`` are one video, whatever their ``video_id``; with
     ``single`` false each ``video_id`` is a movie of its own, every short is
     matched with each, and ``match_id`` names both.  Parameters out of range
-    fall back to 82, 9 and 3.  The aligned rows stay cached until the caller
-    clears them: all outputs read them.
+    fall back to 82, 9 and 3.
     """
     min_similarity = min_similarity if 0 < min_similarity <= 100 else 82
     min_consecutive = min_consecutive if min_consecutive >= 1 else 9
@@ -195,4 +196,4 @@ def match(short: DataFrame, movie: DataFrame, profile: Profile = MAIN, min_simil
     alternates = corrected(found.filter("kind = 'alternate'"))
     everything = corrected(merged).drop("members", "merged")
     pool = everything.unionByName(alternates.select(*everything.columns))
-    return Match(corrected(final), free, alternates, pool)
+    return Match(corrected(final), free, alternates, pool, found.unpersist)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import verification as ve
+from ..plans import retry as rt
 from ..streaming.ingest import windowed_counts
 from . import query
 from .base import SEGMENTS_SQL, events, segments, table
@@ -185,3 +186,72 @@ SELECT set_id, CAST(coalesce(min(CASE WHEN same AND confidence_pct >= 80 THEN ra
 def deferred_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _candidates(spark, sf_dir)
     return ve.deferred_pass(c, c.groupBy("set_id").agg((F.max("ord") % 3 > 0).alias("dropped")))
+
+
+# Retries of all sets: a fifth of a set's segments were checked, a fifth wait, and
+# three fifths turn up in searches.  Verdicts are made up from where a place is.
+_SAME = "CASE WHEN CAST(floor({m} * 10) AS BIGINT) % 10 = 0 THEN NULL ELSE CAST(floor({m} * 10) AS BIGINT) % 4 = 0 END"
+_BUDGET = 4
+
+
+def _turn(batch: str, left: str) -> str:
+    """The part of a list of places that is judged: up to the first accept."""
+    return f"list_slice({batch}, 1, least({left}, coalesce(list_position(list_transform({batch}, lambda x: x.yes), true), 999)))"
+
+
+_RETRY_SQL = f"""
+WITH RECURSIVE {SEGMENTS_SQL}, c AS (SELECT match_id * 6 + kind AS set_id, seg_id, seg_id % 5 AS part, CAST(floor(seg_id / 5) AS BIGINT) % 3 AS turn, movie_start AS m, confidence AS p, {_SAME.format(m="movie_start")} AS same FROM s),
+j AS (SELECT *, coalesce(same AND p >= 80, false) AS yes, CASE WHEN same THEN p ELSE 100 - p END AS likely FROM c),
+k AS (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY seg_id) - 1 AS idx FROM j WHERE part < 2),
+f AS (SELECT set_id, turn, list({{'m': m, 'yes': yes, 'same': same, 'likely': likely}} ORDER BY p DESC, seg_id) AS found FROM j WHERE part >= 2 GROUP BY ALL),
+a AS (SELECT set_id, set_id % 2 AS rounds, count(k.idx) AS n, coalesce(list(k.m) FILTER (WHERE k.idx IS NOT NULL), []) AS known,
+  coalesce(list({{'idx': idx, 'yes': k.yes, 'same': k.same, 'likely': k.likely}} ORDER BY idx) FILTER (WHERE k.part = 1), []) AS waiting,
+  coalesce(list({{'idx': idx, 'score': 100 - k.p / 2}} ORDER BY idx) FILTER (WHERE k.part = 0), []) AS said FROM (SELECT DISTINCT set_id FROM c) LEFT JOIN k USING (set_id) GROUP BY set_id),
+b AS (SELECT *, {_turn("waiting", str(_BUDGET))} AS tried FROM a),
+r AS (
+  SELECT set_id, rounds, n, known, len(tried) AS attempts, 0 AS empty, 0 AS searched, 0 AS added, list_extract(list_transform(list_filter(tried, lambda x: x.yes), lambda x: x.idx), 1) AS accepted,
+    list_concat(said, list_transform(list_filter(tried, lambda x: x.same IS NOT NULL), lambda x: {{'idx': x.idx, 'score': x.likely}})) AS said, CASE WHEN len(waiting) > 0 THEN 'unchecked_pool' ELSE 'broader_search' END AS mode FROM b
+  UNION ALL
+  SELECT set_id, rounds, n + len(new), list_concat(known, list_transform(new, lambda x: x.m)), attempts + len(tried), CASE WHEN len(new) > 0 THEN 0 ELSE empty + 1 END, searched + 1, added + len(new),
+    n - 1 + list_position(list_transform(tried, lambda x: x.yes), true),
+    list_concat(said, list_filter(list_transform(tried, lambda x, i: {{'idx': n - 1 + i, 'score': CASE WHEN x.same IS NOT NULL THEN x.likely END}}), lambda y: y.score IS NOT NULL)), mode
+  FROM (SELECT *, {_turn("new", f"{_BUDGET} - attempts")} AS tried FROM (
+    SELECT r.*, coalesce(list_slice(list_filter(f.found, lambda x: len(list_filter(known, lambda z: abs(z - x.m) <= 0.5e0)) = 0), 1, 10), []) AS new
+    FROM r LEFT JOIN f ON f.set_id = r.set_id AND f.turn = (r.rounds + r.searched) % 3 WHERE accepted IS NULL AND attempts < {_BUDGET} AND empty < 2))
+), last AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY set_id ORDER BY searched DESC) = 1),
+g AS (SELECT set_id, arg_max(idx, struct_pack(a := score, b := -idx)) AS guess FROM (SELECT set_id, unnest(said, recursive := true) FROM last) GROUP BY set_id)
+SELECT set_id, CASE WHEN accepted IS NOT NULL THEN 'accepted' WHEN guess IS NOT NULL THEN 'best_effort' ELSE 'exhausted' END AS outcome, mode, CAST(coalesce(accepted, guess) AS INTEGER) AS accepted_idx,
+  CAST(added AS INTEGER) AS new_candidates, CAST(attempts AS INTEGER) AS attempts, CAST(searched AS INTEGER) AS search_rounds, CAST(rounds + searched AS INTEGER) AS rounds FROM last LEFT JOIN g USING (set_id)"""
+
+
+def made_up_sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, rt.Search]:
+    """Sets, their candidates, and a search that knows the other segments."""
+    from pyspark.sql import Window
+
+    n = F.col("seg_id")
+    c = segments(spark, sf_dir).withColumns({"set_id": (F.col("match_id") * 6 + F.col("kind")).cast("long"), "part": n % 5, "turn": F.floor(n / 5) % 3})
+    none = lambda kind: F.lit(None).cast(kind)
+    sets = c.groupBy("set_id").agg(F.min("match_id").cast("string").alias("short_id"), F.min("short_start").alias("short_start"), F.max("short_end").alias("short_end"))
+    sets = sets.withColumns({"rounds": (F.col("set_id") % 2).cast("int"), "recovered_idx": none("int"), "best_effort": none("boolean"), "dropped": F.lit(True)})
+    place = ["short_start", "short_end", "movie_start", "movie_end", "confidence"]
+    checked = F.col("part") == 0
+    w = Window.partitionBy("set_id").orderBy("seg_id")
+    have = c.filter("part < 2").select(
+        "set_id", (F.row_number().over(w) - 1).alias("cand_idx"), *place, checked.alias("checked"), F.when(checked, "rejected").alias("verdict"),
+        F.when(checked, F.col("confidence") / 2).alias("confidence_pct"), none("double").alias("match_likelihood"),
+    )
+    rank = F.row_number().over(Window.partitionBy("set_id", "turn").orderBy(F.desc("confidence"), "seg_id"))
+    found = c.filter("part >= 2").select("set_id", "turn", rank.alias("ord"), *place)
+    return sets, have, lambda asked: found.join(asked.select("set_id", (F.col("rounds") % 3).alias("turn")), ["set_id", "turn"], "left_semi")
+
+
+def made_up_judge(batch: DataFrame) -> DataFrame:
+    """Verdicts from where a place is."""
+    return batch.withColumns({"same": F.expr(_SAME.format(m="movie_start")), "confidence_pct": F.col("confidence")})
+
+
+@query("retry_rounds", _RETRY_SQL)
+def retry_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sets, have, search = made_up_sets(spark, sf_dir)
+    done = rt.click(sets, have, search, made_up_judge, _BUDGET, at_once=_BUDGET)
+    return done.outcomes.join(done.sets.select("set_id", "rounds"), "set_id")

@@ -279,5 +279,5 @@ def test_retry(clip, spark):
     got = rt.retry(short, movie, pool, 0.0, 3.2, never, budget=2)
     assert got.outcome == "best_effort" and got.attempts == 2
     down = lambda c: c.withColumn("same", F.lit(None).cast("boolean")).withColumn("confidence_pct", F.lit(0.0))
-    assert rt.retry(short, movie, pool, 0.0, 3.2, down, most_rounds=1).outcome == "none"
+    assert rt.retry(short, movie, pool, 0.0, 3.2, down, most_rounds=1).outcome == "exhausted"
     assert [rt.params(r)["min_similarity"] for r in (0, 1, 9)] == [40, 35, 20]
