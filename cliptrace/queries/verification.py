@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import verification as ve
 from ..plans import retry as rt
+from ..streaming import pacing
 from ..streaming.ingest import windowed_counts
 from . import query
 from .base import SEGMENTS_SQL, events, segments, table
@@ -255,3 +256,40 @@ def retry_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets, have, search = made_up_sets(spark, sf_dir)
     done = rt.click(sets, have, search, made_up_judge, _BUDGET, at_once=_BUDGET)
     return done.outcomes.join(done.sets.select("set_id", "rounds"), "set_id")
+
+
+# Requests: events, five hundred times as fast, from half an hour before a Pacific midnight on.
+_RPM, _RPD = 5, 200
+_START = "TIMESTAMP '2024-01-15 07:30:00'"
+_MODEL_FREE = "CASE WHEN {u} >= {rpd} THEN NULL WHEN len({w}) < {rpm} THEN m ELSE {w}[1] + 60250 END"
+_PACE_SQL = f"""
+WITH RECURSIVE q AS (SELECT event_type AS caller, event_id AS request_id, epoch_ms({_START}) + (epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) // 500000 AS due FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY caller ORDER BY due, request_id) AS rn FROM q),
+r AS (
+  SELECT caller, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS request_id, CAST(NULL AS VARCHAR) AS model, CAST(0 AS BIGINT) AS g, CAST([] AS BIGINT[]) AS w1, CAST([] AS BIGINT[]) AS w2, CAST(0 AS BIGINT) AS u1, CAST(0 AS BIGINT) AS u2, CAST(-1 AS BIGINT) AS day FROM o GROUP BY caller
+  UNION ALL
+  SELECT caller, rn, request_id, CASE k WHEN 1 THEN 'primary' WHEN 2 THEN 'fallback' END, CASE WHEN k = 0 THEN m ELSE due END,
+    CASE WHEN k = 1 THEN list_append(w1, due) ELSE w1 END, CASE WHEN k = 2 THEN list_append(w2, due) ELSE w2 END, u1 + CAST(k = 1 AS INT), u2 + CAST(k = 2 AS INT), day
+  FROM (SELECT caller, rn, request_id, m, coalesce(due, m) AS due, CASE WHEN due IS NULL THEN 0 WHEN u1 < {_RPD} AND len(w1) < {_RPM} THEN 1 ELSE 2 END AS k, w1, w2, u1, u2, day FROM (
+    -- at the time of sending: the day may have turned, windows have moved on
+    SELECT caller, rn, request_id, m, due, CASE WHEN turned THEN 0 ELSE u1 END AS u1, CASE WHEN turned THEN 0 ELSE u2 END AS u2, coalesce(today, day) AS day,
+      CASE WHEN turned THEN [] ELSE list_filter(w1, lambda t: coalesce(due, m) - t < 60000) END AS w1, CASE WHEN turned THEN [] ELSE list_filter(w2, lambda t: coalesce(due, m) - t < 60000) END AS w2
+    FROM (SELECT *, (due - 28800000) // 86400000 AS today, coalesce((due - 28800000) // 86400000 <> day, false) AS turned FROM (
+      SELECT *, least({_MODEL_FREE.format(u="u1", w="w1", rpm=_RPM, rpd=_RPD)}, {_MODEL_FREE.format(u="u2", w="w2", rpm=_RPM, rpd=_RPD)}) AS due FROM (
+        SELECT caller, rn, request_id, m, CASE WHEN d <> day THEN 0 ELSE u1 END AS u1, CASE WHEN d <> day THEN 0 ELSE u2 END AS u2, d AS day,
+          CASE WHEN d <> day THEN [] ELSE list_filter(w1, lambda t: m - t < 60000) END AS w1, CASE WHEN d <> day THEN [] ELSE list_filter(w2, lambda t: m - t < 60000) END AS w2
+        FROM (SELECT o.caller, o.rn, o.request_id, greatest(o.due, r.g) AS m, (greatest(o.due, r.g) - 28800000) // 86400000 AS d, r.u1, r.u2, r.w1, r.w2, r.day FROM r JOIN o ON o.caller = r.caller AND o.rn = r.rn + 1)
+      )))))
+)
+SELECT caller, request_id, model, g AS sent_at, CASE WHEN model IS NULL THEN 'unavailable' ELSE 'granted' END AS outcome FROM r WHERE rn > 0"""
+
+
+@query("rotating_pacer", _PACE_SQL)
+def rotating_pacer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests over two models, with waits, daily limits and a day's turn."""
+    e = events(spark, sf_dir)
+    first = e.agg(F.min(F.unix_micros("ts"))).first()[0] or 0
+    start = 1_705_303_800_000  # 07:30 UTC
+    at = F.lit(start) + F.expr(f"(unix_micros(ts) - {first}) div 500000")
+    rows = e.select(F.col("event_type").alias("caller"), F.timestamp_millis(at).alias("ts"), F.lit("request").alias("kind"), F.col("event_id").alias("request_id"), F.lit(None).cast("string").alias("model"), F.lit(None).cast("long").alias("retry_ms"))
+    return pacing.pace_table(rows, _RPM, _RPD, probe_ms=1 << 50)

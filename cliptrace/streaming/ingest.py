@@ -97,16 +97,15 @@ class Pacer(StatefulProcessor):
         day, used = self.day.get() if self.day.exists() else ("", 0)
         out = []
         for batch in rows:
-            for _, r in batch.sort_values("at").iterrows():
-                at, today = int(r["at"]), str(r["day"])
+            for at, today, request in batch.sort_values("at")[["at", "day", "request_id"]].itertuples(index=False):
                 recent = [t for t in recent if at - t < 60_000]
-                if today != day:
-                    day, used = today, 0
+                if today != day:  # a new day starts with an empty minute
+                    day, used, recent = today, 0, []
                 ok = len(recent) < self.rpm and used < self.rpd
                 if ok:
-                    recent.append(at)
+                    recent.append(int(at))
                     used += 1
-                out.append((key[0], int(r["request_id"]), ok))
+                out.append((key[0], int(request), ok))
         self.recent.put([(t,) for t in recent])
         self.day.update((day, used))
         yield pd.DataFrame(out, columns=["model", "request_id", "granted"])
