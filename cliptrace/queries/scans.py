@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +14,10 @@ from ..operators import frames as fr
 from ..operators import scan as sc
 from ..plans.align import CANDIDATE, MAIN
 from ..plans.match import Match, align, match
+from ..shared import shared_dir
 from ..sources.fingerprints import FRAME_JSON, pack
+from ..streaming.scenes import OUT as CHUNKS
+from ..streaming.scenes import chunk_stream
 from . import query
 from .base import FRAMES_SQL, POINTS_SQL, SCANS_SQL, events, frames, ham_sql, pair_sql, points, query_frames, table
 
@@ -232,6 +237,29 @@ def scene_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fr.scene_chunks(_cuts(spark, sf_dir))
 
 
+@query("scene_chunks_stream", f"WITH {_CUTS_SQL} SELECT video_id, chunk_id, \"start\", \"end\", \"end\" - \"start\" + 1 AS frames FROM chunks")
+def scene_chunks_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of frames that arrive in three batches."""
+    full = _full(F.col("variants"))
+    rows = frames(spark, sf_dir).select("video_id", "si", full["a"].alias("a"), full["d"].alias("d"), "color", (F.lead("si").over(Window.partitionBy("video_id").orderBy("si")).isNull()).alias("last"))
+    most = (rows.agg(F.max("si")).first()[0] or 0) + 1
+    base = f"{shared_dir(spark)}/scenes-{uuid.uuid4().hex}"
+    provider, out = "spark.sql.streaming.stateStore.providerClass", f"{base}/chunks"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for k in range(3):
+            rows.filter(F.floor(F.col("si") * 3 / most) == k).write.mode("append").parquet(f"{base}/frames")
+            arriving = chunk_stream(spark.readStream.schema(rows.schema).parquet(f"{base}/frames"))
+            arriving.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset(provider)
+        else:
+            spark.conf.set(provider, before)
+    return spark.read.schema(CHUNKS).parquet(out).select(F.col("video_id").cast("long").alias("video_id"), "chunk_id", "start", "end", "frames")
+
+
 _FIVE = '"start" + CAST(floor({p} * ("end" - "start") / 4e0 + 0.5e0) AS BIGINT)'
 
 
@@ -414,11 +442,18 @@ def match_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match(f.filter("video_id >= 5"), movie, MAIN).unmatched
 
 
-@query("match_library")
+@query("match_library", f"""
+WITH {FRAMES_SQL}, n AS (SELECT video_id, count(*) AS n FROM f WHERE si BETWEEN 10 AND 39 GROUP BY video_id)
+SELECT video_id || '/' || video_id AS match_id, 0e0 AS short_start, round(n / 25e0, 6) AS short_end, 0.4e0 AS movie_start, round((n + 10) / 25e0, 6) AS movie_end, 100e0 AS confidence, CAST(n AS INT) AS frame_count FROM n WHERE n >= 12""")
 def match_library(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each half of the videos against each video of the other."""
-    f = frames(spark, sf_dir)
-    return _found(match(f.filter("video_id >= 5"), f.filter("video_id < 5"), MAIN, single=False).segments)
+    """Pieces of every video against the library of all videos: each is found
+    exactly in the video that it was cut from, and in no other."""
+    f = frames(spark, sf_dir).withColumns({c: F.lit(None).cast("array<double>") for c in ("color", "skin", "detail")})  # unrelated colors would cut at each frame
+    pieces = f.filter("si BETWEEN 10 AND 39").withColumns({"si": F.col("si") - 10, "ts": F.col("ts") - 0.4})
+    long = pieces.groupBy("video_id").count().filter("count >= 12").select("video_id")
+    found = match(pieces.join(long, "video_id", "left_semi"), f, MAIN, single=False).segments.filter("NOT is_approximate")
+    times = [F.round(c, 6).alias(c) for c in ("short_start", "short_end", "movie_start", "movie_end", "confidence")]
+    return found.select("match_id", *times, "frame_count")
 
 
 def _walked(found: DataFrame) -> DataFrame:
