@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import image
+from ..functions import image, pixels
 from ..functions.bits import char_sim, hamming, pack_text
 from . import query
 from .base import table
@@ -156,3 +156,37 @@ def fingerprint_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = image.hash_features(_grids(spark, sf_dir)).withColumn("frame", F.floor(F.col("grid_id") / 2)).withColumn("name", F.when(F.col("grid_id") % 2 == 0, "full").otherwise("zoom_2_0_center"))
     got = image.assemble(named, ["frame"])
     return got.select("frame", F.size("variants").alias("variants"), F.array_max(F.transform(F.map_values("variants"), lambda v: v["hash"])).alias("top"))
+
+
+# Frames of 16x16 pixels, too dark for subtitles: each is its own grid.
+_DARK = f"""{_pixels_sql(16)}, dk AS (SELECT frame, x, y, r // 2 AS r, g // 2 AS g, b FROM p),
+mg AS (SELECT frame AS grid_id, list(0.299e0 * r + 0.587e0 * g + 0.114e0 * b ORDER BY y, x) AS gray FROM dk GROUP BY frame),
+mm AS (SELECT *, list_sum(gray) / 256 AS mean FROM mg), fl AS (SELECT *, list_sum(list_transform(gray, lambda v: (v - mean) * (v - mean))) / 256 < 1 AS flat FROM mm),
+b1 AS (SELECT grid_id, mean, flat, {_blur_sql("gray")} AS x1 FROM fl), b2 AS (SELECT grid_id, mean, flat, {_blur_sql("x1")} AS x2 FROM b1), b AS (SELECT grid_id, mean, flat, {_blur_sql("x2")} AS x FROM b2),
+bm AS (SELECT *, list_transform(range(0, 256), lambda i: x[(i // 16) * 16 + 15 - i % 16 + 1]) AS y FROM b)"""
+
+
+def _rgba(spark: SparkSession, sf_dir: str, side: int = 16) -> DataFrame:
+    half = lambda c: F.floor(F.col(c) / 2).cast("long")
+    dots = image.test_pixels(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("frame")), side, side)
+    byte = lambda c: F.lpad(F.hex(c), 2, "0")
+    rows = dots.select("frame", "x", "y", F.concat(byte(half("r")), byte(half("g")), byte(F.col("b").cast("long")), F.lit("FF")).alias("px"))
+    whole = rows.groupBy("frame").agg(F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "px"))), lambda p: p["px"]), "")).alias("rgba"))
+    return whole.select(F.lit("v").alias("video_id"), F.col("frame").cast("long").alias("si"), (F.col("frame") / F.lit(25.0)).alias("ts"), F.lit(side).alias("width"), F.lit(side).alias("height"), "rgba")
+
+
+@query("rgba_frames", f"""
+WITH {_DARK}, s AS (SELECT frame, list(round(v, 9) ORDER BY cell) AS detail FROM (SELECT frame, (y // 4) * 4 + x // 4 AS cell, avg(abs(l - m)) AS v FROM (SELECT *, avg(l) OVER (PARTITION BY frame, (y // 4) * 4 + x // 4) AS m FROM (SELECT *, 0.299e0 * r + 0.587e0 * g + 0.114e0 * b AS l FROM dk)) GROUP BY ALL) GROUP BY frame)
+SELECT CAST(grid_id AS BIGINT) AS si, CAST(13 AS INT) AS variants, {_bits(256, 'x[i + 1] >= mean')} AS hash, {_dhash('x')} AS dhash, {_bits(256, 'y[i + 1] >= mean')} AS fhash, {_dhash('y')} AS fdhash, CAST(detail AS VARCHAR) AS detail FROM bm JOIN s ON s.frame = grid_id""")
+def rgba_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes in, packed variants and signature out."""
+    got = pixels.fingerprints(_rgba(spark, sf_dir))
+    text = lambda c: F.array_join(F.transform(F.col("variants")[0][c], lambda w: F.reverse(F.lpad(F.bin(w), 32, "0"))), "")
+    detail = F.concat(F.lit("["), F.array_join(F.transform("detail", lambda x: F.round(x, 9).cast("string")), ", "), F.lit("]"))
+    return got.select("si", F.size("variants").alias("variants"), text("a").alias("hash"), text("d").alias("dhash"), text("fa").alias("fhash"), text("fd").alias("fdhash"), detail.alias("detail"))
+
+
+@query("sanity_passes", "SELECT count(*) AS frames, CAST(0 AS BIGINT) AS differ FROM supplier")
+def sanity_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two passes over the pixels of test frames must agree."""
+    return pixels.differing(_rgba(spark, sf_dir, 24))
