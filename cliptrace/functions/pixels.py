@@ -14,9 +14,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .image import CROPS, SIDE, _remove_subtitles, crop_rects, phash_matrix
 
@@ -86,8 +88,9 @@ def _words(bits: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").view(np.uint32).astype(np.int64)
 
 
-def hashes(grays: np.ndarray) -> dict[str, np.ndarray]:
-    """Packed hashes of gray grids; of flat ones all zeros."""
+def hash_bits(grays: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Which gray grids are flat, and the bits of their hashes; of flat ones
+    all zeros."""
     n = len(grays)
     flat = grays.reshape(n, -1).var(axis=1) < 1.0
     mean = grays.reshape(n, -1).mean(axis=1)[:, None, None]
@@ -97,7 +100,30 @@ def hashes(grays: np.ndarray) -> dict[str, np.ndarray]:
     c = phash_matrix()
     coef = np.einsum("ky,nyx,lx->nkl", c, smooth, c).reshape(n, -1)
     bits = {"a": (smooth >= mean).reshape(n, -1), "d": steps(smooth), "fa": (turned >= mean).reshape(n, -1), "fd": steps(turned), "p": coef > np.sort(coef[:, 1:], axis=1)[:, 31:32]}
-    return {k: _words(b & ~flat[:, None]) for k, b in bits.items()}
+    return flat, {k: b & ~flat[:, None] for k, b in bits.items()}
+
+
+def hashes(grays: np.ndarray) -> dict[str, np.ndarray]:
+    """Packed hashes of gray grids."""
+    return {k: _words(b) for k, b in hash_bits(grays)[1].items()}
+
+
+_TEXTS = {"hash": "a", "dhash": "d", "fhash": "fa", "fdhash": "fd", "phash": "p"}
+
+
+def hash_features(frames: DataFrame, gray: str = "gray") -> DataFrame:
+    """Add ``flat``, ``hash``, ``dhash``, ``fhash``, ``fdhash`` and ``phash``
+    (as texts of 0 and 1) of 16x16 gray grids; flat frames have zeros only."""
+    kind = T.StructType([T.StructField("flat", T.BooleanType()), *[T.StructField(c, T.StringType()) for c in _TEXTS]])
+
+    @F.pandas_udf(kind)
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            flat, bits = hash_bits(np.stack(batch.to_numpy()).astype(float).reshape(-1, SIDE, SIDE)) if len(batch) else (np.zeros(0, bool), {k: np.zeros((0, 32), bool) for k in _TEXTS.values()})
+            texts = {c: [(row + 48).astype(np.uint8).tobytes().decode() for row in bits[k].astype(np.uint8)] for c, k in _TEXTS.items()}
+            yield pd.DataFrame({"flat": flat, **texts}).astype({c: object for c in _TEXTS})
+
+    return frames.withColumn("_hashed", of(gray)).select("*", "_hashed.*").drop("_hashed")
 
 
 def signatures(colors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -82,12 +82,12 @@ def _dhash(x: str) -> str:
 
 @query("ahash_bits", f"WITH {_HASHED} SELECT grid_id, flat, {_bits(256, 'x[i + 1] >= mean')} AS hash, {_bits(256, 'y[i + 1] >= mean')} AS fhash FROM bm")
 def ahash_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return image.hash_features(_grids(spark, sf_dir)).select("grid_id", "flat", "hash", "fhash")
+    return pixels.hash_features(_grids(spark, sf_dir)).select("grid_id", "flat", "hash", "fhash")
 
 
 @query("dhash_bits", f"WITH {_HASHED} SELECT grid_id, {_dhash('x')} AS dhash, {_dhash('y')} AS fdhash FROM bm")
 def dhash_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return image.hash_features(_grids(spark, sf_dir)).select("grid_id", "dhash", "fdhash")
+    return pixels.hash_features(_grids(spark, sf_dir)).select("grid_id", "dhash", "fdhash")
 
 
 _COEF = "list_transform(range(0, 64), lambda c: list_sum(list_transform(range(0, 256), lambda i: x[i + 1] * cos((2 * (i // 16) + 1) * (c // 8) * pi() / 32) * cos((2 * (i % 16) + 1) * (c % 8) * pi() / 32))))"
@@ -95,7 +95,7 @@ _COEF = "list_transform(range(0, 64), lambda c: list_sum(list_transform(range(0,
 
 @query("phash_bits", f"WITH {_HASHED}, co AS (SELECT grid_id, flat, {_COEF} AS c FROM b), me AS (SELECT *, list_sort(c[2:64])[32] AS med FROM co) SELECT grid_id, {_bits(64, 'c[i + 1] > med')} AS phash FROM me")
 def phash_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return image.hash_features(_grids(spark, sf_dir)).select("grid_id", "phash")
+    return pixels.hash_features(_grids(spark, sf_dir)).select("grid_id", "phash")
 
 
 @query("flat_guard", f"WITH {_GRIDS}, d AS (SELECT grid_id, list_transform(gray, lambda x: CASE WHEN grid_id % 3 = 0 THEN 128 + x % 2 * 0.5e0 ELSE x END) AS q FROM g), m AS (SELECT *, list_sum(q) / 256 AS mean FROM d) SELECT grid_id, list_sum(list_transform(q, lambda x: (x - mean) * (x - mean))) / 256 < 1 AS flat FROM m")
@@ -106,7 +106,7 @@ def flat_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("hash_words", f"WITH {_HASHED}, h AS (SELECT grid_id, list_transform(range(0, 256), lambda i: x[i + 1] >= mean) AS u, list_transform(range(0, 256), lambda i: y[i + 1] >= mean) AS v FROM bm WHERE NOT flat) SELECT grid_id, CAST(list_sum(list_transform(range(0, 256), lambda i: CAST(u[i + 1] <> v[i + 1] AS INT))) AS INT) AS distance FROM h")
 def hash_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = image.hash_features(_grids(spark, sf_dir)).filter("NOT flat")
+    h = pixels.hash_features(_grids(spark, sf_dir)).filter("NOT flat")
     return h.select("grid_id", hamming(pack_text(F.col("hash")), pack_text(F.col("fhash"))).cast("int").alias("distance"))
 
 
@@ -153,7 +153,7 @@ def subtitle_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("fingerprint_assembly", f"WITH {_HASHED} SELECT grid_id // 2 AS frame, CAST(count(*) AS INT) AS variants, max({_bits(256, 'x[i + 1] >= mean')}) AS top FROM bm GROUP BY grid_id // 2")
 def fingerprint_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = image.hash_features(_grids(spark, sf_dir)).withColumn("frame", F.floor(F.col("grid_id") / 2)).withColumn("name", F.when(F.col("grid_id") % 2 == 0, "full").otherwise("zoom_2_0_center"))
+    named = pixels.hash_features(_grids(spark, sf_dir)).withColumn("frame", F.floor(F.col("grid_id") / 2)).withColumn("name", F.when(F.col("grid_id") % 2 == 0, "full").otherwise("zoom_2_0_center"))
     got = image.assemble(named, ["frame"])
     return got.select("frame", F.size("variants").alias("variants"), F.array_max(F.transform(F.map_values("variants"), lambda v: v["hash"])).alias("top"))
 
