@@ -12,7 +12,8 @@ record.  A torn record or member is an error.
 
 A null payload is an empty one.  Repeated pages are separate captures; of equal
 payloads the smallest key, then the smallest url, is the response.  Payloads of
-any length are written whole.  An empty table gives archives without records.
+any length are written whole.  A null key is stored as an empty one and read as
+null.  An empty table gives archives without records.
 Control characters of a url are percent-encoded in headers.  Columns other than
 key, url and payload are not stored, whatever their names.
 """
