@@ -14,11 +14,15 @@ _VARIANT = "STRUCT<hash: STRING, dhash: STRING, fhash: STRING, fdhash: STRING, p
 FRAME_JSON = f"frameIndex INT, timestamp DOUBLE, variants MAP<STRING, {_VARIANT}>, signature STRUCT<colorGrid: ARRAY<DOUBLE>, skinScoreGrid: ARRAY<DOUBLE>, detailGrid: ARRAY<DOUBLE>>"
 _SEGMENT = (
     "STRUCT<shortStart: DOUBLE, shortEnd: DOUBLE, movieStart: DOUBLE, movieEnd: DOUBLE, confidence: DOUBLE, frameCount: INT, isApproximate: BOOLEAN, gapCount: INT, speedRatio: DOUBLE, "
-    "matchSequence: ARRAY<STRUCT<shortTime: DOUBLE, movieTime: DOUBLE, similarity: DOUBLE>>>"
+    "matchSequence: ARRAY<STRUCT<shortTime: DOUBLE, movieTime: DOUBLE, similarity: DOUBLE>>, "
+    "bestFrameDetail: STRUCT<cropRegion: STRING, structureSim: DOUBLE, colorSim: DOUBLE, skinSim: DOUBLE, detailSim: DOUBLE, movieHash: STRING, shortHash: STRING>>"
+)
+RESULT_JSON = (
+    f"segments ARRAY<{_SEGMENT}>, unmatchedRanges ARRAY<STRUCT<shortStart: DOUBLE, shortEnd: DOUBLE>>, movieFrames INT, shortFrames INT, "
+    "vlmStats STRUCT<accepted: INT, rejected: INT, inconclusiveNetwork: INT, otherUnverifiable: INT, recoveredByDeferred: INT, stillUnmatchedAfterDeferred: INT>"
 )
-RESULT_JSON = f"segments ARRAY<{_SEGMENT}>, unmatchedRanges ARRAY<STRUCT<shortStart: DOUBLE, shortEnd: DOUBLE>>, movieFrames INT, shortFrames INT"
 CANDIDATES_JSON = (
-    "segmentIndex INT, shortStart DOUBLE, shortEnd DOUBLE, recordedAt LONG, dropped BOOLEAN, bestEffort BOOLEAN, broaderSearchRounds INT, recoveredCandidateIndex INT, "
+    "matchJobId STRING, segmentIndex INT, shortStart DOUBLE, shortEnd DOUBLE, recordedAt LONG, dropped BOOLEAN, bestEffort BOOLEAN, broaderSearchRounds INT, recoveredCandidateIndex INT, "
     f"candidates ARRAY<STRUCT<segment: {_SEGMENT}, checked: BOOLEAN, verdict: STRING, confidencePct: DOUBLE, matchLikelihood: DOUBLE, evidence: ARRAY<STRING>>>"
 )
 META_JSON = "originalName STRING, fileSize LONG, createdAt LONG, startedAt LONG, completedAt LONG, totalFrames INT, status STRING, videoPath STRING, movieJobId STRING, shortJobId STRING, error STRING"
@@ -84,10 +88,52 @@ def between(frames: DataFrame, start: float, end: float) -> DataFrame:
     return frames.filter(F.col("ts").between(start, end))
 
 
+def read_matches(spark: SparkSession, path: str) -> DataFrame:
+    """Match-result files, one row each: ``match_id``, segments with their best
+    frames, unmatched ranges, numbers of frames, and what verification found.
+    Reads what ``write_matches`` wrote as well."""
+    raw = spark.read.schema(RESULT_JSON).option("multiLine", True).option("recursiveFileLookup", True).json(path)
+    plain = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    path_of = plain(F.input_file_name())  # the name of a folder of a table is encoded once more
+    named = F.regexp_extract(path_of, r"([^/]+)_matchresult\.json$", 1)
+    folder = plain(F.regexp_extract(path_of, r"match_id=([^/]+)/[^/]+$", 1))
+    return raw.select(F.when(named != "", named).otherwise(folder).alias("match_id"), *raw.columns)
+
+
+def write_matches(matches: DataFrame, path: str) -> None:
+    """Match results as JSON, one object below the folder of each match: rows
+    of ``read_matches``."""
+    matches.repartition("match_id").write.mode("overwrite").partitionBy("match_id").json(path)
+
+
+def match_documents(segments: DataFrame, unmatched: DataFrame, short_frames: DataFrame, movie_frames: int, stats: DataFrame | None = None) -> DataFrame:
+    """Rows of ``read_matches`` from what a match gives: final segments, runs of
+    unmatched frames (match_id or video_id), frames of the shorts (match_id, n)
+    and tallies of ``outcome_tallies`` (match_id, counts)."""
+    text = lambda words: F.when(F.size(words) > 0, F.array_join(F.transform(words, lambda w: F.reverse(F.lpad(F.bin(w), 32, "0"))), "")).otherwise("")
+    d = lambda c: F.col(f"detail.{c}")
+    best = F.when(F.col("detail").isNotNull(), F.struct(d("crop").alias("cropRegion"), d("structure_sim").alias("structureSim"), d("color_sim").alias("colorSim"), d("skin_sim").alias("skinSim"), d("detail_sim").alias("detailSim"), text(d("movie_hash")).alias("movieHash"), text(d("short_hash")).alias("shortHash")))
+    steps = F.transform("sequence", lambda x: F.struct(x["short_time"].alias("shortTime"), x["movie_time"].alias("movieTime"), x["similarity"].alias("similarity"))) if "sequence" in segments.columns else F.array().cast("array<struct<shortTime: double, movieTime: double, similarity: double>>")
+    renamed = {"short_start": "shortStart", "short_end": "shortEnd", "movie_start": "movieStart", "movie_end": "movieEnd", "confidence": "confidence", "frame_count": "frameCount", "is_approximate": "isApproximate", "gap_count": "gapCount", "speed_ratio": "speedRatio"}
+    one = F.struct(*[F.col(c).alias(n) for c, n in renamed.items()], steps.alias("matchSequence"), best.alias("bestFrameDetail"))
+    found = segments.groupBy("match_id").agg(F.array_sort(F.collect_list(F.struct("short_start", "seg_id", one.alias("x")))).alias("s")).select("match_id", F.col("s.x").alias("segments"))
+    key = "match_id" if "match_id" in unmatched.columns else "video_id"
+    free = unmatched.groupBy(F.col(key).alias("match_id")).agg(F.array_sort(F.collect_list(F.struct(F.col("short_start").alias("shortStart"), F.col("short_end").alias("shortEnd")))).alias("unmatchedRanges"))
+    out = short_frames.select("match_id", F.lit(movie_frames).cast("int").alias("movieFrames"), F.col("n").cast("int").alias("shortFrames")).join(found, "match_id", "left").join(free, "match_id", "left")
+    names = {"accepted": "accepted", "rejected": "rejected", "inconclusive_network": "inconclusiveNetwork", "other_unverifiable": "otherUnverifiable", "recovered_by_deferred": "recoveredByDeferred", "still_unmatched": "stillUnmatchedAfterDeferred"}
+    if stats is None:
+        said = F.lit(None).cast("struct<" + ", ".join(f"{n}: int" for n in names.values()) + ">")
+    else:
+        out = out.join(stats.select("match_id", F.struct(*[F.col(c).cast("int").alias(n) for c, n in names.items()]).alias("_said")), "match_id", "left")
+        said = F.col("_said")
+    none = F.array()
+    return out.select("match_id", F.coalesce("segments", none).alias("segments"), F.coalesce("unmatchedRanges", none).alias("unmatchedRanges"), "movieFrames", "shortFrames", said.alias("vlmStats"))
+
+
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """Segments of match-result files, one row each, with ``match_id`` and
     ``segment_idx``."""
-    raw = spark.read.schema(RESULT_JSON).option("multiLine", True).json(path).withColumn("match_id", F.regexp_extract(F.input_file_name(), r"([^/]+)_matchresult\.json$", 1))
+    raw = read_matches(spark, path)
     return raw.select("match_id", "movieFrames", "shortFrames", F.posexplode("segments").alias("segment_idx", "s")).select("match_id", "movieFrames", "shortFrames", "segment_idx", "s.*")
 
 
