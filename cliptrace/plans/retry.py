@@ -155,17 +155,18 @@ def click(sets: DataFrame, candidates: DataFrame, search: Search, judge: Judge,
             score = ranker(batch) if ranker else F.lit(None).cast("double")
             w = Window.partitionBy("set_id").orderBy(F.desc_nulls_last("_score"), "cand_idx")
             batch = tables.write(batch.withColumn("_score", score).withColumn("rank", F.row_number().over(w)).drop("_score"))
-            at = 0
-            while True:
+            at, last = 0, batch.agg(F.max("rank")).first()[0] or 0
+            while at < last:
                 left = state.filter(F.col("accepted").isNull() & (F.col("attempts") < budget)).select("set_id", (budget - F.col("attempts")).alias("_left"))
                 rows = batch.filter((F.col("rank") > at) & (F.col("rank") <= at + at_once)).join(left, "set_id").filter(F.col("rank") - at <= F.col("_left")).drop("_left")
                 said = tables.write(_judged(rows, judge))
                 got = said.groupBy("set_id").agg(F.count("*").alias("_n"), F.min(F.when(F.col("verdict") == "accepted", F.col("cand_idx"))).alias("_a"))
-                if said.isEmpty():
-                    return state
+                if said.isEmpty():  # no set is open any more
+                    break
                 verdicts.append(said)
                 state = tables.write(state.join(got, "set_id", "left").withColumns({"attempts": F.col("attempts") + F.coalesce("_n", F.lit(0)).cast("int"), "accepted": F.coalesce("accepted", F.col("_a")).cast("int")}).drop("_n", "_a"))
                 at += at_once
+            return state
 
         state = tried(state, candidates.filter(~F.col("checked")).select(*fields))
         while True:

@@ -28,7 +28,7 @@ def judge(batch):
     return batch.withColumns({"same": F.when(k % 9 != 0, k % 23 == 0), "confidence_pct": (50 + k % 50).cast("double"), "match_likelihood": F.when(k % 5 == 0, (k % 97).cast("double"))})
 
 
-def made(rng, n=16):
+def made(rng, n=14):
     """Sets, candidates and what searches would find, as dicts."""
     sets = [{"set_id": i, "rounds": rng.choice([0, 0, 1, 3]), "recovered_idx": None, "best_effort": None, "dropped": True} for i in range(n)]
     cands, finds = {}, {}
