@@ -15,11 +15,13 @@ without a full grid comes; a table looks at all frames first.
 from __future__ import annotations
 
 import pickle
+import sys
 from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -74,5 +76,8 @@ class Scenes(StatefulProcessor):
 
 def chunk_stream(frames: DataFrame) -> DataFrame:
     """(video_id, chunk_id, start, end, frames, late) of a stream of frames."""
+    # The process that starts a stream's state does not see files that were sent
+    # to executors: the processor travels with its code.
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     slim = frames.selectExpr("CAST(video_id AS STRING) AS video_id", "CAST(si AS BIGINT) AS si", "a", "d", "color", "coalesce(last, false) AS last")
     return slim.groupBy("video_id").transformWithStateInPandas(Scenes(), OUT, "Append", "None")
