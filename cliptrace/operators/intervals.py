@@ -44,8 +44,10 @@ def merge_adjacent(segments: DataFrame) -> DataFrame:
     A segment's running ends are those of the row before it, so that runs are
     found by a lag and a running sum.  ``members`` are the joined segments in
     order.  ``detail_seg_id`` names the one whose best frame stands for all: at
-    each step the running, frame-weighted confidence against the next one's, so
-    that it is the last one more confident than the mean of all before it.
+    each step the running, frame-weighted confidence against the next one's.
+    That mean is carried from step to step, as it is defined: a quotient of sums
+    differs from it in the last bit, and a segment as confident as the first one
+    would take its place.
     """
     w = Window.partitionBy("match_id").orderBy("short_start", "seg_id")
     short_gap = F.col("short_start") - F.lag("short_end").over(w)
@@ -53,9 +55,14 @@ def merge_adjacent(segments: DataFrame) -> DataFrame:
     joins = short_gap.between(*MERGE_SHORT) & (movie_gap >= MERGE_MOVIE_BACK) & (movie_gap <= short_gap * 5 + 2.5)
     rows = segments.withColumn("_gap", F.when(joins, js_round(short_gap * FPS))).withColumn("_island", F.sum(F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).over(w))
     last, frames = F.struct("short_start", "seg_id"), F.col("frame_count")
-    before = Window.partitionBy("match_id", "_island").orderBy("short_start", "seg_id").rowsBetween(Window.unboundedPreceding, -1)
-    running = F.sum(F.col("confidence") * frames).over(before) / F.sum(frames).over(before)
-    rows = rows.withColumn("_leads", F.coalesce(F.col("confidence") > running, F.lit(True)))
+    run = F.array_sort(F.collect_list(F.struct("short_start", "seg_id", F.col("confidence").cast("double").alias("c"), frames.cast("long").alias("f"))))
+
+    def step(acc: Column, x: Column) -> Column:
+        f = acc["f"] + x["f"]
+        return F.struct(((acc["c"] * acc["f"] + x["c"] * x["f"]) / f).alias("c"), f.alias("f"), F.when(acc["c"] >= x["c"], acc["seg_id"]).otherwise(x["seg_id"]).alias("seg_id"))
+
+    first = F.get("_run", F.lit(0))
+    leading = F.aggregate(F.slice("_run", F.lit(2), F.size("_run")), F.struct(first["c"].alias("c"), first["f"].alias("f"), first["seg_id"].alias("seg_id")), step)
     return rows.groupBy("match_id", "_island").agg(
         F.min("short_start").alias("short_start"), F.max_by("short_end", last).alias("short_end"),
         F.min_by("movie_start", last).alias("movie_start"), F.max_by("movie_end", last).alias("movie_end"),
@@ -63,9 +70,8 @@ def merge_adjacent(segments: DataFrame) -> DataFrame:
         (F.sum(F.col("speed_ratio") * frames) / F.sum(frames)).alias("speed_ratio"),
         F.sum(frames).alias("frame_count"), (F.sum("gap_count") + F.coalesce(F.sum("_gap"), F.lit(0))).alias("gap_count"),
         F.bool_or("is_approximate").alias("is_approximate"), F.count("*").alias("merged"),
-        F.max_by(F.when(F.col("_leads"), F.col("seg_id")), F.when(F.col("_leads"), last)).alias("detail_seg_id"),
-        F.transform(F.array_sort(F.collect_list(last)), lambda x: x["seg_id"]).alias("members"),
-    ).drop("_island")
+        run.alias("_run"),
+    ).withColumns({"detail_seg_id": leading["seg_id"], "members": F.transform("_run", lambda x: x["seg_id"])}).drop("_island", "_run")
 
 
 class _Points:

@@ -281,3 +281,14 @@ def test_retry(clip, spark):
     down = lambda c: c.withColumn("same", F.lit(None).cast("boolean")).withColumn("confidence_pct", F.lit(0.0))
     assert rt.retry(short, movie, pool, 0.0, 3.2, down, most_rounds=1).outcome == "exhausted"
     assert [rt.params(r)["min_similarity"] for r in (0, 1, 9)] == [40, 35, 20]
+
+
+def test_merged_segments_as_confident_as_the_first_do_not_take_its_place(spark):
+    """The running mean of one segment is its confidence, to the last bit."""
+    from cliptrace.operators import intervals as iv
+
+    even = [c for c in (k / 1_000 for k in range(1, 4_000)) if c * 7 / 7 < c][:5] + [c for c in (k / 1_000 for k in range(1, 4_000)) if c * 11 / 11 < c][:5]
+    made = [(m, 10 * m + k, k * 0.4, k * 0.4 + 0.4, k * 0.4, k * 0.4 + 0.4, c, f, 0, 1.0, False) for m, c in enumerate(even) for k, f in enumerate((7 if m < 5 else 11, 3))]
+    kind = "match_id long, seg_id long, short_start double, short_end double, movie_start double, movie_end double, confidence double, frame_count int, gap_count int, speed_ratio double, is_approximate boolean"
+    got = iv.merge_adjacent(spark.createDataFrame(made, kind)).collect()
+    assert len(even) and {(r["match_id"], r["detail_seg_id"], tuple(r["members"])) for r in got} == {(m, 10 * m, (10 * m, 10 * m + 1)) for m in range(len(even))}
