@@ -33,8 +33,11 @@ from ..operators.scan import SEPARATION
 from ..shared import Tables
 from .align import SECOND_PASS, Aligner, Missing, Profile, lead
 
-#: Frames of a page, and pages of a range.
-PAGE, RANGE_PAGES = 512, 8
+#: Frames of a page, and pages of a range.  Walks fetch pages: one of a hundred
+#: steps needs about 150 frames.
+PAGE, RANGE_PAGES = 128, 32
+#: Bytes of answers in a batch, about.
+BATCH_BYTES = 8 << 20
 #: Leaders of a range that are returned: more than any step looks at.  The pool
 #: takes up to 24 offsets from 3 scans; each of these rules out no more than two
 #: leaders of another scan.
@@ -199,17 +202,16 @@ def pages_of(movie: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
 
 def scans(pages: DataFrame, asked: DataFrame) -> DataFrame:
     """Answers of all ranges to scans.  The pages of a range meet what is asked
-    in one task, which holds the range and streams the questions."""
+    in one task, which holds the range, and streams questions and answers."""
     none = lambda kind: F.lit(None).cast(kind)
     held = pages.select("movie_id", F.floor(F.col("page") / RANGE_PAGES).cast("long").alias("range"), F.lit(0).alias("kind"), "first", "block", none("string").alias("short_id"), none("long").alias("chunk_id"), none("string").alias("what"), none("long").alias("at"))
-    ranges = F.array_distinct(F.transform("pages", lambda p: F.floor(p / RANGE_PAGES).cast("long")))
-    todo = asked.select("movie_id", F.explode(ranges).alias("range"), F.lit(1).alias("kind"), F.lit(0).cast("long").alias("first"), F.col("payload").alias("block"), "short_id", "chunk_id", "what", "at")
+    todo = asked.select("movie_id", F.explode("ranges").alias("range"), F.lit(1).alias("kind"), F.lit(0).cast("long").alias("first"), F.col("payload").alias("block"), "short_id", "chunk_id", "what", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, blocks, part, first = None, [], None, 0
         for batch in batches:
-            rows, out = batch.to_pylist(), []
-            for r in rows:
+            out, size = [], 0
+            for r in (r for k in range(0, batch.num_rows, 64) for r in batch.slice(k, 64).to_pylist()):
                 if (r["movie_id"], r["range"]) != key:
                     key, blocks, part = (r["movie_id"], r["range"]), [], None
                 if r["kind"] == 0:
@@ -221,6 +223,10 @@ def scans(pages: DataFrame, asked: DataFrame) -> DataFrame:
                 asked, frame = pickle.loads(r["block"])
                 said = pickle.dumps((first, answer(asked, frame, part, first)), 5)
                 out.append({"movie_id": r["movie_id"], "short_id": r["short_id"], "chunk_id": r["chunk_id"], "what": r["what"], "at": r["at"], "payload": said})
+                size += len(said)
+                if size >= BATCH_BYTES:
+                    yield pa.RecordBatch.from_pylist(out, schema=_schema())
+                    out, size = [], 0
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=_schema())
 
@@ -265,6 +271,7 @@ def align_ranges(chunks: DataFrame, movie: DataFrame, profile: Profile, min_simi
     tables, kept = Tables(spark), Tables(spark)
     try:
         pages, header = pages_of(movie, tables)
+        ranges = header.select("movie_id", F.array_distinct(F.transform("pages", lambda p: F.floor(p / RANGE_PAGES).cast("long"))).alias("ranges"))
         key = ["movie_id", "short_id", "chunk_id"]
         open_chunks = tables.write(_states(chunks, header))
         answers: list[DataFrame] = []
@@ -296,7 +303,7 @@ def align_ranges(chunks: DataFrame, movie: DataFrame, profile: Profile, min_simi
             open_chunks = tables.write(open_chunks.join(got.filter(F.col("what") == _KNOWN).select(*key), key, "left_semi"))
             answers = [a.filter(F.col("what") != _KNOWN) for a in answers] + [got.filter(F.col("what") == _KNOWN)]
             if n["scans"]:
-                questions = asked.filter(F.col("what") != _PAGE).join(header.select("movie_id", "pages"), "movie_id")
+                questions = asked.filter(F.col("what") != _PAGE).join(ranges, "movie_id")
                 answers.append(tables.write(scans(pages, questions)))
             if n["pages"]:
                 wanted = asked.filter(F.col("what") == _PAGE).drop("payload").withColumnRenamed("at", "page")

@@ -105,3 +105,26 @@ def test_empty_sides(spark, monkeypatch):
     assert plan.match(short, nothing, MAIN).segments.count() == 0
     assert plan.match(nothing, short, MAIN).segments.count() == 0
     assert plan.match(short, short.limit(1), CANDIDATE).segments.count() >= 0
+
+
+def test_blocks_travel_without_what_no_frame_has():
+    """A page of frames without grids takes little more than its hashes, and
+    comes back as it was."""
+    import pickle
+
+    from cliptrace.functions.blocks import CHANNELS, GRIDS, Layout
+
+    rng = np.random.default_rng(2)
+    n = ranges.PAGE
+    hashes = {c: rng.integers(0, 2**60, (n, 3, 1)).astype(np.uint64) for c in CHANNELS}
+    page = Frames(np.arange(n), np.arange(n) / 25, hashes, Layout(["full", "b", "c"], {c: 2 for c in CHANNELS}), {g: (np.zeros((n, w)), np.zeros(n, bool)) for g, w in GRIDS.items()})
+    page.delta, page.mag = np.zeros((n, 48)), np.full(n, np.nan)
+    sent = pickle.dumps(page, 5)
+    assert len(sent) < n * (3 * 5 * 8 + 16) + 4_000
+    back = pickle.loads(sent)
+    assert back.n == n and (back.hashes["fd"] == hashes["fd"]).all() and back.color.shape == (n, 48) and not back.signed.any()
+    assert back.delta.shape == (n, 48) and np.isnan(back.mag).all() and back.moves == page.moves
+    page.grids["skin"][1][:] = True
+    page.mag[1:], page.delta[3, 5] = 4.0, 4.0
+    back = pickle.loads(pickle.dumps(page, 5))
+    assert back.has_skin.all() and not back.has_color.any() and back.delta[3, 5] == 4.0 and np.isnan(back.mag[0]) and (back.mag[1:] == 4).all()
