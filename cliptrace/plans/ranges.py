@@ -57,21 +57,51 @@ def range_leaders(sims: np.ndarray, first: int, floor: float | None) -> tuple[li
     if not len(at):
         return [], []
     shown = np.where(passing, sims, -np.inf)
-    # The largest of the frames before, within reach of a leader.
-    reach = SEPARATION - 1
-    padded = np.concatenate((np.full(reach, -np.inf), shown))
-    before = np.lib.stride_tricks.sliding_window_view(padded, reach)[: len(sims)].max(axis=1)
-    sure = passing & (shown > before)
+    sure = passing & (shown > _before(shown, SEPARATION - 1))
     if first:
-        sure[:reach] = False  # frames of the range before count as well
+        sure[: SEPARATION - 1] = False  # frames of the range before count as well
     start = int(np.argmax(sure)) if sure.any() else len(sims)
     open_part = [(first + int(k), float(sims[k])) for k in at[at <= start]]
-    kept: list[list] = []
-    values = sims.tolist()
-    for k in at[at >= start].tolist():
-        lead(kept, first + k, values[k])
-    top = sorted(kept[:-1], key=lambda x: (-x[1], x[0]))[:MOST_LEADERS]
-    return open_part, [(m, s) for m, s in [*sorted(top), *kept[-1:]]]
+    places = at[at >= start]
+    kept: list[tuple[int, float]] = []
+    # ``lead``, written out: this loop meets each frame of each scan.
+    mi = edge = -1
+    sim = 0.0
+    for k, s in zip(places.tolist(), sims[places].tolist(), strict=True):
+        if k < edge:
+            if s > sim:
+                mi, sim, edge = k, s, k + SEPARATION
+        else:
+            if mi >= 0:
+                kept.append((first + mi, sim))
+            mi, sim, edge = k, s, k + SEPARATION
+    last = [(first + mi, sim)] if mi >= 0 else []
+    top = sorted(kept, key=lambda x: (-x[1], x[0]))[:MOST_LEADERS]
+    return open_part, [*sorted(top), *last]
+
+
+def _before(shown: np.ndarray, reach: int) -> np.ndarray:
+    """The largest of the ``reach`` values before each; of windows twice as long
+    at each step."""
+    most = np.concatenate((np.full(reach, -np.inf), shown))[:-1]  # window of one, ``reach`` places on
+    n, width = len(shown), 1
+    while 2 * width <= reach:
+        most = np.maximum(most[:-width], most[width:])
+        width *= 2
+    # Two windows that overlap cover the reach.
+    return np.maximum(most[:n], most[reach - width : reach - width + n])
+
+
+def all_leaders(sims: np.ndarray, first: int, floors: tuple) -> list[tuple[list, list]]:
+    """``range_leaders`` for each floor; floors that all frames pass have the same."""
+    least, known, out = sims.min() if len(sims) else 0.0, None, []
+    for floor in floors:
+        if floor is not None and not least >= floor:
+            out.append(range_leaders(sims, first, floor))
+            continue
+        known = range_leaders(sims, first, None) if known is None else known
+        out.append(known)
+    return out
 
 
 def join_leaders(parts: list[tuple[list, list]]) -> list[tuple[int, float]]:
@@ -101,7 +131,7 @@ def answer(asked: tuple, frame: Frames, part: Frames, first: int) -> object:
         at = int(sims.argmax())
         return first + at, float(sims[at])
     sims = hash_sims(frame, 0, part, 0, part.n, asked[1])
-    return sims if asked[0] == "sims" else [range_leaders(sims, first, floor) for floor in asked[2]]
+    return sims if asked[0] == "sims" else all_leaders(sims, first, asked[2])
 
 
 class Partly:

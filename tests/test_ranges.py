@@ -128,3 +128,38 @@ def test_blocks_travel_without_what_no_frame_has():
     page.mag[1:], page.delta[3, 5] = 4.0, 4.0
     back = pickle.loads(pickle.dumps(page, 5))
     assert back.has_skin.all() and not back.has_color.any() and back.delta[3, 5] == 4.0 and np.isnan(back.mag[0]) and (back.mag[1:] == 4).all()
+
+
+def test_floors_that_all_frames_pass_are_gone_through_once(monkeypatch):
+    rng = np.random.default_rng(4)
+    sims = 50 + 5 * rng.standard_normal(3_000)
+    floors, calls, plain = (None, 62.0, 20.0), [], ranges.range_leaders
+    monkeypatch.setattr(ranges, "range_leaders", lambda *x: calls.append(x[2]) or plain(*x))
+    got = ranges.all_leaders(sims, 4_096, floors)
+    assert got == [plain(sims, 4_096, f) for f in floors] and calls == [None, 62.0]
+    for n in (1, 2, 48, 49, 50, 700):
+        before = [max([-np.inf, *sims[max(0, k - SEPARATION + 1) : k]]) for k in range(n)]
+        assert ranges._before(sims[:n], SEPARATION - 1).tolist() == before
+
+
+def test_a_window_of_a_walk_meets_all_variants_at_once(monkeypatch):
+    from cliptrace.functions import blocks
+    from cliptrace.functions.blocks import CHANNELS, GRIDS, Layout
+
+    def frames(n, names, seed):
+        rng = np.random.default_rng(seed)
+        hashes = {c: rng.integers(0, 2**63, (n, len(names), 1)).astype(np.uint64) for c in CHANNELS}
+        return Frames(np.arange(n), np.arange(n) / 25, hashes, Layout(names, {c: 2 for c in CHANNELS}), {g: (np.zeros((n, w)), np.zeros(n, bool)) for g, w in GRIDS.items()})
+
+    calls, plain = [], blocks._pair_sims
+    monkeypatch.setattr(blocks, "_pair_sims", lambda *x: calls.append(x) or plain(*x))
+    for names in (["full", "b", "c"], ["b"], []):
+        short, movie = frames(5, names, 1), frames(600, ["full", "b", "c"], 2)
+        for lo, hi in ((0, 1), (30, 71), (100, 355), (7, 7)):
+            got, n = blocks.hash_sims(short, 3, movie, lo, hi, False), len(calls)
+            assert n <= 1
+            monkeypatch.setattr(blocks, "FEW", 0)
+            assert got.tolist() == blocks.hash_sims(short, 3, movie, lo, hi, False).tolist()
+            monkeypatch.undo()
+            calls.clear()
+            monkeypatch.setattr(blocks, "_pair_sims", lambda *x: calls.append(x) or plain(*x))
