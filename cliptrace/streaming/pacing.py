@@ -18,9 +18,11 @@ unavailable with a null model; ``sent_at`` is in milliseconds.
 from __future__ import annotations
 
 import pickle
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from datetime import datetime
+from functools import lru_cache
 from typing import Any
 from zoneinfo import ZoneInfo
 
@@ -41,7 +43,14 @@ _NEVER = float("inf")
 
 def pacific_day(ms: int) -> str:
     """The Pacific date of a time."""
-    return datetime.fromtimestamp(ms / 1000, _PACIFIC).date().isoformat()
+    return _day_of_minute(ms // MINUTE_MS) if ms >= 0 else datetime.fromtimestamp(ms / 1000, _PACIFIC).date().isoformat()
+
+
+@lru_cache(maxsize=4_096)
+def _day_of_minute(minute: int) -> str:
+    """Days begin at whole minutes (since 1883), and few minutes are looked at
+    at a time."""
+    return datetime.fromtimestamp(minute * 60, _PACIFIC).date().isoformat()
 
 
 @dataclass
@@ -79,12 +88,16 @@ class Rotation:
     rpd: int
     probe_ms: int
     models: list[Model] = field(default_factory=lambda: [Model(), Model()])
-    queue: list[int] = field(default_factory=list)
+    queue: deque[int] = field(default_factory=deque)  # the first goes in the same time however many wait
     next_try: int = 0
     probed: int = 0
     probing: int | None = None
     clock: int = 0
 
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        self.queue = deque(self.queue)  # a list in states of before
+
     def _send(self, request: int, now: int, k: int | None, outcome: str) -> tuple:
         if k is not None:
             m = self.models[k]
@@ -118,7 +131,7 @@ class Rotation:
             got = self._try(at)
             if got is None:
                 continue
-            self.queue.pop(0)
+            self.queue.popleft()
             out.append(got)
         return out
 

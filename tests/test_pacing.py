@@ -97,3 +97,25 @@ def test_empty_tables(spark):
 @pytest.mark.parametrize(("ms", "day"), [(1_705_305_599_999, "2024-01-14"), (1_705_305_600_000, "2024-01-15"), (1_720_000_000_000, "2024-07-03")])
 def test_pacific_day(ms, day):
     assert pacing.pacific_day(ms) == day
+
+
+def test_serving_takes_time_in_proportion_to_those_that_wait():
+    """Half a million wait for a day that is used up; the first of them goes as
+    quickly as the last."""
+    import pickle
+    import time
+
+    rotation = pacing.Rotation(3, 0, 1 << 50)
+    rotation.queue.extend(range(500_000))
+    began = time.process_time()
+    out = rotation.until(1_705_305_600_000)
+    took = time.process_time() - began
+    assert len(out) == 500_000 and [x[0] for x in out[:3]] == [0, 1, 2] and {x[3] for x in out} == {"unavailable"}
+    rotation.queue.extend(range(10_000))
+    began = time.process_time()
+    rotation.until(1_705_305_600_000)
+    assert took < 50 * 4 * (time.process_time() - began)
+    # States that hold a list are read as before.
+    old = pacing.Rotation(3, 10, 1 << 50)
+    old.__dict__["queue"] = [5, 6]
+    assert [x[0] for x in pickle.loads(pickle.dumps(old)).until(1_705_305_600_000)] == [5, 6]
