@@ -75,6 +75,67 @@ def lead(kept: list[list], mi: int, sim: float) -> None:
         kept.append([mi, sim])
 
 
+def slope_of(points: list[tuple[int, int]]) -> float:
+    """Movie frames a short frame, from the first to the last of some points."""
+    if len(points) < 4:
+        return 1.0
+    low, high = min(points), max(points)
+    if high[0] - low[0] < 3:
+        return 1.0
+    return min(SLOPE[1], max(SLOPE[0], (high[1] - low[1]) / (high[0] - low[0])))
+
+
+class Walk:
+    """A walk from a seed in one direction, and how far it has come.  A forced
+    walk maps every frame of the chunk; only good ones steer it."""
+
+    def __init__(self, seed: tuple[int, int], step: int, chunk: tuple[int, int], forced: bool):
+        self.seed, self.step, self.chunk, self.forced = seed, step, chunk, forced
+        self.si, self.last, self.slope, self.missed = seed[0] + step, seed, 1.0, 0
+        self.got: list[tuple[int, int, float]] = []
+        self.steering: list[tuple[int, int]] = []
+
+    def expected(self) -> int:
+        return self.last[1] + js_round(self.slope * (self.si - self.last[0]))
+
+    def go(self, window, n: int, held: tuple[int, int], used: np.ndarray, cuts: np.ndarray, p: Profile, drift: int) -> bool:
+        """Goes on to its end (true), or to where it needs movie frames that are
+        not ``held`` (of ``n``).  ``window``: similarities of a short frame with
+        a range of movie frames."""
+        while self.chunk[0] <= self.si <= self.chunk[1]:
+            si, forced = self.si, self.forced
+            if not forced and (used[si] or cuts[si if self.step > 0 else si + 1]):
+                break
+            expected = self.expected()
+            half = p.widest + drift if forced else min(p.widest, p.window + drift + self.missed)
+            lo, hi = max(0, expected - half), min(n - 1, expected + half)
+            if lo > hi:
+                if not forced:
+                    break
+                self.got.append((si, min(n - 1, max(0, expected)), 0.0))
+                self.si += self.step
+                continue
+            if lo < held[0] or hi >= held[1]:
+                return False
+            sims = window(si, lo, hi + 1)
+            at = int(sims.argmax())
+            sim, mi = float(sims[at]), lo + at
+            enough = p.walk_min if forced else max(p.walk_floor, p.walk_min - len(self.got) // 25)
+            good = sim >= enough and sim > 0
+            if good:
+                self.steering = [*self.steering[1 - LOOK_AHEAD :], (si, mi)]
+                self.last, self.missed = (si, mi), 0
+                self.slope = slope_of([self.seed, *self.steering])
+            if good or forced:
+                self.got.append((si, mi, max(sim, 0.0)))
+            else:
+                self.missed += 1
+                if self.missed >= p.misses:
+                    break
+            self.si += self.step
+        return True
+
+
 class Whole:
     """What an aligner asks of a movie, with the whole movie at hand."""
 
@@ -88,9 +149,10 @@ class Whole:
             self.last = ((si, full_only), hash_sims(self.s, si, self.m, 0, self.n, full_only))
         return self.last[1]
 
-    def leaders(self, si: int, full_only: bool, floor: float | None = None) -> list[tuple[int, float]]:
-        """Leaders of the scan of a short frame, best first."""
-        return maxima(self.sims(si, full_only), floor)
+    def leaders(self, si: int, full_only: bool, floor: float | None = None, most: int | None = None) -> list[tuple[int, float]]:
+        """Leaders of the scan of a short frame, best first; ``most``: how many
+        of them are looked at."""
+        return maxima(self.sims(si, full_only), floor)[:most]
 
     def best(self, si: int) -> tuple[int, float]:
         """The movie frame that is most like a short frame."""
@@ -98,12 +160,18 @@ class Whole:
         at = int(sims.argmax())
         return at, float(sims[at])
 
-    def window(self, si: int, lo: int, hi: int) -> np.ndarray:
-        """Similarities with a range of movie frames."""
-        return frame_sims(self.s, si, self.m, lo, hi)
+    def spot(self, si: int, mi: int) -> float:
+        """Similarity with one movie frame."""
+        return float(frame_sims(self.s, si, self.m, mi, mi + 1)[0])
+
+    def walk(self, walk: Walk, used: np.ndarray, cuts: np.ndarray, p: Profile, drift: int) -> list[tuple[int, int, float]]:
+        """The steps of a walk."""
+        walk.go(lambda si, lo, hi: frame_sims(self.s, si, self.m, lo, hi), self.n, (0, self.n), used, cuts, p, drift)
+        return walk.got
 
-    def reach(self, lo: int, hi: int) -> None:
-        """Says what range will likely be asked for."""
+    def swept(self, key: tuple, sweep) -> list:
+        """What a sweep finds."""
+        return sweep()
 
     def time(self, mi: int) -> float:
         return float(self.m.ts[mi])
@@ -135,63 +203,14 @@ class Aligner:
 
     # Walks.
 
-    @staticmethod
-    def _slope(points: list[tuple[int, int, float]]) -> float:
-        if len(points) < 4:
-            return 1.0
-        low, high = min(points), max(points)
-        if high[0] - low[0] < 3:
-            return 1.0
-        return min(SLOPE[1], max(SLOPE[0], (high[1] - low[1]) / (high[0] - low[0])))
-
-    def walk(self, seed: tuple[int, int, float], step: int, used: np.ndarray, chunk: tuple[int, int], forced: bool) -> list[tuple[int, int, float]]:
-        """From a seed in one direction.  A forced walk maps every frame of the
-        chunk; only good ones steer it."""
-        p, got, steering = self.p, [], []
-        last_si, last_mi, slope, missed = seed[0], seed[1], 1.0, 0
-        si = seed[0] + step
-        while chunk[0] <= si <= chunk[1]:
-            if not forced and (used[si] or self.cuts[si if step > 0 else si + 1]):
-                break
-            expected = last_mi + js_round(slope * (si - last_si))
-            half = p.widest + self.drift if forced else min(p.widest, p.window + self.drift + missed)
-            lo, hi = max(0, expected - half), min(self.m.n - 1, expected + half)
-            if lo > hi:
-                if not forced:
-                    break
-                got.append((si, min(self.m.n - 1, max(0, expected)), 0.0))
-                si += step
-                continue
-            sims = self.m.window(si, lo, hi + 1)
-            at = int(sims.argmax())
-            sim, mi = float(sims[at]), lo + at
-            enough = p.walk_min if forced else max(p.walk_floor, p.walk_min - len(got) // 25)
-            good = sim >= enough and sim > 0
-            if good:
-                steering.append((si, mi, sim))
-                last_si, last_mi, missed = si, mi, 0
-                slope = self._slope([seed, *steering[-LOOK_AHEAD:]])
-            if good or forced:
-                got.append((si, mi, max(sim, 0.0)))
-            else:
-                missed += 1
-                if missed >= p.misses:
-                    break
-            si += step
-        return got
-
     def sequence(self, si: int, mi: int, used: np.ndarray, chunk: tuple[int, int], forced: bool = False, sim: float | None = None) -> list[tuple[int, int, float]]:
         """Both walks from a seed, with short gaps filled."""
         key = (si, mi, forced, used[chunk[0] : chunk[1] + 1].tobytes())
         if key in self.known:
             return self.known[key]
-        spread = self.p.widest + self.drift
-        self.m.reach(mi - (si - chunk[0]) * 9 // 8 - spread, mi + (chunk[1] - si) * 9 // 8 + spread)
-        if sim is None:
-            sim = float(self.m.window(si, mi, mi + 1)[0])
-        seed = (si, mi, sim)
-        back = self.walk(seed, -1, used, chunk, forced)
-        points = [*back[::-1], seed, *self.walk(seed, 1, used, chunk, forced)]
+        walk = lambda step: self.m.walk(Walk((si, mi), step, chunk, forced), used, self.cuts, self.p, self.drift)
+        back, sim, ahead = self.each(lambda f: f(), (lambda: walk(-1), lambda: self.m.spot(si, mi) if sim is None else sim, lambda: walk(1)))
+        points = [*back[::-1], (si, mi, sim), *ahead]
         out = [points[0]]
         for a, b in zip(points, points[1:], strict=False):
             gap = b[0] - a[0]
@@ -215,8 +234,8 @@ class Aligner:
         """Offsets that many probes vote for."""
         votes: dict[int, dict] = {}
         probes = range(chunk[0], chunk[1] + 1, CONSENSUS_STEP)
-        for si, found in zip(probes, self.each(lambda si: self.m.leaders(si, False), probes), strict=True):
-            for mi, sim in found[:CONSENSUS_VOTES]:
+        for si, found in zip(probes, self.each(lambda si: self.m.leaders(si, False, most=CONSENSUS_VOTES), probes), strict=True):
+            for mi, sim in found:
                 b = votes.setdefault(js_round((mi - si) / CONSENSUS_BUCKET), {"votes": 0, "sum": 0.0, "sim": -1.0})
                 b["votes"] += 1
                 b["sum"] += sim
@@ -231,18 +250,23 @@ class Aligner:
         probes = list(range(start, end + 1, max(1, size // SWEEP_PROBES)))
         if len(probes) < 2:
             return []
-        sims = self.each(lambda si: self.m.sims(si, True), probes)
-        anchors, found = np.arange(0, self.m.n, SWEEP_STEP), []
-        for slope in SLOPES:
-            total, n = np.zeros(len(anchors)), np.zeros(len(anchors), int)
-            for row, si in zip(sims, probes, strict=True):
-                mi = np.floor(anchors + slope * (si - mid) + 0.5).astype(int)
-                ok = (mi >= 0) & (mi < self.m.n)
-                total[ok] += row[mi[ok]]
-                n += ok
-            score = np.where(n >= max(2, len(probes) // 2), total / np.maximum(n, 1), np.nan)
-            found += maxima(score, step=SWEEP_STEP)[:SWEEP_PER_SLOPE]
-        blended = self.each(lambda x: (mid, x[0], 0.5 * x[1] + 0.5 * float(self.m.window(mid, x[0], x[0] + 1)[0])), found)
+
+        def of_all_speeds() -> list[tuple[int, float]]:
+            sims = self.each(lambda si: self.m.sims(si, True), probes)
+            anchors, found = np.arange(0, self.m.n, SWEEP_STEP), []
+            for slope in SLOPES:
+                total, n = np.zeros(len(anchors)), np.zeros(len(anchors), int)
+                for row, si in zip(sims, probes, strict=True):
+                    mi = np.floor(anchors + slope * (si - mid) + 0.5).astype(int)
+                    ok = (mi >= 0) & (mi < self.m.n)
+                    total[ok] += row[mi[ok]]
+                    n += ok
+                score = np.where(n >= max(2, len(probes) // 2), total / np.maximum(n, 1), np.nan)
+                found += maxima(score, step=SWEEP_STEP)[:SWEEP_PER_SLOPE]
+            return found
+
+        found = self.m.swept(tuple(probes), of_all_speeds)
+        blended = self.each(lambda x: (mid, x[0], 0.5 * x[1] + 0.5 * self.m.spot(mid, x[0])), found)
         return sorted(blended, key=lambda x: -x[2])[:SWEEP_TOP]
 
     # One chunk.
@@ -292,11 +316,12 @@ class Aligner:
                         return [], []
                     si = free[0]
                 full = not self.p.all_variants
-                offers = [(mi - si, s) for mi, s in self.m.leaders(si, full)[: self.p.alternates + 4]]
-                found = self.m.leaders(si, full, limit - self.p.scan_slack)[: self.p.walked]
+                most = max(self.p.alternates + 4, self.p.walked)
+                offers = [(mi - si, s) for mi, s in self.m.leaders(si, full, most=most)[: self.p.alternates + 4]]
+                found = self.m.leaders(si, full, limit - self.p.scan_slack, most)[: self.p.walked]
                 if not found or found[0][1] < limit - self.p.top_slack:
                     return offers, []
-                sims = self.each(lambda x: float(self.m.window(si, x[0], x[0] + 1)[0]), found)
+                sims = self.each(lambda x: self.m.spot(si, x[0]), found)
                 good = [(mi, sim) for (mi, _), sim in zip(found, sims, strict=True) if sim >= limit - self.p.seed_slack]
                 return offers, self.each(lambda x: self.sequence(si, x[0], used, chunk, sim=x[1]), good)
 

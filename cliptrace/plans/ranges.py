@@ -2,12 +2,18 @@
 
 A movie is cut into pages of about ``PAGE`` frames, which stay where they are.
 Chunks of shorts are aligned in rounds.  In a round each open chunk goes on with
-what it has been answered, as far as that takes it, and states what it lacks:
+what it has been answered, as far as that takes it, and states what it lacks;
+tasks that hold a range of pages answer:
 
-* scans of a short frame over the whole movie.  They are streamed over ranges of
-  pages, in tasks that hold one range; a range returns the leaders of its frames,
-  the best frame, or plain similarities, and the chunk joins those of all ranges.
-* pages around the places where its walks are.  These are joined by number.
+* scans of a short frame over the whole movie go to all ranges; a range returns
+  the leaders of its frames, the best frame, or plain similarities, and the chunk
+  joins those of all ranges;
+* a walk goes to the range where it is, and on to the next one if it leaves
+  that with what lies ``MARGIN`` frames around it;
+* single similarities, times and details go to the range of their frame.
+
+What travels are frames of shorts, walks and answers, never a movie's pages; a
+chunk keeps what it has learnt in a few numbers for each leader and step.
 
 A range cannot know where the last leader of the range before stands.  But a
 frame above all that pass within ``SEPARATION`` frames before it leads whatever
@@ -19,7 +25,7 @@ Results are those of ``align`` with the whole movie at hand.
 
 from __future__ import annotations
 
-import ast
+import math
 import pickle
 from collections.abc import Iterator
 
@@ -31,11 +37,13 @@ from pyspark.sql import functions as F
 from ..functions.blocks import Frames, Layout, frame_detail, frame_sims, hash_sims
 from ..operators.scan import SEPARATION
 from ..shared import Tables
-from .align import SECOND_PASS, Aligner, Missing, Profile, lead
+from .align import SECOND_PASS, Aligner, Missing, Profile, Walk, lead
 
-#: Frames of a page, and pages of a range.  Walks fetch pages: one of a hundred
-#: steps needs about 150 frames.
+#: Frames of a page, and pages of a range.
 PAGE, RANGE_PAGES = 128, 32
+#: Frames around a range that its task holds as well, at least: a walk that leaves
+#: them is well inside the next range.
+MARGIN = 256
 #: Bytes of answers in a batch, about.
 BATCH_BYTES = 8 << 20
 #: Leaders of a range that are returned: more than any step looks at.  The pool
@@ -44,14 +52,17 @@ BATCH_BYTES = 8 << 20
 MOST_LEADERS = 160
 #: Rounds of one alignment, at most; more are an error.
 MOST_ROUNDS = 500
-_DONE, _KNOWN, _PAGE = "done", "known", "('page',)"
-_NEED = "movie_id string, short_id string, chunk_id long, what string, at long, payload binary"
+_DONE, _STATE, _ASKED, _SAID = "done", "state", "asked", "said"
+_ROWS = "movie_id string, short_id string, chunk_id long, what string, ranges array<long>, payload binary"
+#: Tasks' worth of ranges: few ranges are dealt out to groups of chunks.
+_DEALT = 8
 _FEATURES = ["si", "ts", "variants", "color", "skin", "detail"]
 
 
-def range_leaders(sims: np.ndarray, first: int, floor: float | None) -> tuple[list, list]:
+def range_leaders(sims: np.ndarray, first: int, floor: float | None, most: int = MOST_LEADERS) -> tuple[list, list]:
     """What a range tells of its leaders: frames (mi, sim) up to and with the one
-    from which on its leaders stand, and the leaders from there, by position."""
+    from which on its leaders stand, and the leaders from there, by position: the
+    ``most`` best and the last."""
     passing = np.full(len(sims), True) if floor is None else sims >= floor
     at = np.flatnonzero(passing)
     if not len(at):
@@ -76,7 +87,7 @@ def range_leaders(sims: np.ndarray, first: int, floor: float | None) -> tuple[li
                 kept.append((first + mi, sim))
             mi, sim, edge = k, s, k + SEPARATION
     last = [(first + mi, sim)] if mi >= 0 else []
-    top = sorted(kept, key=lambda x: (-x[1], x[0]))[:MOST_LEADERS]
+    top = sorted(kept, key=lambda x: (-x[1], x[0]))[:most]
     return open_part, [*sorted(top), *last]
 
 
@@ -92,14 +103,14 @@ def _before(shown: np.ndarray, reach: int) -> np.ndarray:
     return np.maximum(most[:n], most[reach - width : reach - width + n])
 
 
-def all_leaders(sims: np.ndarray, first: int, floors: tuple) -> list[tuple[list, list]]:
+def all_leaders(sims: np.ndarray, first: int, floors: tuple, most: tuple = ()) -> list[tuple[list, list]]:
     """``range_leaders`` for each floor; floors that all frames pass have the same."""
     least, known, out = sims.min() if len(sims) else 0.0, None, []
     for floor in floors:
         if floor is not None and not least >= floor:
-            out.append(range_leaders(sims, first, floor))
+            out.append(range_leaders(sims, first, floor, *most))
             continue
-        known = range_leaders(sims, first, None) if known is None else known
+        known = range_leaders(sims, first, None, *most) if known is None else known
         out.append(known)
     return out
 
@@ -116,82 +127,112 @@ def join_leaders(parts: list[tuple[list, list]]) -> list[tuple[int, float]]:
     return sorted(((m, s) for m, s in kept), key=lambda x: -x[1])
 
 
-def one_frame(s: Frames, k: int) -> Frames:
-    """Frame ``k`` alone, with its motion."""
-    grids = {g: (values[k : k + 1], has[k : k + 1]) for g, (values, has) in s.grids.items()}
-    one = Frames(s.si[k : k + 1], s.ts[k : k + 1], {c: x[k : k + 1] for c, x in s.hashes.items()}, s.layout, grids)
-    one.delta, one.mag = s.motion(k, k + 1)
-    return one
-
-
-def answer(asked: tuple, frame: Frames, part: Frames, first: int) -> object:
-    """What a range says to a scan of a short frame."""
-    if asked[0] == "best":
-        sims = frame_sims(frame, 0, part, 0, part.n)
-        at = int(sims.argmax())
-        return first + at, float(sims[at])
-    sims = hash_sims(frame, 0, part, 0, part.n, asked[1])
-    return sims if asked[0] == "sims" else all_leaders(sims, first, asked[2])
+def some_frames(s: Frames, rows: list[int]) -> Frames:
+    """Some frames, with their motion."""
+    grids = {g: (values[rows], has[rows]) for g, (values, has) in s.grids.items()}
+    some = Frames(s.si[rows], s.ts[rows], {c: x[rows] for c, x in s.hashes.items()}, s.layout, grids)
+    motion = [s.motion(k, k + 1) for k in rows]
+    some.delta, some.mag = np.concatenate([d for d, _ in motion]), np.concatenate([m for _, m in motion])
+    return some
+
+
+class Range:
+    """What a task holds of a movie: a range of places, and frames around it."""
+
+    def __init__(self, part: Frames, first: int, lo: int, hi: int, n: int, profile: Profile, drift: int):
+        self.part, self.first, self.lo, self.hi, self.n, self.profile, self.drift = part, first, lo, hi, n, profile, drift
+
+    def answer(self, asked: tuple, s: Frames, k: int, more: tuple | None) -> object:
+        """What the range says to what is asked of frame ``k``; ``more``: the walk,
+        and where it may not go."""
+        first, a, b = self.first, self.lo - self.first, self.hi - self.first
+        kind = asked[0]
+        if kind == "walk":
+            walk, used, cuts = more
+            done = walk.go(lambda si, lo, hi: frame_sims(s, si, self.part, lo - first, hi - first), self.n, (first, first + self.part.n), used, cuts, self.profile, self.drift)
+            return done, walk
+        if kind == "time":
+            return float(self.part.ts[asked[1] - first])
+        if kind == "spot":
+            return float(frame_sims(s, k, self.part, asked[2] - first, asked[2] - first + 1)[0])
+        if kind == "detail":
+            return frame_detail(s, k, self.part, asked[2] - first)
+        if kind == "best":
+            sims = frame_sims(s, k, self.part, a, b)
+            at = int(sims.argmax())
+            return self.lo + at, float(sims[at])
+        sims = hash_sims(s, k, self.part, a, b, asked[2])
+        return sims if kind == "sims" else all_leaders(sims, self.lo, *asked[3:])
 
 
 class Partly:
-    """What an aligner asks of a movie, of which only some answers are at hand;
+    """What an aligner asks of a movie, of which only some answers are ``known``;
     what lacks is noted in ``needs``."""
 
-    def __init__(self, short: Frames, firsts: list[int], pages: list[int], n: int, floors: tuple, answers: dict[tuple, list], frames: dict[int, Frames]):
-        self.s, self.n, self.firsts, self.numbers, self.floors = short, n, np.array(firsts), pages, floors
-        self.answers, self.frames = answers, frames
-        self.needs: set[tuple] = set()
+    def __init__(self, n: int, floors: tuple, known: dict[tuple, object], sims: dict[tuple, np.ndarray]):
+        self.n, self.floors, self.known, self.arrays = n, floors, known, sims
+        self.needs: dict[tuple, tuple | None] = {}
 
-    def _asked(self, asked: tuple, si: int) -> list:
-        got = self.answers.get((asked, si))
-        if got is None:
-            self.needs.add((asked, si))
+    def _asked(self, asked: tuple, more: tuple | None = None) -> object:
+        if asked not in self.known:
+            self.needs[asked] = more
             raise Missing
-        return got
+        return self.known[asked]
 
     def sims(self, si: int, full_only: bool) -> np.ndarray:
-        return np.concatenate(self._asked(("sims", full_only), si))
+        asked = ("sims", si, full_only)
+        if asked not in self.arrays:
+            self.needs[asked] = None
+            raise Missing
+        return self.arrays[asked]
+
+    def swept(self, key: tuple, sweep) -> list:
+        """Similarities with a whole movie are held in the round that brings
+        them, and what a sweep makes of them is kept."""
+        if ("swept", key) not in self.known:
+            self.known["swept", key] = sweep()
+        return self.known["swept", key]
 
-    def leaders(self, si: int, full_only: bool, floor: float | None = None) -> list[tuple[int, float]]:
-        parts = self._asked(("leaders", full_only, self.floors), si)
-        return join_leaders([p[self.floors.index(floor)] for p in parts])
+    def leaders(self, si: int, full_only: bool, floor: float | None = None, most: int | None = None) -> list[tuple[int, float]]:
+        return self._asked(("leaders", si, full_only, self.floors, (most or MOST_LEADERS,)))[self.floors.index(floor)]
 
     def best(self, si: int) -> tuple[int, float]:
-        return max(self._asked(("best",), si), key=lambda x: (x[1], -x[0]))
-
-    def _pages(self, lo: int, hi: int, asking: bool = True) -> list[int]:
-        """Places of the pages that hold some movie frames."""
-        lo, hi = max(0, lo), min(self.n, hi)
-        held = list(range(int(np.searchsorted(self.firsts, lo, side="right")) - 1, int(np.searchsorted(self.firsts, hi - 1, side="right"))))
-        lacking = [k for k in held if k not in self.frames]
-        if lacking:
-            self.needs.update((("page",), self.numbers[k]) for k in lacking)
-            if asking:
-                raise Missing
-        return held
-
-    def window(self, si: int, lo: int, hi: int) -> np.ndarray:
-        out = []
-        for k in self._pages(lo, hi):
-            first, page = int(self.firsts[k]), self.frames[k]
-            out.append(frame_sims(self.s, si, page, max(lo - first, 0), min(hi - first, page.n)))
-        return out[0] if len(out) == 1 else np.concatenate(out)
-
-    def reach(self, lo: int, hi: int) -> None:
-        self._pages(lo, hi, asking=False)
+        return self._asked(("best", si))
+
+    def spot(self, si: int, mi: int) -> float:
+        return self._asked(("spot", si, mi))
+
+    def walk(self, walk: Walk, used: np.ndarray, cuts: np.ndarray, p: Profile, drift: int) -> list[tuple[int, int, float]]:
+        asked = ("walk", *walk.seed, walk.step, walk.forced, used.tobytes())
+        done, so_far = self.known.get(asked, (False, walk))
+        if not done:
+            self.needs[asked] = (so_far, used, cuts)
+            raise Missing
+        return so_far.got
 
     def time(self, mi: int) -> float:
-        k = self._pages(mi, mi + 1)[0]
-        return float(self.frames[k].ts[mi - int(self.firsts[k])])
+        return self._asked(("time", mi))
 
     def detail(self, si: int, mi: int) -> dict:
-        k = self._pages(mi, mi + 1)[0]
-        return frame_detail(self.s, si, self.frames[k], mi - int(self.firsts[k]))
+        return self._asked(("detail", si, mi))
+
+
+#: Answers of all ranges, and what a chunk makes of them.
+_JOINED = {
+    "leaders": lambda asked, parts: [join_leaders([p[k] for p in parts])[: asked[4][0]] for k in range(len(asked[3]))],
+    "best": lambda asked, parts: max(parts, key=lambda x: (x[1], -x[0])),
+    "sims": lambda asked, parts: np.concatenate(parts),
+}
+
+
+def place_of(asked: tuple, more: tuple | None, n: int) -> int:
+    """The movie frame where something is asked for."""
+    at = more[0].expected() if asked[0] == "walk" else asked[1] if asked[0] == "time" else asked[2]
+    return min(n - 1, max(0, at))
 
 
 def pages_of(movie: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
-    """(movie_id, page, first, block): pages, packed in the layout of the first
+    """(movie_id, page, first, frames, block): pages, packed in the layout of the first
     frame of their movie; and (movie_id, n, pages, firsts) for each movie.
 
     ``movie`` has ``movie_id``.  A page is a slot of frame numbers; ``first`` is
@@ -214,7 +255,7 @@ def pages_of(movie: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
 
     def pack(key: tuple, mine: pa.Table, known: pa.Table) -> pa.Table:
         if not mine.num_rows:
-            return pa.table({"movie_id": pa.array([], pa.string()), "page": pa.array([], pa.int64()), "first": pa.array([], pa.int64()), "block": pa.array([], pa.binary())})
+            return pa.table({"movie_id": pa.array([], pa.string()), "page": pa.array([], pa.int64()), "first": pa.array([], pa.int64()), "frames": pa.array([], pa.int64()), "block": pa.array([], pa.binary())})
         a = known.slice(0, 1).to_pylist()[0]
         part = Frames.from_arrow(mine, Layout(a["layout"]["names"], {c: n for c, n in a["layout"]["words"].items() if n}))
         part.delta, part.mag = np.zeros((part.n, 48)), np.full(part.n, np.nan)
@@ -224,35 +265,49 @@ def pages_of(movie: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
             part.mag = np.sqrt((part.delta**2).sum(axis=1))
             if a["first"] == 0:
                 part.mag[0] = np.nan
-        return pa.table({"movie_id": pa.array([a["movie_id"]]), "page": pa.array([a["page"]], pa.int64()), "first": pa.array([a["first"]], pa.int64()), "block": pa.array([pickle.dumps(part, 5)])})
+        return pa.table({"movie_id": pa.array([a["movie_id"]]), "page": pa.array([a["page"]], pa.int64()), "first": pa.array([a["first"]], pa.int64()), "frames": pa.array([part.n], pa.int64()), "block": pa.array([pickle.dumps(part, 5)])})
 
-    packed = rows.groupBy("movie_id", "page").cogroup(about.groupBy("movie_id", "page")).applyInArrow(pack, "movie_id string, page long, first long, block binary")
+    packed = rows.groupBy("movie_id", "page").cogroup(about.groupBy("movie_id", "page")).applyInArrow(pack, "movie_id string, page long, first long, frames long, block binary")
     return tables.write(packed), header
 
 
-def scans(pages: DataFrame, asked: DataFrame) -> DataFrame:
-    """Answers of all ranges to scans.  The pages of a range meet what is asked
-    in one task, which holds the range, and streams questions and answers."""
+def spans_of(header: DataFrame) -> DataFrame:
+    """(movie_id, range, lo, hi, n): ranges, by the places of their first frame
+    and of that after the last."""
+    pages = header.select("movie_id", "n", F.explode(F.arrays_zip("pages", "firsts")).alias("p"))
+    spans = pages.groupBy("movie_id", "n", F.floor(F.col("p.pages") / RANGE_PAGES).cast("long").alias("range")).agg(F.min("p.firsts").alias("lo"))
+    return spans.withColumn("hi", F.coalesce(F.lead("lo").over(Window.partitionBy("movie_id").orderBy("range")), "n"))
+
+
+def answers(held: DataFrame, asked: DataFrame, groups: int, profile: Profile, drift: int) -> DataFrame:
+    """What ranges say.  The pages of a range meet what is asked of it in one task
+    (or in one for each group of chunks), which holds the range and a margin, and
+    streams questions and answers.  ``held``: pages with the range (range, lo, hi,
+    n) that they are part of."""
     none = lambda kind: F.lit(None).cast(kind)
-    held = pages.select("movie_id", F.floor(F.col("page") / RANGE_PAGES).cast("long").alias("range"), F.lit(0).alias("kind"), "first", "block", none("string").alias("short_id"), none("long").alias("chunk_id"), none("string").alias("what"), none("long").alias("at"))
-    todo = asked.select("movie_id", F.explode("ranges").alias("range"), F.lit(1).alias("kind"), F.lit(0).cast("long").alias("first"), F.col("payload").alias("block"), "short_id", "chunk_id", "what", "at")
+    at = ["movie_id", "range", "salt"]
+    pages = held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select(*at, F.lit(0).alias("kind"), "first", "lo", "hi", "n", "block", none("string").alias("short_id"), none("long").alias("chunk_id"))
+    salt = F.pmod(F.xxhash64("short_id", "chunk_id"), F.lit(groups)).cast("int").alias("salt")
+    zero = [F.lit(0).cast("long").alias(c) for c in ("first", "lo", "hi", "n")]
+    todo = asked.select("movie_id", F.explode("ranges").alias("range"), salt, F.lit(1).alias("kind"), *zero, F.col("payload").alias("block"), "short_id", "chunk_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, blocks, part, first = None, [], None, 0
+        key, blocks, mine = None, [], None
         for batch in batches:
             out, size = [], 0
             for r in (r for k in range(0, batch.num_rows, 64) for r in batch.slice(k, 64).to_pylist()):
-                if (r["movie_id"], r["range"]) != key:
-                    key, blocks, part = (r["movie_id"], r["range"]), [], None
+                if tuple(r[c] for c in at) != key:
+                    key, blocks, mine = tuple(r[c] for c in at), [], None
                 if r["kind"] == 0:
                     blocks.append((r["first"], r["block"]))
+                    about = r["lo"], r["hi"], r["n"]
                     continue
-                if part is None:
-                    part, first = Frames.in_a_row([pickle.loads(b) for _, b in sorted(blocks)]), min(blocks)[0]
+                if mine is None:
+                    mine = Range(Frames.in_a_row([pickle.loads(b) for _, b in sorted(blocks)]), min(blocks)[0], *about, profile, drift)
                     blocks = []
-                asked, frame = pickle.loads(r["block"])
-                said = pickle.dumps((first, answer(asked, frame, part, first)), 5)
-                out.append({"movie_id": r["movie_id"], "short_id": r["short_id"], "chunk_id": r["chunk_id"], "what": r["what"], "at": r["at"], "payload": said})
+                frames, questions = pickle.loads(r["block"])
+                said = pickle.dumps((mine.lo, [(asked, mine.answer(asked, frames, k, more)) for asked, k, more in questions]), 5)
+                out.append({"movie_id": r["movie_id"], "short_id": r["short_id"], "chunk_id": r["chunk_id"], "what": _SAID, "ranges": None, "payload": said})
                 size += len(said)
                 if size >= BATCH_BYTES:
                     yield pa.RecordBatch.from_pylist(out, schema=_schema())
@@ -260,33 +315,40 @@ def scans(pages: DataFrame, asked: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=_schema())
 
-    dealt = held.unionByName(todo).repartition("movie_id", "range").sortWithinPartitions("movie_id", "range", "kind")
-    return dealt.mapInArrow(run, _NEED)
+    dealt = pages.unionByName(todo).repartition(*at).sortWithinPartitions(*at, "kind")
+    return dealt.mapInArrow(run, _ROWS)
 
 
-def resume(rows: list[dict], state: dict, profile: Profile, drift: int, min_similarity: float, min_consecutive: int) -> tuple[tuple | None, dict, list[dict]]:
-    """Go on with a chunk: its frames and result, the sequences known so far, and what it
-    still lacks."""
-    short, cuts, known = state["short"], state["cuts"], state.get("known", {})
+def resume(said: list[tuple[int, list]], state: dict, profile: Profile, drift: int, min_similarity: float, min_consecutive: int) -> tuple[tuple | None, list[dict]]:
+    """Go on with a chunk, with what ranges (by their first place) said: its frames
+    and result, or what it still lacks.  ``state["known"]`` learns."""
+    short, known, n = state["short"], state["known"], state["n"]
     floors = (None, min_similarity - profile.scan_slack, SECOND_PASS - profile.scan_slack)
-    answers: dict[tuple, list] = {}
-    frames: dict[int, Frames] = {}
-    place = {p: k for k, p in enumerate(state["pages"])}
-    for r in rows:
-        asked = ast.literal_eval(r["what"])
-        if asked[0] == "page":
-            frames[place[r["at"]]] = pickle.loads(r["payload"])
-        else:
-            answers.setdefault((asked, r["at"]), []).append(pickle.loads(r["payload"]))
-    ordered = {k: [said for _, said in sorted(v, key=lambda x: x[0])] for k, v in answers.items()}
-    movie = Partly(short, state["firsts"], state["pages"], state["n"], floors, ordered, frames)
-    aligner = Aligner(short, movie, np.append(cuts, True), profile, drift)
-    aligner.known = known
+    parts: dict[tuple, list] = {}
+    for _, some in sorted(said, key=lambda x: x[0]):
+        for asked, one in some:
+            parts.setdefault(asked, []).append(one)
+    sims = {asked: _JOINED["sims"](asked, some) for asked, some in parts.items() if asked[0] == "sims"}
+    known.update({asked: _JOINED[asked[0]](asked, some) if asked[0] in _JOINED else some[0] for asked, some in parts.items() if asked[0] != "sims"})
+    movie = Partly(n, floors, known, sims)
+    aligner = Aligner(short, movie, np.append(state["cuts"], True), profile, drift)
     try:
-        return (short, aligner.whole_chunk(min_similarity, min_consecutive)), aligner.known, []
+        return (short, aligner.whole_chunk(min_similarity, min_consecutive)), []
     except Missing:
-        needs = [{"what": repr(asked), "at": at, "payload": pickle.dumps((asked, one_frame(short, at)), 5) if asked[0] != "page" else None} for asked, at in movie.needs]
-        return None, aligner.known, needs
+        pass
+    # What goes to all ranges, and what goes to one.
+    numbers, starts = state["numbers"], state["starts"]
+    groups: dict[tuple, list] = {}
+    for asked, more in movie.needs.items():
+        to = tuple(numbers) if asked[0] in _JOINED else (numbers[int(np.searchsorted(starts, place_of(asked, more, n), side="right")) - 1],)
+        groups.setdefault((to, asked[0] == "walk"), []).append((asked, more))
+    out = []
+    for (to, walks), some in groups.items():
+        rows = sorted({asked[1] for asked, _ in some if asked[0] != "time"})
+        place = {si: k for k, si in enumerate(rows)}
+        frames = short if walks else some_frames(short, rows) if rows else None
+        out.append({"ranges": list(to), "payload": pickle.dumps((frames, [(asked, place.get(asked[1], 0), more) for asked, more in some]), 5)})
+    return None, out
 
 
 def align_ranges(chunks: DataFrame, movie: DataFrame, profile: Profile, min_similarity: float, min_consecutive: int, drift: int) -> DataFrame:
@@ -299,45 +361,35 @@ def align_ranges(chunks: DataFrame, movie: DataFrame, profile: Profile, min_simi
     """
     spark = chunks.sparkSession
     tables, kept = Tables(spark), Tables(spark)
+    margin = max(MARGIN, 4 * (profile.widest + drift))
     try:
         pages, header = pages_of(movie, tables)
-        ranges = header.select("movie_id", F.array_distinct(F.transform("pages", lambda p: F.floor(p / RANGE_PAGES).cast("long"))).alias("ranges"))
+        spans = tables.write(spans_of(header))
+        inside = (F.col("first") < F.col("hi") + margin) & (F.col("first") + F.col("frames") > F.col("lo") - margin)
+        held = tables.write(pages.join(spans.withColumnRenamed("movie_id", "_m"), (F.col("movie_id") == F.col("_m")) & inside).drop("_m"))
+        groups = max(1, min(16, math.ceil(_DEALT * spark.sparkContext.defaultParallelism / max(1, spans.count()))))
         key = ["movie_id", "short_id", "chunk_id"]
-        open_chunks = tables.write(_states(chunks, header))
-        answers: list[DataFrame] = []
-        results: list[DataFrame] = []
         args = (profile, drift, min_similarity, min_consecutive)
 
         def go_on(mine: pa.Table) -> pa.Table:
             rows = mine.to_pylist()
-            state = next(pickle.loads(r["payload"]) for r in rows if r["what"] == "")
-            known = [r for r in rows if r["what"] == _KNOWN]
-            state["known"] = pickle.loads(known[0]["payload"]) if known else {}
-            result, sequences, needs = resume([r for r in rows if r["what"] not in ("", _KNOWN)], state, *args)
+            state = next(pickle.loads(r["payload"]) for r in rows if r["what"] == _STATE)
+            result, needs = resume([pickle.loads(r["payload"]) for r in rows if r["what"] == _SAID], state, *args)
             if result is not None:
-                out = [{"what": _DONE, "at": 0, "payload": pickle.dumps(result, 5)}]
+                out = [{"what": _DONE, "ranges": None, "payload": pickle.dumps(result, 5)}]
             else:
-                out = [{"what": _KNOWN, "at": 0, "payload": pickle.dumps(sequences, 5)}, *needs]
+                out = [{"what": _STATE, "ranges": None, "payload": pickle.dumps(state, 5)}, *[{"what": _ASKED} | r for r in needs]]
             return pa.Table.from_pylist([{c: rows[0][c] for c in key} | r for r in out], schema=_schema())
 
+        todo = _states(chunks, header)
+        results: list[DataFrame] = []
         for _ in range(MOST_ROUNDS):
-            todo = open_chunks.select(*key, F.lit("").alias("what"), F.lit(0).cast("long").alias("at"), "payload")
-            for a in answers:
-                todo = todo.unionByName(a.join(open_chunks.select(*key), key, "left_semi"))
-            got = tables.write(todo.groupBy(*key).applyInArrow(go_on, _NEED))
+            got = tables.write(todo.groupBy(*key).applyInArrow(go_on, _ROWS))
             results.append(got.filter(F.col("what") == _DONE))
-            asked = got.filter(~F.col("what").isin(_DONE, _KNOWN))
-            n = asked.agg(F.count_if(F.col("what") == _PAGE).alias("pages"), F.count_if(F.col("what") != _PAGE).alias("scans")).first()
-            if not n["pages"] and not n["scans"]:
+            if got.filter(F.col("what") == _STATE).isEmpty():
                 break
-            open_chunks = tables.write(open_chunks.join(got.filter(F.col("what") == _KNOWN).select(*key), key, "left_semi"))
-            answers = [a.filter(F.col("what") != _KNOWN) for a in answers] + [got.filter(F.col("what") == _KNOWN)]
-            if n["scans"]:
-                questions = asked.filter(F.col("what") != _PAGE).join(ranges, "movie_id")
-                answers.append(tables.write(scans(pages, questions)))
-            if n["pages"]:
-                wanted = asked.filter(F.col("what") == _PAGE).drop("payload").withColumnRenamed("at", "page")
-                answers.append(tables.write(wanted.join(pages, ["movie_id", "page"]).select(*key, "what", F.col("page").alias("at"), F.col("block").alias("payload"))))
+            said = tables.write(answers(held, got.filter(F.col("what") == _ASKED), groups, profile, drift))
+            todo = got.filter(F.col("what") == _STATE).unionByName(said)
         else:
             raise RuntimeError(f"chunks still open after {MOST_ROUNDS} rounds")
         found = results[0]
@@ -349,7 +401,7 @@ def align_ranges(chunks: DataFrame, movie: DataFrame, profile: Profile, min_simi
 
 
 def _schema() -> pa.Schema:
-    return pa.schema([("movie_id", pa.string()), ("short_id", pa.string()), ("chunk_id", pa.int64()), ("what", pa.string()), ("at", pa.int64()), ("payload", pa.binary())])
+    return pa.schema([("movie_id", pa.string()), ("short_id", pa.string()), ("chunk_id", pa.int64()), ("what", pa.string()), ("ranges", pa.list_(pa.int64())), ("payload", pa.binary())])
 
 
 def _states(chunks: DataFrame, header: DataFrame) -> DataFrame:
@@ -364,7 +416,7 @@ def _states(chunks: DataFrame, header: DataFrame) -> DataFrame:
 
     packed = chunks.groupBy("video_id", "chunk_id").applyInArrow(pack, "short_id string, chunk_id long, chunk binary")
     # Each chunk meets each movie: movies are dealt to a few groups of chunks.
-    groups = 16
+    groups, per_range = 16, RANGE_PAGES
     salt = F.pmod(F.xxhash64("short_id", "chunk_id"), F.lit(groups)).cast("int").alias("salt")
     movies = header.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     both = packed.withColumn("salt", salt).join(movies, "salt").select("movie_id", "short_id", "chunk_id", "n", "pages", "firsts", "chunk")
@@ -374,8 +426,9 @@ def _states(chunks: DataFrame, header: DataFrame) -> DataFrame:
             out = []
             for r in b.to_pylist():
                 short, cuts = pickle.loads(r["chunk"])
-                about = {"short": short, "cuts": cuts, "n": r["n"], "pages": r["pages"], "firsts": r["firsts"]}
-                out.append({"movie_id": r["movie_id"], "short_id": r["short_id"], "chunk_id": r["chunk_id"], "what": "", "at": 0, "payload": pickle.dumps(about, 5)})
+                numbers, at = np.unique(np.array(r["pages"]) // per_range, return_index=True)
+                about = {"short": short, "cuts": cuts, "n": r["n"], "numbers": numbers.tolist(), "starts": np.array(r["firsts"])[at], "known": {}}
+                out.append({"movie_id": r["movie_id"], "short_id": r["short_id"], "chunk_id": r["chunk_id"], "what": _STATE, "ranges": None, "payload": pickle.dumps(about, 5)})
             yield pa.RecordBatch.from_pylist(out, schema=_schema())
 
-    return both.mapInArrow(state, _NEED)
+    return both.mapInArrow(state, _ROWS)

@@ -163,3 +163,45 @@ def test_a_window_of_a_walk_meets_all_variants_at_once(monkeypatch):
             monkeypatch.undo()
             calls.clear()
             monkeypatch.setattr(blocks, "_pair_sims", lambda *x: calls.append(x) or plain(*x))
+
+
+@pytest.mark.parametrize("profile", [MAIN, CANDIDATE], ids=["main", "candidate"])
+def test_walks_go_to_the_frames_and_rounds_are_few(profile):
+    """Ranges of 128 frames: a walk over many of them is sent on at each end, and
+    neither what is asked nor what is said grows with the movie's pages."""
+    import pickle
+
+    from cliptrace.functions.blocks import CHANNELS, GRIDS, Layout
+    from cliptrace.plans.align import Aligner
+
+    rng = np.random.default_rng(7)
+    names = ["full", "b", "c"]
+    layout = Layout(names, {c: 2 for c in CHANNELS})
+    of = lambda hashes, first: Frames(first + np.arange(len(hashes["a"])), np.arange(len(hashes["a"])) / 25, hashes, layout, {g: (np.zeros((len(hashes["a"]), w)), np.zeros(len(hashes["a"]), bool)) for g, w in GRIDS.items()})
+    hashes = {c: rng.integers(0, 2**63, (2_048, 3, 1)).astype(np.uint64) for c in CHANNELS}
+    movie, short = of(hashes, 0), of({c: x[700:1_000:2] for c, x in hashes.items()}, 0)
+    short.delta, short.mag = np.zeros((150, 48)), np.full(150, np.nan)
+    cuts, floors = np.zeros(150, bool), (82, 9)
+    want = Aligner(short, movie, np.append(cuts, True), profile, 3).whole_chunk(*floors)
+    margin, held = 64, []
+    for lo in range(0, 2_048, 128):
+        a, b = max(0, lo - margin), min(2_048, lo + 128 + margin)
+        part = of({c: x[a:b] for c, x in hashes.items()}, a)
+        part.ts = movie.ts[a:b]
+        part.delta, part.mag = np.zeros((b - a, 48)), np.full(b - a, np.nan)
+        held.append(ranges.Range(part, a, lo, lo + 128, 2_048, profile, 3))
+    state = {"short": short, "cuts": cuts, "n": 2_048, "numbers": list(range(16)), "starts": np.arange(0, 2_048, 128), "known": {}}
+    said, result, sizes = [], None, []
+    for _ in range(40):
+        result, needs = ranges.resume(said, state, profile, 3, *floors)
+        if result is not None:
+            break
+        state, said = pickle.loads(pickle.dumps(state)), []
+        for row in needs:
+            for r in row["ranges"]:
+                frames, questions = pickle.loads(row["payload"])
+                said.append((held[r].lo, [(asked, held[r].answer(asked, frames, k, more)) for asked, k, more in questions]))
+        sizes.append((len(pickle.dumps(state)), max(len(pickle.dumps(x)) for x in said)))
+    assert result is not None and repr(rounded([list(x) for x in result[1]])) == repr(rounded([list(x) for x in want]))
+    assert len(sizes) <= 24  # ranges are a 32nd of what they are by default
+    assert max(x for x, _ in sizes) < 400_000 and any("walk" == asked[0] for asked in state["known"])
