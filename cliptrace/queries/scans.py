@@ -19,7 +19,7 @@ from ..sources.fingerprints import FRAME_JSON, pack
 from ..streaming.scenes import OUT as CHUNKS
 from ..streaming.scenes import chunk_stream
 from . import query
-from .base import FRAMES_SQL, POINTS_SQL, SCANS_SQL, events, frames, ham_sql, pair_sql, points, query_frames, table
+from .base import FRAMES_SQL, POINTS_SQL, SCANS_SQL, events, frames, ham_sql, in_scenes, pair_sql, points, query_frames, table
 
 
 def _round(df: DataFrame, *cols: str) -> DataFrame:
@@ -363,10 +363,9 @@ def rolling_mean_50(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _shorts_and_movie(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Blocks of a hundred frames are shorts; all frames are the movie."""
-    f = frames(spark, sf_dir).withColumns({c: F.lit(None).cast("array<double>") for c in ("color", "skin", "detail")})  # unrelated colors would cut at each frame
-    movie = f.withColumn("si", F.col("fid")).withColumn("ts", F.col("fid") / F.lit(25.0))
-    short = f.withColumn("video_id", F.floor(F.col("fid") / 100).cast("long")).withColumn("si", F.col("fid") % 100).withColumn("ts", F.col("si") / F.lit(25.0))
+    """Blocks of a hundred frames are shorts; all frames are the movie, in scenes."""
+    movie = in_scenes(frames(spark, sf_dir).withColumn("si", F.col("fid")).withColumn("ts", F.col("fid") / F.lit(25.0)))
+    short = movie.withColumn("video_id", F.floor(F.col("fid") / 100).cast("long")).withColumn("si", F.col("fid") % 100).withColumn("ts", F.col("si") / F.lit(25.0))
     return short, movie
 
 
@@ -423,7 +422,7 @@ SELECT video_id || '/' || video_id AS match_id, 0e0 AS short_start, round(n / 25
 def match_library(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every video against the library of all videos: each is found
     exactly in the video that it was cut from, and in no other."""
-    f = frames(spark, sf_dir).withColumns({c: F.lit(None).cast("array<double>") for c in ("color", "skin", "detail")})  # unrelated colors would cut at each frame
+    f = in_scenes(frames(spark, sf_dir), "video_id")
     pieces = f.filter("si BETWEEN 10 AND 39").withColumns({"si": F.col("si") - 10, "ts": F.col("ts") - 0.4})
     long = pieces.groupBy("video_id").count().filter("count >= 12").select("video_id")
     found = match(pieces.join(long, "video_id", "left_semi"), f, MAIN, single=False).segments.filter("NOT is_approximate")
