@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from ..functions.blocks import Frames, frame_detail, frame_sims, hash_sims
+from ..functions.blocks import Frames, best_sims, frame_detail, frame_sims
 from ..operators.scan import SEPARATION, SLOPES
 
 
@@ -142,11 +142,12 @@ class Whole:
     def __init__(self, short: Frames, movie: Frames):
         self.s, self.m, self.n = short, movie, movie.n
         self.last: tuple[tuple[int, bool] | None, np.ndarray] = (None, np.zeros(0))
+        self.seen: dict[tuple[int, int, int], np.ndarray] = {}
 
     def sims(self, si: int, full_only: bool) -> np.ndarray:
         """Hash similarities of a short frame with all movie frames."""
         if self.last[0] != (si, full_only):
-            self.last = ((si, full_only), hash_sims(self.s, si, self.m, 0, self.n, full_only))
+            self.last = ((si, full_only), best_sims(self.s, si, self.m, full_only))
         return self.last[1]
 
     def leaders(self, si: int, full_only: bool, floor: float | None = None, most: int | None = None) -> list[tuple[int, float]]:
@@ -166,9 +167,16 @@ class Whole:
 
     def walk(self, walk: Walk, used: np.ndarray, cuts: np.ndarray, p: Profile, drift: int) -> list[tuple[int, int, float]]:
         """The steps of a walk."""
-        walk.go(lambda si, lo, hi: frame_sims(self.s, si, self.m, lo, hi), self.n, (0, self.n), used, cuts, p, drift)
+        walk.go(self.window, self.n, (0, self.n), used, cuts, p, drift)
         return walk.got
 
+    def window(self, si: int, lo: int, hi: int) -> np.ndarray:
+        """Similarities of a frame of a walk, which walks on the same way ask for again."""
+        at = si, lo, hi
+        if at not in self.seen:
+            self.seen[at] = frame_sims(self.s, si, self.m, lo, hi)
+        return self.seen[at]
+
     def swept(self, key: tuple, sweep) -> list:
         """What a sweep finds."""
         return sweep()

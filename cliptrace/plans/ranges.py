@@ -34,13 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.blocks import Frames, Layout, frame_detail, frame_sims, hash_sims
+from ..functions.blocks import Frames, Layout, best_sims, frame_detail, frame_sims
 from ..operators.scan import SEPARATION
 from ..shared import Tables
 from .align import SECOND_PASS, Aligner, Missing, Profile, Walk, lead
 
 #: Frames of a page, and pages of a range.
-PAGE, RANGE_PAGES = 128, 32
+PAGE, RANGE_PAGES = 128, 128
 #: Frames around a range that its task holds as well, at least: a walk that leaves
 #: them is well inside the next range.
 MARGIN = 256
@@ -59,36 +59,43 @@ _DEALT = 8
 _FEATURES = ["si", "ts", "variants", "color", "skin", "detail"]
 
 
-def range_leaders(sims: np.ndarray, first: int, floor: float | None, most: int = MOST_LEADERS) -> tuple[list, list]:
+def marks(sims: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Frames above all of the ``SEPARATION`` - 1 before them, and tops, which none of
+    those after them is above.  A floor changes neither for a frame that passes it."""
+    return sims > _before(sims, SEPARATION - 1), sims >= _before(sims[::-1], SEPARATION - 1)[::-1]
+
+
+def range_leaders(sims: np.ndarray, first: int, floor: float | None, most: int = MOST_LEADERS, marked: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[list, list]:
     """What a range tells of its leaders: frames (mi, sim) up to and with the one
     from which on its leaders stand, and the leaders from there, by position: the
-    ``most`` best and the last."""
-    passing = np.full(len(sims), True) if floor is None else sims >= floor
-    at = np.flatnonzero(passing)
-    if not len(at):
+    ``most`` best and the last.
+
+    A leader moves until it meets a top, and that is the first top from where it
+    began.  So leaders are tops that stand apart, taken from the left.  Up to the
+    frame from which they stand, tops are told, and the frames that lead to the first
+    of them, each of which is above all before it: no other frame changes what leads."""
+    sure, top = marks(sims) if marked is None else marked
+    if floor is not None:
+        passing = sims >= floor
+        sure, top = sure & passing, top & passing
+    tops = np.flatnonzero(top)
+    if not len(tops):
         return [], []
-    shown = np.where(passing, sims, -np.inf)
-    sure = passing & (shown > _before(shown, SEPARATION - 1))
-    if first:
-        sure[: SEPARATION - 1] = False  # frames of the range before count as well
-    start = int(np.argmax(sure)) if sure.any() else len(sims)
-    open_part = [(first + int(k), float(sims[k])) for k in at[at <= start]]
-    places = at[at >= start]
-    kept: list[tuple[int, float]] = []
-    # ``lead``, written out: this loop meets each frame of each scan.
-    mi = edge = -1
-    sim = 0.0
-    for k, s in zip(places.tolist(), sims[places].tolist(), strict=True):
-        if k < edge:
-            if s > sim:
-                mi, sim, edge = k, s, k + SEPARATION
-        else:
-            if mi >= 0:
-                kept.append((first + mi, sim))
-            mi, sim, edge = k, s, k + SEPARATION
-    last = [(first + mi, sim)] if mi >= 0 else []
-    top = sorted(kept, key=lambda x: (-x[1], x[0]))[:most]
-    return open_part, [*sorted(top), *last]
+    open_from = SEPARATION - 1 if first else 0  # frames of the range before count as well
+    start = open_from + int(sure[open_from:].argmax()) if sure[open_from:].any() else len(sims)
+    rising = sims[: tops[0] + 1] if floor is None else np.where(passing[: tops[0] + 1], sims[: tops[0] + 1], -np.inf)
+    rising = np.flatnonzero(rising > np.append(-np.inf, np.maximum.accumulate(rising)[:-1]))
+    told = {k for some in (rising, tops[: np.searchsorted(tops, start)]) for k in some.tolist() if k < start} | ({start} if start < len(sims) else set())
+    picked, edge = [], start
+    for k in tops[np.searchsorted(tops, start) :].tolist():
+        if k >= edge:
+            picked.append(k)
+            edge = k + SEPARATION
+    some = np.array(picked[:-1], np.int64)
+    if len(some) > most:
+        some = np.sort(some[np.lexsort((some, -sims[some]))[:most]])
+    with_sims = lambda places: [(first + k, s) for k, s in zip(places, sims[places].tolist(), strict=True)]
+    return with_sims(sorted(told)) if told else [], with_sims([*some.tolist(), *picked[-1:]]) if picked else []
 
 
 def _before(shown: np.ndarray, reach: int) -> np.ndarray:
@@ -106,11 +113,12 @@ def _before(shown: np.ndarray, reach: int) -> np.ndarray:
 def all_leaders(sims: np.ndarray, first: int, floors: tuple, most: tuple = ()) -> list[tuple[list, list]]:
     """``range_leaders`` for each floor; floors that all frames pass have the same."""
     least, known, out = sims.min() if len(sims) else 0.0, None, []
+    rest = *(most or (MOST_LEADERS,)), marks(sims)
     for floor in floors:
         if floor is not None and not least >= floor:
-            out.append(range_leaders(sims, first, floor, *most))
+            out.append(range_leaders(sims, first, floor, *rest))
             continue
-        known = range_leaders(sims, first, None, *most) if known is None else known
+        known = range_leaders(sims, first, None, *rest) if known is None else known
         out.append(known)
     return out
 
@@ -141,6 +149,16 @@ class Range:
 
     def __init__(self, part: Frames, first: int, lo: int, hi: int, n: int, profile: Profile, drift: int):
         self.part, self.first, self.lo, self.hi, self.n, self.profile, self.drift = part, first, lo, hi, n, profile, drift
+        self.seen: tuple[Frames | None, dict[tuple[int, int, int], np.ndarray]] = (None, {})
+
+    def window(self, s: Frames, si: int, lo: int, hi: int) -> np.ndarray:
+        """Similarities of a frame of a walk, which walks on the same way ask for again."""
+        if self.seen[0] is not s:
+            self.seen = s, {}
+        known, at = self.seen[1], (si, lo, hi)
+        if at not in known:
+            known[at] = frame_sims(s, si, self.part, lo - self.first, hi - self.first)
+        return known[at]
 
     def answer(self, asked: tuple, s: Frames, k: int, more: tuple | None) -> object:
         """What the range says to what is asked of frame ``k``; ``more``: the walk,
@@ -149,7 +167,7 @@ class Range:
         kind = asked[0]
         if kind == "walk":
             walk, used, cuts = more
-            done = walk.go(lambda si, lo, hi: frame_sims(s, si, self.part, lo - first, hi - first), self.n, (first, first + self.part.n), used, cuts, self.profile, self.drift)
+            done = walk.go(lambda si, lo, hi: self.window(s, si, lo, hi), self.n, (first, first + self.part.n), used, cuts, self.profile, self.drift)
             return done, walk
         if kind == "time":
             return float(self.part.ts[asked[1] - first])
@@ -161,7 +179,7 @@ class Range:
             sims = frame_sims(s, k, self.part, a, b)
             at = int(sims.argmax())
             return self.lo + at, float(sims[at])
-        sims = hash_sims(s, k, self.part, a, b, asked[2])
+        sims = best_sims(s, k, self.part, asked[2], a, b)
         return sims if kind == "sims" else all_leaders(sims, self.lo, *asked[3:])
 
 
@@ -315,7 +333,9 @@ def answers(held: DataFrame, asked: DataFrame, groups: int, profile: Profile, dr
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=_schema())
 
-    dealt = pages.unionByName(todo).repartition(*at).sortWithinPartitions(*at, "kind")
+    # By cost: little is sent to what computes much, so that tasks are not joined by bytes.
+    tasks = _DEALT * held.sparkSession.sparkContext.defaultParallelism
+    dealt = pages.unionByName(todo).repartition(tasks, *at).sortWithinPartitions(*at, "kind")
     return dealt.mapInArrow(run, _ROWS)
 
 
@@ -381,10 +401,11 @@ def align_ranges(chunks: DataFrame, movie: DataFrame, profile: Profile, min_simi
                 out = [{"what": _STATE, "ranges": None, "payload": pickle.dumps(state, 5)}, *[{"what": _ASKED} | r for r in needs]]
             return pa.Table.from_pylist([{c: rows[0][c] for c in key} | r for r in out], schema=_schema())
 
-        todo = _states(chunks, header)
+        todo = _states(chunks, spans)
+        tasks = 2 * spark.sparkContext.defaultParallelism
         results: list[DataFrame] = []
         for _ in range(MOST_ROUNDS):
-            got = tables.write(todo.groupBy(*key).applyInArrow(go_on, _ROWS))
+            got = tables.write(todo.repartition(tasks, *key).groupBy(*key).applyInArrow(go_on, _ROWS))
             results.append(got.filter(F.col("what") == _DONE))
             if got.filter(F.col("what") == _STATE).isEmpty():
                 break
@@ -404,7 +425,7 @@ def _schema() -> pa.Schema:
     return pa.schema([("movie_id", pa.string()), ("short_id", pa.string()), ("chunk_id", pa.int64()), ("what", pa.string()), ("ranges", pa.list_(pa.int64())), ("payload", pa.binary())])
 
 
-def _states(chunks: DataFrame, header: DataFrame) -> DataFrame:
+def _states(chunks: DataFrame, spans: DataFrame) -> DataFrame:
     """A row for each chunk and movie with what a chunk starts from."""
 
     def pack(mine: pa.Table) -> pa.Table:
@@ -415,19 +436,19 @@ def _states(chunks: DataFrame, header: DataFrame) -> DataFrame:
         return pa.table({"short_id": pa.array([mine["video_id"][0].as_py()]), "chunk_id": pa.array([mine["chunk_id"][0].as_py()], pa.int64()), "chunk": pa.array([state], pa.binary())})
 
     packed = chunks.groupBy("video_id", "chunk_id").applyInArrow(pack, "short_id string, chunk_id long, chunk binary")
-    # Each chunk meets each movie: movies are dealt to a few groups of chunks.
-    groups, per_range = 16, RANGE_PAGES
+    # Each chunk meets each movie: movies, of which only ranges are told, are dealt to a few groups of chunks.
+    groups = 16
     salt = F.pmod(F.xxhash64("short_id", "chunk_id"), F.lit(groups)).cast("int").alias("salt")
-    movies = header.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    both = packed.withColumn("salt", salt).join(movies, "salt").select("movie_id", "short_id", "chunk_id", "n", "pages", "firsts", "chunk")
+    movies = spans.groupBy("movie_id", "n").agg(F.sort_array(F.collect_list(F.struct("range", "lo"))).alias("r")).select("movie_id", "n", F.col("r.range").alias("numbers"), F.col("r.lo").alias("starts"))
+    movies = movies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    both = packed.withColumn("salt", salt).join(movies, "salt").select("movie_id", "short_id", "chunk_id", "n", "numbers", "starts", "chunk")
 
     def state(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for r in b.to_pylist():
                 short, cuts = pickle.loads(r["chunk"])
-                numbers, at = np.unique(np.array(r["pages"]) // per_range, return_index=True)
-                about = {"short": short, "cuts": cuts, "n": r["n"], "numbers": numbers.tolist(), "starts": np.array(r["firsts"])[at], "known": {}}
+                about = {"short": short, "cuts": cuts, "n": r["n"], "numbers": r["numbers"], "starts": np.array(r["starts"]), "known": {}}
                 out.append({"movie_id": r["movie_id"], "short_id": r["short_id"], "chunk_id": r["chunk_id"], "what": _STATE, "ranges": None, "payload": pickle.dumps(about, 5)})
             yield pa.RecordBatch.from_pylist(out, schema=_schema())
 

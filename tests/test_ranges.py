@@ -225,3 +225,31 @@ def test_variants_of_a_scan_are_reduced_by_columns(monkeypatch):
     monkeypatch.setattr(blocks, "_pair_sims", lambda *x: plain(*x).view(Pairs))
     assert (blocks.hash_sims(short, 1, movie, 5, 2_900, True) == want[0]).all()
     assert (blocks.hash_sims(short, 1, movie, 5, 2_900, False) == want[1]).all()
+
+
+def test_a_range_goes_through_a_scan_once_and_through_a_walk_once(monkeypatch):
+    """Marks of a scan serve all its floors, few frames are told beside leaders, and
+    walks on one way compare a frame once."""
+    from cliptrace.functions.blocks import CHANNELS, GRIDS, Layout, best_sims, hash_sims
+    from cliptrace.plans.align import Walk
+
+    rng = np.random.default_rng(9)
+    sims = 50 + 5 * rng.standard_normal(16_384)
+    marked, plain = [], ranges.marks
+    monkeypatch.setattr(ranges, "marks", lambda x: marked.append(len(x)) or plain(x))
+    found = ranges.all_leaders(sims, 16_384, (None, 52.0, 10.0), (28,))
+    assert marked == [16_384] and all(len(o) < SEPARATION and len(best) == 29 for o, best in found)
+
+    layout = Layout(["full", "b", "c"], {c: 2 for c in CHANNELS})
+    hashes = {c: rng.integers(0, 2**63, (900, 3, 1)).astype(np.uint64) for c in CHANNELS}
+    frames = lambda a, b: Frames(np.arange(b - a), np.arange(b - a) / 25, {c: x[a:b] for c, x in hashes.items()}, layout, {g: (rng.random((b - a, w)), np.full(b - a, True)) for g, w in GRIDS.items()})
+    movie, short = frames(0, 900), frames(300, 400)
+    for full in (True, False):
+        assert best_sims(short, 7, movie, full, 3, 890) == pytest.approx(hash_sims(short, 7, movie, 3, 890, full), abs=1e-9)
+    calls, sims_of = [], ranges.frame_sims
+    monkeypatch.setattr(ranges, "frame_sims", lambda *x: calls.append(x[1]) or sims_of(*x))
+    held = ranges.Range(movie, 0, 0, 900, 900, CANDIDATE, 3)
+    for seed in range(0, 100, 10):
+        done, walk = held.answer(("walk",), short, 0, (Walk((seed, 300 + seed), 1, (0, 99), False), np.zeros(101, bool), np.zeros(101, bool)))
+        assert done and [mi for _, mi, _ in walk.got] == list(range(301 + seed, 400))
+    assert sorted(calls) == list(range(1, 100))
