@@ -188,6 +188,13 @@ class Whole:
         return frame_detail(self.s, si, self.m, mi)
 
 
+def least_frames(profile: Profile, min_consecutive: int) -> int:
+    """Frames that a chunk must have for anything to be found in it: a sequence has no
+    more steps than its chunk has frames, and needs so many.  Alternates are offered
+    without such a sequence where there is a rescue."""
+    return 1 if profile.rescue else min(min_consecutive, 3)
+
+
 class Aligner:
     """Aligns chunks of ``short`` with a movie."""
 
@@ -283,6 +290,8 @@ class Aligner:
         """Segments and alternates of a chunk; both are dicts with ``seq``."""
         start, end = chunk
         size = end - start + 1
+        if size < least_frames(self.p, min_consecutive):
+            return [], []
         used = np.zeros(self.s.n + 1, bool)
         least = min(min_consecutive, max(3, int(size * 0.4)))
         segments, pool = [], []

@@ -20,14 +20,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.blocks import CHANNELS, Frames, Layout
 from ..operators import frames as fr
 from ..operators import intervals as iv
-from .align import MAIN, Aligner, Profile
+from .align import MAIN, Aligner, Profile, least_frames
 from .ranges import align_ranges
 
 #: Frames of shorts that are aligned with a movie in one group, about.
@@ -114,6 +114,10 @@ def align(short: DataFrame, movie: DataFrame, profile: Profile = MAIN, min_simil
     movie = movie.withColumn("movie_id", F.lit("movie") if single else F.col("video_id").cast("string"))
     w = fr.in_order("video_id", "si")
     cut = with_cuts(short).withColumn("chunk_id", F.sum(F.col("is_cut").cast("int")).over(w))
+    least = least_frames(profile, min_consecutive)
+    if least > 1:  # nothing is scanned for chunks in which nothing can be found
+        size = F.count("*").over(Window.partitionBy("video_id", "chunk_id"))
+        cut = cut.withColumn("_n", size).filter(F.col("_n") >= least).drop("_n")
     groups = max(1, math.ceil(short.count() / SHORT_FRAMES))
     salt = F.pmod(F.xxhash64("video_id", "chunk_id"), F.lit(groups)).cast("int").alias("salt")
     chunks = cut.join(_layouts(short), "video_id").select("video_id", "chunk_id", "is_cut", "t_delta", "t_mag", "layout", *_FEATURES, salt)

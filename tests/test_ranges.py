@@ -227,6 +227,35 @@ def test_variants_of_a_scan_are_reduced_by_columns(monkeypatch):
     assert (blocks.hash_sims(short, 1, movie, 5, 2_900, False) == want[1]).all()
 
 
+def test_chunks_in_which_nothing_can_be_found_are_not_scanned(spark, monkeypatch):
+    """Each frame cuts: no sequence of three frames, and without a rescue no scan."""
+    from cliptrace.plans.align import Aligner
+
+    class Scanned(Exception):
+        pass
+
+    class Movie:
+        n = 1_000
+
+        def leaders(self, *_, **__):
+            raise Scanned
+
+    class Short:
+        n = 2
+
+    assert Aligner(Short(), Movie(), np.array([True, False, True]), MAIN, 3).whole_chunk(82, 9) == []
+    for profile, frames in ((CANDIDATE, 9), (MAIN, 2)):
+        with pytest.raises(Scanned):
+            Aligner(Short(), Movie(), np.array([True, False, True]), profile, 3).whole_chunk(82, frames)
+    short, movie = made(spark, np.random.default_rng(3), 260)
+    cut = short.withColumn("color", F.transform("color", lambda x: x + F.when(F.col("si") % 2 == 0, 200).otherwise(0))).filter("video_id <> 'c'")
+    seen = []
+    monkeypatch.setattr(plan, "WHOLE_FRAMES", 0)
+    monkeypatch.setattr(plan, "align_ranges", lambda chunks, *x: seen.append(chunks.count()) or ranges.align_ranges(chunks, *x))
+    got = plan.match(cut, movie, MAIN)
+    assert got.unmatched.agg(F.sum("frames")).first()[0] == cut.count() and seen == [0]
+
+
 def test_a_range_goes_through_a_scan_once_and_through_a_walk_once(monkeypatch):
     """Marks of a scan serve all its floors, few frames are told beside leaders, and
     walks on one way compare a frame once."""
